@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import packing, sharding
+from rankloom.llm import neardup, packing, sharding
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES: dict[str, Query] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}
