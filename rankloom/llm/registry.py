@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import neardup, packing, sharding
+from rankloom.llm import neardup, packing, sharding, substring
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,14 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op1_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
+    "op1_super_kmer_dedup": op1_super_kmer_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
