@@ -28,10 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels after further edges: the components of the old components, carried back to the nodes."""
-    if labels is None:
-        return components(edges)
     a, b = (labels.withColumnsRenamed({"node": x, "label": f"_{x}"}) for x in "ab")
     lifted = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     above = components(lifted)

@@ -4,11 +4,13 @@ A document is its set of distinct word shingles. Documents with one and the same
 a class goes on. Its signature is cut into bands of four values from four different permutations; classes that share a
 band are compared. Every link is confirmed on the full sets of 64-bit shingle hashes.
 
-In a band's group not all pairs are made. First each member meets the smallest one. Then, while a group spans several
-components, the members outside its largest component meet the others, in rounds of growing width, each pair at most once
-and only while the two are in different components. So no link between components is lost to a cap, and a large group of
-near copies costs about one comparison a member. With the default 25 bands of four, two sets of similarity 0.8 share no
-band with probability 2e-6 (0.85: 8e-9).
+In a band's group not all pairs are made. First each member meets the group's smallest one; that settles most. The groups
+that overlap form clusters. Where a cluster still spans several components, its members are laid in blocks by set size,
+and blocks of comparable size are held against each other when either has a member outside the cluster's largest
+component. A block holds at most BLOCK_MEMBERS sets and about BLOCK_SHINGLES hashes, so a task's memory is bounded however
+large the cluster; all its pairs are counted exactly by one matrix product, and only edges that join components leave the
+task. No pair that shares a band is left untested unless it is already in one component. With the default 25 bands of four,
+two sets of similarity 0.8 share no band with probability 2e-6 (0.85: 8e-9).
 
 Defined results: null or empty text, or white space alone, has an empty set and is linked with nothing; a text of fewer
 words than a shingle counts as one shingle; repeated rows get the same answer each; a null doc_id is linked with nothing
@@ -25,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Words, mix, pieces, ready, signed, span_hash, written
-from rankloom.llm.components import merged
+from rankloom.llm.common import Words, mix, parts, pieces, ready, signed, span_hash, written
+from rankloom.llm.components import components, merged
 
 PERMUTATIONS, ROWS = 50, 4
-WIDTH = 16
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 18
+COLUMNS = 2048
 
 
 @functools.cache
@@ -133,10 +136,88 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(meet, "a long, b long")
 
 
-def _ordered(a: str, b: str, percent: int, pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with a < b whose sizes allow the similarity at all."""
-    fits = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-    return pairs.filter(fits).select(F.least(f"{a}.rep", f"{b}.rep").alias("a"), F.greatest(f"{a}.rep", f"{b}.rep").alias("b")).filter("a < b").distinct()
+def block_links(labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similar sets that join different labels; no more than join them."""
+    size = np.array([len(s) for s in sets], np.float32)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a shingle of one set alone adds to no intersection
+    column = np.cumsum(shared) - 1
+    keep = shared[shingle]
+    owner, shingle = owner[keep], column[shingle[keep]]
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle = owner[order], shingle[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    cuts = np.searchsorted(shingle, np.arange(0, int(shared.sum()) + COLUMNS, COLUMNS))
+    for n, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], shingle[a:b] - n * COLUMNS] = 1
+        common += has @ has.T
+    _, label = np.unique(labels, return_inverse=True)
+    near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    x, y = np.nonzero(np.triu(near & (label[:, None] != label[None, :]), 1))
+    _, one = np.unique(np.minimum(label[x], label[y]) * len(sets) + np.maximum(label[x], label[y]), return_index=True)
+    parent = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for i, j in zip(x[one].tolist(), y[one].tolist(), strict=True):
+        a, b = find(label[i]), find(label[j])
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def _block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between components, from rows (task, rep, label, shingles)."""
+
+    def edges(held: list[tuple]) -> list[tuple[int, int]]:
+        pairs = block_links([r[1] for r in held], [np.frombuffer(r[2], np.uint64) for r in held], percent)
+        return [(held[i][0], held[j][0]) for i, j in pairs]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "rep", "label", "shingles")), strict=True):
+                if t != task and held:
+                    out += edges(held)
+                    held = []
+                task = t
+                held.append(row)
+            yield _pairs(out)
+        if held:
+            yield _pairs(edges(held))
+
+    def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+
+    return rows.repartition(parts(rows), "task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
+
+
+def _tasks(nodes: DataFrame, percent: int) -> DataFrame:
+    """(task, rep, label): which blocks of clusters that span several components meet. `nodes`: rep, n, cluster, label."""
+    inside = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    spread = inside.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    spread = spread.filter("labels > 1 and size > 2").select("cluster", F.col("top.label").alias("main"))
+    nodes = nodes.join(spread, "cluster")
+    # two similar sets are in one size class or in neighbouring ones
+    nodes = nodes.withColumn("rung", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
+    load = nodes.groupBy("cluster", "rung").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
+    nodes = nodes.join(load, ["cluster", "rung"])
+    nodes = written(nodes.select("rep", "label", "cluster", "rung", (F.col("label") != F.col("main")).alias("minor"), F.expr("pmod(xxhash64(rep), blocks)").alias("block")), "nodes")
+    blocks = nodes.groupBy("cluster", "rung", "block").agg(F.max("minor").alias("minor"))
+    other = blocks.select("cluster", F.col("rung").alias("rung2"), F.col("block").alias("block2"), F.col("minor").alias("minor2"))
+    met = blocks.withColumn("rung2", F.explode(F.array("rung", F.col("rung") + 1))).join(other, ["cluster", "rung2"])
+    met = met.filter("(minor or minor2) and (rung2 > rung or block2 >= block)")
+    sides = F.array_distinct(F.array(F.struct("rung", "block"), F.struct(F.col("rung2").alias("rung"), F.col("block2").alias("block"))))
+    met = met.select("cluster", F.xxhash64("cluster", "rung", "block", "rung2", "block2").alias("task"), F.explode(sides).alias("side"))
+    return met.select("task", "cluster", "side.rung", "side.block").join(nodes, ["cluster", "rung", "block"]).select("task", "rep", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -147,34 +228,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     classes = written(classes, "classes")
     exploded = classes.select(F.explode("bands").alias("key"), F.struct("rep", F.col("n_shingles").alias("n")).alias("m"))
     centres = exploded.groupBy("key").agg(F.min("m").alias("c"), F.max("m").alias("last")).filter("c.rep < last.rep").select("key", "c")
-    members = written(exploded.join(centres, "key"), "members")
-    sets = written(_sets(docs, members.select("m.rep").distinct(), words), "sets")
-
-    pairs = written(_ordered("c", "m", percent, members.filter("m.rep <> c.rep")), "pairs")
-    tested, labels = pairs, merged(None, confirm(pairs, sets, percent))
-    members = members.select("key", "m", F.col("m.rep").alias("node"))
-    done = 0
-    while True:
-        known = members.join(labels, "node", "left").select("key", "m", F.coalesce("label", "node").alias("label"))
-        inside = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        spread = inside.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-        spread = spread.filter(f"labels > 1 and size > {done + 1}").select("key", "size", F.col("top.label").alias("main"))
-        open_ = known.join(spread, "key").withColumn("rank", F.expr("row_number() over (partition by key order by m)") - 1)
-        open_ = written(open_, "open")
-        if open_.isEmpty():
-            break
-        until = max(WIDTH, done * WIDTH)
-        offsets = F.sequence(F.lit(done + 1), F.least(F.lit(until), F.col("size") - 1).cast("int"))
-        asking = open_.filter(f"label <> main and size > {done + 1}").select("key", "m", "label", F.explode(offsets).alias("off"), "rank", "size")
-        asking = asking.select("key", F.col("m").alias("x"), F.col("label").alias("own"), F.expr("(rank + off) % size").alias("rank"))
-        met = asking.join(open_.select("key", "rank", F.col("m").alias("y"), "label"), ["key", "rank"]).filter("own <> label")
-        fresh = written(_ordered("x", "y", percent, met).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            links = written(confirm(fresh, sets, percent), "links")
-            if not links.isEmpty():
-                labels = merged(labels, links)
-            tested = tested.unionByName(fresh)
-        done = until
+    stars = written(exploded.join(centres, "key").filter("m.rep <> c.rep").select("c", "m").distinct(), "stars")
+    nodes = written(stars.select(F.explode(F.array("c", "m")).alias("x")).select("x.rep", "x.n").distinct(), "nodes")
+    sets = written(_sets(docs, nodes, words), "sets")
+
+    fits = F.least("c.n", "m.n") * 100 >= F.greatest("c.n", "m.n") * percent
+    labels = components(confirm(stars.filter(fits).select(F.col("c.rep").alias("a"), F.col("m.rep").alias("b")), sets, percent))
+    clusters = components(stars.select(F.col("c.rep").alias("a"), F.col("m.rep").alias("b")))
+    nodes = nodes.join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep")
+    nodes = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    more = written(_block_links(_tasks(nodes, percent).join(sets, "rep"), percent), "links")
+    labels = merged(labels, more)
 
     home = classes.select("key_a", "key_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     home = home.select("key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component_id"))

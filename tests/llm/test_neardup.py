@@ -41,6 +41,12 @@ def test_against_all_pairs(spark, k):
     assert got == brute.near_duplicates(docs, k)
 
 
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 7)
+    docs = family(5, 100, 90, lambda r: r.randrange(3, 9)) + family(6, 900, 30, lambda r: r.randrange(12))
+    assert result(neardup.near_duplicates(frame(spark, docs), words=4)) == brute.near_duplicates(docs, 4)
+
+
 def test_on_documents(spark, tiny):
     df = spark.read.parquet(f"{tiny}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.collect()]
