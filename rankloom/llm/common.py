@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
@@ -27,6 +28,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = np.array([_LOWER[c] if c > 127 or chr(c).isalnum() else 0x20 for c in range(256)], np.uint8)
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -156,11 +158,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
 class Words:
     """Words of a batch of texts: runs of bytes that hold none of the six ASCII white-space characters."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
-        data, self.text_at = utf8(column)
-        self.data = _LOWER[data] if lower else data
+    def __init__(self, column: pa.Array, lower: bool = False, plain: bool = False):
+        """lower: A-Z count as a-z. plain: all letters in lower case, and other ASCII signs than letters and digits part words."""
+        data, self.text_at = utf8(pc.utf8_lower(column) if plain else column)
+        self.data = data = _PLAIN[data] if plain else _LOWER[data] if lower else data
         n = len(data)
-        inside = ~_WHITE[data]
+        inside = ~_WHITE[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.text_at] = True
         edge[n] = True

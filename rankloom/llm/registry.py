@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import neardup, packing, sharding, substring, toxicity
+from rankloom.llm import decontamination, neardup, packing, sharding, substring, toxicity
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,16 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
     "op1_super_kmer_dedup": op1_super_kmer_dedup,
     "op7_compression_toxicity": op7_compression_toxicity,
+    "op5_seeded_alignment": op5_seeded_alignment,
 }
 ORACLE_SQL: dict[str, str] = {}
