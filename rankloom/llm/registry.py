@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from rankloom.llm import decontamination, neardup, packing, sharding, substring, toxicity
 from rankloom.llm.common import table
 
@@ -39,6 +40,7 @@ def op5_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
@@ -46,4 +48,4 @@ QUERIES: dict[str, Query] = {
     "op7_compression_toxicity": op7_compression_toxicity,
     "op5_seeded_alignment": op5_seeded_alignment,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
