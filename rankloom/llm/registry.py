@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import decontamination, neardup, packing, sharding, substring, toxicity
+from rankloom.llm import anisotropic, decontamination, neardup, packing, sharding, substring, toxicity
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,11 @@ def op5_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return anisotropic.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op8_hilbert_shards": op8_hilbert_shards,
@@ -47,5 +53,6 @@ QUERIES: dict[str, Query] = {
     "op1_super_kmer_dedup": op1_super_kmer_dedup,
     "op7_compression_toxicity": op7_compression_toxicity,
     "op5_seeded_alignment": op5_seeded_alignment,
+    "op3_anisotropic_search": op3_anisotropic_search,
 }
 ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
