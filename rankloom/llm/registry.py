@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import anisotropic, decontamination, neardup, packing, sharding, substring, toxicity
+from rankloom.llm import anisotropic, decontamination, neardup, packing, sharding, substring, toxicity, warc
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op3_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op8_hilbert_shards": op8_hilbert_shards,
@@ -54,5 +58,6 @@ QUERIES: dict[str, Query] = {
     "op7_compression_toxicity": op7_compression_toxicity,
     "op5_seeded_alignment": op5_seeded_alignment,
     "op3_anisotropic_search": op3_anisotropic_search,
+    "op4_warc_round_trip": op4_warc_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
