@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import anisotropic, decontamination, neardup, packing, sharding, substring, toxicity, warc
+from rankloom.llm import anisotropic, decontamination, language, neardup, packing, sharding, substring, toxicity, warc
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, *language.learn(docs))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op8_hilbert_shards": op8_hilbert_shards,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Query] = {
     "op5_seeded_alignment": op5_seeded_alignment,
     "op3_anisotropic_search": op3_anisotropic_search,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op6_language_mixture": op6_language_mixture,
 }
 ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
