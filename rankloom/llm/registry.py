@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import anisotropic, decontamination, language, neardup, packing, sharding, substring, toxicity, warc
+from rankloom.llm import anisotropic, decontamination, language, licences, neardup, packing, sharding, substring, toxicity, warc
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, *language.learn(docs))
 
 
+def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op8_hilbert_shards": op8_hilbert_shards,
@@ -65,5 +69,6 @@ QUERIES: dict[str, Query] = {
     "op3_anisotropic_search": op3_anisotropic_search,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op6_language_mixture": op6_language_mixture,
+    "op9_licence_dice": op9_licence_dice,
 }
 ORACLE_SQL: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
