@@ -1,0 +1 @@
+"""The operators compared here have no stream semantics; every operator above works on bounded tables."""
