@@ -44,7 +44,8 @@ def group_metrics(df: DataFrame, groups: list[str] | str, label: str, score: str
     groups = [groups] if isinstance(groups, str) else list(groups)
     b = tie_blocks(df, groups, label, score, weight, cuts)
     ok = (F.col("pos") > 0) & (F.col("neg") > 0)
-    b = b.withColumns({"f0": (F.col("fp") - F.col("n")) / F.col("neg"), "f1": F.col("fp") / F.col("neg"), "t0": (F.col("tp") - F.col("p")) / F.col("pos"), "t1": F.col("tp") / F.col("pos")})
+    pos, neg = (F.when(ok, F.col(c)) for c in ("pos", "neg"))
+    b = b.withColumns({"f0": (F.col("fp") - F.col("n")) / neg, "f1": F.col("fp") / neg, "t0": (F.col("tp") - F.col("p")) / pos, "t1": F.col("tp") / pos})
     b = b.withColumn("ok", ok)
     area = f"(f1 - f0) * (t0 + t1) / 2e0"
     cut = f"({fpr}e0 - f0)"
