@@ -214,9 +214,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot:
     ready(docs.sparkSession)
     places = written(_places(docs, window, core), "places")
     kinds = places.groupBy("core", "name").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("start"), F.first("n").alias("n"))
-    by_core = "over (partition by core)"
-    kinds = kinds.withColumns({"low": F.expr(f"min(doc_id) {by_core}"), "high": F.expr(f"max(last) {by_core}"), "kinds": F.expr(f"count(1) {by_core}")})
-    kinds = written(kinds.filter("low < high").select("core", "name", "doc_id", "start", "n", "kinds"), "kinds")
+    # two aggregates with a partial step and a join that can be split, so a minimiser of a common passage is no task's burden
+    shared = kinds.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("kinds")).filter("low < high")
+    kinds = written(kinds.join(shared, "core").select("core", "name", "doc_id", "start", "n", "kinds"), "kinds")
 
     plain = kinds.filter("kinds = 1").select("core", "name", F.array(F.struct(F.lit(0).alias("at"), "n", F.col("doc_id").alias("doc"))).cast(_RUNS).alias("runs"))
     strings = written(_strings(docs, kinds.filter("kinds > 1").withColumn("hot", F.col("kinds") > hot), window), "strings")
