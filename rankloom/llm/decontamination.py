@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment judges them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment judges them.
 
-Words are runs of letters and digits in lower case. Every SEED-word run of a benchmark item is a seed. A first pass over
-the corpus counts the documents that hold each seed. In a second pass the hits of one item in one document are grouped into
-passages; a passage whose distinct seeds are together rare enough (sum of log(documents / documents with the seed) at least
-RARITY) is aligned with the item, word by word (match 2, mismatch and gap -1). The score is the alignment's share of the
-best possible one, so edited copies lose only what was changed. From THRESHOLD on the document counts as contaminated.
+Words are runs of letters and digits in lower case. Every SEED-word run of a benchmark item is a seed. The hits of one item
+in one document are grouped into passages: a hit further than the item's length from the one before starts another. Every
+passage, be it of one common seed, is aligned with the item, word by word (match 2, mismatch and gap -1), unless an upper
+bound of its score shows that it can't reach THRESHOLD; so how far an item has leaked doesn't matter. The score is the
+alignment's share of the best possible one, so edited copies lose only what was changed. From THRESHOLD on the document
+counts as contaminated.
 
 The benchmark is sent to the tasks in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes more passes, and
-nothing of it is left out. The corpus is not shuffled; only one count a seed and partition is, and the matches.
+nothing of it is left out. The corpus is not shuffled, only the matches are.
 
 Defined results: null or empty texts match nothing; items of fewer than LEAST_WORDS words match nothing; equal scores go to
 the smallest item_id; repeated rows of a doc_id share a result; an empty benchmark leaves all documents clean; an empty
@@ -17,7 +18,6 @@ table gives an empty result; further columns are ignored by matches() and report
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Words, pieces, ready
+from rankloom.llm.common import BASES, Words, mix, pieces, ready
 
-SEED, LEAST_WORDS, RARITY, THRESHOLD = 3, 5, 6.0, 0.4
+SEED, LEAST_WORDS, THRESHOLD = 3, 5, 0.4
 BLOCK_BYTES = 16 << 20
+SOME = 1 << 19  # hits, or words of passages, looked at together; one document's, or one passage's, are never parted
 
 
 class Items:
@@ -38,6 +39,7 @@ class Items:
         rows = sorted(set(rows))
         text = Words(pa.array([r[1] for r in rows], pa.large_string()), plain=True)
         self.seed = seed
+        self.text, self.at = text.hashes, text.first
         self.words = [text.hashes[a:b] for a, b in zip(text.first[:-1].tolist(), text.first[1:].tolist(), strict=True)]
         self.ids = [r[0] for r in rows]
         grams, at = text.grams(seed)
@@ -72,28 +74,50 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def judge(items: Items, weight: np.ndarray, words: np.ndarray, at: np.ndarray, seed: np.ndarray, rarity: float, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end) of the items found in one document, whose hits are `seed` at the words `at`."""
-    n = items.first[seed + 1] - items.first[seed]
-    item = items.items[np.repeat(items.first[seed] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-    at, seed = np.repeat(at, n), np.repeat(seed, n)
-    order = np.lexsort((at, item))
-    item, at, seed = item[order], at[order], seed[order]
-    out: dict[int, tuple[int, float, int, int]] = {}
-    length = np.array([len(w) for w in items.words])
-    cuts = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[item[1:]])])
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)], strict=True):
-        if weight[np.unique(seed[a:b])].sum() < rarity:
-            continue
-        k = int(item[a])
-        own = items.words[k]
-        low, high = max(0, int(at[a]) - len(own)), min(len(words), int(at[b - 1]) + len(own))
-        best, end = align(own, words[low:high])
-        score = best / (2 * len(own))
-        if score >= threshold and score > out.get(k, (0, 0.0, 0, 0))[1]:
-            _, back = align(own[::-1], words[low : low + end][::-1])
-            out[k] = (items.ids[k], score, low + end - back, low + end)
-    return list(out.values())
+def _parts(size: np.ndarray, most: int = SOME) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose sizes sum to about `most`; a larger entry comes alone."""
+    total, first = np.cumsum(size), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, "right")))
+        yield first, last
+        first = last
+
+
+def _flat(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span, index) of every place of the spans that begin at `start` and are `n` long."""
+    span = np.repeat(np.arange(len(n)), n)
+    return span, np.arange(len(span)) + (start - np.cumsum(n) + n)[span]
+
+
+def passages(items: Items, text: Words, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, first word, end) of the passages around the hits, words counted through the batch."""
+    hit, place = _flat(items.first[seed], items.first[seed + 1] - items.first[seed])
+    item, at = items.items[place], at[hit]
+    order = np.lexsort((at, item, text.doc[at]))
+    item, at = item[order], at[order]
+    doc, length = text.doc[at], np.diff(items.at)[item]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[1:])]
+    a, b = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(new)] - 1
+    return doc[a], item[a], np.maximum(text.first[doc[a]], at[a] - length[a]), np.minimum(text.first[doc[a] + 1], at[b] + length[a])
+
+
+def _best_run(match: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Largest sum of a run, of 2 a match and -1 a miss, for each span; none is empty."""
+    first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
+    total = np.cumsum(np.where(match, 2, -1))
+    far = span * (4 * len(span) + 4)  # keeps the least sum so far from passing into the next span
+    before = np.r_[0, total[:-1]]
+    return np.maximum.reduceat(total - (np.minimum.accumulate(before - far) + far), first)
+
+
+def bounds(items: Items, text: Words, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """No alignment of item and passage scores more: a word that the other side lacks costs 1, any other gives 2 at most."""
+    own, place = _flat(items.at[item], items.at[item + 1] - items.at[item])
+    there, other = _flat(low, high - low)
+    key = lambda word, span: mix(word + span.astype(np.uint64) * np.uint64(BASES[1]))
+    a, b = key(items.text[place], own), key(text.hashes[other], there)
+    inside = np.isin(b, a, kind="sort")
+    return np.minimum(_best_run(np.isin(a, b[inside], kind="sort"), own), _best_run(inside, there))
 
 
 def _blocks(benchmark: DataFrame, bound: int) -> list[list[tuple[int, str]]]:
@@ -121,62 +145,51 @@ class _Later(list):
             yield [(r[0], r[1]) for r in self.items.filter(self.own == b).collect()]
 
 
-def seed_weights(docs: DataFrame, rows: list[tuple[int, str]], seed: int = SEED) -> np.ndarray:
-    """log(documents / documents with the seed), by seed of the block, over the whole corpus."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, seed)
-        total, number = np.zeros(len(items.seeds), np.int64), 0
-        for batch in pieces(batches, "text"):
-            text = Words(batch.column("text"), plain=True)
-            at, n = items.hits(text)
-            once = np.unique(text.doc[at] * len(items.seeds) + n)
-            np.add.at(total, once % max(1, len(items.seeds)), 1)
-            number += batch.num_rows
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[number, total[some]])], ["seed", "n"])
-
-    ready(docs.sparkSession)
-    found = dict(docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect())  # a row a seed at most
-    total = max(found.pop(-1, 0), 1)
-    holding = np.ones(len(Items(rows, seed).seeds))
-    for n, k in found.items():
-        holding[n] = k
-    return np.log(np.maximum(total / holding, 1 + 1e-9))
-
-
 @functools.lru_cache(1)
 def _items(rows: tuple[tuple[int, str], ...], seed: int) -> Items:
     return Items(list(rows), seed)
 
 
-def _found(batch: pa.RecordBatch, items: Items, weight: np.ndarray, rarity: float, threshold: float) -> dict[int, list[tuple[int, float, int, int]]]:
-    """Matches by row of the batch."""
+def _found(batch: pa.RecordBatch, items: Items, threshold: float) -> dict[int, list[tuple[int, float, int, int]]]:
+    """(item, score, first word, end) of the matches by row of the batch."""
     text = Words(batch.column("text"), plain=True)
     at, seed = items.hits(text)
-    doc = text.doc[at]
-    out = {}
-    for d in np.unique(doc[weight[seed] > 0]).tolist():
-        own = doc == d
-        first, last = int(text.first[d]), int(text.first[d + 1])
-        got = judge(items, weight, text.hashes[first:last], at[own] - first, seed[own], rarity, threshold)
-        if got:
-            out[d] = got
+    best: dict[tuple[int, int], tuple[int, float, int, int]] = {}
+    size = np.bincount(text.doc[at], items.first[seed + 1] - items.first[seed], minlength=batch.num_rows)
+    for d, e in _parts(size):
+        a, b = np.searchsorted(at, [text.first[d], text.first[e]])
+        if a == b:
+            continue
+        doc, item, low, high = passages(items, text, at[a:b], seed[a:b])
+        length = np.diff(items.at)[item]
+        for i, j in _parts(high - low + length):
+            may = i + np.flatnonzero(bounds(items, text, item[i:j], low[i:j], high[i:j]) / (2 * length[i:j]) >= threshold)
+            for d, k, x, y in zip(*(c[may].tolist() for c in (doc, item, low, high)), strict=True):
+                own, words = items.words[k], text.hashes[x:y]
+                points, end = align(own, words)
+                score = points / (2 * len(own))
+                if score >= threshold and score > best.get((d, k), (0, 0.0, 0, 0))[1]:
+                    back = align(own[::-1], words[:end][::-1])[1]
+                    begin = x - int(text.first[d])
+                    best[d, k] = (items.ids[k], score, begin + end - back, begin + end)
+    out: dict[int, list[tuple[int, float, int, int]]] = {}
+    for (d, _), m in best.items():
+        out.setdefault(d, []).append(m)
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, rarity: float = RARITY, threshold: float = THRESHOLD) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, first, end) of every contaminated passage's best alignment, words counted from 0."""
     schema = "doc_id long, item_id long, score double, first int, end int"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = ready(docs.sparkSession).createDataFrame([], schema)
     for block in _blocks(benchmark, BLOCK_BYTES):
-        rows, weight = tuple(block), seed_weights(docs, block, seed)
+        rows = tuple(block)
 
-        def find(batches: Iterator[pa.RecordBatch], rows=rows, weight=weight) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             items = _items(rows, seed)
             for batch in pieces(batches, "text"):
                 ids = batch.column("doc_id").to_pylist()
-                found = [(ids[d], *m) for d, ms in _found(batch, items, weight, rarity, threshold).items() for m in ms]
+                found = [(ids[d], *m) for d, ms in _found(batch, items, threshold).items() for m in ms]
                 if found:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "score", "first", "end"])
@@ -193,21 +206,22 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("best").isNotNull().cast("int").alias("contaminated"), (-F.col("best.i")).alias("item_id"), F.col("best.score").alias("score"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, rarity: float = RARITY, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the contaminated rows."""
+    ready(docs.sparkSession)
     out = docs
     for block in _blocks(benchmark, BLOCK_BYTES):
-        rows, weight = tuple(block), seed_weights(docs, block, seed)
+        rows = tuple(block)
 
-        def keep(batches: Iterator[pa.RecordBatch], rows=rows, weight=weight) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             items = _items(rows, seed)
             for batch in pieces(batches, "text"):
                 stays = np.ones(batch.num_rows, bool)
-                stays[list(_found(batch, items, weight, rarity, threshold))] = False
+                stays[list(_found(batch, items, threshold))] = False
                 yield batch.filter(pa.array(stays))
 
         out = out.mapInArrow(keep, docs.schema)
     return out
 
 
-__all__ = ["Items", "align", "drop_contaminated", "matches", "report", "seed_weights"]
+__all__ = ["Items", "align", "drop_contaminated", "matches", "report"]

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontamination, language, licences, toxicity
+from rankloom.llm.common import Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, score string"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ne", "ru", "ti") for b in ("sa", "de", "vo", "pi", "mu") for c in ("n", "l", "r", "", "st")]
@@ -61,6 +63,35 @@ def test_decontamination_catches_copies_only(spark, monkeypatch):
     assert decontamination.report(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_widely_leaked_items(spark):
+    r = random.Random(8)
+    items = [(i, prose(r, 15, [f"q{k}" for k in range(900)])) for i in range(2)]
+    edited = items[0][1].split()
+    edited[3] = edited[7] = edited[11] = "edited"  # four seeds are left, in a third of the rows
+    docs = [(d, f"{prose(r, 20)} {' '.join(edited) if d % 3 == 0 else ''} {items[1][1] if d % 20 < 13 else ''} {prose(r, 20)}", None) for d in range(120)]
+    found = {(m.doc_id, m.item_id): m.score for m in decontamination.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(d, 0): 0.7 for d in range(0, 120, 3)} | {(d, 1): 1.0 for d in range(120) if d % 20 < 13}
+
+
+def test_decontamination_bound_loses_no_match(monkeypatch):
+    r = random.Random(9)
+    source = [prose(r, r.randrange(6, 20), WORDS[:40]) for _ in range(6)]
+    items = decontamination.Items(list(enumerate(source)))
+    copy = lambda t: " ".join(w if r.random() < 0.75 else r.choice(WORDS[:40]) for w in t.split())
+    batch = pa.RecordBatch.from_pydict({"text": [f"{prose(r, r.randrange(9), WORDS[:40])} {copy(r.choice(source))} {copy(r.choice(source))}" for _ in range(80)]})
+    text = Words(batch.column("text"), plain=True)
+    doc, item, low, high = decontamination.passages(items, text, *items.hits(text))
+    best = {}
+    for d, k, a, b in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), strict=True):
+        score = decontamination.align(items.words[k], text.hashes[a:b])[0] / (2 * len(items.words[k]))
+        best[d, k] = max(score, best.get((d, k), 0.0))
+    want = {x: s for x, s in best.items() if s >= 0.4}
+    assert 20 < len(want) < len(best)
+    for most in (1, decontamination.SOME):
+        monkeypatch.setattr(decontamination._parts, "__defaults__", (most,))
+        assert {(d, k): s for d, ms in decontamination._found(batch, items, 0.4).items() for k, s, _, _ in ms} == want
+
+
 def test_language_mixtures(spark):
     r = random.Random(2)
     tongues = {"xx": [w + "a" for w in WORDS], "yy": ["zh" + w[::-1] + "u" for w in WORDS], "zz": ["é" + w for w in WORDS]}
