@@ -11,7 +11,8 @@ Each byte of a window is written as two, so that short words differ by whole byt
 carrier before it keeps zstandard from storing the window raw.
 
 The labelled sample is bounded: SAMPLE_TOXIC and SAMPLE_ORDINARY documents, those with the smallest hash of doc_id, are
-learned from, in one task. Scoring covers every word of every text.
+learned from, in one task. Where a class has more, each of its sampled rows counts for as many labelled rows as it stands
+for, so a score means the same whatever the size of the input. Scoring covers every word of every text.
 
 Defined results: null or empty text, or one without words, scores as a text with no window; repeated rows score alike;
 without labelled toxic and ordinary rows every score is 0; an empty table gives an empty result; columns other than
@@ -128,19 +129,22 @@ def _features(by_tier: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(total)), np.log1p(total) / 5, np.log1p(hits), 10 * hits / (total[:, None] + 20)])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(rows: list[tuple[int, str | None, int]]) -> Model | None:
-    """Model from (doc_id, text, label) rows; None unless both labels occur among the texts for each of its two parts."""
+def fit(rows: list[tuple[int, str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model | None:
+    """Model from (doc_id, text, label) rows; None unless both labels occur among the texts for each of its two parts.
+
+    stands_for: labelled rows to a sampled one, for ordinary and toxic rows.
+    """
     part = lambda doc: zlib.crc32(f"part {doc}".encode()) % 5 < 3
     learn, calibrate = ([r for r in rows if part(r[0]) == own] for own in (True, False))
     if any({bool(r[2]) for r in some} != {True, False} for some in (learn, calibrate)):
@@ -187,7 +191,7 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model | None:
     for n, bound in reversed(list(enumerate(TIERS, 1))):
         model.tier[ratio > bound] = n
     by_tier = np.stack([counts[:, model.tier == n].sum(1) for n in range(len(TIERS) + 1)], 1)
-    model.weights[:] = _logistic(_features(by_tier), label.astype(float))
+    model.weights[:] = _logistic(_features(by_tier), label.astype(float), np.where(label, stands_for[1], stands_for[0]))
     return model
 
 
@@ -199,6 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, ordinar
     """Fitted model, from labelled rows outside the held-out fold."""
     ready(docs.sparkSession)
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    there = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    stands_for = tuple(there.get(v, 0) / max(1, min(there.get(v, 0), n)) for v, n in ((0, ordinary), (1, toxic)))
     order = F.xxhash64("doc_id")
     chosen = functools.reduce(DataFrame.unionByName, [usable.filter(F.col("label") == v).orderBy(order, "doc_id").limit(n) for v, n in ((1, toxic), (0, ordinary))])
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most toxic + ordinary small rows
@@ -208,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, ordinar
         for batch in batches:
             for doc, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True):
                 rows[doc] = min(rows.get(doc, (doc, text, label)), (doc, text, label), key=lambda r: r[1] or "")  # one of rows that share an id
-        model = fit([rows[d] for d in sorted(rows)])
+        model = fit([rows[d] for d in sorted(rows)], stands_for)
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], ["model"])
 

@@ -144,6 +144,15 @@ def test_toxicity_learns_marked_words(spark):
     assert toxicity.scores(df.limit(0), model).collect() == []
 
 
+def test_toxicity_scores_keep_the_real_class_share(spark):
+    r = random.Random(4)
+    docs = [(i, prose(r, r.randrange(20, 60)), None) for i in range(2000)]  # texts say nothing of the label, so a score is the share
+    df, lab = frame(spark, docs), spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i, _, _ in docs], "doc_id long, quality int, toxic int")
+    for caps in ({}, {"ordinary": 150}, {"toxic": 60, "ordinary": 120}):
+        rows = toxicity.scores(df, toxicity.train(df, lab, **caps)).collect()
+        assert abs(np.mean([x.score for x in rows]) - 0.1) < 0.06, caps
+
+
 def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     df, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
