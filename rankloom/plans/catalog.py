@@ -468,6 +468,66 @@ def _(spark, d):
     return sampling.label_batches(paired(spark, d), "g", "i", 10, 4, 3)
 
 
+# The queries on id subsets above keep their SQL. The same operators on whole tables follow; customers take the place of parts,
+# as at sf0.1 the parts have 1,599 of their 1,600 (name, brand) pairs as positives and leave nothing to draw.
+
+OWNERS = "pos as (select n_name g, c_name seq, c_custkey i from customer join nation on c_nationkey = n_nationkey), pool as (select g, count(*) w from pos group by g)"
+
+
+def owners(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("g"))
+    return table(spark, d, "customer").join(nation, "c_nationkey").select("g", F.col("c_name").alias("seq"), F.col("c_custkey").alias("i"), F.lit(1).alias("label"))
+
+
+def _whole_sql(key: str) -> str:
+    return _drawn_sql(key).replace(POSITIVES, OWNERS)
+
+
+@query("N03_negatives_shuffle_whole", _whole_sql(f"(-{_u('shuffle')})"))
+def _(spark, d):
+    return sampling.sample(owners(spark, d), "g", "seq", "i", "shuffle", 3.0).select("source_row_id", "g")
+
+
+@query("N04_negatives_matched_whole", _whole_sql(f"(ln(cast(pool.w as double)) - ln(-ln({_u('matched')})))"))
+def _(spark, d):
+    return sampling.sample(owners(spark, d), "g", "seq", "i", "matched", 3.0).select("source_row_id", "g")
+
+
+@query("N05_negatives_hard_whole", _whole_sql("(case when pool.g = pos.g then -1e9 else -levenshtein(pos.g, pool.g) end)"))
+def _(spark, d):
+    return sampling.sample(owners(spark, d), "g", "seq", "i", "hard", 3.0).select("source_row_id", "g")
+
+
+@query("N06_negatives_uniform_whole", f"with {OWNERS} select pos.i source_row_id, pool.g from pos, pool where pos.g <> pool.g")
+def _(spark, d):
+    return sampling.sample(owners(spark, d), "g", "seq", "i", "uniform").select("source_row_id", "g")
+
+
+@query("N10_negative_summary_whole", f"with n as ({_whole_sql(f'(-{_u(chr(115) + chr(104) + chr(117) + chr(102) + chr(102) + chr(108) + chr(101))})')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct c_name) n_sequences, cast(0 as bigint) n_collisions from n join customer on c_custkey = source_row_id")
+def _(spark, d):
+    pos = owners(spark, d)
+    return sampling.summary(sampling.sample(pos, "g", "seq", "i", "shuffle", 3.0), pos, "g", "seq")
+
+
+@query("C09_distance_eligible_whole", f"with {OWNERS} select pool.g, pos.seq from pos, pool where levenshtein(pos.g, pool.g) > 0")
+def _(spark, d):
+    rows = owners(spark, d)
+    return sampling.distance_eligible(rows, rows, rows, "g", "seq", 0)
+
+
+@query("N11_evaluation_set_whole", f"""with {OWNERS}, n as (select *, row_number() over (partition by g order by {rng.unit_sql("'0'", "'cap'", "i")}, i) n from pos), c as (select g, seq from n where n <= 5), w as (select g, 3 * count(*) want from c group by g),
+  r as (select w.g, pos.seq, want, row_number() over (partition by w.g order by {rng.unit_sql("'0'", "'negative'", "w.g", "pos.seq")}, pos.seq) n from w, pos where pos.g <> w.g)
+  select g, seq, 1 as label from c union all select g, seq, 0 from r where n <= want""")
+def _(spark, d):
+    pos = owners(spark, d)
+    return sampling.evaluation_set(pos, sampling.distance_eligible(pos, pos, pos, "g", "seq", 0), "g", "seq", "i", 5, 3)
+
+
+@query("E17_corr_bootstrap_whole", f"""with ok as (select i g, x, y from ({PART_G})), {BOOT_SQL}, v as (select replicate, corr(x, y) r from draws join numbered using (pos) group by replicate) select replicate, round(r, 6) r_y from v""")
+def _(spark, d):
+    return bootstrap.correlation_over_points(points(spark, d).withColumnRenamed("i", "k"), "k", "x", "y", 20, seed=7).select("replicate", *r6("r_y"))
+
+
 # ---- splits ---------------------------------------------------------------------------------------------------------
 
 EDGE_SQL = "edges as (select 'l|' || l_suppkey a, 'r|' || l_orderkey b from lineitem where l_quantity >= 49 and l_discount >= 0.09e0)"
@@ -489,6 +549,18 @@ def _(spark, d):
     return splits.component_split(labelled, 0.3).select("l_suppkey", "l_orderkey", "component", "side")
 
 
+@query("P01_component_labels_whole")
+def _(spark, d):
+    return splits.component_labels(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
+
+
+@query("P02_component_split_whole")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    labelled = splits.row_components(rows, "l_suppkey", "l_orderkey")
+    return splits.component_split(labelled, 0.3).select("l_suppkey", "l_orderkey", "component", "side")
+
+
 @query("P03_stratified_split", f"with {AFFIN} select i, case when row_number() over (partition by g, y order by {rng.unit_sql(chr(39) + '0' + chr(39), chr(39) + 'strata' + chr(39), 'i')}, i) <= round(count(*) over (partition by g, y) * 0.1e0) then 'validation' else 'fit' end side from affin")
 def _(spark, d):
     return splits.stratified_split(affin(spark, d), ["g", "y"], "i").select("i", "side")
