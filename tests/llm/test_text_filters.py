@@ -190,3 +190,18 @@ def test_licences(spark):
     inline = licences.scan(frame(spark, [(1, "kasan lodel this work is licensed under CC BY-NC 4.0 minel rupist", None)])).first()
     assert inline.licence == "CC-BY-NC-4.0"
     assert licences.scan(frame(spark, [])).collect() == []
+
+
+def test_notices_of_related_licences_are_told_apart(spark):
+    gnu = "This {0} is free software; you can redistribute it and/or modify it under the terms of the {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details."
+    gpl = "GNU General Public License"
+    want = {
+        "GPL-2.0": gnu.format("program", gpl, 2),
+        "GPL-3.0": gnu.format("program", gpl, 3),
+        "AGPL-3.0": gnu.format("program", gpl.replace("GNU", "GNU Affero"), 3),
+        "LGPL-2.1": gnu.format("library", gpl.replace("GNU", "GNU Lesser"), "2.1"),
+        "LGPL-3.0": gnu.format("program", gpl.replace("GNU", "GNU Lesser"), 3),
+    } | {n: licences.NOTICES.get(n, "") for n in ("BSD-2-Clause", "BSD-3-Clause", "EPL-2.0", "Unlicense", "Zlib")}
+    docs = [(i, f"kasan lodel\n{t}\nminel rupist", None) for i, t in enumerate(want.values())]
+    got = {r.doc_id: r.licence for r in licences.scan(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want)
