@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
 _own_dirs: dict[str, str] = {}
+_cleaned: list[str] = []
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
@@ -40,11 +41,18 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """True where driver and executors are one process, so that any folder is shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of our own if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _own_dirs:
             _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='rankloom-')}"
             spark.sparkContext.setCheckpointDir(_own_dirs[app])
@@ -60,12 +68,31 @@ def _remove(url: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex[:12]}-{name}"
+    folder, _, last = name.rpartition("/")
+    return f"{shared_dir(spark)}/{folder}{'/' if folder else ''}{uuid.uuid4().hex[:12]}-{last}"
+
+
+def _drop_tables() -> None:
+    """Delete the intermediate tables of this application, if its session is still there at exit."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        _delete(spark, f"{shared_dir(spark)}/tables")
+
+
+def _delete(spark: SparkSession, url: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(url)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends there, and no reader repeats the work above."""
-    path = new_path(df.sparkSession, name)
+    """The rows as a Parquet table in the shared folder: lineage ends there, and no reader repeats the work above.
+
+    Such tables go when the driver ends.
+    """
+    path = new_path(df.sparkSession, f"tables/{name}")
+    if not _cleaned:
+        _cleaned.append(path)
+        atexit.register(_drop_tables)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,14 +101,25 @@ def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing will read it again."""
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes not to meet a column of df (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(df: DataFrame, least: int = 1) -> int:
     """Partitions for a keyed shuffle: the session's own number, which the cluster sizes to its input."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

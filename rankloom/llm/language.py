@@ -2,16 +2,20 @@
 
 Each language is a table of probabilities of byte trigrams inside words (with the spaces around them), lower-cased. A word's
 likelihood in a language is the product over its trigrams. A document's words are drawn from a mixture of languages whose
-proportions are estimated by expectation-maximisation over all its words. Among the one, two, ... SET most plausible
-languages, the set is chosen whose log-likelihood less PENALTY * languages * log(words + 1) is largest; the prediction is
-the language with the largest proportion in that set, and the score is this proportion.
+proportions are estimated by expectation-maximisation over all its words, equal words counted together. Then sets of the
+one, two, three ... most plausible languages are tried for as long as the log-likelihood less PENALTY * languages *
+log(words + 1) rises; the prediction is the language with the largest proportion in the best set, and the score is this
+proportion.
 
-The tables are learned from a bounded sample: of each of the LANGUAGES most frequent languages, the PER_LANGUAGE documents
-with the smallest hash of doc_id. Every word of every text is used in a prediction.
+The tables are learned from a bounded sample: of each language about PER_LANGUAGE documents, fewer where all languages
+together would exceed SAMPLE; those whose hash of doc_id lies under a threshold that follows from the language's count, so
+nothing is ranked or shuffled. Every language of the training rows is learned; with very many the tables have fewer cells,
+so that all of them together stay within CELLS. Every word of every text is used in a prediction.
 
 Defined results: `und` with score 0 where the text is null, empty or has no letter, or where nothing was learned; a text
-whose letters are in no word of a learned script still gets a learned language; ties go to the language first in order of
-name; repeated rows score alike; an empty table gives an empty result; lang, source and doc_id are never read in a
+whose letters are in no word of a learned script still gets a learned language; a very long text is looked at whole, with
+memory of a small multiple of its bytes and of its distinct words times languages; ties go to the language first in order
+of name; repeated rows score alike; an empty table gives an empty result; lang, source and doc_id are never read in a
 prediction, nor are further columns.
 """
 
@@ -27,13 +31,13 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import CHUNK_BYTES, Words, pieces, ready
 
-LANGUAGES, PER_LANGUAGE = 64, 2000
-BITS, SMOOTH = 16, 0.5
-ROUNDS, SET, PENALTY = 8, 3, 2.0
+PER_LANGUAGE, SAMPLE = 2000, 128_000
+BITS, CELLS, SMOOTH = 16, 1 << 24, 0.5
+ROUNDS, PENALTY = 8, 2.0
 _LETTER = regex.compile(r"\p{L}")
 
 
-def trigrams(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trigrams(text: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trigram number at each byte, first and end trigram of each word); a word's neighbours count as spaces."""
     padded = np.full(len(text.data) + 2, 0x20, np.uint32)
     padded[1:-1] = text.data
@@ -41,89 +45,111 @@ def trigrams(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lead, last = text.start, text.end - 1  # the byte before or after may belong to the next text
     gram[lead] = np.uint32(0x20 << 16) | (gram[lead] & np.uint32(0xFFFF))
     gram[last] = (gram[last] & np.uint32(0xFFFFFF00)) | np.uint32(0x20)
-    return (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), text.start, text.end
+    return (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits), text.start, text.end
+
+
+def table_bits(languages: int) -> int:
+    """Bits of a trigram number, so that the tables of all languages stay within CELLS."""
+    return max(1, min(BITS, (CELLS // max(1, languages)).bit_length() - 1))
 
 
 def held_out(doc_id: Column, folds: int = 4, which: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == which, F.lit(False))
 
 
-def learn(docs: DataFrame, languages: int = LANGUAGES, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Names of the languages, and log-probabilities (languages, 2**BITS)."""
-    ready(docs.sparkSession)
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    names = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not names:
-        return [], np.zeros((0, 1 << BITS))
-    rank = F.expr("row_number() over (partition by lang order by xxhash64(doc_id), doc_id)")
-    chosen = usable.filter(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("_n", rank).filter(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
-    sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # at most languages * per_language rows
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Names of the languages, and log-probabilities (languages, 2**bits)."""
+    spark = ready(docs.sparkSession)
+    usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    there = usable.groupBy("lang").count().collect()  # a row for each language
+    if not there:
+        return [], np.zeros((0, 1 << BITS), np.float32)
+    want = max(1, min(per_language, sample // len(there)))
+    most = 1 << 30
+    bounds = spark.createDataFrame([(r[0], most if r[1] <= want else max(1, most * want // r[1])) for r in there], "lang string, below long")
+    chosen = usable.join(bounds, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(most)) < F.col("below")).select("lang", "text")
+    bits = table_bits(len(there))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in pieces(batches, "text"):
             text = Words(batch.column("text"), plain=True)
-            gram, start, end = trigrams(text)
+            gram, start, end = trigrams(text, bits)
             size = np.add.reduceat(end - start, text.first[:-1][np.diff(text.first) > 0]) if len(text) else np.zeros(0, np.int64)
             inside = gram[np.repeat(start - np.r_[0, np.cumsum(end - start)[:-1]], end - start) + np.arange((end - start).sum())]
             at = np.r_[0, np.cumsum(size)]
             full = np.flatnonzero(np.diff(text.first) > 0)
             langs = batch.column("lang").to_pylist()
             for n, d in enumerate(full.tolist()):
-                total.setdefault(langs[d], np.zeros(1 << BITS, np.int64))
-                total[langs[d]] += np.bincount(inside[at[n] : at[n + 1]], minlength=1 << BITS)
+                total.setdefault(langs[d], np.zeros(1 << bits, np.int64))
+                total[langs[d]] += np.bincount(inside[at[n] : at[n + 1]], minlength=1 << bits)
         for lang, n in total.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages * 2**BITS rows at most
-    names = sorted(set(counts["lang"]))
-    table = np.full((len(names), 1 << BITS), SMOOTH)
-    for k, name in enumerate(names):
-        own = counts[counts["lang"] == name]
-        table[k, own["gram"].to_numpy()] += own["n"].to_numpy()
-    return names, np.log(table / table.sum(1, keepdims=True)) if names else table
+    counts = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    names = sorted(r[0] for r in there)
+    table = np.full((len(names), 1 << bits), SMOOTH, np.float32)
+    for name, own in counts.groupby("lang"):
+        table[names.index(name), own["gram"].to_numpy()] += own["n"].to_numpy()
+    return names, np.log(table / table.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
-def _mixture(like: np.ndarray, first: np.ndarray, doc: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _mixture(like: np.ndarray, weight: np.ndarray, first: np.ndarray, doc: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood of each document. `like`: (words, languages); share is the start, zero keeps out."""
-    size = np.diff(np.r_[first, len(doc)])[:, None]
+    size = np.add.reduceat(weight, first)[:, None]
     for n in range(rounds + 1):
         weighted = like * share[doc]
         total = np.maximum(weighted.sum(1), 1e-300)
         if n == rounds:
-            return share, np.add.reduceat(np.log(total), first)
-        share = np.add.reduceat(weighted / total[:, None], first) / size
+            return share, np.add.reduceat(weight * np.log(total), first)
+        share = np.add.reduceat(weighted * (weight / total)[:, None], first) / size
     raise AssertionError
 
 
+def distinct_words(text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a word of each kind, its count, its text): the distinct words of each text, text by text."""
+    order = np.lexsort((text.hashes, text.doc))
+    word, doc = text.hashes[order], text.doc[order]
+    head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
+    return order[head], np.diff(np.r_[head, len(order)]).astype(np.float64), doc[head]
+
+
 def mixtures(text: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text numbers with words, their proportions after the choice of a set)."""
     full = np.flatnonzero(np.diff(text.first) > 0)
     if not len(full):
         return full, np.zeros((0, len(table)))
-    gram, start, end = trigrams(text)
-    log = np.empty((len(text), len(table)))
-    spans = np.stack([start, end], 1).ravel()
+    gram, start, end = trigrams(text, table.shape[1].bit_length() - 1)
+    word, weight, own = distinct_words(text)
+    log = np.empty((len(word), len(table)))
+    spans = np.stack([start[word], end[word]], 1).ravel()
     for k, row in enumerate(table):
-        log[:, k] = np.add.reduceat(np.append(row[gram], 0.0), spans)[::2]
-    top = log.max(1)
-    like = np.exp(log - top[:, None])
-    first = text.first[:-1][full]
-    doc = np.repeat(np.arange(len(full)), np.diff(text.first)[full])
+        log[:, k] = np.add.reduceat(np.append(row[gram], np.float32(0)), spans, dtype=np.float64)[::2]
+    like = np.exp(log - log.max(1)[:, None])
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    doc = np.repeat(np.arange(len(full)), np.diff(np.r_[first, len(own)]))
     n_words = np.diff(text.first)[full]
     whole = np.full((len(full), len(table)), 1 / len(table))
-    whole, _ = _mixture(like, first, doc, whole, ROUNDS)
+    whole, _ = _mixture(like, weight, first, doc, whole, ROUNDS)
     order = np.argsort(-whole, axis=1, kind="stable")
     best, share = np.full(len(full), -np.inf), whole
-    for k in range(1, min(SET, len(table)) + 1):
-        keep = np.zeros_like(whole)
-        np.put_along_axis(keep, order[:, :k], np.maximum(np.take_along_axis(whole, order[:, :k], 1), 1e-6), 1)
-        own, fit = _mixture(like, first, doc, keep / keep.sum(1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
-        fit = fit - PENALTY * k * np.log(n_words + 1)
-        better = fit > best
-        best = np.where(better, fit, best)
-        share = np.where(better[:, None], own, share)
+    left = np.arange(len(full))  # texts whose penalised likelihood still rises
+    for k in range(1, len(table) + 1):
+        words = np.isin(doc, left)
+        of = np.searchsorted(left, doc[words])
+        keep = np.zeros((len(left), len(table)))
+        np.put_along_axis(keep, order[left, :k], np.maximum(np.take_along_axis(whole[left], order[left, :k], 1), 1e-6), 1)
+        head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        found, fit = _mixture(like[words], weight[words], head, of, keep / keep.sum(1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
+        fit = fit - PENALTY * k * np.log(n_words[left] + 1)
+        better = fit > best[left]
+        left = left[better]
+        if not len(left):
+            break
+        if k == 1:
+            share = np.zeros_like(whole)
+        best[left], share[left] = fit[better], found[better]
     return full, share
 
 

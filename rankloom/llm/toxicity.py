@@ -1,22 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are fitted to labelled texts: one holds the words that ordinary texts use most, the other the
-same words and, nearest to the window, words and word beginnings that keep recurring in toxic texts and hardly occur in
-ordinary ones. A window is one word of the text, lower-cased, cut at white space and ASCII punctuation. It is compressed
-with either dictionary, and the pair of lengths says how well each explains it. Part of the labelled texts, unused for the
-dictionaries, calibrates the lengths: each pair of lengths gets the ratio of its frequency in toxic and ordinary texts, and
-thresholds on that ratio sort the windows into tiers. A document's score is a logistic function of its windows by tier.
-
-Each byte of a window is written as two, so that short words differ by whole bytes of compressed length, and a fixed
-carrier before it keeps zstandard from storing the window raw.
+Three zstandard dictionaries are trained on labelled texts. The base one is trained on ordinary texts. The other two are
+trained alike, one on the toxic and one on the ordinary texts, on what ordinary texts leave unexplained: stretches that no run of
+MER bytes covers which at least `1 + documents // 1000` other ordinary texts hold. A text is lower-cased,
+its ASCII signs become spaces, and overlapping windows of WINDOW bytes, STEP apart, are compressed twice, with base and
+ordinary and with base and toxic dictionary. The two share their entropy tables and their size, so the lengths differ only
+by what the last part explains. Part of the labelled texts, unused for the dictionaries, calibrates the differences: each
+gets the ratio of its frequency in toxic and ordinary texts, and thresholds on that ratio sort the windows into tiers.
+A document's score is a logistic function of its windows by tier.
+
+Matches are of LEAST_MATCH bytes at least, so a window without any such run of either class dictionary has the same
+length under both; it is counted as difference 0 without being compressed.
 
 The labelled sample is bounded: SAMPLE_TOXIC and SAMPLE_ORDINARY documents, those with the smallest hash of doc_id, are
 learned from, in one task. Where a class has more, each of its sampled rows counts for as many labelled rows as it stands
-for, so a score means the same whatever the size of the input. Scoring covers every word of every text.
+for, so a score means the same whatever the size of the input. Scoring covers every window of every text.
 
-Defined results: null or empty text, or one without words, scores as a text with no window; repeated rows score alike;
-without labelled toxic and ordinary rows every score is 0; an empty table gives an empty result; columns other than
-doc_id and text are never read for a score.
+Defined results: null or empty text, or one of signs only, scores as a text with one empty window; a very long text is
+scored whole, its memory is a small multiple of its own bytes; repeated rows score alike; a score of exactly the threshold
+counts as toxic; without labelled toxic and ordinary rows every score is 0; an empty table gives an empty result; columns
+other than doc_id and text are never read for a score, and drop_toxic() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +27,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,91 +38,128 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import pieces, ready
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
-BASE_BYTES, TOXIC_ENTRIES = 50_000, 600
-LEAST_DOCS, LEAST_LIFT = 4, 20.0
+WINDOW, STEP = 96, 48
+BASE_BYTES, CLASS_BYTES, TRAIN_BYTES = 100_000, 4096, 8 << 20
+MER, LEAST_MATCH = 6, 5
 TIERS = (20.0, 6.0, 2.5, 1.5)
-STEMS = (6, 7, 8, 9, 10)
-SIDE = 32
-CACHE = 200_000
-_CARRIER = bytes([32, *range(1, 9), *range(14, 32)])
+LOWEST, HIGHEST = -2, 9
 _CUT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
-_WIDE = [bytes([c, (c * 151 + 91) & 255]) for c in range(256)]
+_MAGIC = b"\x37\xa4\x30\xec"
 
 
-def windows(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_CUT).split()
+def plain(text: str | None) -> bytes:
+    """The text as it is compared: lower case, words joined by one space, a space at either end."""
+    return b" " + b" ".join((text or "").lower().encode().translate(_CUT).split()) + b" "
 
 
-def _wide(word: bytes) -> bytes:
-    return b"".join([_WIDE[c] for c in word])
+def window_starts(n: int) -> range:
+    """Where the windows of a text of n bytes begin; the last one may be shorter."""
+    return range(0, max(n - WINDOW + STEP, 1), STEP)
 
 
-def _forms(words: Iterable[bytes]) -> set[bytes]:
-    """Whole words with their boundaries, and their beginnings."""
-    out = set()
-    for w in words:
-        w = b" " + w + b" "
-        out.add(w)
-        out.update(w[:k] for k in STEMS if len(w) > k)
+def runs(data: bytes, n: int) -> np.ndarray:
+    """The n bytes from each place on, as one number."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(len(raw) - n + 1, 0), np.uint64)
+    for i in range(n):
+        out = out << np.uint64(8) | raw[i : i + len(out)]
     return out
 
 
+class _Seen:
+    """In how many texts a run occurs, up to 255, by a table of hashes."""
+
+    def __init__(self, bits: int = 25):
+        self.table, self.shift = np.zeros(1 << bits, np.uint8), np.uint64(64 - bits)
+
+    def slots(self, data: bytes) -> np.ndarray:
+        return (runs(data, MER) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def add(self, data: bytes) -> None:
+        at = np.unique(self.slots(data))
+        self.table[at] += self.table[at] < 255
+
+    def unexplained(self, data: bytes, least: int) -> bytes:
+        """The stretches of three bytes or more that no run of `least` texts covers, with two bytes on either side."""
+        known = self.table[self.slots(data)] >= least
+        change = np.zeros(len(data) + 1, np.int32)
+        change[: len(known)] += known
+        change[MER : MER + len(known)] -= known
+        edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(change[:-1]) == 0, False].astype(np.int8)))
+        return b"\n".join(data[max(a - 2, 0) : b + 2] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > 2)
+
+
+def trained(samples: list[bytes], size: int, k: int) -> bytes:
+    """A dictionary trained by zstandard; where there is too little to train on, the end of the samples themselves."""
+    some = [s for s in samples if len(s) >= 8]
+    try:
+        return zstandard.train_dictionary(size, some, k=k, d=6, level=19).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(some)[-size:]
+
+
 class Lengths:
-    """Compressed length of a window under one dictionary, beyond that of the carrier alone."""
+    """Compressed length of a window under one dictionary."""
 
     def __init__(self, dictionary: bytes):
         settings = zstandard.ZstdCompressionParameters.from_level(
-            19, strategy=zstandard.STRATEGY_BTLAZY2, search_log=4, target_length=16, min_match=4, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False
+            19, strategy=zstandard.STRATEGY_BTULTRA, search_log=5, target_length=32, min_match=LEAST_MATCH, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False
         )
-        data = zstandard.ZstdCompressionDict(dictionary + _CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        kind = zstandard.DICT_TYPE_FULLDICT if dictionary.startswith(_MAGIC) else zstandard.DICT_TYPE_RAWCONTENT
+        data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
         data.precompute_compress(compression_params=settings)
         self.compress = zstandard.ZstdCompressor(compression_params=settings, dict_data=data).compress
-        self.empty = len(self.compress(_CARRIER))
 
-    def __call__(self, wide: bytes) -> int:
-        return min(max(len(self.compress(_CARRIER + wide)) - self.empty, 0), SIDE - 1)
+    def __call__(self, window: bytes) -> int:
+        return len(self.compress(window))
 
 
 class Model:
-    """Dictionaries, the tier of each pair of lengths, and the weights of the final logistic function."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes, tier: np.ndarray, weights: np.ndarray):
-        self.ordinary, self.toxic, self.tier, self.weights = ordinary, toxic, tier, weights
-        self.by_ordinary, self.by_toxic = Lengths(ordinary), Lengths(toxic)
-        self.young: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
-
-    def pair(self, word: bytes) -> int:
-        wide = _wide(b" " + word + b" ")
-        return self.by_ordinary(wide) * SIDE + self.by_toxic(wide)
-
-    def tier_of(self, word: bytes) -> int:
-        """Tier of a window, through a cache of bounded size."""
-        found = self.young.get(word)
-        if found is None:
-            found = self.old.get(word)
-            if found is None:
-                found = int(self.tier[self.pair(word)])
-            if len(self.young) >= CACHE:
-                self.young, self.old = {}, self.young
-            self.young[word] = found
-        return found
+    """The dictionaries, the tier of each difference of lengths, and the weights of the final logistic function."""
+
+    def __init__(self, base: bytes, ordinary: bytes, toxic: bytes, tier: np.ndarray, weights: np.ndarray):
+        self.base, self.ordinary, self.toxic, self.tier, self.weights = base, ordinary, toxic, tier, weights
+        self.by_ordinary, self.by_toxic = Lengths(base + ordinary), Lengths(base + toxic)
+        own = np.unique(np.concatenate([runs(base[-LEAST_MATCH:] + x, LEAST_MATCH) for x in (ordinary, toxic)]))
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[self._slots(own)] = True
+
+    @staticmethod
+    def _slots(own: np.ndarray) -> np.ndarray:
+        return (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+    def differences(self, text: str | None) -> np.ndarray:
+        """Number of windows by difference of lengths, from LOWEST to HIGHEST; what lies beyond counts as the last."""
+        data = plain(text)
+        out = np.zeros(HIGHEST - LOWEST + 1, np.int64)
+        n = len(window_starts(len(data)))
+        out[-LOWEST] = n
+        hit = np.flatnonzero(self.filter[self._slots(runs(data, LEAST_MATCH))])
+        if not len(hit):
+            return out
+        asked = np.zeros(n + 1, np.int64)
+        np.add.at(asked, np.minimum(np.maximum(-(-(hit + LEAST_MATCH - WINDOW) // STEP), 0), n), 1)
+        np.add.at(asked, np.minimum(hit // STEP + 1, n), -1)
+        for i in np.flatnonzero(np.cumsum(asked[:-1]) > 0).tolist():
+            part = data[i * STEP : i * STEP + WINDOW]
+            d = min(max(self.by_ordinary(part) - self.by_toxic(part), LOWEST), HIGHEST)
+            out[-LOWEST] -= 1
+            out[d - LOWEST] += 1
+        return out
 
     def score(self, text: str | None) -> float:
-        words = windows(text)
-        young = self.young
-        tiers = [t if (t := young.get(w)) is not None else self.tier_of(w) for w in words]
-        z = float(_features(np.bincount(tiers, minlength=len(TIERS) + 1)[None, :])[0] @ self.weights)
+        by_tier = np.bincount(self.tier, self.differences(text), len(TIERS) + 1)
+        z = float(_features(by_tier[None, :])[0] @ self.weights)
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
     def dump(self) -> bytes:
-        return json.dumps([self.ordinary.hex(), self.toxic.hex(), self.tier.tolist(), self.weights.tolist()]).encode()
+        return json.dumps([self.base.hex(), self.ordinary.hex(), self.toxic.hex(), self.tier.tolist(), self.weights.tolist()]).encode()
 
 
 @functools.lru_cache(2)
 def load(dumped: bytes) -> Model:
-    a, b, tier, weights = json.loads(dumped)
-    return Model(bytes.fromhex(a), bytes.fromhex(b), np.array(tier), np.array(weights))
+    *dictionaries, tier, weights = json.loads(dumped)
+    return Model(*map(bytes.fromhex, dictionaries), np.array(tier), np.array(weights))
 
 
 def _features(by_tier: np.ndarray) -> np.ndarray:
@@ -149,47 +188,28 @@ def fit(rows: list[tuple[int, str | None, int]], stands_for: tuple[float, float]
     learn, calibrate = ([r for r in rows if part(r[0]) == own] for own in (True, False))
     if any({bool(r[2]) for r in some} != {True, False} for some in (learn, calibrate)):
         return None
-    n_toxic = sum(r[2] for r in learn)
-    n_ordinary = len(learn) - n_toxic
-    toxic: Counter[bytes] = Counter()
-    for _, text, label in learn:
-        if label:
-            toxic.update(_forms(set(windows(text))))
-    least = min(LEAST_DOCS, max(1, n_toxic // 8))
-    toxic = Counter({w: n for w, n in toxic.items() if n >= least})
-    there, frequent = Counter(), Counter()
-    for _, text, label in learn:
-        if not label:
-            own = set(windows(text))
-            frequent.update(own)
-            there.update(f for f in _forms(own) if f in toxic)
-            if len(frequent) > 2_000_000:  # rare words can't reach the dictionary
-                frequent = Counter(dict(frequent.most_common(200_000)))
-    body, size = [], 0
-    for word, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0])):
-        body.append(b" " + word)
-        size += len(word) + 1
-        if size > BASE_BYTES:
-            break
-    base = _wide(b"".join(reversed(body)))
-    lift = {w: n / n_toxic / ((there[w] + 0.5) / n_ordinary) for w, n in toxic.items()}
-    chosen = sorted((w for w in toxic if lift[w] > LEAST_LIFT), key=lambda w: (toxic[w], w))[-TOXIC_ENTRIES:]
-    own = _wide(b"".join(chosen))
-    model = Model(base + b"\n" * len(own), base + own, np.zeros(SIDE * SIDE, np.int64), np.zeros(2 + 2 * len(TIERS)))
-
-    known: dict[bytes, int] = {}
-    counts = np.zeros((len(calibrate), SIDE * SIDE), np.int32)
-    for i, (_, text, _) in enumerate(calibrate):
-        for w in windows(text):
-            at = known.get(w)
-            if at is None:
-                at = known[w] = model.pair(w)
-            counts[i, at] += 1
+    ordinary, toxic = ([plain(r[1]) for r in learn if bool(r[2]) == own] for own in (False, True))
+    seen = _Seen()
+    for text in ordinary:
+        seen.add(text)
+    windows = [text[i : i + WINDOW] for text in ordinary for i in range(0, len(text), WINDOW)]
+    every = max(1, -(-len(windows) * WINDOW // TRAIN_BYTES))
+    base = trained(windows[::every], BASE_BYTES, 64)
+    least = 1 + len(ordinary) // 1000
+    # an ordinary text is itself one of those that hold its runs
+    rest = [trained([seen.unexplained(t, n) for t in texts], CLASS_BYTES, 16) for texts, n in ((toxic, least), (ordinary, least + 1))]
+    rest = [r[len(r) // 8 :] if r.startswith(_MAGIC) else r for r in rest]  # without the tables at the head of a trained one
+    size = len(rest[0])
+    own, other = (r[-size:].rjust(size, b"\n") if size else b"" for r in rest)
+    model = Model(base, other, own, np.zeros(HIGHEST - LOWEST + 1, np.int64), np.zeros(2 + 2 * len(TIERS)))
+
+    counts = np.stack([model.differences(text) for _, text, _ in calibrate])
     label = np.array([bool(r[2]) for r in calibrate])
     often = np.minimum(counts, 3)
     ratio = ((often[label].sum(0) + 0.1) / label.sum()) / ((often[~label].sum(0) + 0.5) / (~label).sum())
     for n, bound in reversed(list(enumerate(TIERS, 1))):
         model.tier[ratio > bound] = n
+    model.tier[: -LOWEST + 1] = 0  # not shorter under the toxic dictionary: no sign of toxicity
     by_tier = np.stack([counts[:, model.tier == n].sum(1) for n in range(len(TIERS) + 1)], 1)
     model.weights[:] = _logistic(_features(by_tier), label.astype(float), np.where(label, stands_for[1], stands_for[0]))
     return model
