@@ -1,18 +1,21 @@
 """Hilbert-curve ordering: quantise several metadata dimensions, sort by curve index, cut the order into even runs.
 
 Rows near each other on the curve are near in every dimension, so each run covers a small box and a reader with a
-predicate on any of the dimensions can leave most files unread. The order is global and total; runs differ by one row
-at most.
-
-Defined results: a null dimension falls in cell 0; a null text has no bytes and CRC 0; equal rows take neighbouring
-places; an empty table gives an empty result; columns of the input that are not named are ignored.
+predicate on any of the dimensions can leave most files unread. A value's cell is the share of rows before the middle of
+its own rows, times the number of cells: few values are spread over the whole range, many are cut into equal parts, and
+texts are ranked by all their bytes. The order is global and total; runs differ by one row at most.
+
+Defined results: a null dimension falls in cell 0; a null text has no bytes and CRC 0; a very long text counts by its
+length and checksum only; rows with equal curve index and ties (a null first) take neighbouring places in any order; an
+empty table gives an empty result. Columns of the input are kept whatever their names; one that is named like a column of
+the result gives way to it.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import parts, written
@@ -72,63 +75,83 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, step, lambda acc: acc["index"])
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A number in the order of the values: numbers as they are, text by its first seven bytes."""
-    if kind in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("long").cast("double")
-    return column.cast("double")
-
+def cell_starts(df: DataFrame, dim: str, bits: int = BITS) -> list[tuple[object, int]]:
+    """(smallest value, cell) of each cell that the dimension's values fall in, in order: 2**bits pairs at most.
 
-def cell(value: Column, cuts: list[float]) -> Column:
-    """How many cuts lie at or below the value; 0 for null."""
-    if not cuts:
+    Values are counted by group, the distinct ones sorted over all partitions, and each partition adds up its own.
+    """
+    counts = df.select(F.col(dim).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = written(counts.repartitionByRange(parts(df), "v").withColumn("p", F.spark_partition_id()), "values")
+    sums = sorted((r[0], r[1]) for r in ranged.groupBy("p").agg(F.sum("n")).collect())  # a row for each partition
+    total, before = sum(n for _, n in sums), {}
+    for i, (p, _) in enumerate(sums):
+        before[p] = sum(n for _, n in sums[:i])
+    if not total:
+        return []
+    starts = df.sparkSession.createDataFrame(list(before.items()), "p int, start long")
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = F.col("start") + F.col("upto") - F.col("n") / 2
+    cells = ranged.withColumn("upto", upto).join(F.broadcast(starts), "p").select("v", F.floor(middle / total * (1 << bits)).cast("int").alias("c"))
+    return sorted(((r["v"], r["c"]) for r in cells.groupBy("c").agg(F.min("v").alias("v")).collect()), key=lambda x: x[1])
+
+
+def cell(value: Column, starts: list[tuple[object, int]], kind: str) -> Column:
+    """The cell whose smallest value is the last at or below the value; 0 for null."""
+    if not starts:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)), F.lit(0))
+    cuts = F.array(*(F.lit(v).cast(kind) for v, _ in starts))
+    at = F.size(F.filter(cuts, lambda c: c <= value))
+    return F.coalesce(F.element_at(F.array(*(F.lit(c) for _, c in starts)), F.greatest(at, F.lit(1))), F.lit(0))
 
 
 def hilbert_order(df: DataFrame, dims: list[str], ties: list[str], bits: int = BITS) -> DataFrame:
-    """`df` with curve_index and the global place of each row (from 0) along the curve, ties by the named columns.
+    """`df` with curve_index and the global place of each row (from 0) along the curve, ties by the named columns."""
+    return _flat(_ordered(df, dims, ties, bits)[0], curve_index=F.col("curve"), place=F.col("place"))
+
+
+def _flat(rows: DataFrame, **more: Column) -> DataFrame:
+    """The columns of the struct `row`, less those named like one of the further ones, and these."""
+    own = [f"row.`{c}`" for c in rows.schema["row"].dataType.names if c.lower() not in more]
+    return rows.select(*own, *(c.alias(n) for n, c in more.items()))
+
 
-    Two passes over the named columns: equi-depth cuts per dimension, then a range-partitioned sort. Each partition
-    numbers its own rows; the driver gets one count per partition.
+def _ordered(df: DataFrame, dims: list[str], ties: list[str], bits: int) -> tuple[DataFrame, int]:
+    """(row, curve, place) and the number of rows.
+
+    The named columns are read to count their values; then one range-partitioned sort. Each partition numbers its own
+    rows; the driver gets one count per partition.
     """
     kinds = dict(df.dtypes)
-    df = df.withColumns({f"_v{i}": ordinal(F.col(d), kinds[d]) for i, d in enumerate(dims)})
-    at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*(F.percentile_approx(f"_v{i}", at, 10_000) for i in range(len(dims)))).first()
-    cells = [cell(F.col(f"_v{i}"), sorted({x for x in row[i] or [] if x == x})) for i in range(len(dims))]
-    df = df.withColumn("curve_index", hilbert_index(cells, bits)).drop(*(f"_v{i}" for i in range(len(dims))))
-    keys = ["curve_index", *ties]
-    numbered = df.repartitionByRange(parts(df), *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    cells = [cell(F.col(d), cell_starts(df, d, bits), kinds[d]) for d in dims]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), hilbert_index(cells, bits).alias("curve"))
+    keys = ["curve", *(F.col(f"row.`{t}`") for t in ties)]
+    numbered = rows.repartitionByRange(parts(df), *keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id())
     numbered = written(numbered, "curve")
-    part = F.shiftrightunsigned("_id", 33).cast("int")
+    part = F.shiftrightunsigned("id", 33).cast("int")
     counts = sorted((r[0], r[1]) for r in numbered.groupBy(part).count().collect())  # a row for each partition
     starts, total = [], 0
     for p, n in counts:
         starts.append((p, total))
         total += n
-    offset = df.sparkSession.createDataFrame(starts, "_p int, _start long")
-    placed = numbered.withColumn("_p", part).join(F.broadcast(offset), "_p")
-    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumns({"place": place, "_n": F.lit(total).cast("long")}).drop("_p", "_start", "_id")
-
-
-def cut_runs(ordered: DataFrame, shards: int) -> DataFrame:
-    """Add shard and slot to the result of hilbert_order(): run s holds the places from ceil(s*n/shards) on."""
-    shard = F.expr(f"(place * {shards}) div _n")
-    slot = F.expr(f"place - (shard * _n + {shards - 1}) div {shards}")
-    return ordered.withColumn("shard", shard).withColumn("slot", slot).withColumn("shard", F.col("shard").cast("int")).drop("_n", "place")
+    offset = df.sparkSession.createDataFrame(starts, "p int, start long")
+    placed = numbered.withColumn("p", part).join(F.broadcast(offset), "p")
+    return placed.select("row", "curve", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place")), total
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int = 16, bits: int = BITS) -> DataFrame:
-    """`df` with curve_index, shard (0 to shards-1, counts at most one apart) and slot (place in the shard)."""
-    return cut_runs(hilbert_order(df, dims, ties, bits), shards)
+    """`df` with curve_index, shard (0 to shards-1, counts at most one apart) and slot (place in the shard).
+
+    Shard s holds the places from ceil(s*n/shards) on.
+    """
+    ordered, n = _ordered(df, dims, ties, bits)
+    shard = F.expr(f"(place * {shards}) div {max(n, 1)}")
+    slot = F.col("place") - F.expr(f"(((place * {shards}) div {max(n, 1)}) * {n} + {shards - 1}) div {shards}")
+    return _flat(ordered, curve_index=F.col("curve"), shard=shard.cast("int"), slot=slot)
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int = 16) -> None:
-    """One sorted Parquet folder per shard: `path/shard=s`."""
-    sharded.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Sorted Parquet files under `path/shard=s`: runs of (shard, slot), so that one shard is the work of several tasks."""
+    sharded.repartitionByRange(parts(sharded, shards), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def manifest(sharded: DataFrame, dims: list[str]) -> DataFrame:
@@ -144,4 +167,4 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index", "lang", "source")
 
 
-__all__ = ["cut_runs", "hilbert_index", "hilbert_order", "hilbert_shards", "manifest", "shard_documents", "write_shards"]
+__all__ = ["cell_starts", "hilbert_index", "hilbert_order", "hilbert_shards", "manifest", "shard_documents", "write_shards"]
