@@ -171,7 +171,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row and len+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) else "").cast(pa.large_string())
     _, offsets, data = column.buffers()
     if offsets is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

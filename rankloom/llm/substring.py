@@ -1,18 +1,20 @@
 """Removal of word windows that already start in an earlier document, by super-k-mer partitioning.
 
 A window is `window` consecutive words. Its minimiser is the smallest hash among its runs of `core` words, so equal windows
-have equal minimisers. Consecutive windows with one minimiser form a super-k-mer, and only its place travels at first:
+have equal minimisers. Consecutive windows with one minimiser form a super-k-mer, and at first only its place travels:
 (minimiser, hash of its words, doc_id, start, windows). These are counted by word sequence with a partial aggregate before
-the shuffle, so copies meet as one row. Only where a minimiser has several different super-k-mers in several documents does
-one packed string of each travel to the bucket of that minimiser, where sorting the windows finds the smallest document of
-each; neighbours in that order are compared byte by byte. A minimiser with more than HOT different strings is not gathered:
-its windows are counted one by one under 128-bit hashes, again with a partial aggregate first.
+the shuffle, so copies meet as one row. Of every minimiser that occurs in several documents each different super-k-mer then
+travels once, as a packed string, to the bucket of that minimiser, where sorting the windows finds the smallest document of
+each; neighbours in that order are compared byte by byte. Strings of a minimiser with more than HOT different ones are cut
+again by the minimisers of another hash function, up to SPLITS times, and go to the buckets of those; what is crowded even
+then is cut into strings of one window, where equal names are equal windows. So no bucket holds more than HOT strings.
 
 The windows of every document are judged on the input. Nothing is capped or sampled.
 
 Defined results: null text and texts shorter than a window lose nothing; rows with a null doc_id neither remove words nor
-lose any; repeated rows of one doc_id don't remove each other; an empty table gives an empty result; further columns are
-ignored by removed_spans() and substring_digest() and kept by cut_repeats().
+lose any; repeated rows of one doc_id don't remove each other; a very long text is one row of its task, whose memory is a
+small multiple of its bytes; of equal windows that with the smallest doc_id stays; an empty table gives an empty result;
+further columns are ignored by removed_spans() and substring_digest() and kept by cut_repeats(), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import Words, mix, parts, pieces, ready, signed, span_hash, written
+from rankloom.llm.common import BASES, Words, mix, parts, pieces, ready, signed, span_hash, written
 
-WINDOW, CORE, HOT = 50, 8, 1000
+WINDOW, CORE, HOT, SPLITS = 50, 8, 1000, 2
 BATCH_BYTES = 1 << 20
 _RUNS = "array<struct<at: int, n: int, doc: long>>"
 
@@ -43,15 +45,15 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
-def super_kmers(text: Words, window: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first word, number of windows) of each super-k-mer of a batch of texts."""
+def super_kmers(text: Words, window: int, core: int, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first word, number of windows) of each super-k-mer of a batch of texts; `order` picks the hash function."""
     core = min(core, window)
     n = len(text) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams, at = text.grams(core)
     whole = np.full(len(text) - core + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
-    whole[at] = grams
+    whole[at] = mix(grams + np.uint64(order) * np.uint64(BASES[0])) if order else grams
     least = sliding_min(whole, window - core + 1)
     place = np.arange(n)
     inside = place + window <= text.first[1:][text.doc[:n]]
@@ -191,22 +193,43 @@ def _buckets(strings: DataFrame, window: int) -> DataFrame:
     return sorted_.mapInArrow(judge, f"core long, name long, runs {_RUNS}")
 
 
-def _hot_buckets(strings: DataFrame, window: int) -> DataFrame:
-    """The same for minimisers with too many strings for one task: each window goes by its own 128-bit hash."""
+def _answers(strings: DataFrame, window: int, core: int, hot: int, order: int = 0) -> DataFrame:
+    """Answer of each string (core, name, doc_id, n, hot, body), a written table."""
+    crowded = strings.filter("hot")
+    if crowded.isEmpty():
+        return _buckets(strings, window)
+    return _buckets(strings.filter("not hot"), window).unionByName(_cut_again(crowded, window, core, hot, order + 1))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, at, of = _windows(batch.column("body").to_pylist(), window)
-            one = signed(span_hash(text.hashes, at, at + window, 1))
-            two = signed(span_hash(mix(text.hashes), at, at + window, 2))
+
+def _cut_again(strings: DataFrame, window: int, core: int, hot: int, order: int) -> DataFrame:
+    """Answers of strings whose buckets are too full, from those of their parts under another hash function."""
+    last = order > SPLITS
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "body"):
+            text, start, of = _windows(batch.column("body").to_pylist(), window)
+            least, n = np.zeros(len(start), np.uint64), np.ones(len(start), np.int64)
+            if not last:
+                least, start, n = super_kmers(text, window, core, order)
+                of = text.doc[start]
+            end = start + n + window - 1
+            name = signed(span_hash(text.hashes, start, end, 2))
+            least = signed(span_hash(text.hashes, start, end, 1) if last else least)
+            body = [text.join(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             take = lambda c: batch.column(c).take(pa.array(of))
-            cols = [take("core"), take("name"), pa.array((at - text.first[:-1][of]).astype(np.int32)), take("doc_id"), pa.array(one), pa.array(two)]
-            yield pa.RecordBatch.from_arrays(cols, ["core", "name", "at", "doc_id", "one", "two"])
+            cols = [take("core"), take("name"), take("doc_id"), pa.array((start - text.first[of]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least), pa.array(name), pa.array(body, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["above", "whole", "doc_id", "at", "n", "core", "name", "body"])
 
-    windows = written(strings.mapInArrow(spread, "core long, name long, at int, doc_id long, one long, two long"), "windows")
-    shared = windows.groupBy("one", "two").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")).filter("doc < last").drop("last")
-    runs = windows.join(shared, ["one", "two"]).groupBy("core", "name").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "doc")).alias("runs"))
-    return runs.select("core", "name", F.col("runs").cast(_RUNS).alias("runs"))
+    cuts = written(strings.select("core", "name", "doc_id", "body").mapInArrow(cut, "above long, whole long, doc_id long, at int, n int, core long, name long, body binary"), "cuts")
+    kinds = cuts.groupBy("core", "name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("body").alias("body"))
+    if last:
+        answers = kinds.select("core", "name", F.array(F.struct(F.lit(0).alias("at"), "n", F.col("doc_id").alias("doc"))).cast(_RUNS).alias("runs"))
+    else:
+        crowds = kinds.groupBy("core").agg((F.count(F.lit(1)) > hot).alias("hot"))
+        answers = _answers(written(kinds.join(crowds, "core").select("core", "name", "doc_id", "n", "hot", "body"), "strings"), window, core, hot, order)
+    found = cuts.select("above", "whole", "at", "core", "name").join(answers, ["core", "name"]).select("above", "whole", "at", F.explode("runs").alias("r"))
+    runs = F.collect_list(F.struct((F.col("at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"), F.col("r.doc").alias("doc")))
+    return found.groupBy(F.col("above").alias("core"), F.col("whole").alias("name")).agg(runs.cast(_RUNS).alias("runs"))
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot: int = HOT) -> DataFrame:
@@ -216,11 +239,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot:
     kinds = places.groupBy("core", "name").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("start"), F.first("n").alias("n"))
     # two aggregates with a partial step and a join that can be split, so a minimiser of a common passage is no task's burden
     shared = kinds.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("kinds")).filter("low < high")
-    kinds = written(kinds.join(shared, "core").select("core", "name", "doc_id", "start", "n", "kinds"), "kinds")
-
-    plain = kinds.filter("kinds = 1").select("core", "name", F.array(F.struct(F.lit(0).alias("at"), "n", F.col("doc_id").alias("doc"))).cast(_RUNS).alias("runs"))
-    strings = written(_strings(docs, kinds.filter("kinds > 1").withColumn("hot", F.col("kinds") > hot), window), "strings")
-    answers = plain.unionByName(_buckets(strings.filter("not hot"), window)).unionByName(_hot_buckets(strings.filter("hot"), window))
+    wanted = written(kinds.join(shared, "core").select("core", "name", "doc_id", "start", "n", (F.col("kinds") > hot).alias("hot")), "kinds")
+    strings = written(_strings(docs, wanted, window), "strings")
+    answers = _answers(strings, window, core, hot)
 
     hits = places.select("core", "name", "doc_id", "start").join(answers, ["core", "name"]).select("doc_id", "start", F.explode(F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))).alias("r"))
     first = F.col("start") + F.col("r.at")
@@ -256,12 +277,13 @@ def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with the repeated words cut out of text (n_chars follows); other texts stay as they are, to the byte."""
+    """`docs` with the repeated words cut out of text (n_chars follows, where there is one); other texts stay to the byte."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = dict(zip(names, batch.column("row").flatten(), strict=True))
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(own["text"].to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if text and spans:
                     raw = text.encode()
                     found = Words(pa.array([text]))
@@ -269,9 +291,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     ends = np.r_[found.start[1:], len(raw)]
                     text = b"".join(raw[a:b] for a, b in zip(found.start[stays].tolist(), ends[stays].tolist(), strict=True)).decode()
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+            own["text"] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(list(own.values()), names)
 
     names = docs.columns
-    spans = removed_spans(docs, window).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(cut, docs.schema).withColumn("n_chars", F.length("text").cast("long"))
+    spans = removed_spans(docs, window)
+    joined = docs.select("doc_id", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row")).join(spans, "doc_id", "left").select("row", "spans")
+    out = joined.mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
