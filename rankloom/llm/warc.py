@@ -2,17 +2,20 @@
 
 write_archives() lays each partition of the pages into one archive file of gzip members, one member a record, and returns
 the index: file, offset, length, url, digest and kind of each record. The index is a written table, so archives are made
-once; a task that is repeated writes the same file again under a temporary name and moves it into place.
+once. Every attempt of a task writes a file of its own name, which its index rows carry; the index keeps the rows of one
+attempt, and files of other attempts, which no row names, are deleted afterwards. So a lost executor or a speculative copy
+never changes a file that the index describes.
 read_records() takes any selection of index rows, sorts it by file and offset, joins ranges that touch or lie close
 together into one read, and returns the records it finds there, checked against their digests.
 
-Of records with equal payloads the one with the largest page_id is a response; the others revisit it. Copies meet as one
-row a digest after a partial aggregate, so a payload that many pages share costs no single task more than its share.
+Of records with equal payloads the one with the largest page_id is a response; the others revisit it. Only (page_id,
+digest) pairs are shuffled to find them, after a partial aggregate, so a payload that many pages share is no task's burden;
+the list of revisits then meets the pages by page_id, broadcast only if it has at most FEW rows.
 
 Defined results: null html is an empty payload; a null url becomes `urn:page:<id>`, line breaks in a url are escaped;
-a null page_id is written as a response of its own and refers to nothing; of repeated rows with one page_id and payload the first stays a
-response only together with the others (they share the largest page_id); an empty table gives no archive and an empty
-index; further columns are ignored.
+a null page_id is written as a response of its own and refers to nothing; repeated rows with one page_id and payload are
+all responses if theirs is the largest page_id of the payload, else all revisits; a very long html is one record, held
+whole by its task; an empty table gives no archive and an empty index; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from rankloom.llm.common import new_path, parts, pieces, ready, written
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GAP, SPAN = 64 << 10, 8 << 20
+FEW = 200_000  # revisits, of about 50 bytes each, that may be broadcast
 _INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 
 
@@ -97,45 +101,54 @@ def plan_records(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.string())], ["page_id", "url", "html", "payload_digest"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(name, "page_id long, url string, html string, payload_digest string")
-    heads = own.groupBy("payload_digest").agg(F.max("page_id").alias("head"))
-    heads = written(heads, "heads")
-    refers = F.when(F.col("page_id") < F.col("head"), F.col("head"))
-    return own.join(heads, "payload_digest").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+    named = written(own.filter("page_id is not null").select("page_id", "payload_digest").distinct(), "digests")
+    heads = named.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    revisits = written(named.join(heads, "payload_digest").filter("page_id < refers_to"), "revisits")
+    if revisits.count() <= FEW:
+        revisits = F.broadcast(revisits)
+    return own.join(revisits, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write all pages into archives under `folder` (default: the shared folder); returns the index."""
+    """Write all pages into archives under `folder` (default: the shared folder), which is new; returns the index."""
     spark = ready(pages.sparkSession)
     folder = folder or new_path(spark, "warc")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         task = TaskContext.get()
-        final = f"{root}/part-{task.partitionId():06d}.warc.gz"
-        draft = f"{root}/.draft-{task.partitionId():06d}-{task.taskAttemptId()}"
+        file = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         rows, at, out = [], 0, None
         for batch in pieces(batches, "html"):
             if out is None:
                 fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(draft)
+                out = fs.open_output_stream(f"{root}/{file}")
             for page, url, html, sha, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to")), strict=True):
                 payload = (html or "").encode()
                 target = (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A")
                 member = _deflate(record(page, target, payload, sha, refers))
                 out.write(member)
-                rows.append((page, target, sha, len(payload), "response" if refers is None else "revisit", refers, final.rpartition("/")[2], at, len(member)))
+                rows.append((page, target, sha, len(payload), "response" if refers is None else "revisit", refers, file, at, len(member)))
                 at += len(member)
         if out is not None:
             out.close()
-            fs.move(draft, final)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             names = [x.split()[0] for x in _INDEX.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     index = written(plan_records(pages).mapInArrow(lay, _INDEX), "warc-index")
+    _drop_unnamed(folder, {r[0] for r in index.select("file").distinct().collect()})  # a name for each task
     return index.withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
 
 
+def _drop_unnamed(folder: str, names: set[str]) -> None:
+    """Delete the archives of attempts that the index doesn't hold."""
+    fs, root = _open(folder)
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith("part-") and info.base_name not in names:
+            fs.delete_file(info.path)
+
+
 def coalesce(ranges: list[tuple[int, int]], gap: int = GAP, span: int = SPAN) -> list[tuple[int, int, int]]:
     """Sorted (offset, length) pairs as (first, end, number of ranges) reads, none longer than `span` unless one range is."""
     out: list[tuple[int, int, int]] = []
