@@ -1,14 +1,17 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-Pieces start best-fit decreasing. While there are more bins than the total length asks for, the emptiest bin gives its
-pieces away: it moves one into a gap, or swaps one, or two, of its pieces for one smaller piece of an underfull bin. Each
-step moves length into a fuller bin, so the sum of squared fills rises and the search ends; an emptied bin goes.
+Pieces start best-fit decreasing. While there are more bins than the total length asks for, underfull bins, the emptiest
+first, give their pieces away: one moves into a gap, or one, or two, are swapped for one smaller piece of an underfull bin.
+Each step moves length into a fuller bin, so the sum of squared fills rises and the search ends: when the bound is reached,
+or when no underfull bin has a step left. An emptied bin goes.
 
 Rows are dealt out evenly and without a key, so copies and hot sources don't matter. Each group of about GROUP_ROWS
 pieces is packed by one task, which costs at most about one part-filled bin a group.
 
-Defined results: a null text is empty and gives one piece (the separator alone); equal rows are packed each for itself;
-an empty table gives an empty result; further columns are ignored.
+Defined results: a null text is empty and gives one piece (the separator alone); a very long text is cut into many pieces,
+its ids held whole by its task; equal rows are packed each for itself; among equal lengths the earlier row of a group goes
+first; an empty table gives an empty result; further columns are ignored by pack_documents() and kept by pack_rows(), where
+columns named sequence_id or offset give way to those of the result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from rankloom.llm.tokens import encoder
 
 GROUP_ROWS = 100_000
 CAPACITY = 2048
-PATIENCE = 32
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -73,8 +75,12 @@ class _Search:
 
     def step(self, donor: int) -> bool:
         """The move or swap out of `donor` that shifts most length into an underfull bin at least as full, if any does."""
-        mine = self.bins[donor]
-        offers = [(int(self.sizes[i]), (i,)) for i in mine] + [(int(self.sizes[a] + self.sizes[b]), (a, b)) for n, a in enumerate(mine) for b in mine[n + 1 :]]
+        by_size: dict[int, list[int]] = defaultdict(list)  # pieces of one length are alike
+        for i in self.bins[donor]:
+            by_size[int(self.sizes[i])].append(i)
+        mine = sorted(by_size)
+        offers = [(s, (by_size[s][0],)) for s in mine]
+        offers += [(s + t, (by_size[s][0], by_size[t][-1])) for n, s in enumerate(mine) for t in mine[n:] if s < t or len(by_size[s]) > 1]
         offers.sort()
         worth = np.array([s for s, _ in offers])
         at = self.open[(self.of[self.open] != donor) & (self.gap[self.of[self.open]] > 0) & (self.gap[self.of[self.open]] <= self.gap[donor])]
@@ -102,27 +108,28 @@ class _Search:
         return True
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
-    """Empty bins while the total length would fit in fewer.
-
-    Stops at that bound, or when each of the `patience` emptiest bins has no step left.
-    """
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empty bins while the total length would fit in fewer, until no underfull bin has a step left."""
     bound = -(-int(lengths.sum()) // capacity)
     left = len(bins)
     if left <= bound:
         return bins
     state = _Search([list(b) for b in bins], lengths, capacity)
-    moved = True
+    moved, stuck = True, set()  # contents of bins that had no step since the last one that was made
     while left > bound and moved:
         moved = False
-        for donor in state.donors()[:patience].tolist():
+        for donor in state.donors().tolist():
+            content = tuple(sorted(state.sizes[state.bins[donor]].tolist()))
+            if not content or content in stuck:
+                continue
             while state.bins[donor] and state.step(donor):
-                moved = True
+                moved, stuck = True, set()
             if not state.bins[donor]:
                 left -= 1
-                break
-            if moved:
-                break
+                if left <= bound:
+                    break
+            else:
+                stuck.add(tuple(sorted(state.sizes[state.bins[donor]].tolist())))
     return [b for b in state.bins if b]
 
 
@@ -156,6 +163,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 def pack_rows(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """`rows` (with a column length from 1 to capacity) with sequence_id and offset. `rows` should be a written table."""
     groups = max(1, -(-rows.count() // group_rows))
+    added = ("sequence_id", "offset")
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -168,12 +176,12 @@ def pack_rows(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP
         for n, members in enumerate(pack(lengths, capacity)):
             sequence[members] = first + n
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        whole = whole.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        whole = whole.drop_columns([c for c in whole.column_names if c.lower() in added]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from whole.to_batches(max_chunksize=10_000)
 
     ready(rows.sparkSession)
-    fields = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.repartition(groups).mapInArrow(group, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n.lower() not in added)
+    return rows.repartition(groups).mapInArrow(group, f"{fields}, sequence_id long, `offset` long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
