@@ -5,17 +5,21 @@ h * |r_par|^2 + |r_perp|^2, where r_par is the residual along the vector itself:
 that matter, so it weighs h > 1 times as much. Codes are found by coordinate descent over subvectors, codewords by weighted
 least squares, both on a sample of at most SAMPLE vectors; every vector is then coded.
 
-A query block is scanned against the codes of all vectors by table look-up, 16 inner products a subvector, and keeps its
-DEPTH best. Those are reranked by the exact inner product in double precision. Equal vectors are one entry of the index
-that lists its smallest k+1 ids: no further id can be among k results, so a vector held by a third of all rows costs no
-more than another.
+Queries are dealt into blocks and the coded vectors into strips. Each cell of that grid is one group of the scan: a block's
+look-up tables, 16 inner products a subvector, run over the strip's packed codes of half a byte a subvector and keep the
+best of each query. The cells' finds are merged by query to the `depth` best, which are reranked by the exact inner product
+in double precision. The depth grows with the logarithm of the number of vectors, see depth_for(). Equal vectors are one
+entry of the index that lists its smallest k+1 ids: no further id can be among k results, so a vector held by a third of
+all rows costs no more than another.
 
-The scan is queries times rows by definition of the task; a task holds one block of queries and streams over packed codes
-of half a byte a subvector, so nothing but codes is sent to each block of queries, and each block returns DEPTH rows a query.
+The scan is queries times rows by definition of the task. A cell's memory is bounded by QUERY_BLOCK and CODE_BLOCK however
+large the tables are, and the plan doesn't grow with them. Only codes (repeated for each block) and query vectors (repeated
+for each strip) travel.
 
 Defined results: vectors that are null, zero, empty, or hold a null or non-finite component take no part, nor do those of
-another length than most of the sample; ties go to the smaller id; fewer than k candidates give all of them; an empty table
-gives an empty result; further columns are ignored.
+another length than most of the sample; of several query rows with one id the smallest vector counts; ties go to the
+smaller id; fewer than k candidates give all of them; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import ready, written
+from rankloom.llm.common import parts, ready, written
 
 SAMPLE, WIDTH, ROUNDS, PARALLEL = 20_000, 2, 6, 4.0
-DEPTH, QUERY_BLOCK, CODE_BLOCK = 400, 512, 8192
+DEPTH, QUERY_BLOCK, CODE_BLOCK, STRIP_ROWS = 400, 512, 8192, 1 << 17
+MOST_CELLS = 20_000  # tasks of a scan; beyond that several cells follow each other in one
 
 
 class Codebook:
@@ -136,7 +141,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", depth: int = DEPTH) -> DataFrame:
+def depth_for(rows: int, least: int = DEPTH) -> int:
+    """Candidates to rerank for each query: `least` up to 2**15 vectors, as much again for each doubling from there on."""
+    return int(least * max(1.0, 1 + np.log2(max(rows, 1) / (1 << 15))))
+
+
+def strip_depth(depth: int, strips: int) -> int:
+    """What a strip keeps so that the best `depth`, which fall on strips at random, are lost with a chance of 1e-5 a strip at most."""
+    mean = depth / strips
+    return min(depth, int(mean + 5 * mean**0.5 + 20))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", depth: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row marked by `is_query`, the k largest inner products among other rows."""
     spark = ready(vectors.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -152,77 +168,105 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
     order = "row_number() over (partition by v order by id)"
     ids = rows.select("id", "v").distinct().withColumn("n", F.expr(order)).filter(f"n <= {k + 1}").groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = written(ids.select(F.element_at("ids", 1).alias("entry"), "v", "ids"), "entries")
+    questions = written(questions_by_id(rows), "questions")
+    n_entries, n_questions = entries.count(), questions.count()
+    if not n_questions:
+        return spark.createDataFrame([], schema)
+    blocks = -(-n_questions // QUERY_BLOCK)
+    strips = max(-(-n_entries // STRIP_ROWS), min(-(-n_entries // CODE_BLOCK), -(-parts(rows) // blocks)))
+    depth = depth or depth_for(n_entries)
+    found = _scan(entries, questions, book, dim, blocks, strips, strip_depth(depth, strips))
+    if strips > 1:
+        found = found.withColumn("n", F.expr("row_number() over (partition by query_id order by near desc, entry)")).filter(f"n <= {depth}")
+    joined = found.select("query_id", "entry").join(entries, "entry").join(questions, "query_id")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_matrix(batch.column(c), dim).astype(np.float64) for c in ("v", "w"))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(np.einsum("nd,nd->n", x, y))], ["query_id", "ids", "score"])
+
+    scored = joined.select("query_id", "ids", "v", "w").mapInArrow(rerank, "query_id long, ids array<long>, score double")
+    flat = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id <> vec_id")
+    ranked = flat.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
+    return ranked.filter(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _scan(entries: DataFrame, questions: DataFrame, book: bytes, dim: int, blocks: int, strips: int, keep: int) -> DataFrame:
+    """(query_id, entry, near): the `keep` entries of each strip with the largest approximate products."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codebook.load(book)
         for batch in batches:
-            for at in range(0, batch.num_rows, CODE_BLOCK):
-                part = batch.slice(at, CODE_BLOCK)
-                codes = pack_codes(assign(_matrix(part.column("v"), dim).astype(np.float64), own.words, PARALLEL))
-                entry = part.column("entry").to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([entry.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], ["entry", "body"])
+            codes = pack_codes(assign(_matrix(batch.column("v"), dim).astype(np.float64), own.words, PARALLEL))
+            yield pa.RecordBatch.from_arrays([batch.column("strip"), batch.column("entry"), pa.array(list(map(bytes, codes)), pa.binary())], ["strip", "entry", "body"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one strip or block, which follow each other, as few long rows."""
+        at, ids, bodies = None, [], []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(bodies)], pa.binary())], ["cell", "ids", "body"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(at, QUERY_BLOCK)
-                ids = part.column("id").to_numpy().astype("<i8")
-                body = _matrix(part.column("v"), dim).astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([body.tobytes()], pa.binary())], ["block", "entry", "body"])
-
-    codes = written(entries.select("entry", "v").mapInArrow(encode, "entry binary, body binary"), "codes")
-    questions = rows.filter("q").select("id", "v").distinct()
-    n_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
-    questions = written(questions.repartition(n_blocks, F.xxhash64("id", "v")).mapInArrow(gather, "block long, entry binary, body binary").withColumn("block", F.monotonically_increasing_id()), "questions")
-
-    # every block of queries reads every block of codes, codes being the only thing that is repeated
-    blocks = [r[0] for r in questions.select("block").collect()]  # one number for each block of 512 queries
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    spread = codes.withColumn("block", F.explode(F.array(*map(F.lit, blocks)))).select("block", F.lit(1).alias("kind"), "entry", "body")
-    stream = questions.select("block", F.lit(0).alias("kind"), "entry", "body").unionByName(spread)
+            for cell, name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and (cell != at or len(ids) == CODE_BLOCK):
+                    yield row()
+                    ids, bodies = [], []
+                at = cell
+                ids.append(name)
+                bodies.append(body)
+        if ids:
+            yield row()
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = _matrix(batch.column("w"), dim).astype("<f8")
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("query_id"), pa.array(list(map(bytes, body)), pa.binary())], ["block", "entry", "body"])
+
+    def dealt(df: DataFrame, by: str) -> DataFrame:
+        return df.repartition(parts(df), by).sortWithinPartitions(by).mapInArrow(gather, "cell int, ids binary, body binary")
+
+    coded = entries.select(F.pmod(F.xxhash64("v"), F.lit(strips)).cast("int").alias("strip"), "entry", "v").mapInArrow(encode, "strip int, entry long, body binary")
+    asked = questions.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "w").mapInArrow(raw, "block int, entry long, body binary")
+    codes = written(dealt(coded, "strip").withColumnRenamed("cell", "strip"), "codes")
+    tables = written(dealt(asked, "block").withColumnRenamed("cell", "block"), "questions")
+    spread = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "strip", F.lit(1).alias("kind"), "ids", "body")
+    stream = tables.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).select("block", "strip", F.lit(0).alias("kind"), "ids", "body").unionByName(spread)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codebook.load(book)
         half = (own.words.shape[0] + 1) // 2
-        ids = tables = best = names = None
+        cell, groups = None, []  # of the cell at hand: [query ids, tables, best products, their entries]
 
-        def done() -> pa.RecordBatch:
-            keep = np.isfinite(best)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(1))), pa.array(names[keep])], ["query_id", "entry"])
+        def done() -> Iterator[pa.RecordBatch]:
+            for ids, _, best, names in groups:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(names.ravel()), pa.array(best.ravel())], ["query_id", "entry", "near"])
 
         for batch in batches:
-            for kind, entry, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "entry", "body")), strict=True):
+            for block, strip, kind, ids, body in zip(*(batch.column(c).to_pylist() for c in ("block", "strip", "kind", "ids", "body")), strict=True):
+                if (block, strip) != cell:
+                    yield from done()
+                    cell, groups = (block, strip), []
+                ids = np.frombuffer(ids, "<i8")
                 if kind == 0:
-                    if ids is not None:
-                        yield done()
-                    ids = np.frombuffer(entry, "<i8")
-                    tables = tables_of(np.frombuffer(body, "<f8").reshape(-1, dim), own)
-                    best, names = np.full((len(ids), 0), -np.inf, np.float32), np.zeros((len(ids), 0), np.int64)
+                    questions = np.frombuffer(body, "<f8").reshape(-1, dim)
+                    for at in range(0, len(ids), QUERY_BLOCK):
+                        part = ids[at : at + QUERY_BLOCK]
+                        groups.append([part, tables_of(questions[at : at + QUERY_BLOCK], own), np.zeros((len(part), 0), np.float32), np.zeros((len(part), 0), np.int64)])
                     continue
-                score = scan(tables, np.frombuffer(body, np.uint8).reshape(-1, half))
-                best = np.concatenate([best, score], 1)
-                names = np.concatenate([names, np.broadcast_to(np.frombuffer(entry, "<i8"), score.shape)], 1)
-                if best.shape[1] > depth:
-                    at = np.argpartition(-best, depth - 1, axis=1)[:, :depth]
-                    best, names = np.take_along_axis(best, at, 1), np.take_along_axis(names, at, 1)
-        if ids is not None:
-            yield done()
-
-    found = stream.repartition(len(blocks), "block").sortWithinPartitions("block", "kind").mapInArrow(find, "query_id long, entry long")
-    asked = questions_by_id(rows)
-    joined = found.join(entries.select("entry", "v", "ids"), "entry").join(asked, "query_id")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (_matrix(batch.column(c), dim).astype(np.float64) for c in ("v", "w"))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(np.einsum("nd,nd->n", x, y))], ["query_id", "ids", "score"])
-
-    scored = joined.select("query_id", "ids", "v", "w").mapInArrow(rerank, "query_id long, ids array<long>, score double")
-    flat = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("query_id <> vec_id")
-    ranked = flat.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
-    return ranked.filter(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                packed = np.frombuffer(body, np.uint8).reshape(-1, half)
+                for group in groups:
+                    score = scan(group[1], packed)
+                    best, names = np.concatenate([group[2], score], 1), np.concatenate([group[3], np.broadcast_to(ids, score.shape)], 1)
+                    if best.shape[1] > keep:
+                        at = np.argpartition(-best, keep - 1, axis=1)[:, :keep]
+                        best, names = np.take_along_axis(best, at, 1), np.take_along_axis(names, at, 1)
+                    group[2:] = best, names
+        yield from done()
+
+    cells = stream.repartition(max(parts(stream), min(blocks * strips, MOST_CELLS)), "block", "strip").sortWithinPartitions("block", "strip", "kind")
+    return cells.mapInArrow(find, "query_id long, entry long, near float")
 
 
 def questions_by_id(rows: DataFrame) -> DataFrame:
