@@ -4,17 +4,20 @@ A document is its set of distinct word shingles. Documents with one and the same
 a class goes on. Its signature is cut into bands of four values from four different permutations; classes that share a
 band are compared. Every link is confirmed on the full sets of 64-bit shingle hashes.
 
-In a band's group not all pairs are made. First each member meets the group's smallest one; that settles most. The groups
-that overlap form clusters. Where a cluster still spans several components, its members are laid in blocks by set size,
-and blocks of comparable size are held against each other when either has a member outside the cluster's largest
-component. A block holds at most BLOCK_MEMBERS sets and about BLOCK_SHINGLES hashes, so a task's memory is bounded however
-large the cluster; all its pairs are counted exactly by one matrix product, and only edges that join components leave the
-task. No pair that shares a band is left untested unless it is already in one component. With the default 25 bands of four,
-two sets of similarity 0.8 share no band with probability 2e-6 (0.85: 8e-9).
+In a band's group not all pairs are made. First each member meets the group's smallest one; that settles most. Where a
+group's members still lie in several components, they are laid in blocks by set size, and blocks of comparable size are held
+against each other when either has a member outside the group's largest component; groups of the same members count once.
+A block holds at most BLOCK_MEMBERS sets and about BLOCK_SHINGLES hashes, so a task's memory is bounded however large the
+group; all its pairs are counted exactly by one matrix product, and only edges that join components leave the task. So no
+pair that shares a band is left untested unless it is already in one component, and no pair is tested that shares none but
+those in one block. The work within a group whose members don't link grows with the square of that group. With the default
+25 bands of four, two sets of similarity 0.8 share no band with probability 2e-6 (0.85: 8e-9).
 
 Defined results: null or empty text, or white space alone, has an empty set and is linked with nothing; a text of fewer
-words than a shingle counts as one shingle; repeated rows get the same answer each; a null doc_id is linked with nothing
-and kept; an empty table gives an empty result; further columns are ignored.
+words than a shingle counts as one shingle; a very long text is one row of its task, whose memory is a small multiple of its
+bytes; repeated rows get the same answer each, and keep_one() keeps or drops them together; a null doc_id is linked with
+nothing and kept; a component is named by its smallest doc_id, so there are no ties; an empty table gives an empty result;
+further columns are ignored by near_duplicates() and kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -200,24 +203,24 @@ def _block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(parts(rows), "task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
 
 
-def _tasks(nodes: DataFrame, percent: int) -> DataFrame:
-    """(task, rep, label): which blocks of clusters that span several components meet. `nodes`: rep, n, cluster, label."""
-    inside = nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-    spread = inside.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    spread = spread.filter("labels > 1 and size > 2").select("cluster", F.col("top.label").alias("main"))
-    nodes = nodes.join(spread, "cluster")
+def _tasks(members: DataFrame, percent: int) -> DataFrame:
+    """(task, rep, label): which blocks of groups that span several components meet. `members`: key, rep, n, label."""
+    inside = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    spread = inside.groupBy("key").agg(F.sum("n").alias("size"), F.bit_xor("who").alias("who"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    spread = spread.filter("labels > 1 and size > 2").groupBy("size", "who").agg(F.min(F.struct("key", "top")).alias("one"))
+    nodes = members.join(spread.select("one.key", F.col("one.top.label").alias("main")), "key")
     # two similar sets are in one size class or in neighbouring ones
     nodes = nodes.withColumn("rung", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
-    load = nodes.groupBy("cluster", "rung").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
-    nodes = nodes.join(load, ["cluster", "rung"])
-    nodes = written(nodes.select("rep", "label", "cluster", "rung", (F.col("label") != F.col("main")).alias("minor"), F.expr("pmod(xxhash64(rep), blocks)").alias("block")), "nodes")
-    blocks = nodes.groupBy("cluster", "rung", "block").agg(F.max("minor").alias("minor"))
-    other = blocks.select("cluster", F.col("rung").alias("rung2"), F.col("block").alias("block2"), F.col("minor").alias("minor2"))
-    met = blocks.withColumn("rung2", F.explode(F.array("rung", F.col("rung") + 1))).join(other, ["cluster", "rung2"])
+    load = nodes.groupBy("key", "rung").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).alias("blocks"))
+    nodes = nodes.join(load, ["key", "rung"])
+    nodes = written(nodes.select("rep", "label", "key", "rung", (F.col("label") != F.col("main")).alias("minor"), F.expr("pmod(xxhash64(rep), blocks)").alias("block")), "nodes")
+    blocks = nodes.groupBy("key", "rung", "block").agg(F.max("minor").alias("minor"))
+    other = blocks.select("key", F.col("rung").alias("rung2"), F.col("block").alias("block2"), F.col("minor").alias("minor2"))
+    met = blocks.withColumn("rung2", F.explode(F.array("rung", F.col("rung") + 1))).join(other, ["key", "rung2"])
     met = met.filter("(minor or minor2) and (rung2 > rung or block2 >= block)")
     sides = F.array_distinct(F.array(F.struct("rung", "block"), F.struct(F.col("rung2").alias("rung"), F.col("block2").alias("block"))))
-    met = met.select("cluster", F.xxhash64("cluster", "rung", "block", "rung2", "block2").alias("task"), F.explode(sides).alias("side"))
-    return met.select("task", "cluster", "side.rung", "side.block").join(nodes, ["cluster", "rung", "block"]).select("task", "rep", "label")
+    met = met.select("key", F.xxhash64("key", "rung", "block", "rung2", "block2").alias("task"), F.explode(sides).alias("side"))
+    return met.select("task", "key", "side.rung", "side.block").join(nodes, ["key", "rung", "block"]).select("task", "rep", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -228,16 +231,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, permutat
     classes = written(classes, "classes")
     exploded = classes.select(F.explode("bands").alias("key"), F.struct("rep", F.col("n_shingles").alias("n")).alias("m"))
     centres = exploded.groupBy("key").agg(F.min("m").alias("c"), F.max("m").alias("last")).filter("c.rep < last.rep").select("key", "c")
-    stars = written(exploded.join(centres, "key").filter("m.rep <> c.rep").select("c", "m").distinct(), "stars")
-    nodes = written(stars.select(F.explode(F.array("c", "m")).alias("x")).select("x.rep", "x.n").distinct(), "nodes")
+    members = written(exploded.join(centres, "key"), "members")
+    stars = members.filter("m.rep <> c.rep").select("c", "m").distinct()
+    nodes = members.select("m.rep").distinct()
     sets = written(_sets(docs, nodes, words), "sets")
 
     fits = F.least("c.n", "m.n") * 100 >= F.greatest("c.n", "m.n") * percent
     labels = components(confirm(stars.filter(fits).select(F.col("c.rep").alias("a"), F.col("m.rep").alias("b")), sets, percent))
-    clusters = components(stars.select(F.col("c.rep").alias("a"), F.col("m.rep").alias("b")))
-    nodes = nodes.join(clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")), "rep")
-    nodes = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    more = written(_block_links(_tasks(nodes, percent).join(sets, "rep"), percent), "links")
+    members = members.select("key", "m.rep", "m.n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    members = written(members, "labelled")
+    more = written(_block_links(_tasks(members, percent).join(sets, "rep"), percent), "links")
     labels = merged(labels, more)
 
     home = classes.select("key_a", "key_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
