@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         for batch in pieces(batches, "html"):
             if out is None:
                 fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{root}/{file}")
+                out = fs.open_output_stream(f"{root}/{file}", compression=None)
             for page, url, html, sha, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to")), strict=True):
                 payload = (html or "").encode()
                 target = (url or f"urn:page:{page}").replace("\r", "%0D").replace("\n", "%0A")
