@@ -1,13 +1,15 @@
 """Toxicity by compression distance.
 
 Three zstandard dictionaries are trained on labelled texts. The base one is trained on ordinary texts. The other two are
-trained alike, one on the toxic and one on the ordinary texts, on what ordinary texts leave unexplained: stretches that no run of
-MER bytes covers which at least `1 + documents // 1000` other ordinary texts hold. A text is lower-cased,
-its ASCII signs become spaces, and overlapping windows of WINDOW bytes, STEP apart, are compressed twice, with base and
-ordinary and with base and toxic dictionary. The two share their entropy tables and their size, so the lengths differ only
-by what the last part explains. Part of the labelled texts, unused for the dictionaries, calibrates the differences: each
-gets the ratio of its frequency in toxic and ordinary texts, and thresholds on that ratio sort the windows into tiers.
-A document's score is a logistic function of its windows by tier.
+trained on what sets each class apart: of either class the stretches that no run of SHORT bytes covers which at least
+`1 + documents // 1000` other ordinary texts hold; of the toxic class also those made up of runs of LONG bytes that recur in
+LEAST_TEXTS toxic texts, or one in OFTEN, and in fewer ordinary ones than that bound. A text is lower-cased, its ASCII signs
+become spaces, and overlapping windows of WINDOW bytes, STEP apart, are compressed twice, with base and ordinary and with
+base and toxic dictionary. The two share their entropy tables and their size, so the lengths differ only by what the last
+part explains. Labelled texts measured with dictionaries they had no part in calibrate the differences: each gets the ratio
+of its frequency in toxic and ordinary texts, and thresholds on that ratio sort the windows into tiers. A document's score
+is a logistic function of its windows by tier and of the bytes they save; where more than FALSE_SHARE of the ordinary
+texts would score a half, its constant is lowered until they don't.
 
 Matches are of LEAST_MATCH bytes at least, so a window without any such run of either class dictionary has the same
 length under both; it is counted as difference 0 without being compressed.
@@ -38,9 +40,10 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import pieces, ready
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
-WINDOW, STEP = 96, 48
-BASE_BYTES, CLASS_BYTES, TRAIN_BYTES = 100_000, 4096, 8 << 20
-MER, LEAST_MATCH = 6, 5
+WINDOW, STEP = 64, 32
+BASE_BYTES, CLASS_BYTES, TRAIN_BYTES = 100_000, 6144, 8 << 20
+SHORT, LONG, LEAST_MATCH, LEAST_TEXTS, OFTEN, COPY = 6, 8, 6, 5, 60, 24
+FOLDS, FALSE_SHARE = 3, 0.01
 TIERS = (20.0, 6.0, 2.5, 1.5)
 LOWEST, HIGHEST = -2, 9
 _CUT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -58,35 +61,56 @@ def window_starts(n: int) -> range:
 
 
 def runs(data: bytes, n: int) -> np.ndarray:
-    """The n bytes from each place on, as one number."""
+    """The n bytes from each place on, as one number (from nine bytes on, a hash)."""
     raw = np.frombuffer(data, np.uint8).astype(np.uint64)
     out = np.zeros(max(len(raw) - n + 1, 0), np.uint64)
     for i in range(n):
-        out = out << np.uint64(8) | raw[i : i + len(out)]
+        out = out * np.uint64(257 if n > 8 else 256) + raw[i : i + len(out)]
     return out
 
 
 class _Seen:
-    """In how many texts a run occurs, up to 255, by a table of hashes."""
+    """In how many of some texts a run of n bytes occurs, by a table of hashes."""
 
-    def __init__(self, bits: int = 25):
-        self.table, self.shift = np.zeros(1 << bits, np.uint8), np.uint64(64 - bits)
+    def __init__(self, texts: list[bytes], n: int, bits: int = 24):
+        self.table, self.shift, self.run = np.zeros(1 << bits, np.uint16), np.uint64(64 - bits), n
+        for text in texts:
+            self.table[np.unique(self.slots(text))] += 1  # a sample has fewer than 2**16 texts
 
     def slots(self, data: bytes) -> np.ndarray:
-        return (runs(data, MER) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        return (runs(data, self.run) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
-    def add(self, data: bytes) -> None:
-        at = np.unique(self.slots(data))
-        self.table[at] += self.table[at] < 255
-
-    def unexplained(self, data: bytes, least: int) -> bytes:
-        """The stretches of three bytes or more that no run of `least` texts covers, with two bytes on either side."""
-        known = self.table[self.slots(data)] >= least
+    def covered(self, data: bytes, marked: np.ndarray) -> np.ndarray:
+        """The places of data that a marked run covers."""
         change = np.zeros(len(data) + 1, np.int32)
-        change[: len(known)] += known
-        change[MER : MER + len(known)] -= known
-        edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(change[:-1]) == 0, False].astype(np.int8)))
-        return b"\n".join(data[max(a - 2, 0) : b + 2] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > 2)
+        change[: len(marked)] += marked
+        change[self.run : self.run + len(marked)] -= marked
+        return np.cumsum(change[:-1]) > 0
+
+
+def _stretches(data: bytes, here: np.ndarray, least: int, margin: int = 0) -> list[bytes]:
+    edge = np.flatnonzero(np.diff(np.r_[False, here, False].astype(np.int8)))
+    return [data[max(a - margin, 0) : b + margin] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= least]
+
+
+def unexplained(data: bytes, ordinary: _Seen, least: int) -> list[bytes]:
+    """The stretches of three bytes or more that no run of `least` ordinary texts covers, with two bytes on either side."""
+    return _stretches(data, ~ordinary.covered(data, ordinary.table[ordinary.slots(data)] >= least), 3, 2)
+
+
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """One of each group of texts that have the same smallest hash among their runs of COPY bytes: near copies, most likely."""
+    found: dict[int, bytes] = {}
+    for text in texts:
+        own = runs(text, COPY) * np.uint64(0x9E3779B97F4A7C15)
+        found.setdefault(int((own ^ own >> np.uint64(29)).min()) if len(own) else zlib.crc32(text), text)
+    return list(found.values())
+
+
+def peculiar(data: bytes, toxic: _Seen, often: int, ordinary: _Seen, least: int) -> list[bytes]:
+    """The stretches made up of runs that `often` toxic texts have and fewer than `least` ordinary ones."""
+    at = toxic.slots(data)
+    return _stretches(data, toxic.covered(data, (toxic.table[at] >= often) & (ordinary.table[at] < least)), 1)
 
 
 def trained(samples: list[bytes], size: int, k: int) -> bytes:
@@ -148,8 +172,7 @@ class Model:
         return out
 
     def score(self, text: str | None) -> float:
-        by_tier = np.bincount(self.tier, self.differences(text), len(TIERS) + 1)
-        z = float(_features(by_tier[None, :])[0] @ self.weights)
+        z = float(_features(self.differences(text)[None, :], self.tier)[0] @ self.weights)
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
     def dump(self) -> bytes:
@@ -162,10 +185,12 @@ def load(dumped: bytes) -> Model:
     return Model(*map(bytes.fromhex, dictionaries), np.array(tier), np.array(weights))
 
 
-def _features(by_tier: np.ndarray) -> np.ndarray:
-    """By_tier: windows of each document outside all tiers, then by tier."""
+def _features(counts: np.ndarray, tier: np.ndarray) -> np.ndarray:
+    """Of each document, from its windows by difference: all windows, those of each tier and their share, and the bytes saved."""
+    by_tier = np.stack([counts[:, tier == n].sum(1) for n in range(len(TIERS) + 1)], 1)
     total, hits = by_tier.sum(1), by_tier[:, 1:]
-    return np.column_stack([np.ones(len(total)), np.log1p(total) / 5, np.log1p(hits), 10 * hits / (total[:, None] + 20)])
+    saved = counts @ np.where(tier > 0, np.arange(LOWEST, HIGHEST + 1), 0)
+    return np.column_stack([np.ones(len(total)), np.log1p(total) / 5, np.log1p(saved), saved / (total + 3), np.log1p(hits), 10 * hits / (total[:, None] + 20)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -179,39 +204,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def fit(rows: list[tuple[int, str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model | None:
-    """Model from (doc_id, text, label) rows; None unless both labels occur among the texts for each of its two parts.
-
-    stands_for: labelled rows to a sampled one, for ordinary and toxic rows.
-    """
-    part = lambda doc: zlib.crc32(f"part {doc}".encode()) % 5 < 3
-    learn, calibrate = ([r for r in rows if part(r[0]) == own] for own in (True, False))
-    if any({bool(r[2]) for r in some} != {True, False} for some in (learn, calibrate)):
-        return None
-    ordinary, toxic = ([plain(r[1]) for r in learn if bool(r[2]) == own] for own in (False, True))
-    seen = _Seen()
-    for text in ordinary:
-        seen.add(text)
+def dictionaries(rows: list[tuple[int, str | None, int]]) -> tuple[bytes, bytes, bytes]:
+    """Base, ordinary and toxic dictionary from (doc_id, text, label) rows; the last two are of one size."""
+    ordinary, toxic = (without_copies([plain(r[1]) for r in rows if bool(r[2]) == own]) for own in (False, True))
     windows = [text[i : i + WINDOW] for text in ordinary for i in range(0, len(text), WINDOW)]
     every = max(1, -(-len(windows) * WINDOW // TRAIN_BYTES))
     base = trained(windows[::every], BASE_BYTES, 64)
-    least = 1 + len(ordinary) // 1000
-    # an ordinary text is itself one of those that hold its runs
-    rest = [trained([seen.unexplained(t, n) for t in texts], CLASS_BYTES, 16) for texts, n in ((toxic, least), (ordinary, least + 1))]
+    least, often = 1 + len(ordinary) // 1000, max(LEAST_TEXTS, len(toxic) // OFTEN)
+    short, long, long_toxic = _Seen(ordinary, SHORT), _Seen(ordinary, LONG), _Seen(toxic, LONG)
+    marks = [[b"\n".join(unexplained(t, short, least) + peculiar(t, long_toxic, often, long, least)) for t in toxic]]
+    marks += [[b"\n".join(unexplained(t, short, least + 1)) for t in ordinary]]  # itself is one of those that hold its runs
+    rest = [trained(m, CLASS_BYTES, 16) for m in marks]
     rest = [r[len(r) // 8 :] if r.startswith(_MAGIC) else r for r in rest]  # without the tables at the head of a trained one
     size = len(rest[0])
     own, other = (r[-size:].rjust(size, b"\n") if size else b"" for r in rest)
-    model = Model(base, other, own, np.zeros(HIGHEST - LOWEST + 1, np.int64), np.zeros(2 + 2 * len(TIERS)))
+    return base, other, own
+
 
-    counts = np.stack([model.differences(text) for _, text, _ in calibrate])
-    label = np.array([bool(r[2]) for r in calibrate])
+def fit(rows: list[tuple[int, str | None, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model | None:
+    """Model from (doc_id, text, label) rows; None unless both labels occur in every one of the FOLDS parts of the rows.
+
+    Each part is measured with dictionaries of the others, which calibrates tiers and weights; the dictionaries of the
+    model are trained on all rows. stands_for: labelled rows to a sampled one, for ordinary and toxic rows.
+    """
+    parts: list[list[tuple[int, str | None, int]]] = [[] for _ in range(FOLDS)]
+    for r in rows:
+        parts[zlib.crc32(f"part {r[0]}".encode()) % FOLDS].append(r)
+    if any({bool(r[2]) for r in some} != {True, False} for some in parts):
+        return None
+    empty = np.zeros(HIGHEST - LOWEST + 1, np.int64), np.zeros(4 + 2 * len(TIERS))
+    measured = []
+    for n, some in enumerate(parts):
+        probe = Model(*dictionaries([r for k, other in enumerate(parts) if k != n for r in other]), *empty)
+        measured += [probe.differences(text) for _, text, _ in some]
+    counts, label = np.stack(measured), np.array([bool(r[2]) for some in parts for r in some])
+    model = Model(*dictionaries(rows), *empty)
     often = np.minimum(counts, 3)
     ratio = ((often[label].sum(0) + 0.1) / label.sum()) / ((often[~label].sum(0) + 0.5) / (~label).sum())
     for n, bound in reversed(list(enumerate(TIERS, 1))):
         model.tier[ratio > bound] = n
     model.tier[: -LOWEST + 1] = 0  # not shorter under the toxic dictionary: no sign of toxicity
-    by_tier = np.stack([counts[:, model.tier == n].sum(1) for n in range(len(TIERS) + 1)], 1)
-    model.weights[:] = _logistic(_features(by_tier), label.astype(float), np.where(label, stands_for[1], stands_for[0]))
+    x = _features(counts, model.tier)
+    model.weights[:] = _logistic(x, label.astype(float), np.where(label, stands_for[1], stands_for[0]))
+    highest = np.sort((x @ model.weights)[~label])[::-1]
+    model.weights[0] -= max(0.0, float(highest[int(FALSE_SHARE * len(highest))]) + 1e-9)
     return model
 
 

@@ -154,11 +154,15 @@ def test_toxicity_scores_keep_the_real_class_share(spark):
 
 
 def test_toxicity_on_held_out_documents(spark):
-    d = "/root/testdata/sf0.1"
+    """On the larger labelled table, whose held-out rows no setting was chosen on (those of sf0.1 were, for an earlier method)."""
+    d = "/root/testdata/check_s"
     df, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    rows = toxicity.scores(df.join(lab, "doc_id", "left_semi"), toxicity.train(df, lab)).join(lab, "doc_id").filter("held_out").collect()
+    model = toxicity.train(df, lab)
+    asked = lab.filter(toxicity.held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    rows = toxicity.scores(df.join(asked, "doc_id", "left_semi"), model).join(asked, "doc_id").filter("held_out").collect()
     p, t = np.array([r.predicted for r in rows]), np.array([r.toxic for r in rows])
-    assert p[t == 1].mean() > 0.85 and p[t == 0].mean() < 0.01
+    print("caught", p[t == 1].mean(), "false", p[t == 0].mean(), len(rows))
+    assert p[t == 1].mean() > 0.9 and p[t == 0].mean() < 0.01
 
 
 def brute_licence(text, rows, threshold=0.8):
