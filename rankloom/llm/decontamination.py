@@ -7,12 +7,17 @@ bound of its score shows that it can't reach THRESHOLD; so how far an item has l
 alignment's share of the best possible one, so edited copies lose only what was changed. From THRESHOLD on the document
 counts as contaminated.
 
-The benchmark is sent to the tasks in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes more passes, and
-nothing of it is left out. The corpus is not shuffled, only the matches are.
-
-Defined results: null or empty texts match nothing; items of fewer than LEAST_WORDS words match nothing; equal scores go to
-the smallest item_id; repeated rows of a doc_id share a result; an empty benchmark leaves all documents clean; an empty
-table gives an empty result; further columns are ignored by matches() and report(), kept by drop_contaminated().
+Seeds meet in a join. A benchmark of at most BLOCK_BYTES of text is collected and looked up within the tasks, so the corpus
+is not shuffled. A larger one stays distributed: its seeds are a table, a Bloom filter of fixed size (FILTER_BITS) is all
+that is broadcast, the hits that pass it are joined with the seeds, and each document with a hit travels once to the items
+it shares a seed with, at most about ITEMS_A_ROW of them a row. Both ways read the corpus a fixed number of times and give
+the same matches. All seeds count, rare or not: leaving out common ones would lose the copies of widely leaked items.
+
+Defined results: null or empty texts match nothing; items of fewer than LEAST_WORDS words match nothing; a very long text is
+aligned passage by passage, with memory of a small multiple of its bytes; equal scores go to the smallest item_id, equal
+alignments to the first; repeated rows of a doc_id share a result; an empty benchmark leaves all documents clean; an empty
+table gives an empty result; further columns are ignored by matches() and report(), kept by drop_contaminated(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BASES, Words, mix, pieces, ready
+from rankloom.llm.common import BASES, Words, mix, pieces, ready, signed, written
 
 SEED, LEAST_WORDS, THRESHOLD = 3, 5, 0.4
 BLOCK_BYTES = 16 << 20
+FILTER_BITS, ITEMS_A_ROW = 27, 10_000
 SOME = 1 << 19  # hits, or words of passages, looked at together; one document's, or one passage's, are never parted
 
 
@@ -120,31 +126,6 @@ def bounds(items: Items, text: Words, item: np.ndarray, low: np.ndarray, high: n
     return np.minimum(_best_run(np.isin(a, b[inside], kind="sort"), own), _best_run(inside, there))
 
 
-def _blocks(benchmark: DataFrame, bound: int) -> list[list[tuple[int, str]]]:
-    """The items in lists of at most `bound` bytes of text each, fetched one by one as they are used."""
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    n = 1
-    while True:
-        own = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-        largest = items.groupBy(own.alias("b")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).agg(F.max(F.when(F.col("n") > 1, F.col("bytes")))).first()[0]
-        if (largest or 0) <= bound:
-            break
-        n *= 2
-    return [[(r[0], r[1]) for r in items.filter(own == b).collect()] for b in range(n)] if n == 1 else _Later(items, own, n)
-
-
-class _Later(list):
-    """Blocks that come to the driver only when asked for, one at a time."""
-
-    def __init__(self, items: DataFrame, own, n: int):
-        super().__init__(range(n))
-        self.items, self.own = items, own
-
-    def __iter__(self):
-        for b in range(len(self)):
-            yield [(r[0], r[1]) for r in self.items.filter(self.own == b).collect()]
-
-
 @functools.lru_cache(1)
 def _items(rows: tuple[tuple[int, str], ...], seed: int) -> Items:
     return Items(list(rows), seed)
@@ -178,24 +159,111 @@ def _found(batch: pa.RecordBatch, items: Items, threshold: float) -> dict[int, l
     return out
 
 
+_MATCH = "doc_id long, item_id long, score double, first int, end int"
+_NAMES = ["doc_id", "item_id", "score", "first", "end"]
+_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+
+
+def _sound(benchmark: DataFrame) -> DataFrame:
+    return benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+
+def _small(items: DataFrame) -> tuple[tuple[int, str], ...] | None:
+    """The items themselves if they have at most BLOCK_BYTES of text."""
+    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) > BLOCK_BYTES:
+        return None
+    return tuple((r[0], r[1]) for r in items.collect())
+
+
+def item_seeds(items: DataFrame, seed: int = SEED) -> DataFrame:
+    """(seed, item_id) of the items long enough."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            text = Words(batch.column("text"), plain=True)
+            grams, at = text.grams(seed)
+            item = text.doc[at]
+            fits = np.diff(text.first)[item] >= LEAST_WORDS
+            ids = batch.column("item_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(signed(grams[fits])), pa.array(ids[item[fits]])], ["seed", "item_id"])
+
+    return items.mapInArrow(cut, "seed long, item_id long").distinct()
+
+
+def bloom(seeds: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set where the leading bits of a seed point; equal or fewer rows than words of the filter reach the driver."""
+    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    word = seeds.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
+    found = word.toPandas()
+    out = np.zeros(max(1, (1 << FILTER_BITS) // 64), np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _pairs(keyed: DataFrame, items: DataFrame, seed: int) -> DataFrame:
+    """(key, item_id) of the documents and items that share a seed. `keyed`: key, text."""
+    seeds = written(item_seeds(items, seed), "seeds")
+    filter_ = keyed.sparkSession.sparkContext.broadcast(bloom(seeds))
+    shift = np.uint64(64 - FILTER_BITS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filter_.value
+        for batch in pieces(batches, "text"):
+            text = Words(batch.column("text"), plain=True)
+            grams, at = text.grams(seed)
+            place = grams >> shift
+            hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+            doc, gram = text.doc[at[hit]], grams[hit]
+            both = np.unique(np.stack([doc.astype(np.uint64), gram], 1), axis=0)
+            keys = batch.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[both[:, 0].astype(np.int64)]), pa.array(signed(np.ascontiguousarray(both[:, 1])))], ["key", "seed"])
+
+    return keyed.mapInArrow(cut, "key long, seed long").join(seeds, "seed").select("key", "item_id").distinct()
+
+
+def _joined(docs: DataFrame, items: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """matches() with the key of the document's row, for a benchmark too large to send to every task."""
+    items = written(items, "items")
+    keyed = docs.select(_key(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    salts = max(1, -(-items.count() // ITEMS_A_ROW))
+    asked = _pairs(keyed.select("key", "text"), items, seed).join(items, "item_id")
+    asked = asked.groupBy("key", F.pmod(F.xxhash64("item_id"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    together = keyed.distinct().join(asked.drop("salt"), "key").select("key", "doc_id", "text", "items")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for n, (key, doc, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "items")), strict=True)):
+                some = Items([(i["item_id"], i["text"]) for i in own], seed)
+                for found in _found(batch.slice(n, 1), some, threshold).values():
+                    rows += [(key, doc, *m) for m in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *_KINDS], strict=True)], ["key", *_NAMES])
+
+    return together.mapInArrow(find, f"key long, {_MATCH}")
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], docs["text"]).alias("key")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, first, end) of every contaminated passage's best alignment, words counted from 0."""
-    schema = "doc_id long, item_id long, score double, first int, end int"
-    out = ready(docs.sparkSession).createDataFrame([], schema)
-    for block in _blocks(benchmark, BLOCK_BYTES):
-        rows = tuple(block)
-
-        def find(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            items = _items(rows, seed)
-            for batch in pieces(batches, "text"):
-                ids = batch.column("doc_id").to_pylist()
-                found = [(ids[d], *m) for d, ms in _found(batch, items, threshold).items() for m in ms]
-                if found:
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "score", "first", "end"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(find, schema))
-    return out
+    ready(docs.sparkSession)
+    items = _sound(benchmark)
+    rows = _small(items)
+    if rows is None:
+        return _joined(docs, items, seed, threshold).drop("key")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _items(rows, seed)
+        for batch in pieces(batches, "text"):
+            ids = batch.column("doc_id").to_pylist()
+            found = [(ids[d], *m) for d, ms in _found(batch, own, threshold).items() for m in ms]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), _KINDS, strict=True)], _NAMES)
+
+    return docs.select("doc_id", "text").mapInArrow(find, _MATCH)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -209,19 +277,20 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the contaminated rows."""
     ready(docs.sparkSession)
-    out = docs
-    for block in _blocks(benchmark, BLOCK_BYTES):
-        rows = tuple(block)
-
-        def keep(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            items = _items(rows, seed)
-            for batch in pieces(batches, "text"):
-                stays = np.ones(batch.num_rows, bool)
-                stays[list(_found(batch, items, threshold))] = False
-                yield batch.filter(pa.array(stays))
-
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+    items = _sound(benchmark)
+    rows = _small(items)
+    if rows is None:
+        gone = _joined(docs, items, seed, threshold).select("key").distinct()
+        return docs.join(gone, _key(docs) == gone["key"], "left_anti")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _items(rows, seed)
+        for batch in pieces(batches, "text"):
+            stays = np.ones(batch.num_rows, bool)
+            stays[list(_found(batch, own, threshold))] = False
+            yield batch.filter(pa.array(stays))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 __all__ = ["Items", "align", "drop_contaminated", "matches", "report"]

@@ -73,6 +73,50 @@ def test_decontamination_of_widely_leaked_items(spark):
     assert found == {(d, 0): 0.7 for d in range(0, 120, 3)} | {(d, 1): 1.0 for d in range(120) if d % 20 < 13}
 
 
+def every_pair(docs, items):
+    """Score of the best alignment of each document with each item that shares a run of three words with it."""
+    import re
+
+    cut = lambda t: re.sub(r"[^\w\s]|_", " ", (t or "").lower(), flags=re.ASCII).split()
+    runs = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    number: dict[str, int] = {}
+    out = {}
+    for d, text, _ in docs:
+        a = cut(text)
+        for k, item in items:
+            b = cut(item)
+            if len(b) >= decontamination.LEAST_WORDS and runs(a) & runs(b):
+                code = lambda w: np.array([number.setdefault(x, len(number)) for x in w])
+                score = decontamination.align(code(b), code(a))[0] / (2 * len(b))
+                if score >= decontamination.THRESHOLD:
+                    out[d, k] = score
+    return out
+
+
+def corpora():
+    r = random.Random(12)
+    few = [f"q{k}" for k in range(60)]
+    items = [(i, prose(r, r.randrange(4, 30), few)) for i in range(15)]
+    mixed = [(d, f"{prose(r, r.randrange(30))} {items[r.randrange(15)][1] if d % 3 else ''} {prose(r, r.randrange(40), few)}", None) for d in range(60)]
+    yield "mixed", mixed, items
+    yield "one row", [(1, items[7][1], None)], items
+    yield "all equal", [(d, items[7][1], None) for d in range(50)], [items[7]]
+    yield "nearly everywhere", [(d, f"{prose(r, 10)} {items[8][1] if d % 10 else ''}", None) for d in range(60)], items
+
+
+def test_decontamination_against_every_pair(spark, monkeypatch):
+    for bound in (decontamination.BLOCK_BYTES, 0):  # items within the tasks, and a join of seeds
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", bound)
+        monkeypatch.setattr(decontamination, "ITEMS_A_ROW", 4)
+        for name, docs, items in corpora():
+            df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+            want = every_pair(docs, items)
+            got = {(m.doc_id, m.item_id): m.score for m in decontamination.matches(df, bench).collect()}
+            assert got == want and want, (name, bound)
+            kept = {x.doc_id for x in decontamination.drop_contaminated(df, bench).collect()}
+            assert kept == {d for d, _, _ in docs} - {d for d, _ in want}, (name, bound)
+
+
 def test_decontamination_bound_loses_no_match(monkeypatch):
     r = random.Random(9)
     source = [prose(r, r.randrange(6, 20), WORDS[:40]) for _ in range(6)]
