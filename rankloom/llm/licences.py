@@ -1,18 +1,22 @@
 """Licence scan: passages against licence templates by the Dice coefficient over word bigrams.
 
 Text is normalised to lower-case words without signs, with the spelling `licence` folded into `license`. A passage is a
-line, or a run of words whose bigrams occur in templates with no more than GAP other words between. A passage with n
-distinct bigrams can reach THRESHOLD = t only with templates of t/(2-t)*n to (2-t)/t*n bigrams, so templates, sorted by size,
-are cut to that range first; the rest are scored exactly. Every line and run of every text is looked at.
+line, a run of words whose bigrams occur in templates with no more than GAP other words between, or within such a run the
+part that a single template spans in the same way, so that neighbouring notices are told apart. A passage with n distinct
+bigrams can reach THRESHOLD = t only with templates of t/(2-t)*n to (2-t)/t*n bigrams, so templates, sorted by size, are cut
+to that range first, and a run is held against a single template only if it has t/(2-t) of its bigrams; the rest are scored
+exactly. Of passages that overlap by half or more only the best counts. Every line and run of every text is looked at.
 
 Defined results: null or empty texts, and texts of one word, hold no licence; equal scores go to the larger template, then
-to the first licence in order of name; repeated rows get the same answer each; an empty table gives an empty result;
-further columns are ignored.
+to the first licence in order of name; a very long text is looked at whole, with memory of a small multiple of its bytes;
+repeated rows get the same answer each; an empty table gives an empty result; further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +90,14 @@ NOTICES = {
         warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
         use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
-        commercial or non-commercial, and by any means.""",
+        commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors
+        of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+        for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to
+        be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
         liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
         any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
@@ -107,13 +118,19 @@ NOTICES = {
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
         provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
         "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
-        MERCHANTABILITY AND FITNESS.""",
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
         rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
         persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
         and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
-        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.""",
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
 }
@@ -144,6 +161,25 @@ class Index:
         self.names, self.sets = [rows[i][0] for i in order], [sets[i] for i in order]
         self.sizes = np.array([len(s) for s in self.sets])
         self.all = np.unique(np.array([g for s in self.sets for g in s], np.uint64))
+        self.holders: dict[int, list[int]] = {}
+        for k, own in enumerate(self.sets):
+            for g in own:
+                self.holders.setdefault(g, []).append(k)
+
+    def spans(self, at: np.ndarray, grams: list[int], threshold: float, gap: int) -> set[tuple[int, int]]:
+        """(first, end) bigram places that a single template spans within a run of hits at the places `at`."""
+        kinds = set(grams)
+        least = threshold / (2 - threshold)
+        if len(kinds) < least * self.sizes[0]:
+            return set()
+        count = Counter(k for g in kinds for k in self.holders[g])
+        out = set()
+        for k, n in count.items():
+            if n >= least * self.sizes[k] - 1e-9:
+                own = at[[g in self.sets[k] for g in grams]]
+                cut = np.flatnonzero(np.r_[True, own[1:] - own[:-1] > gap, True])
+                out |= {(int(own[a]), int(own[b - 1]) + 1) for a, b in zip(cut[:-1], cut[1:], strict=True)}
+        return out
 
     def best(self, grams: frozenset[int], threshold: float) -> tuple[float, int, str] | None:
         """(score, template size, licence) of the nearest template within the size bounds, if it reaches the threshold."""
@@ -194,15 +230,23 @@ def scan(docs: DataFrame, rows: tuple[tuple[str, str], ...] | None = None, thres
             doc = text.doc[hits]
             for d in np.unique(doc).tolist():
                 first, last = int(text.first[d]), int(text.first[d + 1])
-                found = {}
-                for a, b in passages(hits[doc == d] - first, line_of[first:last]):
+                own = hits[doc == d] - first
+                spans = passages(own, line_of[first:last])
+                cut = np.flatnonzero(np.r_[True, own[1:] - own[:-1] > GAP, True])
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    spans |= index.spans(own[x:y], by_word[first + own[x:y]].tolist(), threshold, GAP)
+                found = []
+                for a, b in spans:
                     got = index.best(frozenset(by_word[first + a : first + b].tolist()), threshold)
                     if got:
-                        found[got[2]] = max(found.get(got[2], (0.0, 0)), got[:2])
-                if found:
-                    licence[d] = min(found, key=lambda n: (-found[n][0], -found[n][1], n))
-                    dice[d] = found[licence[d]][0]
-                    every[d] = sorted(found)
+                        found.append((-got[0], -got[1], got[2], a, b))
+                taken: list[tuple[int, int]] = []
+                for score, _, name, a, b in sorted(found):
+                    if all(2 * (min(b, y) - max(a, x)) < min(b - a, y - x) for x, y in taken):
+                        taken.append((a, b))
+                        every[d] = sorted({*every[d], name})
+                        if licence[d] is None:
+                            licence[d], dice[d] = name, -score
             cols = [batch.column("doc_id").cast(pa.int64()), pa.array(licence, pa.string()), pa.array(dice, pa.float64()), pa.array(every, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "licence", "dice", "licences"])
 

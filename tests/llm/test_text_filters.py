@@ -253,3 +253,19 @@ def test_notices_of_related_licences_are_told_apart(spark):
     docs = [(i, f"kasan lodel\n{t}\nminel rupist", None) for i, t in enumerate(want.values())]
     got = {r.doc_id: r.licence for r in licences.scan(frame(spark, docs)).collect()}
     assert [got[i] for i in range(len(want))] == list(want)
+
+
+def test_licences_side_by_side(spark):
+    wrap = lambda t: "\n".join(" ".join(w[i : i + 9]) for w in [t.split()] for i in range(0, len(w), 9))
+    changed = licences.NOTICES["MIT"].replace("persons to whom", "people to whom").replace("substantial portions", "large parts")
+    docs = [
+        (1, f"{wrap(licences.NOTICES['MIT'])}\n{wrap(licences.NOTICES['Apache-2.0'])}", None),
+        (2, "kasan licensed under the MIT License and the Apache License, Version 2.0 lodel", None),
+        (3, f"kasan\n{wrap(changed)}\nlodel", None),
+        (4, f"{wrap(licences.NOTICES['BSD-3-Clause'])}\n{wrap(licences.NOTICES['ISC'])}\n{wrap(licences.NOTICES['Zlib'])}", None),
+    ]
+    got = {r.doc_id: r for r in licences.scan(frame(spark, docs)).collect()}
+    assert got[1].licences == ["Apache-2.0", "MIT"]
+    assert got[2].licences == ["Apache-2.0", "MIT"]
+    assert got[3].licences == ["MIT"] and got[3].dice < 1
+    assert got[4].licences == ["BSD-3-Clause", "ISC", "Zlib"]
