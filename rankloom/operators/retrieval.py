@@ -39,14 +39,16 @@ def nearest_positive(
     keys = [group, seq, *([other_fold] if other_fold else [])]
     own = [*keys, *([query_vector] if query_vector else [])]
     distinct = queries.select(*own).dropDuplicates(keys)
-    right = entries.withColumnRenamed(other_fold, "_fold") if other_fold else entries
+    right = entries
+    if other_fold:  # an entry counts once, however many folds hold it: it has another fold unless all of its own are the query's
+        vectors = [F.first(entry_vector).alias(entry_vector)] if entry_vector else []
+        right = entries.groupBy(group, "entry").agg(F.min(other_fold).alias("_low"), F.max(other_fold).alias("_high"), *vectors)
     right = right.withColumnRenamed(entry_vector, "_vector") if entry_vector else right
     pairs = distinct.join(right, group)
     if other_fold:
-        pairs = pairs.filter(F.col(other_fold) != F.col("_fold"))
+        pairs = pairs.filter((F.col(other_fold) != F.col("_low")) | (F.col(other_fold) != F.col("_high")))
     sim = similarity(F.col(query_vector or seq), F.col("_vector" if entry_vector else "entry"))
-    # an entry counts once, however many folds hold it
-    pairs = pairs.select(*keys, "entry", sim.alias("sim")).distinct() if other_fold else pairs.select(*keys, "entry", sim.alias("sim"))
+    pairs = pairs.select(*keys, "entry", sim.alias("sim"))
     usable = F.col("sim") < 1 if leave_out_exact else F.lit(True)
     best = F.min(F.when(usable, F.struct((-F.col("sim")).alias("d"), "entry")))
     aggs = [best.alias("_best"), F.count(F.lit(1)).alias("_size")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,19 +15,24 @@ from rankloom.sources.tables import checkpointed
 def component_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) over the two-sided graph; nodes are prefixed l| and r|, a component is named by its smallest node.
 
-    Each round takes the smallest label of the neighbours and then the label of that label; every round is checkpointed.
+    Every node points to a smaller one of its component. In a round a node, and the node it points to, take the smallest
+    second pointer among the node's neighbours, and each skips one pointer ahead, so rounds grow with the logarithm of the
+    graph. Every round is a written table.
     """
     e = edges.select(F.concat(F.lit("l|"), F.col(left).cast("string")).alias("a"), F.concat(F.lit("r|"), F.col(right).cast("string")).alias("b")).dropna().distinct()
     both = checkpointed(e.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("other"))))
-    labels = checkpointed(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
+
+    def two_ahead(points: DataFrame) -> DataFrame:
+        return checkpointed(points.join(points.select(F.col("node").alias("next"), F.col("next").alias("after")), "next"))
+
+    nodes = two_ahead(both.groupBy("node").agg(F.least("node", F.min("other")).alias("next")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "theirs").alias("via"))
-        up = labels.select(F.col("node").alias("via"), F.col("component").alias("up"))
-        after = checkpointed(hooked.join(up, "via").select("node", "before", F.least("via", "up").alias("component")))
-        labels = after.select("node", "component")
-        if after.filter("before <> component").isEmpty():
-            return labels
+        near = both.join(nodes.select(F.col("node").alias("other"), F.col("after").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        seen = nodes.join(near, "node")
+        pulled = seen.groupBy(F.col("next").alias("node")).agg(F.min("theirs").alias("pull"))
+        nodes = two_ahead(seen.join(pulled, "node", "left").select("node", F.least("next", "after", "theirs", "pull").alias("next"), F.col("after").alias("was")))
+        if nodes.filter("was <> after or next <> after").isEmpty():
+            return nodes.select("node", F.col("after").alias("component"))
 
 
 def row_components(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -116,30 +122,57 @@ def preflight(partitions: DataFrame, key: str, shared: str | None, label: str) -
 def complete_linkage(sequences: DataFrame, name: str, sequence: str, singletons: int = 1) -> DataFrame:
     """(name, cluster, cut): complete-linkage clusters by Hamming distance at the first cut that leaves few singletons.
 
-    Distances are computed by Spark; the merge runs in one task, so the names must be few (at most 5,000).
+    A cut at height h joins what the dendrogram merges at h or below. Distances are computed by Spark; the dendrogram is
+    made in one task of quadratic memory, so the names must be few (at most 5,000).
     """
     from rankloom.operators.retrieval import bounded
 
     s = bounded(sequences.select(F.col(name).alias("x"), F.col(sequence).alias("sx")), 5000)
     pairs = s.join(F.broadcast(s.select(F.col("x").alias("y"), F.col("sx").alias("sy")))).filter("x <= y").select("x", "y", text.hamming(F.col("sx"), F.col("sy")).alias("d"), F.length("sx").alias("len"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = {(a, b): n for a, b, n in zip(pdf["x"], pdf["y"], pdf["d"], strict=True)}
-        far = lambda p, q: max(d[min(a, b), max(a, b)] for a in p for b in q)
-        clusters = [(n,) for n in sorted(set(pdf["x"]) | set(pdf["y"]))]
-        cut = 0
-        for cut in range(int(pdf["len"].max()) + 1):
-            while len(clusters) > 1:
-                clusters.sort()
-                n, i, j = min((far(p, q), i, j) for i, p in enumerate(clusters) for j, q in enumerate(clusters) if i < j)
-                if n > cut:
-                    break
-                clusters[i : j + 1] = [tuple(sorted(clusters[i] + clusters[j])), *clusters[i + 1 : j]]
-            if sum(len(c) == 1 for c in clusters) <= singletons:
-                break
-        return pd.DataFrame([(n, k, cut) for k, c in enumerate(sorted(clusters)) for n in c], columns=["name", "cluster", "cut"])
-
-    return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(merge, "name string, cluster int, cut int")
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["x"]) | set(pdf["y"]))
+        number = {n: i for i, n in enumerate(names)}
+        far = np.zeros((len(names), len(names)))
+        i, j = pdf["x"].map(number).to_numpy(), pdf["y"].map(number).to_numpy()
+        far[i, j] = far[j, i] = pdf["d"].to_numpy()
+        member = _cut(dendrogram(far), len(names), int(pdf["len"].max()), singletons)
+        return pd.DataFrame([(n, member[0][k], member[1]) for k, n in enumerate(names)], columns=["name", "cluster", "cut"])
+
+    return pairs.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "name string, cluster int, cut int")
+
+
+def dendrogram(far: np.ndarray) -> list[tuple[float, int, int]]:
+    """(height, a, b): merges of clusters named by their smallest member, nearest first, ties by names.
+
+    Lance and Williams' update for complete linkage: the merged row is the larger of the two, element by element.
+    """
+    d = far.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    upper = np.triu(np.ones_like(d, bool), 1)
+    out = []
+    for _ in range(len(d) - 1):
+        at = int(np.argmin(np.where(upper, d, np.inf)))  # the first of equals in row-major order: smallest a, then smallest b
+        a, b = divmod(at, len(d))
+        out.append((float(d[a, b]), a, b))
+        d[a] = d[:, a] = np.maximum(d[a], d[b])
+        d[a, a] = np.inf
+        d[b] = d[:, b] = np.inf
+    return out
+
+
+def _cut(merges: list[tuple[float, int, int]], n: int, highest: int, singletons: int) -> tuple[list[int], int]:
+    """Cluster of each member, numbered by smallest member, and the first height that leaves at most `singletons` alone."""
+    root, done = np.arange(n), 0
+    for height in range(highest + 1):
+        while done < len(merges) and merges[done][0] <= height:
+            _, a, b = merges[done]
+            root[root == b] = a
+            done += 1
+        if (np.bincount(root, minlength=n) == 1).sum() <= singletons:
+            break
+    _, number = np.unique(root, return_inverse=True)
+    return number.tolist(), height
 
 
 def cluster_diagnostics(clusters: DataFrame, sequences: DataFrame, name: str, sequence: str) -> DataFrame:

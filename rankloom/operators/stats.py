@@ -117,5 +117,21 @@ def interval(samples: DataFrame, value: str, by: list[str] | None = None, level:
 
 
 def two_sided_p(samples: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    grouped = samples.groupBy(*by) if by else samples.groupBy()
-    return grouped.agg(F.least(F.lit(1.0), 2.0 * F.least(F.count_if(F.col(value) <= 0), F.count_if(F.col(value) >= 0)) / F.count(value)).alias("p"))
+    """(by, p): twice the smaller share of finite samples on one side of 0, zeros on both, at most 1; null without any."""
+    ok = samples.withColumn("_v", F.when(~F.isnan(value), F.col(value)))  # in Spark NaN counts as larger than all
+    grouped = ok.groupBy(*by) if by else ok.groupBy()
+    n = F.count("_v")
+    return grouped.agg(F.when(n > 0, F.least(F.lit(1.0), 2.0 * F.least(F.count_if(F.col("_v") <= 0), F.count_if(F.col("_v") >= 0)) / n)).alias("p"))
+
+
+def correlation_block(df: DataFrame, row_id: str, x: str, y: str, support: str, least: int) -> DataFrame:
+    """(n, r, low, high, n_supported, r_supported): r, its range when one point is left out, and r of points with enough support."""
+    one = leave_one_out_pearson(df, row_id, x, y).agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    few = pearson(df.filter(F.col(support) >= least), x, y).select(F.col("n").alias("n_supported"), F.col("r").alias("r_supported"))
+    return pearson(df, x, y).join(one).join(few)  # one row each
+
+
+def correlation_difference(samples: DataFrame, first: str, second: str) -> DataFrame:
+    """(low, high, n_replicates, p) of the paired difference of two resampled correlations; undefined replicates don't count."""
+    d = samples.select((F.col(first) - F.col(second)).alias("d"))
+    return interval(d, "d").join(two_sided_p(d, "d"))  # one row each

@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "E03_auc01_by_group"
 DIGITS = "0123456789"
+REPLICATES = 1000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -123,21 +124,21 @@ def _(spark, d):
 
 
 BOOT_SQL = f"""draws as (select replicate, slot, cast(floor({rng.unit_sql("'7'", "'group'", "replicate", "slot")} * n) as bigint) pos
-    from (select range replicate from range(20)), (select range slot from range(100000)), (select count(*) n from ok) where slot < n),
+    from (select replicate, n, unnest(range(n)) slot from (select range replicate from range({REPLICATES})), (select count(*) n from ok))),
   numbered as (select *, row_number() over (order by g) - 1 pos from ok)"""
 
 
 @query("E07_bootstrap_groups_macro", f"{GROUP_SQL}, ok as (select * from m), {BOOT_SQL} select replicate, round(avg(auc01), 6) as value from draws join numbered using (pos) group by replicate")
 def _(spark, d):
     by = metrics.group_metrics(graded(spark, d), "g", "y", "s")
-    return bootstrap.macro_over_groups(by, "g", "auc01", 20, seed=7).select("replicate", *r6("value"))
+    return bootstrap.macro_over_groups(by, "g", "auc01", REPLICATES, seed=7).select("replicate", *r6("value"))
 
 
 @query("E08_percentile_interval", f"""{GROUP_SQL}, ok as (select * from m), {BOOT_SQL}, v as (select replicate, avg(auc01) as value from draws join numbered using (pos) group by replicate)
   select round(quantile_cont(value, 0.025), 6) low, round(quantile_cont(value, 0.975), 6) high, count(*) n_replicates from v""")
 def _(spark, d):
     by = metrics.group_metrics(graded(spark, d), "g", "y", "s")
-    return stats.interval(bootstrap.macro_over_groups(by, "g", "auc01", 20, seed=7), "value").select(*r6("low", "high"), "n_replicates")
+    return stats.interval(bootstrap.macro_over_groups(by, "g", "auc01", REPLICATES, seed=7), "value").select(*r6("low", "high"), "n_replicates")
 
 
 TWO = f"""with {GRADED}, two as (select g, y, s, 'a' arm from graded union all select p_brand, cast(l_returnflag = 'R' as int), l_tax, 'b' from lineitem join part on l_partkey = p_partkey),
@@ -153,12 +154,12 @@ def _two_arms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("E12_paired_bootstrap_groups", f"{TWO} select replicate, round(value, 6) as value from v")
 def _(spark, d):
-    return bootstrap.paired_over_groups(_two_arms(spark, d), "g", "arm", "auc01", "a", "b", 20, seed=7).select("replicate", *r6("value"))
+    return bootstrap.paired_over_groups(_two_arms(spark, d), "g", "arm", "auc01", "a", "b", REPLICATES, seed=7).select("replicate", *r6("value"))
 
 
 @query("E13_two_sided_p", f"{TWO} select round(least(1.0e0, 2.0e0 * least(count(*) filter (value <= 0), count(*) filter (value >= 0)) / count(*)), 6) p from v")
 def _(spark, d):
-    return stats.two_sided_p(bootstrap.paired_over_groups(_two_arms(spark, d), "g", "arm", "auc01", "a", "b", 20, seed=7), "value").select(*r6("p"))
+    return stats.two_sided_p(bootstrap.paired_over_groups(_two_arms(spark, d), "g", "arm", "auc01", "a", "b", REPLICATES, seed=7), "value").select(*r6("p"))
 
 
 @query("E33_wide_by_arm", f"{TWO} select x.g, round(x.auc01, 6) a_auc01, round(z.auc01, 6) b_auc01 from m x join m z on x.g = z.g and x.arm = 'a' and z.arm = 'b'")
@@ -205,12 +206,6 @@ def _(spark, d):
     return stats.pearson(points(spark, d), "x", "y", ["g"]).select("g", "n", *r6("r"))
 
 
-@query("E17_corr_bootstrap", f"""with ok as (select i g, x, y from ({PART_G}) where i < 300), {BOOT_SQL}, v as (select replicate, corr(x, y) r from draws join numbered using (pos) group by replicate) select replicate, round(r, 6) r_y from v""")
-def _(spark, d):
-    some = points(spark, d).filter("i < 300").withColumnRenamed("i", "k")
-    return bootstrap.correlation_over_points(some, "k", "x", "y", 20, seed=7).select("replicate", *r6("r_y"))
-
-
 @query("W06_leave_one_out_corr", f"""with p as ({PART_G}), t as (select count(*) n, sum(x) sx, sum(y) sy, sum(x * x) sxx, sum(y * y) syy, sum(x * y) sxy from p)
   select i, round(((sxy - x * y) - (sx - x) * (sy - y) / (n - 1)) / sqrt(((sxx - x * x) - (sx - x) ** 2 / (n - 1)) * ((syy - y * y) - (sy - y) ** 2 / (n - 1))), 6) + 0e0 r from p, t""")
 def _(spark, d):
@@ -392,15 +387,13 @@ def _(spark, d):
 
 # ---- sampling -------------------------------------------------------------------------------------------------------
 
-POSITIVES = f"{PAIRED}, pos as (select * from paired where y = 1 and i % 3 = 0), pool as (select g, count(*) w from pos group by g)"
 
 
-def positives(spark: SparkSession, d: str) -> DataFrame:
-    return paired(spark, d).filter("y = 1 and i % 3 = 0").withColumnRenamed("y", "label")
+OWNERS = "pos as (select n_name g, c_name seq, c_custkey i from customer join nation on c_nationkey = n_nationkey), pool as (select g, count(*) w from pos group by g)"
 
 
 def _drawn_sql(key: str) -> str:
-    return f"""with {POSITIVES}, c as (select pos.i, pool.g, row_number() over (partition by pos.i order by {key} desc, pool.g) n from pos, pool where not exists (select 1 from pos k where k.seq = pos.seq and k.g = pool.g))
+    return f"""with {OWNERS}, c as (select pos.i, pool.g, row_number() over (partition by pos.i order by {key} desc, pool.g) n from pos, pool where not exists (select 1 from pos k where k.seq = pos.seq and k.g = pool.g))
       select i source_row_id, g from c where n <= 3"""
 
 
@@ -408,54 +401,11 @@ def _u(stream: str) -> str:
     return rng.unit_sql("'0'", f"'{stream}'", "pos.i", "pool.g")
 
 
-@query("N03_negatives_shuffle", _drawn_sql(f"(-{_u('shuffle')})"))
-def _(spark, d):
-    return sampling.sample(positives(spark, d), "g", "seq", "i", "shuffle", 3.0).select("source_row_id", "g")
-
-
-@query("N04_negatives_matched", _drawn_sql(f"(ln(cast(pool.w as double)) - ln(-ln({_u('matched')})))"))
-def _(spark, d):
-    return sampling.sample(positives(spark, d), "g", "seq", "i", "matched", 3.0).select("source_row_id", "g")
-
-
-@query("N05_negatives_hard", _drawn_sql("(case when pool.g = pos.g then -1e9 else -levenshtein(pos.g, pool.g) end)"))
-def _(spark, d):
-    return sampling.sample(positives(spark, d), "g", "seq", "i", "hard", 3.0).select("source_row_id", "g")
-
-
-@query("N06_negatives_uniform", f"with {POSITIVES}, f as (select seq, min(i) i from pos group by seq) select i source_row_id, pool.g from f, pool where not exists (select 1 from pos k where k.seq = f.seq and k.g = pool.g)")
-def _(spark, d):
-    return sampling.sample(positives(spark, d), "g", "seq", "i", "uniform").select("source_row_id", "g")
-
-
-@query("N10_negative_summary", f"with n as ({_drawn_sql(f'(-{_u(chr(115) + chr(104) + chr(117) + chr(102) + chr(102) + chr(108) + chr(101))})')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct p_name) n_sequences, cast(0 as bigint) n_collisions from n join part on p_partkey = source_row_id")
-def _(spark, d):
-    pos = positives(spark, d)
-    return sampling.summary(sampling.sample(pos, "g", "seq", "i", "shuffle", 3.0), pos, "g", "seq")
-
-
 @query("W07_cap_per_group", f"with {PAIRED}, n as (select i, g, row_number() over (partition by g order by {rng.unit_sql(chr(39) + '0' + chr(39), chr(39) + 'cap' + chr(39), 'i')}, i) n from paired) select g, i from n where n <= 20")
 def _(spark, d):
     return sampling.cap_per_group(paired(spark, d), "g", "i", 20).select("g", "i")
 
 
-@query("C09_distance_eligible", f"""with {PAIRED}, t as (select distinct g from paired) select t.g, s.seq from t, (select distinct seq from paired) s where not exists (select 1 from paired k where k.seq = s.seq and k.i % 40 = 0 and levenshtein(k.g, t.g) <= 0)""")
-def _(spark, d):
-    rows = paired(spark, d)
-    return sampling.distance_eligible(rows, rows.filter("i % 40 = 0"), rows, "g", "seq", 0)
-
-
-@query("N11_evaluation_set", f"""with {PAIRED}, pos as (select *, row_number() over (partition by g order by {rng.unit_sql("'0'", "'cap'", "i")}, i) n from paired where i % 40 = 0), c as (select g, seq from pos where n <= 5), w as (select g, 3 * count(*) want from c group by g),
-  el as (select w.g, s.seq, want from w, (select distinct seq from paired) s where not exists (select 1 from paired k where k.i % 40 = 0 and k.seq = s.seq and k.g = w.g)),
-  r as (select *, row_number() over (partition by g order by {rng.unit_sql("'0'", "'negative'", "g", "seq")}, seq) n from el)
-  select g, seq, 1 as label from c union all select g, seq, 0 from r where n <= want""")
-def _(spark, d):
-    rows = paired(spark, d)
-    pos = rows.filter("i % 40 = 0")
-    eligible = sampling.distance_eligible(rows, pos, pos, "g", "seq", 0)
-    return sampling.evaluation_set(pos, eligible, "g", "seq", "i", 5, 3)
-
-
 @query("N12_background", f"""with {PAIRED}, p as (select distinct g, seq from paired where y = 1), c as (select t.g, s.seq, row_number() over (partition by t.g order by {rng.unit_sql("'0'", "'background'", "t.g", "s.seq")}, s.seq) n
   from (select distinct g from p) t, (select distinct seq from paired) s where not exists (select 1 from p where p.g = t.g and p.seq = s.seq)) select g, seq from c where n <= 10""")
 def _(spark, d):
@@ -468,10 +418,9 @@ def _(spark, d):
     return sampling.label_batches(paired(spark, d), "g", "i", 10, 4, 3)
 
 
-# The queries on id subsets above keep their SQL. The same operators on whole tables follow; customers take the place of parts,
-# as at sf0.1 the parts have 1,599 of their 1,600 (name, brand) pairs as positives and leave nothing to draw.
+# Customers and their nations are the pairs to draw from: at sf0.1 parts have 1,599 of their 1,600 (name, brand) pairs as
+# positives and leave nothing to draw.
 
-OWNERS = "pos as (select n_name g, c_name seq, c_custkey i from customer join nation on c_nationkey = n_nationkey), pool as (select g, count(*) w from pos group by g)"
 
 
 def owners(spark: SparkSession, d: str) -> DataFrame:
@@ -479,43 +428,39 @@ def owners(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(nation, "c_nationkey").select("g", F.col("c_name").alias("seq"), F.col("c_custkey").alias("i"), F.lit(1).alias("label"))
 
 
-def _whole_sql(key: str) -> str:
-    return _drawn_sql(key).replace(POSITIVES, OWNERS)
-
-
-@query("N03_negatives_shuffle_whole", _whole_sql(f"(-{_u('shuffle')})"))
+@query("N03_negatives_shuffle", _drawn_sql(f"(-{_u('shuffle')})"))
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "shuffle", 3.0).select("source_row_id", "g")
 
 
-@query("N04_negatives_matched_whole", _whole_sql(f"(ln(cast(pool.w as double)) - ln(-ln({_u('matched')})))"))
+@query("N04_negatives_matched", _drawn_sql(f"(ln(cast(pool.w as double)) - ln(-ln({_u('matched')})))"))
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "matched", 3.0).select("source_row_id", "g")
 
 
-@query("N05_negatives_hard_whole", _whole_sql("(case when pool.g = pos.g then -1e9 else -levenshtein(pos.g, pool.g) end)"))
+@query("N05_negatives_hard", _drawn_sql("(case when pool.g = pos.g then -1e9 else -levenshtein(pos.g, pool.g) end)"))
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "hard", 3.0).select("source_row_id", "g")
 
 
-@query("N06_negatives_uniform_whole", f"with {OWNERS} select pos.i source_row_id, pool.g from pos, pool where pos.g <> pool.g")
+@query("N06_negatives_uniform", f"with {OWNERS} select pos.i source_row_id, pool.g from pos, pool where pos.g <> pool.g")
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "uniform").select("source_row_id", "g")
 
 
-@query("N10_negative_summary_whole", f"with n as ({_whole_sql(f'(-{_u(chr(115) + chr(104) + chr(117) + chr(102) + chr(102) + chr(108) + chr(101))})')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct c_name) n_sequences, cast(0 as bigint) n_collisions from n join customer on c_custkey = source_row_id")
+@query("N10_negative_summary", f"with n as ({_drawn_sql(f'(-{_u(chr(115) + chr(104) + chr(117) + chr(102) + chr(102) + chr(108) + chr(101))})')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct c_name) n_sequences, cast(0 as bigint) n_collisions from n join customer on c_custkey = source_row_id")
 def _(spark, d):
     pos = owners(spark, d)
     return sampling.summary(sampling.sample(pos, "g", "seq", "i", "shuffle", 3.0), pos, "g", "seq")
 
 
-@query("C09_distance_eligible_whole", f"with {OWNERS} select pool.g, pos.seq from pos, pool where levenshtein(pos.g, pool.g) > 0")
+@query("C09_distance_eligible", f"with {OWNERS} select pool.g, pos.seq from pos, pool where levenshtein(pos.g, pool.g) > 0")
 def _(spark, d):
     rows = owners(spark, d)
     return sampling.distance_eligible(rows, rows, rows, "g", "seq", 0)
 
 
-@query("N11_evaluation_set_whole", f"""with {OWNERS}, n as (select *, row_number() over (partition by g order by {rng.unit_sql("'0'", "'cap'", "i")}, i) n from pos), c as (select g, seq from n where n <= 5), w as (select g, 3 * count(*) want from c group by g),
+@query("N11_evaluation_set", f"""with {OWNERS}, n as (select *, row_number() over (partition by g order by {rng.unit_sql("'0'", "'cap'", "i")}, i) n from pos), c as (select g, seq from n where n <= 5), w as (select g, 3 * count(*) want from c group by g),
   r as (select w.g, pos.seq, want, row_number() over (partition by w.g order by {rng.unit_sql("'0'", "'negative'", "w.g", "pos.seq")}, pos.seq) n from w, pos where pos.g <> w.g)
   select g, seq, 1 as label from c union all select g, seq, 0 from r where n <= want""")
 def _(spark, d):
@@ -523,38 +468,19 @@ def _(spark, d):
     return sampling.evaluation_set(pos, sampling.distance_eligible(pos, pos, pos, "g", "seq", 0), "g", "seq", "i", 5, 3)
 
 
-@query("E17_corr_bootstrap_whole", f"""with ok as (select i g, x, y from ({PART_G})), {BOOT_SQL}, v as (select replicate, corr(x, y) r from draws join numbered using (pos) group by replicate) select replicate, round(r, 6) r_y from v""")
+@query("E17_corr_bootstrap", f"""with ok as (select i g, x, y from ({PART_G})), {BOOT_SQL}, v as (select replicate, corr(x, y) r from draws join numbered using (pos) group by replicate) select replicate, round(r, 6) r_y from v""")
 def _(spark, d):
-    return bootstrap.correlation_over_points(points(spark, d).withColumnRenamed("i", "k"), "k", "x", "y", 20, seed=7).select("replicate", *r6("r_y"))
+    return bootstrap.correlation_over_points(points(spark, d).withColumnRenamed("i", "k"), "k", "x", "y", REPLICATES, seed=7).select("replicate", *r6("r_y"))
 
 
 # ---- splits ---------------------------------------------------------------------------------------------------------
 
-EDGE_SQL = "edges as (select 'l|' || l_suppkey a, 'r|' || l_orderkey b from lineitem where l_quantity >= 49 and l_discount >= 0.09e0)"
-
-
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter((F.col("l_quantity") >= 49) & (F.col("l_discount") >= 0.09)).select("l_suppkey", "l_orderkey", "l_linenumber")
-
-
-@query("P01_component_labels", f"""with recursive {EDGE_SQL}, both_ as (select a, b from edges union select b, a from edges), walk(node, seen) as (select a, a from both_ union select w.node, b.b from walk w join both_ b on b.a = w.seen)
-  select node, min(seen) component from walk group by node""")
-def _(spark, d):
-    return splits.component_labels(edges(spark, d), "l_suppkey", "l_orderkey")
-
-
-@query("P02_component_split")
-def _(spark, d):
-    labelled = splits.row_components(edges(spark, d), "l_suppkey", "l_orderkey")
-    return splits.component_split(labelled, 0.3).select("l_suppkey", "l_orderkey", "component", "side")
-
-
-@query("P01_component_labels_whole")
+@query("P01_component_labels")
 def _(spark, d):
     return splits.component_labels(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
 
 
-@query("P02_component_split_whole")
+@query("P02_component_split")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
     labelled = splits.row_components(rows, "l_suppkey", "l_orderkey")

@@ -1,21 +1,36 @@
-"""Driver tables, and lineage cuts in the folder that all executors share."""
+"""Driver tables, and tables cut off from their lineage in the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; in local mode, where any folder is shared, under one of our own if that is unset."""
+    found, app, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId, spark.sparkContext.master
+    if not found:
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="rankloom-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        found = f"file://{_own[app]}"
+    return f"{found.rstrip('/')}/rankloom-{app}/{uuid.uuid4().hex[:12]}-{name}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in spark.checkpoint.dir, or in a folder of our own where that is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    """`df` computed once, as a Parquet table in the shared folder."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

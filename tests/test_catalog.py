@@ -24,7 +24,7 @@ def plain(v):
     return str(v)
 
 
-QUICK = ["E03_auc01_by_group", "E06_weighted_auc01", "E10_score_diagnostics", "E07_bootstrap_groups_macro", "R02_nearest_positive_edit", "R05_nearest_topk", "N04_negatives_matched", "P01_component_labels", "P07_joint_novelty", "M01_pwm_scores", "W04_group_rank_norm"]
+QUICK = ["E03_auc01_by_group", "E06_weighted_auc01", "E10_score_diagnostics", "E07_bootstrap_groups_macro", "R02_nearest_positive_edit", "R05_nearest_topk", "P07_joint_novelty", "M01_pwm_scores", "W04_group_rank_norm"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -48,7 +48,7 @@ def test_entry_and_registry(spark):
 WHOLE = ["N03_negatives_shuffle", "N04_negatives_matched", "N05_negatives_hard", "N06_negatives_uniform", "N10_negative_summary", "C09_distance_eligible", "N11_evaluation_set", "E17_corr_bootstrap"]
 
 
-@pytest.mark.parametrize("name", [f"{n}_whole" for n in WHOLE])
+@pytest.mark.parametrize("name", [n for n in WHOLE])
 def test_whole_table_query_equals_sql(spark, tiny, duck, name):
     test_query_equals_sql(spark, tiny, duck, name)
 
@@ -57,9 +57,9 @@ def test_whole_table_queries_leave_no_row_out(spark, tiny, duck):
     n, groups = duck.sql("select count(*), count(distinct c_nationkey) from customer").fetchall()[0]
     for name in ("shuffle", "matched", "hard"):
         number = {"shuffle": 3, "matched": 4, "hard": 5}[name]
-        rows = catalog.QUERIES[f"N0{number}_negatives_{name}_whole"](spark, tiny).collect()
+        rows = catalog.QUERIES[f"N0{number}_negatives_{name}"](spark, tiny).collect()
         assert len(rows) == len(set(rows)) == 3 * n and len({r.source_row_id for r in rows}) == n
-    assert catalog.QUERIES["N06_negatives_uniform_whole"](spark, tiny).count() == n * (groups - 1)
+    assert catalog.QUERIES["N06_negatives_uniform"](spark, tiny).count() == n * (groups - 1)
 
 
 def test_components_of_all_edges(spark, tiny, duck):
@@ -75,7 +75,7 @@ def test_components_of_all_edges(spark, tiny, duck):
         x, y = find(f"l|{a}"), find(f"r|{b}")
         parent[max(x, y)] = min(x, y)
     want = {x: find(x) for x in list(parent)}
-    assert {r.node: r.component for r in catalog.QUERIES["P01_component_labels_whole"](spark, tiny).collect()} == want
-    rows = catalog.QUERIES["P02_component_split_whole"](spark, tiny).collect()
+    assert {r.node: r.component for r in catalog.QUERIES["P01_component_labels"](spark, tiny).collect()} == want
+    rows = catalog.QUERIES["P02_component_split"](spark, tiny).collect()
     assert sorted((r.l_suppkey, r.l_orderkey) for r in rows) == sorted(edges)
     assert all(r.component == want[f"l|{r.l_suppkey}"] for r in rows) and len({(r.component, r.side) for r in rows}) == len(set(want.values()))
