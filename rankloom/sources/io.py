@@ -93,8 +93,11 @@ def load_pseudo_sequences(spark: SparkSession, path: str, alleles: DataFrame, le
     return out.select("Allele", "sequence")
 
 
-def load_contract(path: str) -> dict[str, Any]:
-    found = json.loads(Path(path).read_text())
+def load_contract(spark: SparkSession, path: str) -> dict[str, Any]:
+    """The JSON object of a small file, wherever Spark can read it."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"{path} is missing")
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
     if not isinstance(found, dict):
         raise ContractError(f"{path} holds no object")
     return found
@@ -182,6 +185,14 @@ def load_or_build_vectors(spark: SparkSession, path: str, model: str, layer: int
     return validate_vectors(read_vectors(spark, path, model, layer), expected)
 
 
+def write_text(spark: SparkSession, content: str, path: str) -> None:
+    """One small file, through Spark's file system; an existing one is never overwritten."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
 def write_json(record: dict[str, Any], path: str, sort_keys: bool = True, allow_nan: bool = False) -> None:
     """A small result record, two spaces deep; a number that is not finite is an error."""
     text = json.dumps(record, indent=2, sort_keys=sort_keys, allow_nan=allow_nan)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from rankloom.plans import catalog
+from rankloom.plans import catalog, catalog_rows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -79,3 +79,8 @@ def test_components_of_all_edges(spark, tiny, duck):
     rows = catalog.QUERIES["P02_component_split"](spark, tiny).collect()
     assert sorted((r.l_suppkey, r.l_orderkey) for r in rows) == sorted(edges)
     assert all(r.component == want[f"l|{r.l_suppkey}"] for r in rows) and len({(r.component, r.side) for r in rows}) == len(set(want.values()))
+
+
+@pytest.mark.parametrize("name", [n for n, f in catalog.QUERIES.items() if f.__module__ == catalog_rows.__name__])
+def test_row_query_equals_sql(spark, tiny, duck, name):
+    test_query_equals_sql(spark, tiny, duck, name)
