@@ -43,6 +43,7 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000
 WINDOW, STEP = 64, 32
 BASE_BYTES, CLASS_BYTES, TRAIN_BYTES = 100_000, 6144, 8 << 20
 SHORT, LONG, LEAST_MATCH, LEAST_TEXTS, OFTEN, COPY = 6, 8, 6, 5, 60, 24
+STRATEGY = zstandard.STRATEGY_BTLAZY2
 FOLDS, FALSE_SHARE = 3, 0.01
 TIERS = (20.0, 6.0, 2.5, 1.5)
 LOWEST, HIGHEST = -2, 9
@@ -127,7 +128,7 @@ class Lengths:
 
     def __init__(self, dictionary: bytes):
         settings = zstandard.ZstdCompressionParameters.from_level(
-            19, strategy=zstandard.STRATEGY_BTULTRA, search_log=5, target_length=32, min_match=LEAST_MATCH, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False
+            19, strategy=STRATEGY, search_log=5, target_length=32, min_match=LEAST_MATCH, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False
         )
         kind = zstandard.DICT_TYPE_FULLDICT if dictionary.startswith(_MAGIC) else zstandard.DICT_TYPE_RAWCONTENT
         data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
