@@ -34,6 +34,7 @@ from rankloom.llm.common import CHUNK_BYTES, Words, pieces, ready
 PER_LANGUAGE, SAMPLE = 2000, 128_000
 BITS, CELLS, SMOOTH = 16, 1 << 24, 0.5
 ROUNDS, PENALTY = 8, 2.0
+FEW = 100_000  # languages, a name and a number each, that may be broadcast
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -67,7 +68,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     want = max(1, min(per_language, sample // len(there)))
     most = 1 << 30
     bounds = spark.createDataFrame([(r[0], most if r[1] <= want else max(1, most * want // r[1])) for r in there], "lang string, below long")
-    chosen = usable.join(bounds, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(most)) < F.col("below")).select("lang", "text")
+    chosen = usable.join(F.broadcast(bounds) if len(there) <= FEW else bounds, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(most)) < F.col("below")).select("lang", "text")
     bits = table_bits(len(there))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
