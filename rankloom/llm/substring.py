@@ -7,12 +7,15 @@ the shuffle, so copies meet as one row. Of every minimiser that occurs in severa
 travels once, as a packed string, to the bucket of that minimiser, where sorting the windows finds the smallest document of
 each; neighbours in that order are compared byte by byte. Strings of a minimiser with more than HOT different ones are cut
 again by the minimisers of another hash function, up to SPLITS times, and go to the buckets of those; what is crowded even
-then is cut into strings of one window, where equal names are equal windows. So no bucket holds more than HOT strings.
+then is cut into strings of one window, where strings with equal minimiser and name, two hashes of 64 bits, are taken as
+equal windows. A super-k-mer of more than LONGEST windows, as in a text that repeats itself, is cut before it travels. So no
+bucket holds more than HOT strings, nor more than HOT * LONGEST windows.
 
-The windows of every document are judged on the input. Nothing is capped or sampled.
+The windows of every document are judged on the input, and rows that share a doc_id each for itself: spans belong to a
+doc_id and the hash of a text. Nothing is capped or sampled.
 
 Defined results: null text and texts shorter than a window lose nothing; rows with a null doc_id neither remove words nor
-lose any; repeated rows of one doc_id don't remove each other; a very long text is one row of its task, whose memory is a
+lose any; rows of one doc_id, with equal or other texts, don't remove each other's words; a very long text is one row of its task, whose memory is a
 small multiple of its bytes; of equal windows that with the smallest doc_id stays; an empty table gives an empty result;
 further columns are ignored by removed_spans() and substring_digest() and kept by cut_repeats(), whatever their names.
 """
@@ -26,12 +29,13 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import BASES, Words, mix, parts, pieces, ready, signed, span_hash, written
 
 WINDOW, CORE, HOT, SPLITS = 50, 8, 1000, 2
+LONGEST = 200  # windows of a super-k-mer; words that don't repeat give fewer than WINDOW
 BATCH_BYTES = 1 << 20
 _RUNS = "array<struct<at: int, n: int, doc: long>>"
 
@@ -61,9 +65,18 @@ def super_kmers(text: Words, window: int, core: int, order: int = 0) -> tuple[np
     fresh[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
     start = np.flatnonzero(fresh)
     stop = np.flatnonzero(inside & ~np.r_[inside[1:] & ~fresh[1:], False]) + 1
+    cuts = -(-(stop - start) // LONGEST)  # equal super-k-mers are cut at equal places
+    if (cuts > 1).any():
+        start = np.repeat(start, cuts) + LONGEST * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        stop = np.minimum(np.repeat(stop, cuts), start + LONGEST)
     return least[start], start, stop - start
 
 
+def mark() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def _places(docs: DataFrame, window: int, core: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -72,31 +85,31 @@ def _places(docs: DataFrame, window: int, core: int) -> DataFrame:
             doc = text.doc[start]
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             name = span_hash(text.hashes, start, start + n + window - 1, 2)
-            cols = [signed(least), signed(name), ids[doc], (start - text.first[doc]).astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "name", "doc_id", "start", "n"])
+            cols = [signed(least), signed(name), ids[doc], batch.column("mark").to_numpy()[doc], (start - text.first[doc]).astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "name", "doc_id", "mark", "start", "n"])
 
-    some = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    return some.mapInArrow(find, "core long, name long, doc_id long, start int, n int")
+    some = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", mark().alias("mark"))
+    return some.mapInArrow(find, "core long, name long, doc_id long, mark long, start int, n int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, body): UTF-8 texts under zstd, so that a shuffle of whole texts stays small."""
+    """(doc_id, mark, body): UTF-8 texts under zstd, so that a shuffle of whole texts stays small."""
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text"):
             body = [None if t is None else press.compress(t.encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(body, pa.binary())], ["doc_id", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array(body, pa.binary())], ["doc_id", "mark", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(shrink, "doc_id long, body binary")
+    return docs.select("doc_id", "text", mark().alias("mark")).mapInArrow(shrink, "doc_id long, mark long, body binary")
 
 
 def unpack(body: bytes | None) -> bytes:
     return b"" if body is None else zstandard.ZstdDecompressor().decompress(body)
 
 
-def _strings(docs: DataFrame, wanted: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """The words of the wanted super-k-mers (core, name, doc_id, start, n, hot), read from the documents that hold them."""
+def _strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The words of the wanted super-k-mers (core, name, doc_id, mark, start, n, hot), read from the documents that hold them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +122,7 @@ def _strings(docs: DataFrame, wanted: DataFrame, window: int) -> tuple[DataFrame
                 fits = start + n + window - 1 <= len(text)
                 name = signed(span_hash(text.hashes, np.where(fits, start, 0), np.where(fits, start + n + window - 1, 0), 2))
                 for a, ok, got in zip(asked, fits.tolist(), name.tolist(), strict=True):
-                    if ok and got == a["name"]:  # else another row has taken the same doc_id
+                    if ok and got == a["name"]:  # else another text has the same doc_id and mark
                         rows.append((a["core"], a["name"], doc, a["n"], a["hot"], text.join(a["start"], a["start"] + a["n"] + window - 1)))
                         held += len(rows[-1][-1])
                 if held > BATCH_BYTES:
@@ -122,8 +135,8 @@ def _strings(docs: DataFrame, wanted: DataFrame, window: int) -> tuple[DataFrame
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["core", "name", "doc_id", "n", "hot", "body"])
 
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("core", "name", "start", "n", "hot")).alias("asked"))
-    found = packed(docs.filter("doc_id is not null and text is not null")).join(asked, "doc_id")
+    asked = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("core", "name", "start", "n", "hot")).alias("asked"))
+    found = packed(docs.filter("doc_id is not null and text is not null")).join(asked, ["doc_id", "mark"])
     return found.mapInArrow(cut, "core long, name long, doc_id long, n int, hot boolean, body binary")
 
 
@@ -233,19 +246,19 @@ def _cut_again(strings: DataFrame, window: int, core: int, hot: int, order: int)
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, hot: int = HOT) -> DataFrame:
-    """(doc_id, spans) for each document that loses words; spans holds word intervals (first, end), which may overlap."""
+    """(doc_id, mark, spans) for each text that loses words; spans holds word intervals (first, end), which may overlap."""
     ready(docs.sparkSession)
     places = written(_places(docs, window, core), "places")
-    kinds = places.groupBy("core", "name").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("start"), F.first("n").alias("n"))
+    kinds = places.groupBy("core", "name").agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.max("doc_id").alias("last"), F.first("n").alias("n")).select("core", "name", "first.*", "last", "n")
     # two aggregates with a partial step and a join that can be split, so a minimiser of a common passage is no task's burden
     shared = kinds.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("kinds")).filter("low < high")
-    wanted = written(kinds.join(shared, "core").select("core", "name", "doc_id", "start", "n", (F.col("kinds") > hot).alias("hot")), "kinds")
+    wanted = written(kinds.join(shared, "core").select("core", "name", "doc_id", "mark", "start", "n", (F.col("kinds") > hot).alias("hot")), "kinds")
     strings = written(_strings(docs, wanted, window), "strings")
     answers = _answers(strings, window, core, hot)
 
-    hits = places.select("core", "name", "doc_id", "start").join(answers, ["core", "name"]).select("doc_id", "start", F.explode(F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))).alias("r"))
+    hits = places.select("core", "name", "doc_id", "mark", "start").join(answers, ["core", "name"]).select("doc_id", "mark", "start", F.explode(F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))).alias("r"))
     first = F.col("start") + F.col("r.at")
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct(first.alias("first"), (first + F.col("r.n") + (window - 1)).alias("end"))).alias("spans"))
+    return hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(first.alias("first"), (first + F.col("r.n") + (window - 1)).alias("end"))).alias("spans"))
 
 
 def _mask(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -273,7 +286,7 @@ def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     spans = removed_spans(docs, window)
-    return packed(docs).join(spans, "doc_id", "left").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return packed(docs).join(spans, ["doc_id", "mark"], "left").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -296,6 +309,6 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     names = docs.columns
     spans = removed_spans(docs, window)
-    joined = docs.select("doc_id", F.struct(*(F.col(f"`{n}`") for n in names)).alias("row")).join(spans, "doc_id", "left").select("row", "spans")
+    joined = docs.select("doc_id", mark().alias("mark"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("row")).join(spans, ["doc_id", "mark"], "left").select("row", "spans")
     out = joined.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -89,3 +89,32 @@ def test_sliding_min():
     v = np.random.default_rng(0).integers(0, 100, 60)
     for width in (1, 2, 3, 7, 8, 43):
         assert substring.sliding_min(v, width).tolist() == [v[i : i + width].min() for i in range(len(v) - width + 1)]
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    """A row of the same doc_id but another text keeps its own words; it may still lose those that an earlier document has."""
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(70)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + " " + c), (3, c), (3, c), (2, None), (2, "short")]
+    for hot in (1000, 1):
+        spans = substring.removed_spans(frame(spark, rows), hot=hot)
+        assert {(x.doc_id, len(x.spans) > 0) for x in spans.collect()} == {(2, True), (3, True)}
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring.substring_digest(frame(spark, rows)).collect())
+    assert got == [(1, 70, 0), (2, 0, 0), (2, 1, 0), (2, 70, 0), (2, 70, 70), (3, 70, 0), (3, 70, 0), (3, 140, 70)]
+    kept = sorted((x.doc_id, x.text or "") for x in substring.cut_repeats(frame(spark, rows)).collect())
+    assert kept == sorted([(1, a), (2, ""), (2, b), (3, c), (3, c), (3, c), (2, ""), (2, "short")])
+
+
+def test_texts_that_repeat_themselves_travel_in_bounded_strings(spark):
+    docs = [(d, "again " * (300 + 7 * d) + f"end{d} ") for d in range(60)] + [(100 + d, ("a b " * (400 + d)) + f"x{d}") for d in range(20)]
+    assert digest(substring.substring_digest(frame(spark, docs))) == brute.substring_dedup(docs)
+    text = substring.Words(substring.pa.array(["again " * 20_000]))
+    _, start, n = substring.super_kmers(text, 50, 8)
+    assert n.max() <= substring.LONGEST and n.sum() == 20_000 - 49 and (start[1:] == start[:-1] + n[:-1]).all()
+    strings = substring._strings(frame(spark, docs), _wanted(spark, docs), 50).collect()
+    assert max(len(x.body.split()) for x in strings) <= substring.LONGEST + 49
+
+
+def _wanted(spark, docs):
+    places = substring._places(frame(spark, docs), 50, 8)
+    return places.selectExpr("core", "name", "doc_id", "mark", "start", "n", "false AS hot")
