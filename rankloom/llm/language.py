@@ -9,8 +9,10 @@ proportion.
 
 The tables are learned from a bounded sample: of each language about PER_LANGUAGE documents, fewer where all languages
 together would exceed SAMPLE; those whose hash of doc_id lies under a threshold that follows from the language's count, so
-nothing is ranked or shuffled. Every language of the training rows is learned; with very many the tables have fewer cells,
-so that all of them together stay within CELLS. Every word of every text is used in a prediction.
+nothing is ranked or shuffled. Every language with a letter in its training texts is learned, from one text at least; with
+very many the tables have fewer cells, so that all of them together stay within CELLS. What a language hasn't shown has the
+share UNSEEN in each, whatever its size, so a language of few texts doesn't win the words that none knows. Every word of
+every text is used in a prediction.
 
 Defined results: `und` with score 0 where the text is null, empty or has no letter, or where nothing was learned; a text
 whose letters are in no word of a learned script still gets a learned language; a very long text is looked at whole, with
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import CHUNK_BYTES, Words, pieces, ready
 
 PER_LANGUAGE, SAMPLE = 2000, 128_000
-BITS, CELLS, SMOOTH = 16, 1 << 24, 0.5
+BITS, CELLS, UNSEEN = 16, 1 << 24, 0.01
 ROUNDS, PENALTY = 8, 2.0
 FEW = 100_000  # languages, a name and a number each, that may be broadcast
 _LETTER = regex.compile(r"\p{L}")
@@ -62,13 +64,14 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     """Names of the languages, and log-probabilities (languages, 2**bits)."""
     spark = ready(docs.sparkSession)
     usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    there = usable.groupBy("lang").count().collect()  # a row for each language
+    most = 1 << 30
+    usable = usable.filter(F.rlike("text", F.lit(r"\p{L}"))).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(most)))
+    there = usable.groupBy("lang").agg(F.count(F.lit(1)), F.min("draw")).collect()  # a row for each language
     if not there:
         return [], np.zeros((0, 1 << BITS), np.float32)
     want = max(1, min(per_language, sample // len(there)))
-    most = 1 << 30
-    bounds = spark.createDataFrame([(r[0], most if r[1] <= want else max(1, most * want // r[1])) for r in there], "lang string, below long")
-    chosen = usable.join(F.broadcast(bounds) if len(there) <= FEW else bounds, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(most)) < F.col("below")).select("lang", "text")
+    bounds = spark.createDataFrame([(r[0], most if r[1] <= want else max(r[2] + 1, most * want // r[1])) for r in there], "lang string, below long")
+    chosen = usable.join(F.broadcast(bounds) if len(there) <= FEW else bounds, "lang").filter(F.col("draw") < F.col("below")).select("lang", "text")
     bits = table_bits(len(there))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +93,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
 
     counts = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
     names = sorted(r[0] for r in there)
-    table = np.full((len(names), 1 << bits), SMOOTH, np.float32)
+    table = np.zeros((len(names), 1 << bits), np.float32)
     for name, own in counts.groupby("lang"):
         table[names.index(name), own["gram"].to_numpy()] += own["n"].to_numpy()
-    return names, np.log(table / table.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
+    share = table / table.sum(1, keepdims=True, dtype=np.float64)
+    return names, np.log((1 - UNSEEN) * share + UNSEEN / (1 << bits)).astype(np.float32)
 
 
 def _mixture(like: np.ndarray, weight: np.ndarray, first: np.ndarray, doc: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
