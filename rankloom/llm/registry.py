@@ -98,7 +98,7 @@ def _sort_means_sql() -> str:
     """Every round of op11 as two queries: nearest centroid of each vector by a full scan, then the new centroids."""
     k, dims = sortmeans.K, sortmeans.DIMS
     steps = [
-        f"kept AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)",
+        f"kept AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
         f"v AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor({sortmeans.SCALE} * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM kept)",
         f"named AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('{sortmeans.SEED}:' || vec_id)) - 1 AS c FROM kept)",
         f"c0 AS MATERIALIZED (SELECT named.c, v.i, v.x FROM v JOIN named USING (vec_id) WHERE named.c < {k})",
