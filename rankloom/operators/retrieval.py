@@ -6,8 +6,10 @@ can split a hot group; the best match is a plain aggregate with a partial step b
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,56 @@ def nearest_positive(
     )
 
 
+def nearest_vectors(queries: DataFrame, entries: DataFrame, group: str, key: str, query_vector: str, entry_vector: str, top_k: int = 1, block: int = 2048) -> DataFrame:
+    """`queries` with score, nearest, has_database and database_size, by cosine and as blocked matrix products.
+
+    Queries and entries of a group are dealt into blocks of about `block` rows; a task multiplies one block of either side,
+    so a hot group is many tasks and no pair of rows is a row of Spark's. Of each query a block passes on its top_k best.
+    Similarities are compared to 12 places; ties go to the smallest entry; a zero vector has no similarity. (group, key) is
+    unique among the queries, (group, entry) among the entries; score is the mean of the top_k, or the best if there are fewer.
+    """
+    kind, entry_kind = dict(queries.dtypes)[key], dict(entries.dtypes)["entry"]
+    group_kind = dict(queries.dtypes)[group]
+    sides = []
+    for df, name, vector in ((queries, key, query_vector), (entries, "entry", entry_vector)):
+        own = df.select(group, F.col(name).alias("name"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter(F.col(group).isNotNull() & F.col("v").isNotNull())
+        blocks = own.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_n"))
+        dealt = own.join(blocks, group).withColumn("_block", F.pmod(F.xxhash64("name"), F.col("_n")))
+        sides.append(dealt.groupBy(group, "_block").agg(F.array_sort(F.collect_list(F.struct("name", "v"))).alias("rows")))
+    pairs = sides[0].select(group, F.col("rows").alias("q")).join(sides[1].select(group, F.col("rows").alias("e")), group)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = lambda rows: (lambda m: m / np.sqrt((m * m).sum(1, keepdims=True)))(rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, e = (batch.column(c)[i].values for c in ("q", "e"))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.round(unit(q) @ unit(e).T, 12)
+                s = np.where(np.isnan(s), -np.inf, s)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :top_k] if top_k > 1 else s.argmax(1)[:, None]  # entries are in order, so the first of equals is the smallest
+                at, name = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+                score = s[at, name]
+                ok = np.isfinite(score)
+                head = np.r_[True, at[1:] != at[:-1]]  # one row of each query carries the number of entries
+                some = ok | head
+                take = lambda c, k: c.field("name").take(pa.array(k[some]))
+                groups = pa.array([batch.column("g")[i].as_py()] * int(some.sum()), batch.column("g").type)
+                yield pa.RecordBatch.from_arrays([groups, take(q, at), take(e, name), pa.array(np.where(ok, score, 0.0)[some], mask=~ok[some]), pa.array(np.where(head, len(e), 0)[some], pa.int64())], ["g", "name", "entry", "sim", "size"])
+
+    found = pairs.withColumnRenamed(group, "g").mapInArrow(multiply, f"g {group_kind}, name {kind}, entry {entry_kind}, sim double, size long")
+    aggs = [F.min(F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("d"), "entry"))).alias("_best"), F.sum("size").alias("_size")]
+    if top_k > 1:
+        aggs.append(F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, top_k).alias("_top"))  # top_k of each block
+    per = found.groupBy(F.col("g").alias(group), F.col("name").alias(key)).agg(*aggs)
+    score = -F.col("_best.d")
+    if top_k > 1:
+        score = F.when(F.size("_top") == F.least(F.lit(top_k), F.col("_size")), F.aggregate("_top", F.lit(0.0), lambda a, x: a + x) / F.size("_top")).otherwise(score)
+    return queries.join(per, [group, key], "left").select(
+        *queries.columns, F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce(F.col("_best.entry").cast("string"), F.lit("")).alias("nearest"),
+        F.col("_size").isNotNull().alias("has_database"), F.coalesce("_size", F.lit(0)).cast("long").alias("database_size"),
+    )
+
+
 def exact_match_mask(test: DataFrame, train: DataFrame, group: str, seq: str, label: str | None = None) -> DataFrame:
     """`test` with `exact`: the pair is a training pair (a positive one, where there is a label)."""
     known = database(train, group, seq, label).select(group, F.col("entry").alias(seq), F.lit(True).alias("_hit"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text, vector
-from rankloom.operators import bootstrap, checks, metrics, models, retrieval, sampling, splits, stats, summary
+from rankloom.operators import bootstrap, checks, metrics, models, projection, retrieval, sampling, splits, stats, summary
 from rankloom.plans import experiment
 from rankloom.sources import io
 from rankloom.sources.tables import table
@@ -306,13 +306,63 @@ COS = "list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_p
 @query("R03_nearest_cosine", f"""with t as (select vec_id, label, cast(embedding as double[]) v from embeddings), q as (select * from t where vec_id % 5 = 0), e as (select * from t where vec_id % 5 <> 0)
   select q.vec_id, round(max({COS}), 6) score, arg_max(e.vec_id, {COS}) nearest, count(*) database_size from q join e using (label) group by q.vec_id""")
 def _(spark, d):
-    v = table(spark, d, "embeddings")
+    return _nearest_vectors(table(spark, d, "embeddings"))
+
+
+def _nearest_vectors(v: DataFrame, **options) -> DataFrame:
+    """Nearest of the other vectors of a label to every fifth one."""
     entries = v.filter("vec_id % 5 <> 0").select("label", F.col("vec_id").alias("entry"), F.col("embedding").alias("w"))
-    q = v.filter("vec_id % 5 = 0").select("label", "vec_id", "embedding")
-    out = retrieval.nearest_positive(q, entries, "label", "vec_id", vector.cosine, query_vector="embedding", entry_vector="w")
+    out = retrieval.nearest_vectors(v.filter("vec_id % 5 = 0").select("label", "vec_id", "embedding"), entries, "label", "vec_id", "embedding", "w", **options)
     return out.select("vec_id", F.round("score", 6).alias("score"), F.col("nearest").cast("long").alias("nearest"), "database_size")
 
 
+PROJECTED = "[list_sum([cast(embedding[i] as double) * (((i - 1) * 7 + (k - 1) * 5) % 11 - 5) / 11e0 for i in range(1, 65)]) for k in range(1, 17)]"
+
+
+@query("R07_projected_nearest", f"""with t as (select vec_id, label, {PROJECTED} v from embeddings), q as (select * from t where vec_id % 5 = 0), e as (select * from t where vec_id % 5 <> 0)
+  select q.vec_id, round(max({COS}), 6) score, arg_max(e.vec_id, {COS}) nearest, count(*) database_size from q join e using (label) group by q.vec_id""")
+def _(spark, d):
+    matrix = [[((i * 7 + k * 5) % 11 - 5) / 11.0 for k in range(16)] for i in range(64)]
+    return _nearest_vectors(table(spark, d, "embeddings").withColumn("embedding", projection.linear("embedding", matrix)))
+
+
+def _metric_fit(spark: SparkSession, d: str) -> tuple[DataFrame, list, list]:
+    """Vectors, and a projection in which vectors of a label lie together, learned from those that R07's queries aren't of."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    mean, scale = projection.scaling(v.filter("vec_id % 5 <> 0"), "embedding")
+    packed = []
+    for rows, n, seed in ((v.filter("vec_id % 5 not in (0, 1)"), 24, 0), (v.filter("vec_id % 5 = 1"), 8, 1)):
+        drawn = sampling.label_batches(rows, "label", "vec_id", n, 6, 8, seed)
+        packed.append(projection.packed_batches(drawn, rows, "label", "vec_id", "embedding"))
+    return v, *projection.fit(*packed, 64, mean, scale, epochs=15)
+
+
+@query("M20_metric_projection")
+def _(spark, d):
+    _, _, history = _metric_fit(spark, d)
+    return spark.createDataFrame([(e, round(float(a), 6), round(float(b), 6)) for e, a, b in history], "epoch int, training_loss double, validation_loss double")
+
+
+@query("R07_learned_retrieval")
+def _(spark, d):
+    v, heads, _ = _metric_fit(spark, d)
+    return _nearest_vectors(projection.project(v, "embedding", heads[0]).drop("embedding").withColumnRenamed("projected", "embedding"))
+
+
+@query("M20_two_towers")
+def _(spark, d):
+    """Pairs of neighbouring vectors as left and right; the score is the inner product of their projections."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    mean, scale = projection.scaling(pairs, "embedding", "other")
+    packed = []
+    for rows, n, seed in ((pairs.filter("vec_id % 5 > 1"), 24, 0), (pairs.filter("vec_id % 5 = 1"), 8, 1)):
+        packed.append(projection.packed_batches(sampling.label_batches(rows, "label", "vec_id", n, 6, 8, seed), rows, "label", "vec_id", "embedding", "other"))
+    heads, _ = projection.fit(*packed, 64, mean, scale, epochs=10)
+    both = projection.project(projection.project(pairs, "embedding", heads[0], "a"), "other", heads[1], "b")
+    return both.select("vec_id", F.round(vector.dot("a", "b"), 4).alias("score"))
+
+
 @query("R06_retrieval_by_fold", f"""with {AFFIN}, q as (select distinct g, seq, fold from affin), e as (select distinct g, seq, fold from affin where y = 1), s as (select distinct q.g, q.seq, q.fold, e.seq entry, {SIM} sim from q join e on q.g = e.g and q.fold <> e.fold)
   select g, seq, fold, round(max(sim), 6) score, arg_min(entry, row(-sim, entry)) nearest, count(*) database_size from s group by all""")
 def _(spark, d):
