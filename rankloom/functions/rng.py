@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +29,17 @@ def gumbel(weight: Column, u: Column) -> Column:
 def bounded_int(u: Column, n: Column | int) -> Column:
     """Draw with replacement from 0 to n-1."""
     return F.floor(u * n).cast("long")
+
+
+def slots(seed: int, replicate: int, count: int, first: int, end: int) -> np.ndarray:
+    """Positions that the slots first to end - 1 of a replicate draw from 0 to count - 1.
+
+    Slot k draws bounded_int(unit(seed, "group", replicate, k), count).
+    """
+    start = hashlib.md5(f"{seed}|group|{replicate}|".encode())
+    raw = bytearray()
+    for k in range(first, end):
+        h = start.copy()
+        h.update(b"%d" % k)
+        raw += h.digest()[:4]
+    return np.floor((np.frombuffer(raw, ">u4") + 0.5) / 4294967296.0 * count).astype(np.int64)

@@ -1,9 +1,4 @@
-"""Bootstrap intervals for macro metrics: over groups in SQL, over rows or both through a weighted kernel.
-
-The kernel works on tie blocks (counts of positives and negatives by distinct score), which are bounded by the evaluation
-set, checked in size and sent to the tasks; replicates are dealt out over the cluster and each is a pure function of (seed,
-replicate), so a repeated task draws the same.
-"""
+"""Bootstrap intervals for macro metrics: over groups in SQL, over rows or both through resampling.samples()."""
 
 from __future__ import annotations
 
@@ -11,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng
-from rankloom.operators import stats
-
-MOST_ROWS = 5_000_000
+from rankloom.operators import resampling, stats
+from rankloom.sources.tables import checkpointed
 
 
 def group_draws(groups: DataFrame, group: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -49,18 +44,80 @@ def paired_over_groups(by_group: DataFrame, group: str, arm: str, metric: str, f
     return macro_over_groups(common, group, "_d", replicates, seed)
 
 
+PART, SLOTS, TOGETHER = 1 << 16, 1 << 18, 32  # points of a part, slots drawn at once, replicates that go to one task
+
+
 def correlation_over_points(points: DataFrame, row_id: str, x: str, y: list[str] | str, replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, r...): Pearson r of x with each y under resampled points; undefined replicates are null."""
-    from rankloom.operators.retrieval import bounded
+    """(replicate, r...): Pearson r of x with each y under resampled points; undefined replicates are null.
 
+    Points are numbered in order of row_id and packed in parts. Slots of a replicate are drawn SLOTS at a time, and what falls
+    into a part travels there as packed positions, to meet the points; six sums a y leave each meeting. So no pair of
+    replicate and point is a row, and no task holds more than a part and the slots of one replicate.
+    """
     ys = [y] if isinstance(y, str) else y
-    draws = group_draws(bounded(points), row_id, replicates, seed)
-    rows = points.join(draws, row_id).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    out = None
-    for name in ys:
-        one = stats.pearson(rows, x, name, ["replicate"]).select("replicate", F.col("r").alias(f"r_{name}"))
-        out = one if out is None else out.join(one, "replicate", "outer")
-    return out
+    values = [f"v{i}" for i in range(len(ys) + 1)]
+    own = points.select(F.col(row_id).alias("id"), *(F.col(c).cast("double").alias(v) for c, v in zip([x, *ys], values, strict=True)))
+    centre = own.agg(*(F.round(F.coalesce(F.avg(v), F.lit(0.0)), 6).alias(v) for v in values)).first()  # keeps the sums small
+    numbered = checkpointed(_numbered(own.select("id", *((F.col(v) - centre[v]).alias(v) for v in values))))
+    count = numbered.count()
+    spark = points.sparkSession
+    rows = F.array_sort(F.collect_list(F.struct("pos", *values))).alias("rows")
+    packed = numbered.groupBy(F.floor(F.col("pos") / PART).cast("int").alias("part")).agg(rows)
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // TOGETHER))).alias("chunk")
+    held = packed.select("part", chunks, F.lit(-1).cast("long").alias("r"), "rows", F.lit(None).cast("binary").alias("drawn"))
+    blocks = max(1, -(-count // SLOTS))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                r, block = divmod(number, blocks)
+                at = np.sort(rng.slots(seed, r, count, block * SLOTS, min(count, (block + 1) * SLOTS)))
+                parts, first = np.unique(at // PART, return_index=True)
+                own = [x.astype("<u2").tobytes() for x in np.split(at % PART, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), r), pa.int64()), pa.array(own, pa.binary())], ["part", "r", "drawn"])
+
+    asked = spark.range(0, replicates * blocks, 1, max(1, min(replicates * blocks, 4 * spark.sparkContext.defaultParallelism)))
+    sent = asked.mapInArrow(draw, "part int, r long, drawn binary").select("part", F.floor(F.col("r") / TOGETHER).cast("int").alias("chunk"), "r", F.lit(None).cast(dict(packed.dtypes)["rows"]).alias("rows"), "drawn")
+    sizes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.unionByName(sent).repartition(sizes, "part", "chunk").sortWithinPartitions("part", "chunk", "r")
+    names = ["replicate", "i", "n", "x", "y", "xx", "yy", "xy", "xl", "xh", "yl", "yh"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v: list[np.ndarray] = []
+        for batch in batches:
+            found = []
+            for k, r in enumerate(batch.column("r").to_pylist()):
+                if r < 0:
+                    v = [batch.column("rows")[k].values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in values]
+                    continue
+                t = np.bincount(np.frombuffer(batch.column("drawn")[k].as_py(), "<u2"), minlength=len(v[0]))
+                for i, w in enumerate(v[1:]):
+                    some = (t > 0) & ~np.isnan(v[0]) & ~np.isnan(w)
+                    a, b, n = v[0][some], w[some], t[some]
+                    ends = (a.min(), a.max(), b.min(), b.max()) if len(a) else (None,) * 4
+                    found.append((r, i, int(n.sum()), *(float(n @ c) for c in (a, b, a * a, b * b, a * b)), *ends))
+            if found:
+                kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 9]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+    sums = dealt.mapInArrow(meet, "replicate long, i int, n long, " + ", ".join(f"{c} double" for c in names[3:]))
+    ends = [f(c).alias(c) for f, c in ((F.min, "xl"), (F.max, "xh"), (F.min, "yl"), (F.max, "yh"))]
+    total = sums.groupBy("replicate", "i").agg(*(F.sum(c).alias(c) for c in names[2:8]), *ends)
+    r = F.expr("case when n >= 2 and xl < xh and yl < yh then (xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n)) end")
+    wide = total.withColumn("r", r).groupBy("replicate").pivot("i", list(range(len(ys)))).agg(F.first("r"))
+    return wide.select("replicate", *(F.col(f"`{i}`").alias(f"r_{c}") for i, c in enumerate(ys)))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """`df` with pos, its place in the order of id, by ranges: no task numbers all rows."""
+    from pyspark.sql import Window
+
+    part = F.spark_partition_id()
+    dealt = checkpointed(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("_part", part))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a partition
+    inside = Window.partitionBy("_part").orderBy("id")
+    return dealt.join(F.broadcast(sizes.drop("_n")), "_part").withColumn("pos", F.row_number().over(inside) - 1 + F.col("_before")).drop("_part", "_before")
 
 
 def block_metrics(p: np.ndarray, n: np.ndarray, fpr: float = 0.1) -> tuple[float, float, float]:
@@ -79,71 +136,17 @@ def block_metrics(p: np.ndarray, n: np.ndarray, fpr: float = 0.1) -> tuple[float
     return float(area.sum()), float(ap), float(0.5 * (1 + (part.sum() - low) / (fpr - low)))
 
 
-class _Arms:
-    """Rows by group and arm, each arm's tie blocks in order of falling score."""
-
-    def __init__(self, rows: pd.DataFrame, arms: list[str], masks: dict[str, str | None]):
-        self.groups = []
-        for _, own in rows.sort_values(["g", "i"], kind="stable").groupby("g", sort=True):
-            y = own["y"].to_numpy(float)
-            arm = {}
-            for a in arms:
-                block = np.unique(-own[a].to_numpy(float), return_inverse=True)[1]
-                keep = own[masks[a]].to_numpy(bool) if masks.get(a) else np.ones(len(own), bool)
-                arm[a] = (block, keep)
-            self.groups.append((y, arm))
-        self.arms = arms
-
-    def scorable(self, arms: list[str]) -> list[int]:
-        both = lambda y, keep: 0 < y[keep].sum() < keep.sum()
-        return [k for k, (y, arm) in enumerate(self.groups) if all(both(y, arm[a][1]) for a in arms)]
-
-    def replicate(self, number: int, seed: int, mode: str, metric: int) -> list[float]:
-        """Macro metric of each arm, all from one draw of groups and of row numbers inside them."""
-        gen = np.random.Generator(np.random.Philox(key=np.array([seed, number], np.uint64)))
-        usable = self.scorable(self.arms)
-        chosen = gen.choice(usable, len(usable)) if mode in ("groups", "both") else usable
-        found: dict[str, list[float]] = {a: [] for a in self.arms}
-        for k in chosen:
-            y, arm = self.groups[k]
-            w = np.bincount(gen.integers(0, len(y), len(y)), minlength=len(y)).astype(float) if mode in ("rows", "both") else np.ones(len(y))
-            for a in self.arms:
-                block, keep = arm[a]
-                v = w * keep
-                size = block.max() + 1
-                value = block_metrics(np.bincount(block, v * y, size), np.bincount(block, v * (1 - y), size))[metric]
-                if np.isfinite(value):
-                    found[a].append(value)
-        return [float(np.mean(v)) if v else np.nan for v in found.values()]
-
-
-METRICS = {"auroc": 0, "ap": 1, "auc01": 2}
-
-
-def replicates(rows: DataFrame, group: str, label: str, arms: list[str], row_id: str, n: int, mode: str = "both", metric: str = "auc01", seed: int = 0, masks: dict[str, str] | None = None) -> DataFrame:
+def replicates(rows: DataFrame, group: str, label: str, arms: list[str], row_id: str, n: int, mode: str = "both", metric: str = "auc01", seed: int = 0, masks: dict[str, str] | None = None, own_rows: bool = False) -> DataFrame:
     """(replicate, one column an arm): the macro metric under resampled rows, groups or both.
 
     All arms share the drawn groups and rows; `masks` names a boolean column by arm, so an arm can be a regime that keeps
-    only some of the rows. The evaluation rows are checked to be at most MOST_ROWS.
+    only some of the rows; own_rows lets arms with different rows draw from their own (see resampling). row_id isn't needed
+    for a draw and is kept for callers.
     """
-    if mode not in ("rows", "groups", "both"):
-        raise ValueError(f"unknown mode {mode!r}")
-    masks = masks or {}
-    cols = [F.col(group).cast("string").alias("g"), F.col(row_id).alias("i"), F.col(label).cast("int").alias("y"), *(F.col(a).cast("double").alias(a) for a in arms), *(F.col(m) for m in sorted(set(masks.values())))]
-    table = rows.filter(F.col(group).isNotNull()).select(*cols)
-    if table.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"more than {MOST_ROWS} evaluation rows")
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(table.toPandas())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = None
-        for pdf in frames:
-            own = own or _Arms(sent.value, arms, masks)
-            yield pd.DataFrame([(int(k), *own.replicate(int(k), seed, mode, METRICS[metric])) for k in pdf["id"]], columns=["replicate", *arms])
-
-    tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 2))
-    return spark.range(0, n, 1, tasks).mapInPandas(run, "replicate long, " + ", ".join(f"`{a}` double" for a in arms))
+    drawn = resampling.macro_samples(resampling.samples(rows, group, label, arms, n, mode, seed, masks, own_rows=own_rows), arms)
+    whole = rows.sparkSession.range(n).select(F.col("id").alias("replicate"))
+    wide = drawn.groupBy("replicate").pivot("arm", arms).agg(F.first(metric))
+    return whole.join(wide, "replicate", "left").select("replicate", *(F.col(f"`{a}`") for a in arms))
 
 
 def attenuation(samples: DataFrame, baseline: str, regimes: list[str]) -> DataFrame:

@@ -170,18 +170,25 @@ def _(spark, d):
 @query("E12_paired_bootstrap_both")
 def _(spark, d):
     rows = graded(spark, d)
-    return bootstrap.replicates(rows, "g", "y", ["s", "l_tax"], "i", 20).select("replicate", (F.col("s") - F.col("l_tax")).alias("value"))
+    return bootstrap.replicates(rows, "g", "y", ["s", "l_tax"], "i", REPLICATES).select("replicate", (F.col("s") - F.col("l_tax")).alias("value"))
 
 
 @query("E09_evaluate")
 def _(spark, d):
-    return experiment.evaluate(graded(spark, d), "g", "y", {"discount": "s", "tax": "l_tax"}, "i", replicates=20)
+    return experiment.evaluate(graded(spark, d), "g", "y", {"discount": "s", "tax": "l_tax"}, "i", REPLICATES)
+
+
+@query("E12_compare_independent_rows")
+def _(spark, d):
+    """One score over all rows against over those of larger quantity: the arms draw their own rows."""
+    rows = graded(spark, d).withColumns({"s2": F.col("s"), "heavy": F.col("l_quantity") > 10})
+    return experiment.compare(rows, "g", "y", "s", "s2", "i", REPLICATES, second_mask="heavy").select(*r6("difference", "low", "high"), "n_replicates", *r6("p"), "n_groups")
 
 
 @query("E14_attenuation_bootstrap")
 def _(spark, d):
     rows = graded(spark, d).withColumns({"far": F.col("l_quantity") > 10, "s2": F.col("s")})
-    drawn = bootstrap.replicates(rows, "g", "y", ["s", "s2"], "i", 20, masks={"s2": "far"})
+    drawn = bootstrap.replicates(rows, "g", "y", ["s", "s2"], "i", REPLICATES, masks={"s2": "far"})
     return bootstrap.attenuation(drawn, "s", ["s2"])
 
 
@@ -189,7 +196,7 @@ def _(spark, d):
 def _(spark, d):
     rows = graded(spark, d)
     wanted = rows.select("g").distinct().withColumns({"n_pos": F.lit(5), "n_neg": F.lit(20)})
-    return bootstrap.matched_subsets(rows, wanted, "g", "y", "s", "i", 10)
+    return bootstrap.matched_subsets(rows, wanted, "g", "y", "s", "i", REPLICATES)
 
 
 # ---- statistics -----------------------------------------------------------------------------------------------------
@@ -523,6 +530,14 @@ def _(spark, d):
     return bootstrap.correlation_over_points(points(spark, d).withColumnRenamed("i", "k"), "k", "x", "y", REPLICATES, seed=7).select("replicate", *r6("r_y"))
 
 
+@query("E18_correlation_difference", f"""with ok as (select i g, x, y, cast(i % 17 as double) z from ({PART_G})), {BOOT_SQL}, v as (select replicate, corr(x, y) - corr(x, z) d from draws join numbered using (pos) group by replicate)
+  select round(quantile_cont(d, 0.025), 6) low, round(quantile_cont(d, 0.975), 6) high, count(d) n_replicates, round(least(1e0, 2e0 * least(count(*) filter (d <= 0), count(*) filter (d >= 0)) / count(d)), 6) p from v""")
+def _(spark, d):
+    rows = points(spark, d).withColumn("z", (F.col("i") % 17).cast("double")).withColumnRenamed("i", "k")
+    drawn = bootstrap.correlation_over_points(rows, "k", "x", ["y", "z"], REPLICATES, seed=7)
+    return stats.correlation_difference(drawn, "r_y", "r_z").select(*r6("low", "high"), "n_replicates", *r6("p"))
+
+
 # ---- splits ---------------------------------------------------------------------------------------------------------
 
 @query("P01_component_labels")
@@ -818,13 +833,13 @@ def _(spark, d):
 @query("M12_schedule_evaluation")
 def _(spark, d):
     rows = affin(spark, d)
-    return experiment.transfer(rows, rows.select("g").distinct(), "g", "seq", "y", "i", 9, DIGITS, replicates=10)
+    return experiment.transfer(rows, rows.select("g").distinct(), "g", "seq", "y", "i", 9, DIGITS, REPLICATES)
 
 
 @query("E31_regime_sweep")
 def _(spark, d):
     rows = graded(spark, d).withColumns({"all_rows": F.lit(True), "heavy": F.col("l_quantity") > 10})
-    return experiment.regime_sweep(rows, "g", "y", ["s", "l_tax"], "i", ["all_rows", "heavy"], replicates=10)
+    return experiment.regime_sweep(rows, "g", "y", ["s", "l_tax"], "i", ["all_rows", "heavy"], REPLICATES)
 
 
 @query("A11_json_props", "select event_id, cast(json_extract(props, '$.k') as bigint) k from events")

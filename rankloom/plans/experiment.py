@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text
-from rankloom.operators import bootstrap, checks, metrics, models, retrieval, splits, stats
+from rankloom.operators import bootstrap, checks, metrics, models, resampling, retrieval, splits, stats
 
 
 def _long(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_id: str, keep: list[str] | None = None) -> DataFrame:
@@ -16,36 +16,60 @@ def _long(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_id:
     return rows.select(group, label, row_id, *(keep or []), each.alias("_x")).select(group, label, row_id, *(keep or []), "_x.*")
 
 
-def evaluate(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_id: str, replicates: int = 1000, mode: str = "both", seed: int = 0) -> DataFrame:
-    """(arm, metric, pooled, macro, low, high, n_replicates, n_scored): three metrics of every arm with bootstrap intervals.
+def _melt(df: DataFrame, keys: list[str], names: list[str], out: str) -> DataFrame:
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(out)) for m in names))).alias("_m")
+    return df.select(*keys, each).select(*keys, "_m.*")
 
-    `arms` names a score column by arm. An empty slice raises.
+
+def evaluate(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_id: str, replicates: int = 1000, mode: str = "both", seed: int = 0, policy: str = "warn") -> DataFrame:
+    """(arm, metric, pooled, pooled_low, pooled_high, macro, low, high, n_replicates, n_scored, n_skipped, n_distinct, n_nonfinite,
+    modal_fraction, degenerate, tie_heavy): three metrics of every arm with bootstrap intervals, and diagnostics of its scores.
+
+    `arms` names a score column by arm. Pooled and macro intervals come from the same draws of all groups; pooled intervals
+    are those of auroc and ap. A pooled metric of one class is null. An empty slice raises; a degenerate score is ignored,
+    warned of or raised by `policy`.
     """
     if rows.isEmpty():
         raise ValueError("nothing to evaluate")
+    names = list(arms)
+    facts = []
+    for a, c in arms.items():
+        found = metrics.apply_policy(metrics.diagnostics(rows, group, c), policy)
+        facts.append((a, found["n_distinct"], found["n_nonfinite"], found["modal_fraction"], found["degenerate"], found["tie_heavy"]))
+    about = rows.sparkSession.createDataFrame(facts, "arm string, n_distinct long, n_nonfinite long, modal_fraction double, degenerate boolean, tie_heavy boolean")
     long = _long(rows, group, label, arms, row_id)
     by = metrics.group_metrics(long, ["arm", group], label, "score")
-    pooled = metrics.group_metrics(long, ["arm"], label, "score")
-    names = ["auroc", "ap", "auc01"]
-    melt = lambda df, keys, out: df.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(out)) for m in names))).alias("_m")).select(*keys, "_m.*")
-    macro = melt(by, ["arm"], "v").groupBy("arm", "metric").agg(F.avg("v").alias("macro"), F.count("v").alias("n_scored"))
-    drawn = []
-    for m in names:
-        reps = bootstrap.replicates(rows.select(group, label, row_id, *(F.col(c).alias(f"_arm_{i}") for i, c in enumerate(arms.values()))), group, label, [f"_arm_{i}" for i in range(len(arms))], row_id, replicates, mode, m, seed)
-        each = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"_arm_{i}").alias("v")) for i, a in enumerate(arms))))
-        drawn.append(reps.select(F.lit(m).alias("metric"), each.alias("_x")).select("metric", "_x.*"))
-    bounds = stats.interval(functools.reduce(DataFrame.unionByName, drawn), "v", ["arm", "metric"])
-    return melt(pooled, ["arm"], "pooled").join(macro, ["arm", "metric"]).join(bounds, ["arm", "metric"], "left").select("arm", "metric", "pooled", "macro", "low", "high", "n_replicates", "n_scored")
-
-
-def compare(rows: DataFrame, group: str, label: str, first: str, second: str, row_id: str, replicates: int = 1000, mode: str = "both", seed: int = 0) -> DataFrame:
-    """(difference, low, high, n_replicates, p): paired macro difference of two score columns."""
-    by = metrics.group_metrics(_long(rows, group, label, {"a": first, "b": second}, row_id), [group, "arm"], label, "score")
-    wide = by.groupBy(group).pivot("arm", ["a", "b"]).agg(F.first("auc01")).dropna()
+    pooled = metrics.group_metrics(long, ["arm"], label, "score", cuts=64)
+    three = list(resampling.METRICS)
+    macro = _melt(by, ["arm"], three, "v").groupBy("arm", "metric").agg(F.avg("v").alias("macro"), F.count("v").alias("n_scored"), F.count_if(F.col("v").isNull()).alias("n_skipped"))
+    own = rows.select(group, label, *(F.col(c).alias(f"_arm_{i}") for i, c in enumerate(arms.values())))
+    table = resampling.samples(own, group, label, [f"_arm_{i}" for i in range(len(arms))], replicates, mode, seed, every_group=True, pooled=True)
+    bounds = stats.interval(_melt(resampling.macro_samples(table, names), ["arm"], three, "v"), "v", ["arm", "metric"])
+    over = stats.interval(_melt(resampling.pooled_samples(table, names, replicates), ["arm"], ["auroc", "ap"], "v"), "v", ["arm", "metric"])
+    over = over.select("arm", "metric", F.col("low").alias("pooled_low"), F.col("high").alias("pooled_high"))
+    out = _melt(pooled, ["arm"], three, "pooled").join(over, ["arm", "metric"], "left").join(macro, ["arm", "metric"]).join(bounds, ["arm", "metric"], "left").join(F.broadcast(about), "arm")
+    return out.select("arm", "metric", "pooled", "pooled_low", "pooled_high", "macro", "low", "high", F.coalesce("n_replicates", F.lit(0)).alias("n_replicates"), "n_scored", "n_skipped", *about.columns[1:])
+
+
+def compare(rows: DataFrame, group: str, label: str, first: str, second: str, row_id: str, replicates: int = 1000, mode: str = "both", seed: int = 0, first_mask: str | None = None, second_mask: str | None = None) -> DataFrame:
+    """(difference, low, high, n_replicates, p, n_groups): paired macro difference of two score columns.
+
+    Groups that both can score are drawn, the same for both. A mask is a boolean column that keeps an arm's rows; in groups
+    where both keep the same rows they share the rows drawn, elsewhere each draws from its own.
+    """
+    masks = {a: m for a, m in (("_a", first_mask), ("_b", second_mask)) if m}
+    own = rows.select(group, label, row_id, F.col(first).alias("_a"), F.col(second).alias("_b"), *sorted(set(masks.values())))
+    long = _long(own, group, label, {"_a": "_a", "_b": "_b"}, row_id, sorted(set(masks.values())))
+    kept = F.lit(True)
+    for a, m in masks.items():
+        kept = kept & ((F.col("arm") != a) | F.coalesce(F.col(m), F.lit(False)))
+    by = metrics.group_metrics(long.filter(kept), [group, "arm"], label, "score")
+    wide = by.groupBy(group).pivot("arm", ["_a", "_b"]).agg(F.first("auc01")).dropna()
     if wide.isEmpty():
         raise ValueError("no group that both arms can score")
-    drawn = bootstrap.replicates(rows, group, label, [first, second], row_id, replicates, mode, seed=seed).select((F.col(f"`{first}`") - F.col(f"`{second}`")).alias("d"))
-    return wide.agg(F.avg(F.col("a") - F.col("b")).alias("difference")).join(F.broadcast(stats.interval(drawn, "d"))).join(F.broadcast(stats.two_sided_p(drawn, "d")))
+    drawn = bootstrap.replicates(own, group, label, ["_a", "_b"], row_id, replicates, mode, seed=seed, masks=masks, own_rows=True).select((F.col("_a") - F.col("_b")).alias("d"))
+    point = wide.agg(F.avg(F.col("_a") - F.col("_b")).alias("difference"), F.count(F.lit(1)).alias("n_groups"))
+    return point.join(F.broadcast(stats.interval(drawn, "d"))).join(F.broadcast(stats.two_sided_p(drawn, "d"))).select("difference", "low", "high", "n_replicates", "p", "n_groups")
 
 
 def rescaling(rows: DataFrame, group: str, label: str, score: str) -> DataFrame:
@@ -65,7 +89,7 @@ def regime_sweep(rows: DataFrame, group: str, label: str, arms: list[str], row_i
     macro = by.groupBy("regime").pivot("arm", arms).agg(F.avg("auc01")).withColumnsRenamed({a: f"{a}_macro" for a in arms})
     drawn = []
     for r in regimes:
-        reps = bootstrap.replicates(rows, group, label, arms, row_id, replicates, seed=seed, masks={a: r for a in arms})
+        reps = bootstrap.replicates(rows, group, label, arms, row_id, replicates, seed=seed, masks={a: r for a in arms}, own_rows=True)
         drawn.append(reps.select(F.lit(r).alias("regime"), (F.col(f"`{arms[0]}`") - F.col(f"`{arms[1]}`")).alias("d")))
     bounds = stats.interval(functools.reduce(DataFrame.unionByName, drawn), "d", ["regime"])
     out = counts.join(spread, "regime").join(macro, "regime").join(bounds, "regime")
