@@ -140,10 +140,9 @@ def replicates(rows: DataFrame, group: str, label: str, arms: list[str], row_id:
     """(replicate, one column an arm): the macro metric under resampled rows, groups or both.
 
     All arms share the drawn groups and rows; `masks` names a boolean column by arm, so an arm can be a regime that keeps
-    only some of the rows; own_rows lets arms with different rows draw from their own (see resampling). row_id isn't needed
-    for a draw and is kept for callers.
+    only some of the rows; own_rows lets arms with different rows draw from their own (see resampling).
     """
-    drawn = resampling.macro_samples(resampling.samples(rows, group, label, arms, n, mode, seed, masks, own_rows=own_rows), arms)
+    drawn = resampling.macro_samples(resampling.samples(rows, group, label, arms, row_id, n, mode, seed, masks, own_rows=own_rows), arms)
     whole = rows.sparkSession.range(n).select(F.col("id").alias("replicate"))
     wide = drawn.groupBy("replicate").pivot("arm", arms).agg(F.first(metric))
     return whole.join(wide, "replicate", "left").select("replicate", *(F.col(f"`{a}`") for a in arms))

@@ -1,8 +1,7 @@
 """Bootstrap over rows, groups or both, of macro and pooled metrics, without an evaluation table on the driver.
 
-Rows of a group that agree in label, masks and every arm's score are alike, so they meet as one cell with a count before
-anything else. Replicates come in chunks: cells travel to (group, chunk), where a replicate draws its counts from the
-multinomial of the group's cells, once for each time the group itself was drawn. From one pass over the cells come the sums
+Replicates come in chunks: rows travel to (group, chunk), where a replicate draws as many rows as the group has, with
+replacement and in order of row_id, once for each time the group itself was drawn. From one pass over the rows come the sums
 of the three metrics by replicate and arm, for macro values, and, where asked for, the drawn counts by score, whose merger
 over groups gives pooled metrics of the same draws. Pooled rows are streams in order of score, one for each arm and chunk,
 so no task holds all scores.
@@ -10,8 +9,9 @@ so no task holds all scores.
 Arms share the draws of a group where their masks keep the same of its rows. Where they don't, the arms draw from their own
 rows, each for itself (own_rows), or all select from one draw of all rows (the default), as regimes of one table do.
 
-Every draw is a function of (seed, group, replicate) alone, so a repeated task draws the same. A task's memory is that of a
-group's cells and of CHUNK draws of them; the number of rows, groups and replicates has no bound.
+Every draw is a function of (seed, group, replicate) and the group's size alone, so a repeated task draws the same, and so
+does a call with other arms. The number of rows, groups and replicates has no bound; a task holds one group's label and
+scores in numpy, and a large group is spread over its chunks.
 
 Defined results: rows without a group take no part; a group of one class has no metric in a replicate and is left out of its
 mean; a replicate without any scorable group is null; an empty table raises.
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from rankloom.sources.tables import checkpointed
 
-CHUNK = 25
-CELLS = 1 << 22  # drawn counts that a task holds at once
+CHUNK = 50
 METRICS = ("auroc", "ap", "auc01")
 
 
@@ -50,14 +49,13 @@ def block_metrics(p: np.ndarray, n: np.ndarray, fpr: float = 0.1) -> np.ndarray:
     return out
 
 
-def cells(rows: DataFrame, group: str, label: str, arms: list[str], masks: dict[str, str] | None = None) -> DataFrame:
-    """(g, y, s0, s1 ..., m0, m1 ..., k): how many rows of a group agree in label, scores and masks."""
+def evaluation_rows(rows: DataFrame, group: str, label: str, arms: list[str], row_id: str, masks: dict[str, str] | None = None) -> DataFrame:
+    """(g, i, y, s0, s1 ..., m0, m1 ...) of the rows that some arm keeps."""
     masks = masks or {}
     keep = [(F.coalesce(F.col(masks[a]).cast("boolean"), F.lit(False)) if a in masks else F.lit(True)).alias(f"m{i}") for i, a in enumerate(arms)]
     scores = [F.col(f"`{a}`").cast("double").alias(f"s{i}") for i, a in enumerate(arms)]
-    own = rows.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(label).cast("int").alias("y"), *scores, *keep)
-    own = own.filter(" or ".join(f"m{i}" for i in range(len(arms))))
-    return own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("k"))
+    own = rows.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(row_id).alias("i"), F.col(label).cast("int").alias("y"), *scores, *keep)
+    return own.filter(" or ".join(f"m{i}" for i in range(len(arms))))
 
 
 def scorable(table: DataFrame, arms: int) -> DataFrame:
@@ -91,10 +89,10 @@ def group_times(groups: DataFrame, n: int, mode: str, seed: int) -> DataFrame:
 
 
 class _Group:
-    """One group's cells, and the metrics of draws from them."""
+    """One group's rows, and the metrics of draws from them."""
 
-    def __init__(self, y: np.ndarray, k: np.ndarray, scores: list[np.ndarray], masks: list[np.ndarray]):
-        self.y, self.k, self.masks = y, k, masks
+    def __init__(self, y: np.ndarray, scores: list[np.ndarray], masks: list[np.ndarray]):
+        self.y, self.masks = y, masks
         self.same = all((m == masks[0]).all() for m in masks)
         self.arms = []
         for s in scores:
@@ -102,25 +100,21 @@ class _Group:
             first = np.flatnonzero(np.r_[True, s[order[1:]] != s[order[:-1]]])
             self.arms.append((order, first, s[order[first]]))
 
-    def draw(self, gen: np.random.Generator, times: int, own: np.ndarray) -> np.ndarray:
-        """(times, cells) counts of as many rows as `own` keeps, with replacement."""
-        k = np.where(own, self.k, 0)
-        n = int(k.sum())
-        if n < 2 * len(k):  # few rows a cell: draw rows
-            of = np.repeat(np.arange(len(k)), k)
-            return np.stack([np.bincount(of[gen.integers(0, n, n)], minlength=len(k)) for _ in range(times)]) if n else np.zeros((times, len(k)), np.int64)
-        return gen.multinomial(n, k / n, times)
+    def draw(self, gen: np.random.Generator, own: np.ndarray) -> np.ndarray:
+        """How often each row is drawn, by as many draws as `own` keeps rows."""
+        at = np.flatnonzero(own)
+        return np.bincount(at[gen.integers(0, len(at), len(at))], minlength=len(own)) if len(at) else np.zeros(len(own), np.int64)
 
     def counts(self, arm: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Drawn positives and negatives by block of falling score."""
         order, first, _ = self.arms[arm]
-        w = (w * self.masks[arm])[:, order]
+        w = (w * self.masks[arm])[order]
         p = w * self.y[order]
-        return np.add.reduceat(p, first, axis=1), np.add.reduceat(w - p, first, axis=1)
+        return np.add.reduceat(p, first), np.add.reduceat(w - p, first)
 
 
 def samples(
-    rows: DataFrame, group: str, label: str, arms: list[str], n: int, mode: str = "both", seed: int = 0, masks: dict[str, str] | None = None,
+    rows: DataFrame, group: str, label: str, arms: list[str], row_id: str, n: int, mode: str = "both", seed: int = 0, masks: dict[str, str] | None = None,
     every_group: bool = False, own_rows: bool = False, pooled: bool = False,
 ) -> DataFrame:
     """Written table of (r, arm, auroc, ap, auc01, scored) sums over a group's draws, and with `pooled` of (arm, chunk, s, p, n) counts.
@@ -129,7 +123,7 @@ def samples(
     """
     if mode not in ("rows", "groups", "both"):
         raise ValueError(f"unknown mode {mode!r}")
-    table = checkpointed(cells(rows, group, label, arms, masks))
+    table = checkpointed(evaluation_rows(rows, group, label, arms, row_id, masks))
     groups = table.select("g").distinct() if every_group else scorable(table, len(arms))
     if groups.isEmpty():
         raise ValueError("no rows to draw" if every_group else "no group that all arms can score")
@@ -166,31 +160,31 @@ def samples(
         name, chunk = part.column("g")[0].as_py(), part.column("chunk")[0].as_py()
         body = part.slice(edge)
         take = lambda c: body.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        own = _Group(take("y").astype(np.int64), take("k"), [take(f"s{i}").astype(float) for i in range(width)], [take(f"m{i}").astype(bool) for i in range(width)])
+        own = _Group(take("y").astype(np.int64), [take(f"s{i}").astype(float) for i in range(width)], [take(f"m{i}").astype(bool) for i in range(width)])
         r, t = part.column("r").to_numpy()[:edge], part.column("t").to_numpy()[:edge]
         every = np.any(own.masks, axis=0)
         found = []
         merged = [np.zeros((2, len(arm[2]), CHUNK), np.int32) for arm in own.arms] if pooled else []
         for number, times_ in zip(r.tolist(), t.tolist(), strict=True):
             gen = np.random.Generator(np.random.Philox(key=np.array([zlib.crc32(name.encode()) << 32 | (seed & 0xFFFFFFFF), number], np.uint64)))
-            left = times_
-            sums = np.zeros((width, 4))
-            while left:
-                some = min(left, max(1, CELLS // len(own.k)))
-                left -= some
+            drawn_ = [[np.zeros((2, len(arm[2])), np.int64) for _ in range(times_)] for arm in own.arms]
+            for k in range(times_):
                 if mode == "groups":
-                    drawn_ = [np.tile(own.k, (some, 1))] * width
+                    w = [np.ones(len(own.y), np.int64)] * width
                 elif own_rows and not own.same:
-                    drawn_ = [own.draw(gen, some, m) for m in own.masks]
+                    w = [own.draw(gen, m) for m in own.masks]
                 else:
-                    drawn_ = [own.draw(gen, some, every)] * width
+                    w = [own.draw(gen, every)] * width
                 for i in range(width):
-                    p, q = own.counts(i, drawn_[i])
-                    m = block_metrics(p, q)
-                    ok = np.isfinite(m[:, 0])
-                    sums[i] += (*m[ok].sum(0), ok.sum())
-                    if pooled:
-                        merged[i][:, :, number % CHUNK] += np.stack([p.sum(0), q.sum(0)]).astype(np.int32)
+                    drawn_[i][k][:] = own.counts(i, w[i])
+            sums = np.zeros((width, 4))
+            for i in range(width):
+                both = np.stack(drawn_[i], 1)
+                m = block_metrics(*both)
+                ok = np.isfinite(m[:, 0])
+                sums[i] = (*m[ok].sum(0), ok.sum())
+                if pooled:
+                    merged[i][:, :, number % CHUNK] += both.sum(1).astype(np.int32)
             found += [(number, i, *sums[i].tolist()) for i in range(width)]
         cols = list(zip(*found, strict=True))
         m = len(found)

@@ -42,8 +42,8 @@ def evaluate(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_
     pooled = metrics.group_metrics(long, ["arm"], label, "score", cuts=64)
     three = list(resampling.METRICS)
     macro = _melt(by, ["arm"], three, "v").groupBy("arm", "metric").agg(F.avg("v").alias("macro"), F.count("v").alias("n_scored"), F.count_if(F.col("v").isNull()).alias("n_skipped"))
-    own = rows.select(group, label, *(F.col(c).alias(f"_arm_{i}") for i, c in enumerate(arms.values())))
-    table = resampling.samples(own, group, label, [f"_arm_{i}" for i in range(len(arms))], replicates, mode, seed, every_group=True, pooled=True)
+    own = rows.select(group, label, row_id, *(F.col(c).alias(f"_arm_{i}") for i, c in enumerate(arms.values())))
+    table = resampling.samples(own, group, label, [f"_arm_{i}" for i in range(len(arms))], row_id, replicates, mode, seed, every_group=True, pooled=True)
     bounds = stats.interval(_melt(resampling.macro_samples(table, names), ["arm"], three, "v"), "v", ["arm", "metric"])
     over = stats.interval(_melt(resampling.pooled_samples(table, names, replicates), ["arm"], ["auroc", "ap"], "v"), "v", ["arm", "metric"])
     over = over.select("arm", "metric", F.col("low").alias("pooled_low"), F.col("high").alias("pooled_high"))

@@ -40,7 +40,7 @@ def test_groups_mode_equals_the_drawn_groups(spark, ties):
     """Without draws of rows everything follows from how often each group was drawn."""
     df, (g, y, a, b) = table(spark, ties=ties)
     n = 60
-    found = resampling.samples(df, "g", "y", ["a", "b"], n, "groups", 5, every_group=True, pooled=True)
+    found = resampling.samples(df, "g", "y", ["a", "b"], "i", n, "groups", 5, every_group=True, pooled=True)
     names = df.select(F.col("g")).distinct()
     times = {(x.r, x.g): x.t for x in resampling.group_times(names, n, "groups", 5).collect()}
     macro = {(x.replicate, x.arm): x for x in resampling.macro_samples(found, ["A", "B"]).collect()}
@@ -63,7 +63,7 @@ def test_groups_mode_equals_the_drawn_groups(spark, ties):
 def test_rows_are_drawn_as_plain_resampling_draws_them(spark, mode):
     df, (g, y, a, b) = table(spark, 600, 4)
     n = 600
-    found = resampling.samples(df, "g", "y", ["a", "b"], n, mode, 3, every_group=True, pooled=True)
+    found = resampling.samples(df, "g", "y", ["a", "b"], "i", n, mode, 3, every_group=True, pooled=True)
     macro = {arm: np.array([[x.auroc, x.ap, x.auc01] for x in sorted(resampling.macro_samples(found, ["a", "b"]).filter(F.col("arm") == arm).collect())], float) for arm in "ab"}
     pooled = np.array([[x.auroc, x.ap] for x in resampling.pooled_samples(found, ["a", "b"], n).filter("arm = 'a'").collect()], float)
     r, names = np.random.default_rng(0), np.unique(g)
@@ -86,8 +86,8 @@ def test_rows_are_drawn_as_plain_resampling_draws_them(spark, mode):
 
 def test_same_draws_whatever_the_partitions(spark):
     df, _ = table(spark, 400, 3)
-    one = {(x.replicate, x.arm): (x.auroc, x.auc01) for x in resampling.macro_samples(resampling.samples(df, "g", "y", ["a", "b"], 40, "both", 1), ["a", "b"]).collect()}
-    two = {(x.replicate, x.arm): (x.auroc, x.auc01) for x in resampling.macro_samples(resampling.samples(df.repartition(9), "g", "y", ["a", "b"], 40, "both", 1), ["a", "b"]).collect()}
+    one = {(x.replicate, x.arm): (x.auroc, x.auc01) for x in resampling.macro_samples(resampling.samples(df, "g", "y", ["a", "b"], "i", 40, "both", 1), ["a", "b"]).collect()}
+    two = {(x.replicate, x.arm): (x.auroc, x.auc01) for x in resampling.macro_samples(resampling.samples(df.repartition(9), "g", "y", ["a", "b"], "i", 40, "both", 1), ["a", "b"]).collect()}
     assert one == two
     copies = bootstrap.replicates(df.withColumn("c", F.col("a")), "g", "y", ["a", "c"], "i", 30, "both")
     assert all(x.a == x.c for x in copies.collect())
