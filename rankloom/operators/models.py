@@ -6,11 +6,12 @@ grid of fits spreads over the cluster. A group's rows must fit one task; the fit
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng, vector
@@ -135,42 +136,101 @@ def mlp_fit(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, hidden
     return lambda q: (lambda z: 1 / (1 + np.exp(-z)) if output == "sigmoid_mse" else z)(forward((q - m) / s)[1])
 
 
+def _dense(column: pd.Series, width: int | None) -> np.ndarray:
+    """Feature rows; with a width, rows of indices become rows of 0 and 1."""
+    if not len(column):
+        return np.zeros((0, width or 1))
+    if width is None:
+        return np.stack(column.tolist()).astype(float)
+    out = np.zeros((len(column), width))
+    at = np.stack(column.tolist()).astype(int)
+    out[np.arange(len(out))[:, None], at] = 1.0
+    return out
+
+
+def _fit_one(pdf: pd.DataFrame, features: str, label: str, row_id: str, side: str, default: float, model: str, width: int | None = None, threshold: float = 0.5, **settings) -> tuple[np.ndarray, np.ndarray]:
+    """(row ids, scores) of the test rows of one fit."""
+    pdf = pdf.sort_values(row_id, kind="stable")
+    part = {n: pdf[pdf[side].isin(v)] for n, v in {"fit": ["train", "fit"], "val": ["validation"], "test": ["test"]}.items()}
+    y = part["fit"][label].to_numpy(float)
+    score = np.full(len(part["test"]), default)
+    if len(part["test"]) and len(np.unique(y > threshold)) == 2:
+        x, t = _dense(part["fit"][features], width), _dense(part["test"][features], width)
+        if model == "mlp":
+            v = part["val"] if len(part["val"]) else part["fit"]
+            f = mlp_fit(x, y, _dense(v[features], width), v[label].to_numpy(float), **settings)
+        else:
+            f = {"logistic": logistic_fit, "svc": svc_fit}[model](x, y, **settings)
+        score = f(t)
+    return part["test"][row_id].to_numpy(), score
+
+
 def fit_and_score(rows: DataFrame, group: list[str], features: str, label: str, row_id: str, side: str = "side", model: str = "logistic", default: float = 0.0, **settings) -> DataFrame:
     """(group, row_id, score): in each group, fit on side `train` or `fit` (and `validation`) and score side `test`.
 
     A group that can't be fitted (one class) keeps the default score.
     """
+    return fit_grid(rows, [{"model": model, **settings}], group, features, label, row_id, side, default).drop("setting")
+
+
+def fit_grid(rows: DataFrame, settings: list[dict], group: list[str], features: str, label: str, row_id: str, side: str = "side", default: float = 0.0, arm: str | None = None) -> DataFrame:
+    """(group, setting, row_id, score): every setting fitted in every group, all fits as groups of one stage.
+
+    A setting names its model and the arguments of its fit; `width` makes features rows of indices that are set to 1, so that
+    wide one-hot rows travel as a few numbers. With `arm`, a column among `group`, settings carry its value and are fitted
+    on its rows only. Rows travel once for each setting; a group's rows must fit one task.
+    """
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(i, s.get("arm"), json.dumps({k: v for k, v in s.items() if k != "arm"}, sort_keys=True)) for i, s in enumerate(settings)], "setting int, _arm string, _settings string")
+    own = rows.select(*group, row_id, features, F.col(label).cast("double").alias(label), side)
+    grid = own.join(F.broadcast(listed), F.col(arm) == F.col("_arm")) if arm else own.join(F.broadcast(listed))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, kind="stable")
-        part = {n: pdf[pdf[side].isin(v)] for n, v in {"fit": ["train", "fit"], "val": ["validation"], "test": ["test"]}.items()}
-        x, y = (np.stack(part["fit"][features].tolist()).astype(float) if len(part["fit"]) else np.zeros((0, 1))), part["fit"][label].to_numpy(float)
-        score = np.full(len(part["test"]), default)
-        if len(part["test"]) and len(np.unique(y > 0.5)) == 2:
-            t = np.stack(part["test"][features].tolist()).astype(float)
-            if model == "mlp":
-                v = part["val"] if len(part["val"]) else part["fit"]
-                f = mlp_fit(x, y, np.stack(v[features].tolist()).astype(float), v[label].to_numpy(float), **settings)
-            else:
-                f = {"logistic": logistic_fit, "svc": svc_fit}[model](x, y, **settings)
-            score = f(t)
-        out = pd.DataFrame(dict(zip(group, [[k] * len(score) for k in key], strict=True)))
-        out[row_id], out["score"] = part["test"][row_id].to_numpy(), score
+        ids, score = _fit_one(pdf, features, label, row_id, side, default, **json.loads(pdf["_settings"].iloc[0]))
+        out = pd.DataFrame({c: [k] * len(score) for c, k in zip([*group, "setting"], key, strict=True)})
+        out[row_id], out["score"] = ids, score
         return out
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, row_id]) + ", score double"
-    return rows.select(*group, row_id, features, F.col(label).cast("double").alias(label), side).groupBy(*group).applyInPandas(run, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + f", setting int, `{row_id}` {kinds[row_id]}, score double"
+    return grid.groupBy(*group, "setting").applyInPandas(run, schema)
+
+
+WIDTHS, SEEDS = (55, 66), (0, 1, 2, 3, 4)
 
 
-def ensemble(rows: DataFrame, features: str, label: str, row_id: str, partition: str, hidden: list[int], seeds: list[int], side: str = "side", **settings) -> DataFrame:
+def networks(hidden: list[int] | tuple[int, ...] = WIDTHS, seeds: list[int] | tuple[int, ...] = SEEDS, **settings) -> list[dict]:
+    """The settings of an ensemble: a network of every width and seed."""
+    return [{"model": "mlp", "hidden": h, "seed": s, **settings} for h in hidden for s in seeds]
+
+
+def ensemble(rows: DataFrame, features: str, label: str, row_id: str, partition: str, hidden: list[int] | tuple[int, ...] = WIDTHS, seeds: list[int] | tuple[int, ...] = SEEDS, side: str = "side", **settings) -> DataFrame:
     """(partition, row_id, score): mean over networks of every width and seed, each fitted in a task of its own."""
-    out = None
-    for h in hidden:
-        for s in seeds:
-            one = fit_and_score(rows, [partition], features, label, row_id, side, "mlp", hidden=h, seed=s, **settings)
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy(partition, row_id).agg(F.avg("score").alias("score"))
+    return fit_grid(rows, networks(hidden, seeds, **settings), [partition], features, label, row_id, side).groupBy(partition, row_id).agg(F.avg("score").alias("score"))
+
+
+def arm_ensembles(rows: DataFrame, arm: str, partition: str, features: str, label: str, row_id: str, widths: dict[str, int], hidden: list[int] | tuple[int, ...] = WIDTHS, seeds: list[int] | tuple[int, ...] = SEEDS, side: str = "side", **settings) -> DataFrame:
+    """(partition, row_id, arm, score) of one ensemble an arm; rows are by arm, with features as indices below the arm's width."""
+    every = [{"arm": a, "width": w, **s} for a, w in widths.items() for s in networks(hidden, seeds, **settings)]
+    found = fit_grid(rows, every, [arm, partition], features, label, row_id, side, arm=arm)
+    return found.groupBy(partition, row_id, arm).agg(F.avg("score").alias("score"))
+
+
+def hot(seq: str, length: int, alphabet: str, start: int = 0) -> Column:
+    """Index of each of the first `length` letters in a one-hot row that begins at `start`; letters unknown to it count as the first."""
+    place = F.expr(f"transform(sequence(1, {length}), i -> greatest(instr('{alphabet}', substring(`{seq}`, i, 1)), 1) - 1 + (i - 1) * {len(alphabet)} + {start})")
+    return place.cast("array<int>")
+
+
+def layer_sweep(rows: DataFrame, model: str, layer: str, group: str, features: str, label: str, row_id: str, side: str = "side", c: float = 1.0) -> DataFrame:
+    """(model, layer, n_scored, macro_auroc, chosen): a logistic fit of every model and layer, and each model's best layer on the rows of side `test`."""
+    from rankloom.operators import metrics
+
+    scored = fit_and_score(rows, [model, layer], features, label, row_id, side, "logistic", c=c)
+    joined = scored.join(rows.filter(F.col(side) == "test").select(model, layer, row_id, group, label), [model, layer, row_id])
+    by = metrics.macro(metrics.group_metrics(joined, [model, layer, group], label, "score"), group, "auroc", [model, layer]).drop("skipped")
+    best = best_setting(by.filter("macro_auroc is not null"), model, layer, "macro_auroc").select(model, F.col(layer).alias("_best"))
+    return by.join(best, model, "left").select(model, layer, "n_scored", "macro_auroc", F.coalesce(F.col(layer) == F.col("_best"), F.lit(False)).alias("chosen"))
 
 
 def info_nce(batch: DataFrame, batch_id: str, row_id: str, label: str, vec: str, temperature: float = 0.1, exclude_self: bool = True) -> DataFrame:

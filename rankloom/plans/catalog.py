@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text, vector
-from rankloom.operators import bootstrap, checks, metrics, models, projection, retrieval, sampling, splits, stats, summary
+from rankloom.operators import bootstrap, checks, linear, metrics, models, projection, retrieval, sampling, splits, stats, summary
 from rankloom.plans import experiment
 from rankloom.sources import io
 from rankloom.sources.tables import table
@@ -802,7 +802,54 @@ def _(spark, d):
 @query("M07_mlp_ensemble")
 def _(spark, d):
     rows = _features(spark, d).withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 10000)))
-    return models.ensemble(rows, "x", "t", "i", "g", hidden=[8], seeds=[0, 1], epochs=10)
+    return models.ensemble(rows, "x", "t", "i", "g").select("g", "i", *r6("score"))
+
+
+@query("M08_peptide_only_ensemble")
+def _(spark, d):
+    """The sequence alone, all groups together, each fold by networks of the others."""
+    rows = affin(spark, d).withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 10000)))
+    parts = splits.fold_sides(rows, "fold")
+    cut = splits.stratified_split(parts.filter("side = 'train'"), ["partition_id", "y"], "i").unionByName(parts.filter("side = 'test'"))
+    cut = cut.withColumn("x", models.hot("seq", 9, DIGITS))
+    return models.ensemble(cut, "x", "t", "i", "partition_id", width=90).select("partition_id", "i", *r6("score"))
+
+
+@query("M03_pooled_logistic")
+def _(spark, d):
+    rows = _features(spark, d)
+    own = linear.fit(rows.filter("side = 'train'"), "x", "y")
+    return rows.filter("side = 'test'").select("i", F.round(own.score("x"), 6).alias("score"))
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = linear.composition_pairs(paired(spark, d), "seq", "a", "aeiorstn")
+    return rows.filter("i % 4 <> 0"), rows.filter("i % 4 = 0")
+
+
+@query("M10_global_svc")
+def _(spark, d):
+    return linear.pair_classifier(*_sides(spark, d), "_left", "_right", "y", "i").select("i", *r6("score"))
+
+
+@query("E30_shortcut_probes")
+def _(spark, d):
+    return linear.shortcut_probes(*_sides(spark, d), "_left", "_right", "y", "g").select("probe", *r6("pooled_auroc", "macro_auc01"), "n_scored", "n_distinct", *r6("gap"))
+
+
+@query("M22_layer_sweep")
+def _(spark, d):
+    """Four slices of a vector stand in for layers, plain and squared values for models."""
+    e = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), (F.col("label") % 5).alias("g"), F.when(F.col("vec_id") % 3 == 0, "test").otherwise("train").alias("side"), "embedding")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(k).alias("layer"), F.transform(F.slice("embedding", 16 * k + 1, 16), f).alias("x")) for k in range(4) for m, f in (("plain", lambda v: v.cast("double")), ("squared", lambda v: v.cast("double") * v)))))
+    long = e.select("vec_id", "y", "g", "side", each.alias("_l")).select("vec_id", "y", "g", "side", "_l.*")
+    return models.layer_sweep(long, "model", "layer", "g", "x", "y", "vec_id").select("model", "layer", "n_scored", *r6("macro_auroc"), "chosen")
+
+
+@query("M13_fold_arms")
+def _(spark, d):
+    rows = affin(spark, d).withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 10000)))
+    return experiment.fold_arms(rows, "fold", "g", "seq", "y", "i", 9, DIGITS, target="t").select("i", "arm", *r6("score"))
 
 
 @query("M22_best_setting", "with v as (select p_brand, p_size, avg(p_retailprice) v from part group by all) select p_brand, arg_min(p_size, row(-v, p_size)) p_size, round(max(v), 6) v from v group by 1")
@@ -830,10 +877,24 @@ def _(spark, d):
     return v.select("p_brand", F.round(F.col("m")[0], 6).alias("m0"), F.round(F.col("m")[1], 6).alias("m1"))
 
 
+def _transfer_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = affin(spark, d).withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 10000)))
+    return experiment.transfer_scores(rows, rows.select("g").distinct(), "g", "seq", "y", "i", 9, DIGITS, target="t")
+
+
+@query("M11_transfer_arms")
+def _(spark, d):
+    return _transfer_scores(spark, d).select("partition_id", "i", *r6(*experiment.TRANSFER_ARMS))
+
+
 @query("M12_schedule_evaluation")
 def _(spark, d):
-    rows = affin(spark, d)
-    return experiment.transfer(rows, rows.select("g").distinct(), "g", "seq", "y", "i", 9, DIGITS, REPLICATES)
+    return experiment.transfer(_transfer_scores(spark, d), "y", "i", REPLICATES)
+
+
+@query("M12_schedule_comparisons")
+def _(spark, d):
+    return experiment.transfer_comparisons(_transfer_scores(spark, d), "y", "i", REPLICATES)
 
 
 @query("E31_regime_sweep")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text
 from rankloom.operators import bootstrap, checks, metrics, models, resampling, retrieval, splits, stats
+from rankloom.sources.tables import checkpointed
 
 
 def _long(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_id: str, keep: list[str] | None = None) -> DataFrame:
@@ -96,10 +97,24 @@ def regime_sweep(rows: DataFrame, group: str, label: str, arms: list[str], row_i
     return out.withColumn("difference", F.col(f"{arms[0]}_macro") - F.col(f"{arms[1]}_macro")).withColumn("spans_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
 
 
-def transfer_arms(rows: DataFrame, targets: DataFrame, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str, shared: bool = False, seed: int = 0) -> DataFrame:
-    """(partition_id, row_id, arm, score) of held-out groups: random, pooled composition model, nearest weight matrix, retrieval.
+TRANSFER_ARMS = ("random", "composition", "nearest_matrix", "retrieval", "peptide_only", "shuffled_mapping", "pseudo_sequence")
+REFERENCES = ("peptide_only", "shuffled_mapping", "nearest_matrix")
 
-    Every held-out group is scored by models of the other groups; with `shared`, training rows that share a sequence go.
+
+def _with_validation(parts: DataFrame, group: str, label: str, row_id: str) -> DataFrame:
+    """Training rows of every partition cut 90/10 into fit and validation by group and label; test rows as they are."""
+    cut = splits.stratified_split(parts.filter("side = 'train'"), ["partition_id", group, label], row_id)
+    return cut.unionByName(parts.filter("side = 'test'"))
+
+
+def transfer_arms(rows: DataFrame, targets: DataFrame, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str, shared: bool = False, seed: int = 0, codes: DataFrame | None = None, target: str | None = None, **networks) -> DataFrame:
+    """(partition_id, row_id, arm, score) of held-out groups, each scored by models of the other groups.
+
+    random; one composition model; the weight matrix of the nearest group; retrieval; and three network ensembles: on the
+    sequence alone, on sequence and the group's code, and on sequence and another group's code (each group has that of the
+    next, so the mapping tells nothing). codes: (group, code) with codes of `length`; by default a group's smallest
+    sequence. target: a value in [0, 1] that networks fit, by default the label. With `shared`, training rows that share a
+    sequence with the test side go.
     """
     parts = splits.holdout(rows, targets, group, seq if shared else None)
     test = parts.filter("side = 'test'").select("partition_id", row_id, seq)
@@ -108,37 +123,77 @@ def transfer_arms(rows: DataFrame, targets: DataFrame, group: str, seq: str, lab
     pooled = models.fit_and_score(featured, ["partition_id"], "_x", label, row_id).withColumn("arm", F.lit("composition"))
     train = parts.filter("side = 'train'").withColumn("_key", F.concat_ws("|", "partition_id", group))
     matrix = models.pwm(train, "_key", seq, label, length, alphabet)
-    centre = rows.groupBy(group).agg(F.min(seq).alias("_s"))
-    pair = centre.select(F.col(group).alias("partition_id"), F.col("_s").alias("_t")).join(F.broadcast(retrieval.bounded(centre))).filter(F.col("partition_id") != F.col(group))
-    source = pair.groupBy("partition_id").agg(F.min(F.struct(text.hamming(F.col("_t"), F.col("_s")).alias("d"), F.col(group).alias("g"))).alias("b"))
+    codes = codes if codes is not None else rows.groupBy(group).agg(F.min(seq).alias("code"))
+    pair = codes.select(F.col(group).alias("partition_id"), F.col("code").alias("_t")).join(F.broadcast(retrieval.bounded(codes))).filter(F.col("partition_id") != F.col(group))
+    source = pair.groupBy("partition_id").agg(F.min(F.struct(text.hamming(F.col("_t"), F.col("code")).alias("d"), F.col(group).alias("g"))).alias("b"))
     keyed = test.join(source, "partition_id").withColumn("_key", F.concat_ws("|", "partition_id", "b.g"))
     near = models.pwm_score(keyed, matrix, "_key", seq, row_id).join(test.select("partition_id", row_id), row_id).withColumn("arm", F.lit("nearest_matrix"))
     entries = train.filter(F.col(label).cast("int") == 1).select("partition_id", F.col(seq).alias("entry")).distinct()
     found = retrieval.nearest_positive(test, entries, "partition_id", seq).withColumn("arm", F.lit("retrieval"))
+    shuffled = text.derangement(codes, group, "code").select(group, F.col("shifted").alias("_other"))
+    width = length * len(alphabet)
+    cut = _with_validation(parts, group, label, row_id).join(codes.select(group, F.col("code").alias("_code")), group).join(shuffled, group)
+    own = models.hot(seq, length, alphabet)
+    by_arm = {"peptide_only": own, "shuffled_mapping": F.concat(own, models.hot("_other", length, alphabet, width)), "pseudo_sequence": F.concat(own, models.hot("_code", length, alphabet, width))}
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), x.alias("_x")) for a, x in by_arm.items()))).alias("_a")
+    long = cut.select("partition_id", row_id, F.col(target or label).cast("double").alias("_v"), "side", each).select("partition_id", row_id, "_v", "side", "_a.*")
+    nets = models.arm_ensembles(long, "arm", "partition_id", "_x", "_v", row_id, {a: width * (1 + (a != "peptide_only")) for a in by_arm}, **networks)
     cols = ["partition_id", row_id, "arm", "score"]
-    return functools.reduce(DataFrame.unionByName, [x.select(*cols) for x in (random, pooled, near, found)])
+    return functools.reduce(DataFrame.unionByName, [x.select(*cols) for x in (random, pooled, near, found, nets)])
+
+
+def transfer_scores(rows: DataFrame, targets: DataFrame, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str, shared: bool = False, **options) -> DataFrame:
+    """Written table of (partition_id, row_id, label, one column an arm): all transfer arms over the concatenated partitions."""
+    scores = transfer_arms(rows, targets, group, seq, label, row_id, length, alphabet, shared, **options)
+    wide = scores.groupBy("partition_id", row_id).pivot("arm", list(TRANSFER_ARMS)).agg(F.first("score"))
+    return checkpointed(wide.join(rows.select(row_id, label), row_id))
 
 
-def transfer(rows: DataFrame, targets: DataFrame, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str, replicates: int = 1000, shared: bool = False) -> DataFrame:
-    """evaluate() of all transfer arms over the concatenated partitions."""
-    scores = transfer_arms(rows, targets, group, seq, label, row_id, length, alphabet, shared)
-    arms = ["random", "composition", "nearest_matrix", "retrieval"]
-    wide = scores.groupBy("partition_id", row_id).pivot("arm", arms).agg(F.first("score"))
-    joined = wide.join(rows.select(row_id, label), row_id)
-    return evaluate(joined, "partition_id", label, {a: a for a in arms}, row_id, replicates)
+def transfer(scores: DataFrame, label: str, row_id: str, replicates: int = 1000, policy: str = "warn") -> DataFrame:
+    """evaluate() of all arms of transfer_scores()."""
+    return evaluate(scores, "partition_id", label, {a: a for a in TRANSFER_ARMS}, row_id, replicates, policy=policy)
 
 
-def fold_arms(rows: DataFrame, fold: str, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str, seed: int = 0) -> DataFrame:
-    """(row_id, arm, score) of every row from the other folds: random, composition, weight matrix, retrieval."""
+def transfer_comparisons(scores: DataFrame, label: str, row_id: str, replicates: int = 1000, arm: str = "pseudo_sequence", references: tuple[str, ...] = REFERENCES) -> DataFrame:
+    """(reference, difference, low, high, n_replicates, p, n_groups): the arm's paired macro difference from each reference."""
+    each = [compare(scores, "partition_id", label, arm, r, row_id, replicates).withColumn("reference", F.lit(r)) for r in references]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+FOLD_ARMS = ("random", "length_composition", "edit_retrieval", "embedding_retrieval", "matrix", "mlp_pseudo_sequence", "mlp_one_hot")
+
+
+def fold_arms(rows: DataFrame, fold: str, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str, seed: int = 0, codes: DataFrame | None = None, target: str | None = None, embedding: DataFrame | None = None, **networks) -> DataFrame:
+    """(row_id, arm, score) of every row by models and entries of the other folds, FOLD_ARMS all told; every row once an arm.
+
+    embedding: (seq, vec); by default hashed k-mers. codes and target as in transfer_arms().
+    """
     parts = splits.fold_sides(rows, fold)
     random = rows.select(row_id, F.lit("random").alias("arm"), models.rng.unit(seed, "random", F.col(row_id)).alias("score"))
-    comp = models.fit_and_score(parts.withColumn("_x", text.composition(seq, alphabet)), ["partition_id", group], "_x", label, row_id).select(row_id, F.lit("composition").alias("arm"), "score")
+    comp = models.fit_and_score(parts.withColumn("_x", text.composition(seq, alphabet)), ["partition_id", group], "_x", label, row_id).select(row_id, F.lit("length_composition").alias("arm"), "score")
     keyed = parts.withColumn("_key", F.concat_ws("|", "partition_id", group))
     matrix = models.pwm(keyed.filter("side = 'train'"), "_key", seq, label, length, alphabet)
     pwm = models.pwm_score(keyed.filter("side = 'test'"), matrix, "_key", seq, row_id).select(row_id, F.lit("matrix").alias("arm"), "score")
     entries = retrieval.database(rows, group, seq, label, [fold])
-    near = retrieval.nearest_positive(rows.select(row_id, group, seq, fold), entries, group, seq, other_fold=fold).select(row_id, F.lit("retrieval").alias("arm"), "score")
-    out = functools.reduce(DataFrame.unionByName, [random, comp, pwm, near])
+    queries = rows.select(row_id, group, seq, fold)
+    near = retrieval.nearest_positive(queries, entries, group, seq, other_fold=fold).select(row_id, F.lit("edit_retrieval").alias("arm"), "score")
+    vectors = embedding if embedding is not None else models.hashed_embedding(rows, seq).select(seq, "vec")
+    # a fold's queries meet the entries of each other fold as a group of its own
+    sides = parts.join(vectors, seq).withColumn("_key", F.concat_ws("|", "partition_id", group))
+    asked = sides.filter("side = 'test'").select("_key", seq, F.col("vec").alias("_q")).dropDuplicates(["_key", seq])
+    held = sides.filter((F.col("side") == "train") & (F.col(label).cast("int") == 1)).select("_key", F.col(seq).alias("entry"), F.col("vec").alias("_e")).dropDuplicates(["_key", "entry"])
+    close = retrieval.nearest_vectors(asked, held, "_key", seq, "_q", "_e").select("_key", seq, "score")
+    embedded = sides.filter("side = 'test'").select(row_id, "_key", seq).join(close, ["_key", seq]).select(row_id, F.lit("embedding_retrieval").alias("arm"), "score")
+    codes = codes if codes is not None else rows.groupBy(group).agg(F.min(seq).alias("code"))
+    names = [r[0] for r in retrieval.bounded(codes.select(group).distinct()).orderBy(group).collect()]  # one place a group in the one-hot row
+    width = length * len(alphabet)
+    cut = _with_validation(parts, group, label, row_id).join(codes.select(group, F.col("code").alias("_code")), group)
+    place = F.array((F.array_position(F.array(*map(F.lit, names)), F.col(group)) - 1 + width).cast("int"))
+    own = models.hot(seq, length, alphabet)
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), x.alias("_x")) for a, x in (("mlp_pseudo_sequence", F.concat(own, models.hot("_code", length, alphabet, width))), ("mlp_one_hot", F.concat(own, place)))))).alias("_a")
+    long = cut.select("partition_id", row_id, F.col(target or label).cast("double").alias("_v"), "side", each).select("partition_id", row_id, "_v", "side", "_a.*")
+    nets = models.arm_ensembles(long, "arm", "partition_id", "_x", "_v", row_id, {"mlp_pseudo_sequence": 2 * width, "mlp_one_hot": width + len(names)}, **networks).select(row_id, "arm", "score")
+    out = checkpointed(functools.reduce(DataFrame.unionByName, [random, comp, near, embedded, pwm, nets]))
     checks.scored_once(rows, out, row_id, "arm", "score")
     return out
 
