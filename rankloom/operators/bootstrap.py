@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng
-from rankloom.operators import resampling, stats
+from rankloom.operators import ordering, resampling, stats
 from rankloom.sources.tables import checkpointed
 
 
@@ -58,7 +58,7 @@ def correlation_over_points(points: DataFrame, row_id: str, x: str, y: list[str]
     values = [f"v{i}" for i in range(len(ys) + 1)]
     own = points.select(F.col(row_id).alias("id"), *(F.col(c).cast("double").alias(v) for c, v in zip([x, *ys], values, strict=True)))
     centre = own.agg(*(F.round(F.coalesce(F.avg(v), F.lit(0.0)), 6).alias(v) for v in values)).first()  # keeps the sums small
-    numbered = checkpointed(_numbered(own.select("id", *((F.col(v) - centre[v]).alias(v) for v in values))))
+    numbered = checkpointed(ordering.numbered(own.select("id", *((F.col(v) - centre[v]).alias(v) for v in values)), "id"))
     count = numbered.count()
     spark = points.sparkSession
     rows = F.array_sort(F.collect_list(F.struct("pos", *values))).alias("rows")
@@ -108,18 +108,6 @@ def correlation_over_points(points: DataFrame, row_id: str, x: str, y: list[str]
     return wide.select("replicate", *(F.col(f"`{i}`").alias(f"r_{c}") for i, c in enumerate(ys)))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """`df` with pos, its place in the order of id, by ranges: no task numbers all rows."""
-    from pyspark.sql import Window
-
-    part = F.spark_partition_id()
-    dealt = checkpointed(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").withColumn("_part", part))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a partition
-    inside = Window.partitionBy("_part").orderBy("id")
-    return dealt.join(F.broadcast(sizes.drop("_n")), "_part").withColumn("pos", F.row_number().over(inside) - 1 + F.col("_before")).drop("_part", "_before")
-
-
 def block_metrics(p: np.ndarray, n: np.ndarray, fpr: float = 0.1) -> tuple[float, float, float]:
     """(auroc, ap, auc01) of positives and negatives by block of falling score; NaN for one class."""
     pos, neg = p.sum(), n.sum()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text
+from rankloom.sources.tables import checkpointed
 
 Similarity = Callable[[Column, Column], Column]
 FAR = 1_000_000
@@ -131,24 +132,64 @@ def seen_mask(test: DataFrame, train: DataFrame, key: str) -> DataFrame:
     return test.join(known, key, "left").withColumn("seen", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def nearest_levenshtein(queries: DataFrame, entries: DataFrame, seq: str, band: int) -> DataFrame:
-    """(seq, distance): distance to the nearest entry, band + 1 where none is within `band`.
+def _pieces(text: str, length: str, k: int) -> str:
+    """SQL of the k + 1 nearly equal pieces of a text of that length: array of (i, begin, size)."""
+    return f"transform(sequence(0, {k}), i -> named_struct('i', i, 'begin', cast(i * {length} div {k + 1} as int), 'size', cast((i + 1) * {length} div {k + 1} - i * {length} div {k + 1} as int)))"
+
+
+def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, k: int) -> DataFrame:
+    """(a, b, distance) of distinct texts of either side that are at most k edits apart, through a segment index.
 
-    Lengths of a match differ by `band` at most, so each query is joined on the few lengths that can match.
+    Of the k + 1 pieces of b, k edits leave one intact, and a holds it moved by no more than the edits before it: a piece i
+    moves by at most i places, and by at most k - i counted from the other end. So a is looked up by these few substrings
+    under (length of b, piece, its text). Texts of k letters or fewer have empty pieces and meet all texts of near length.
     """
-    q, e = queries.select(seq).distinct(), entries.select(F.col(seq).alias("entry")).distinct()
-    spread = q.withColumn("_len", F.explode(F.sequence(F.greatest(F.length(seq) - band, F.lit(0)), F.length(seq) + band)))
-    pairs = spread.join(e.withColumn("_len", F.length("entry")), "_len")
-    best = pairs.groupBy(seq).agg(F.min(text.edit_distance(seq, "entry", band)).alias("distance"))
-    return q.join(best, seq, "left").select(seq, F.coalesce("distance", F.lit(band + 1)).alias("distance"))
+    if k < 0:
+        raise ValueError("edits can't be negative")
+    q = left.select(F.col(a).alias("a")).filter("a is not null").distinct().withColumn("m", F.length("a"))
+    e = right.select(F.col(b).alias("b")).filter("b is not null").distinct().withColumn("l", F.length("b"))
+    keyed = e.withColumn("p", F.explode(F.expr(_pieces("b", "l", k)))).select("b", "l", "p.i", F.expr("substring(b, p.begin + 1, p.size)").alias("piece"))
+    lengths = q.withColumn("l", F.explode(F.sequence(F.greatest(F.col("m") - k, F.lit(0)), F.col("m") + k)))
+    asked = lengths.withColumn("p", F.explode(F.expr(_pieces("a", "l", k)))).select("a", "m", "l", "p.*")
+    low, high = f"greatest(-i, m - l - ({k} - i))", f"least(i, m - l + ({k} - i))"
+    moved = asked.filter(f"{low} <= {high}").withColumn("s", F.explode(F.expr(f"sequence({low}, {high})"))).filter("begin + s >= 0 and begin + s + size <= m")
+    looked = moved.select("a", "l", "i", F.expr("substring(a, begin + s + 1, size)").alias("piece")).distinct()
+    pairs = looked.join(keyed, ["l", "i", "piece"]).select("a", "b").distinct()
+    found = pairs.withColumn("distance", text.edit_distance("a", "b", k)).filter(F.col("distance").between(0, k))
+    return found.select(F.col("a").alias(a), F.col("b").alias(b), "distance") if a != b else found
 
 
-def nearest_hamming(queries: DataFrame, entries: DataFrame, seq: str) -> DataFrame:
-    """(seq, distance): places that differ from the nearest entry of the same length, FAR where there is none."""
-    q, e = queries.select(seq).distinct(), entries.select(F.col(seq).alias("entry")).distinct()
-    pairs = q.withColumn("_len", F.length(seq)).join(e.withColumn("_len", F.length("entry")), "_len")
-    best = pairs.groupBy(seq).agg(F.min(text.hamming(F.col(seq), F.col("entry"))).alias("distance"))
-    return q.join(best, seq, "left").select(seq, F.coalesce("distance", F.lit(FAR)).alias("distance"))
+def nearest_levenshtein(queries: DataFrame, entries: DataFrame, seq: str, band: int) -> DataFrame:
+    """(seq, distance): distance to the nearest entry, band + 1 where none is within `band`."""
+    q = queries.select(seq).distinct()
+    best = within_edits(q, entries.select(F.col(seq).alias("_entry")), seq, "_entry", band).groupBy(seq).agg(F.min("distance").alias("distance"))
+    return q.join(best, seq, "left").select(seq, F.coalesce("distance", F.lit(band + 1)).cast("int").alias("distance"))
+
+
+RADII = (1, 3, 7)
+
+
+def nearest_hamming(queries: DataFrame, entries: DataFrame, seq: str, radii: tuple[int, ...] = RADII) -> DataFrame:
+    """(seq, distance): places that differ from the nearest entry of the same length, FAR where there is none.
+
+    For each radius r, a match within r leaves one of r + 1 pieces intact at its place, so texts meet by (length, piece, text);
+    a query that finds an entry within r is done, as all entries so near were met. What is left after the last radius meets
+    all entries of its length.
+    """
+    q, e = queries.select(seq).distinct(), entries.select(F.col(seq).alias("entry")).filter("entry is not null").distinct()
+    left, e = q.withColumn("l", F.length(seq)), e.withColumn("l", F.length("entry"))
+    done = []
+    for r in radii:
+        cut = lambda df, c: df.withColumn("p", F.explode(F.expr(_pieces(c, "l", r)))).select(c, "l", "p.i", F.expr(f"substring(`{c}`, p.begin + 1, p.size)").alias("piece"))  # noqa: E731, B023
+        pairs = cut(left, seq).join(cut(e, "entry"), ["l", "i", "piece"])
+        near = pairs.groupBy(seq).agg(F.min(text.hamming(F.col(seq), F.col("entry"))).alias("distance")).filter(F.col("distance") <= r)
+        near = checkpointed(near)
+        done.append(near)
+        left = checkpointed(left.join(near, seq, "left_anti"))
+    rest = left.join(e, "l").groupBy(seq).agg(F.min(text.hamming(F.col(seq), F.col("entry"))).alias("distance"))
+    for near in done:
+        rest = rest.unionByName(near)
+    return q.join(rest, seq, "left").select(seq, F.coalesce("distance", F.lit(FAR)).alias("distance"))
 
 
 def nearest_training_distance(queries: DataFrame, entries: DataFrame, seq: str) -> DataFrame:

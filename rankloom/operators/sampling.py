@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text
 from rankloom.operators.checks import require_columns, require_none
-from rankloom.operators.retrieval import bounded
+from rankloom.operators.retrieval import bounded, within_edits
 
 PAIR_GUARD = 2_000_000
 
@@ -39,7 +39,7 @@ def _assemble(chosen: DataFrame, pairs: DataFrame, pool: DataFrame, group: str,
     return out.join(pool.select(group, attribute), group) if attribute else out
 
 
-def sample(pairs: DataFrame, group: str, seq: str, row_id: str, strategy: str = "matched", ratio: float = 5.0, seed: int = 0, attribute: str | None = None, label: str = "label") -> DataFrame:
+def sample(pairs: DataFrame, group: str, seq: str, row_id: str, strategy: str = "matched", ratio: float = 5.0, seed: int = 0, attribute: str | None = None, label: str = "label", guard: int | None = PAIR_GUARD) -> DataFrame:
     """Negatives of the positive `pairs`: rows with another group that is no known positive of their sequence.
 
     shuffle: uniform without replacement. matched: weighted by positive rows of the group. hard: the groups nearest to the
@@ -48,7 +48,7 @@ def sample(pairs: DataFrame, group: str, seq: str, row_id: str, strategy: str =
     """
     known, pool = context(pairs, group, seq, attribute)
     if strategy == "uniform":
-        return uniform(pairs, known, pool, group, seq, row_id, attribute, label)
+        return uniform(pairs, known, pool, group, seq, row_id, attribute, label, guard)
     if strategy not in ("shuffle", "matched", "hard"):
         raise ValueError(f"unknown strategy {strategy!r}")
     k = draws(ratio, F.col(row_id), seed)
@@ -69,13 +69,14 @@ def sample(pairs: DataFrame, group: str, seq: str, row_id: str, strategy: str =
     return _assemble(chosen, pairs, pool, group, row_id, attribute, label)
 
 
-def uniform(pairs: DataFrame, known: DataFrame, pool: DataFrame, group: str, seq: str, row_id: str, attribute: str | None = None, label: str = "label", guard: int = PAIR_GUARD) -> DataFrame:
-    """Every distinct sequence with every group that is none of its positives; more than `guard` pairs raise first."""
+def uniform(pairs: DataFrame, known: DataFrame, pool: DataFrame, group: str, seq: str, row_id: str, attribute: str | None = None, label: str = "label", guard: int | None = PAIR_GUARD) -> DataFrame:
+    """Every distinct sequence with every group that is none of its positives; more than `guard` pairs raise first, if there is one."""
     first = pairs.groupBy(seq).agg(F.min(row_id).alias(row_id))
-    n, m = first.count(), pool.count()
-    if n * m > guard:
-        raise ValueError(f"{n} sequences x {m} groups exceed {guard} pairs")
-    grid = first.join(F.broadcast(pool.select(F.col(group).alias("drawn"))))
+    if guard is not None:
+        n, m = first.count(), pool.count()
+        if n * m > guard:
+            raise ValueError(f"{n} sequences x {m} groups exceed {guard} pairs")
+    grid = first.crossJoin(pool.select(F.col(group).alias("drawn")))  # the result is this grid, less the positives
     chosen = grid.join(known.withColumnRenamed(group, "drawn"), ["drawn", seq], "left_anti").select(row_id, "drawn")
     return _assemble(chosen, pairs, pool, group, row_id, attribute, label)
 
@@ -103,11 +104,10 @@ def distance_eligible(pool: DataFrame, known: DataFrame, targets: DataFrame, gro
 
     The pairs that break the rule come from an equi-join on close groups; a sequence without known groups is eligible.
     """
-    t = bounded(targets.select(group).distinct())
-    g = known.select(F.col(group).alias("_g")).distinct()
-    close = g.join(F.broadcast(t)).filter(text.edit_distance(group, "_g", beyond) <= beyond)
+    t = targets.select(group).distinct()
+    close = within_edits(known.select(F.col(group).alias("_g")), t, "_g", group, beyond)
     broken = known.select(F.col(group).alias("_g"), seq).join(close, "_g").select(group, seq).distinct()
-    return pool.select(seq).distinct().join(F.broadcast(t)).join(broken, [group, seq], "left_anti")
+    return pool.select(seq).distinct().crossJoin(t).join(broken, [group, seq], "left_anti")
 
 
 def evaluation_set(positives: DataFrame, eligible: DataFrame, group: str, seq: str, row_id: str, cap: int, per_positive: int, seed: int = 0) -> DataFrame:

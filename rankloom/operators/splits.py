@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text
+from rankloom.operators import ordering
 from rankloom.operators.checks import require_none
 from rankloom.sources.tables import checkpointed
 
@@ -45,13 +46,14 @@ def component_split(labelled: DataFrame, fraction: float, seed: int = 0, compone
     """`labelled` with side: the largest component trains; others, in random order, go to test until it has the fraction of rows."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must lie between 0 and 1")
-    sizes = labelled.groupBy(component).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # over sizes only
-    sizes = sizes.withColumn("_big", F.row_number().over(Window.orderBy(F.desc("n"), component)) == 1).withColumn("_rows", F.sum("n").over(everything))
-    order = Window.orderBy("_big", rng.unit(seed, "component", F.col(component)), component).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.withColumn("_before", F.sum("n").over(order) - F.col("n"))
-    side = F.when(~F.col("_big") & (F.col("_before") < F.col("_rows") * fraction), "test").otherwise("train")
-    return labelled.join(sizes.select(component, side.alias("side")), component)
+    sizes = checkpointed(labelled.groupBy(component).agg(F.count(F.lit(1)).alias("n")))
+    whole = sizes.agg(F.sum("n").alias("rows"), F.min(F.struct((-F.col("n")).alias("n"), F.col(component).alias("c"))).alias("big")).first()
+    if whole.rows is None:
+        return labelled.withColumn("side", F.lit("train"))
+    others = sizes.filter(F.col(component) != whole.big.c).withColumn("_u", rng.unit(seed, "component", F.col(component)))
+    placed = ordering.running_sum(others, "n", F.col("_u"), F.col(component), out="_upto")
+    test = placed.filter(F.col("_upto") - F.col("n") < whole.rows * fraction).select(component, F.lit(True).alias("_test"))
+    return labelled.join(test, component, "left").withColumn("side", F.when(F.coalesce("_test", F.lit(False)), "test").otherwise("train")).drop("_test")
 
 
 def stratified_split(df: DataFrame, strata: list[str], row_id: str, fraction: float = 0.1, seed: int = 0) -> DataFrame:

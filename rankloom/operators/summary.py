@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import ordering
+
 
 def support(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("support"))
@@ -93,12 +95,27 @@ def multi_union_distinct(columns: list[tuple[DataFrame, str]], out: str = "value
     return total.dropna().distinct()
 
 
-def length_batches(df: DataFrame, seq: str, budget: int) -> DataFrame:
-    """(seq, batch): distinct sequences by (length, text), filled into batches of at most `budget` padded letters.
+def length_batches(df: DataFrame, seq: str, budget: int, padding: int = 2) -> DataFrame:
+    """(seq, batch): distinct sequences in order of (length, text), filled greedily into batches of at most `budget` tokens.
 
-    A batch holds one length, so every length is numbered on its own and no task sees them all.
+    A batch of k sequences takes k times its longest length plus `padding`; a sequence that exceeds the budget by itself is a
+    batch of its own. Where a batch ends depends on the counts by length alone, so the fill runs over those (as many rows as
+    there are lengths) with a carry from each length to the next; the rows only need their place in the order.
     """
-    d = df.select(seq).distinct().withColumn("_len", F.length(seq))
-    order = Window.partitionBy("_len").orderBy(seq)
-    per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("_len", F.lit(1))))
-    return d.withColumn("batch", F.concat_ws("-", "_len", F.floor((F.row_number().over(order) - 1) / per))).select(seq, "batch")
+    d = df.select(seq).filter(F.col(seq).isNotNull()).distinct().withColumn("_len", F.length(seq))
+    counts = d.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).orderBy("_len").collect()  # a row a length
+    plan, before, batch, held = [], 0, -1, 0
+    for length, n in counts:
+        most = max(1, budget // (length + padding))
+        first = min(n, max(0, most - held)) if held else 0  # what the open batch still takes
+        plan.append((length, before, batch, first, most))
+        rest = n - first
+        if rest:
+            batch, held = batch + -(-rest // most), (rest - 1) % most + 1
+        else:
+            held += first
+        before += n
+    rules = df.sparkSession.createDataFrame(plan, "_len int, _before long, _open long, _first long, _most long")
+    placed = ordering.numbered(d, "_len", seq, out="_pos").join(F.broadcast(rules), "_len").withColumn("_at", F.col("_pos") - F.col("_before"))
+    later = F.col("_open") + 1 + F.floor((F.col("_at") - F.col("_first")) / F.col("_most"))
+    return placed.select(seq, F.when(F.col("_at") < F.col("_first"), F.col("_open")).otherwise(later).alias("batch"))

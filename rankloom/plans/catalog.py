@@ -502,7 +502,7 @@ def _(spark, d):
 
 @query("N06_negatives_uniform", f"with {OWNERS} select pos.i source_row_id, pool.g from pos, pool where pos.g <> pool.g")
 def _(spark, d):
-    return sampling.sample(owners(spark, d), "g", "seq", "i", "uniform").select("source_row_id", "g")
+    return sampling.sample(owners(spark, d), "g", "seq", "i", "uniform", guard=None).select("source_row_id", "g")
 
 
 @query("N10_negative_summary", f"with n as ({_drawn_sql(f'(-{_u(chr(115) + chr(104) + chr(117) + chr(102) + chr(102) + chr(108) + chr(101))})')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct c_name) n_sequences, cast(0 as bigint) n_collisions from n join customer on c_custkey = source_row_id")
@@ -511,10 +511,10 @@ def _(spark, d):
     return sampling.summary(sampling.sample(pos, "g", "seq", "i", "shuffle", 3.0), pos, "g", "seq")
 
 
-@query("C09_distance_eligible", f"with {OWNERS} select pool.g, pos.seq from pos, pool where levenshtein(pos.g, pool.g) > 0")
+@query("C09_distance_eligible", f"with {OWNERS} select pool.g, pos.seq from pos, pool where levenshtein(pos.g, pool.g) > 3")
 def _(spark, d):
     rows = owners(spark, d)
-    return sampling.distance_eligible(rows, rows, rows, "g", "seq", 0)
+    return sampling.distance_eligible(rows, rows, rows, "g", "seq", 3)
 
 
 @query("N11_evaluation_set", f"""with {OWNERS}, n as (select *, row_number() over (partition by g order by {rng.unit_sql("'0'", "'cap'", "i")}, i) n from pos), c as (select g, seq from n where n <= 5), w as (select g, 3 * count(*) want from c group by g),
