@@ -121,6 +121,55 @@ def preflight(partitions: DataFrame, key: str, shared: str | None, label: str) -
     return partitions
 
 
+def schedule(df: DataFrame, held: DataFrame, key: str, shared: str | None = None) -> DataFrame:
+    """Every row by partition_id and side, where `held` (partition_id, key) lists one or several held-out keys a partition.
+
+    With `shared`, training rows that share its value with the partition's test side go. A held-out key without rows, or one
+    that two partitions hold, is an error.
+    """
+    h = held.select("partition_id", key).distinct()
+    require_none(h.join(df, key, "left_anti"), "held-out keys without rows")
+    require_none(h.groupBy(key).count().filter("count > 1").select(key), "keys held out twice")
+    ids = h.select("partition_id").distinct()
+    marked = df.crossJoin(ids).join(h.withColumn("_mine", F.lit(True)), ["partition_id", key], "left")  # each row once a partition
+    sided = marked.withColumn("side", F.when(F.col("_mine"), "test").otherwise("train")).drop("_mine")
+    if not shared:
+        return sided
+    gone = df.join(h, key).select("partition_id", shared).distinct().withColumn("_gone", F.lit(True))
+    return sided.join(gone, ["partition_id", shared], "left").filter("side = 'test' or _gone is null").drop("_gone")
+
+
+def key_schedule(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """(position, partition_id, key): one key a partition, by first appearance in `order`, or sorted by key."""
+    first = df.groupBy(key).agg((F.min(order) if order else F.min(key)).alias("_first"))
+    placed = ordering.numbered(first, "_first", key, out="position")
+    return placed.select("position", F.col(key).cast("string").alias("partition_id"), key)
+
+
+def cluster_schedule(clusters: DataFrame, key: str) -> DataFrame:
+    """(position, partition_id, key): one partition a cluster of complete_linkage(), in its order, named by its sorted members."""
+    named = clusters.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list(F.col("name").cast("string"))), "+").alias("partition_id"))
+    return clusters.join(named, "cluster").select(F.col("cluster").cast("long").alias("position"), "partition_id", F.col("name").alias(key))
+
+
+def schedule_diagnostics(df: DataFrame, held: DataFrame, key: str, value: str, codes: DataFrame, shared: bool = False) -> DataFrame:
+    """(partition_id, n_keys, n_test, n_train, n_values, n_shared, fraction, distance, source) of every partition.
+
+    n_values and n_shared count the distinct test values and those in training too; distance is the smallest Hamming distance
+    between the code of a held-out key and that of a training key, source the training key of it (ties: the smaller).
+    `shared` deletes training rows with values of the test side first, as in schedule().
+    """
+    rows = schedule(df, held, key, value if shared else None)
+    counts = rows.groupBy("partition_id").agg(F.count_if(F.col("side") == "test").alias("n_test"), F.count_if(F.col("side") == "train").alias("n_train"))
+    keys = held.groupBy("partition_id").agg(F.countDistinct(key).alias("n_keys"))
+    over = overlap(rows, value).select("partition_id", F.col("n_test").alias("n_values"), "n_shared", "fraction")
+    mine = held.select("partition_id", key).distinct().join(codes, key).select("partition_id", F.col("code").alias("_a"))
+    trained = rows.filter("side = 'train'").select("partition_id", key).distinct().join(codes, key).select("partition_id", F.col(key).alias("source"), "code")
+    pairs = mine.join(trained, "partition_id").select("partition_id", F.struct(text.hamming(F.col("_a"), F.col("code")).alias("d"), "source").alias("s"))  # keys, not rows
+    near = pairs.groupBy("partition_id").agg(F.min("s").alias("s")).select("partition_id", F.col("s.d").alias("distance"), "s.source")
+    return keys.join(counts, "partition_id").join(over, "partition_id", "left").join(near, "partition_id", "left").select("partition_id", "n_keys", "n_test", "n_train", "n_values", "n_shared", "fraction", "distance", "source")
+
+
 def complete_linkage(sequences: DataFrame, name: str, sequence: str, singletons: int = 1) -> DataFrame:
     """(name, cluster, cut): complete-linkage clusters by Hamming distance at the first cut that leaves few singletons.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text, vector
-from rankloom.operators import checks, metrics, models, retrieval, rows, sampling, splits, stats, summary
+from rankloom.operators import checks, metrics, models, resampling, retrieval, rows, sampling, splits, stats, summary
 from rankloom.plans.catalog import AFFIN, GRADED, OWNERS, PART_G, affin, graded, metrics_sql, owners, paired, points, query, r6
 from rankloom.sources import io
 from rankloom.sources.tables import scratch, table
@@ -308,9 +309,14 @@ def _(spark, d):
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", F.round(vector.cosine("v", "w"), 5).alias("cosine"))
 
 
-@query("F07_feature_width", "select * from (values ('concat', 128), ('interactions', 256), ('left_only', 64), ('right_only', 64)) t(mode, width)")
+@query("F07_feature_width", "select mode, k * len(embedding) width, count(*) n from embeddings, (values ('concat', 2), ('interactions', 4), ('left_only', 1), ('right_only', 1)) t(mode, k) group by all")
 def _(spark, d):
-    return spark.createDataFrame([(m, vector.feature_width(m, 64)) for m in vector.MODES], "mode string, width int")
+    """Widths of the feature blocks that vectors really make, which must be those that feature_width() foretells."""
+    e = table(spark, d, "embeddings")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.size(vector.pair_features("embedding", "embedding", m)).alias("width"), (F.size("embedding") * vector.feature_width(m, 1)).alias("told")) for m in vector.MODES))).alias("f")
+    found = e.select(each).select("f.*").groupBy("mode", "width", "told").agg(F.count(F.lit(1)).alias("n"))
+    checks.require_none(found.filter("width <> told").select("mode"), "feature blocks of another width than foretold")
+    return found.select("mode", "width", "n")
 
 
 @query("F08_composition_all", "select c_custkey, list_transform(range(10), lambda k: length(c_name) - length(replace(c_name, cast(k as varchar), ''))) counts, length(c_name) n from customer")
@@ -368,16 +374,17 @@ def _(spark, d):
     return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") == F.col("own")).alias("n_same"), F.count_if(F.col("label") != 0).alias("n_labelled"))
 
 
-@query("N08_strategies", "select * from (values ('hard'), ('matched'), ('shuffle'), ('uniform')) t(strategy)")
+@query("N08_strategies", f"with {OWNERS} select s strategy, count(*) n from pos, (values ('hard'), ('matched'), ('shuffle')) t(s) group by s union all select 'uniform', count(*) from pos, pool where pos.g <> pool.g")
 def _(spark, d):
+    """Negatives drawn by each strategy, one a positive; a name that is none of them must raise."""
     pos, found = owners(spark, d), []
-    for name in ("hard", "matched", "shuffle", "uniform", "unknown"):
-        try:
-            sampling.sample(pos, "g", "seq", "i", name, 1.0)
-            found.append((name,))
-        except ValueError:
-            continue
-    return spark.createDataFrame(found, "strategy string")
+    for name in ("hard", "matched", "shuffle", "uniform"):
+        found.append(sampling.sample(pos, "g", "seq", "i", name, 1.0, guard=None).select(F.lit(name).alias("strategy")))
+    try:
+        sampling.sample(pos, "g", "seq", "i", "unknown", 1.0)
+    except ValueError:
+        return functools.reduce(DataFrame.unionByName, found).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+    raise AssertionError("an unknown strategy was taken")
 
 
 @query("N09_training_set", f"with {OWNERS} select cast(1 as int) label_value, count(*) n from pos union all select 0, 2 * count(*) from pos")
@@ -395,12 +402,17 @@ def _(spark, d):
     return metrics.tie_blocks(graded(spark, d), ["g"], "y", "s").select("g", F.round("s", 6).alias("s"), "p", "n", "tp", "fp")
 
 
-@query("E15_kernels_agree", f"with {GRADED} select g, true agrees from (select distinct g from graded)")
+@query("E15_kernels_agree", f"with {GRADED}, {metrics_sql('graded')} select g, round(auroc, 6) auroc, round(ap, 6) ap, round(auc01, 6) auc01, true agrees from m")
 def _(spark, d):
-    a = metrics.group_metrics(graded(spark, d), "g", "y", "s")
-    b = metrics.group_metrics(graded(spark, d), "g", "y", "s", cuts=8).select("g", *(F.col(c).alias(f"{c}_2") for c in ("auroc", "ap", "auc01")))
-    near = [F.abs(F.col(c) - F.col(f"{c}_2")) < 1e-9 for c in ("auroc", "ap", "auc01")]
-    return a.join(b, "g").select("g", (near[0] & near[1] & near[2]).alias("agrees"))
+    """The bootstrap's kernel, with every row drawn once, against the window plans."""
+    rows_ = graded(spark, d)
+    a = metrics.group_metrics(rows_, "g", "y", "s", cuts=8)
+    one = resampling.samples(rows_, "g", "y", ["s"], "i", 1, "groups", 0)
+    drawn = resampling.macro_samples(one, ["s"]).select(*(F.col(m).alias(f"{m}_k") for m in resampling.METRICS))
+    times = resampling.group_times(rows_.select("g").distinct(), 1, "groups", 0).select("g", "t")
+    mean = a.join(times, "g").agg(*((F.sum(F.col(m) * F.col("t")) / F.sum("t")).alias(f"{m}_w") for m in resampling.METRICS))
+    near = mean.join(drawn).select(functools.reduce(lambda x, y: x & y, (F.abs(F.col(f"{m}_k") - F.col(f"{m}_w")) < 1e-9 for m in resampling.METRICS)).alias("agrees"))
+    return a.join(near).select("g", *r6("auroc", "ap", "auc01"), "agrees")
 
 
 @query("E11_policy", f"with {GRADED} select count(*) n_rows, count(distinct s) n_distinct, false degenerate from graded")
@@ -486,11 +498,14 @@ def _(spark, d):
     return scores.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M14_record_check", "select 'macro' field, 0.5e0 v union all select 'n', 3e0")
+@query("M14_record_check", f"with {GRADED}, {metrics_sql('graded')} select 'macro' field, round(avg(auc01), 6) v from m union all select 'n', cast(count(*) as double) from m")
 def _(spark, d):
-    record = {"macro": 0.5, "n": 3}
+    """The record of an evaluation, which must have exactly these fields and be the mean over its groups."""
+    by = {r.g: r.auc01 for r in metrics.group_metrics(graded(spark, d), "g", "y", "s").select("g", "auc01").filter("auc01 is not null").collect()}  # 25 groups
+    record = {"macro": sum(by.values()) / len(by), "n": len(by)}
     checks.check_record(record, {"macro": float, "n": int})
-    return spark.createDataFrame([(k, float(v)) for k, v in record.items()], "field string, v double")
+    checks.check_evaluation({"arms": {"s": {"macro": record["macro"], "by_group": by}}})
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in record.items()], "field string, v double")
 
 
 @query("M18_padded_mean", "select vec_id, round(list_sum(cast(embedding as double[])) / len(embedding), 5) m from embeddings")
@@ -501,7 +516,58 @@ def _(spark, d):
     return out.select("vec_id", F.round(vector.masked_mean("p", "k")[0], 5).alias("m"))
 
 
-@query("P08_schedule_order", f"with {AFFIN} select distinct g partition_id, 'test' side from affin union select distinct g, 'train' from affin")
+@query("P08_schedule_order", f"with {AFFIN}, k as (select g, min(i) f from affin group by g) select row_number() over (order by f, g) - 1 as position, g partition_id, (select count(*) from affin a where a.g = k.g) n_test, (select count(*) from affin a where a.g <> k.g) n_train from k")
 def _(spark, d):
     a = affin(spark, d)
-    return splits.holdout(a, a.select("g").distinct(), "g").select("partition_id", "side").distinct()
+    held = splits.key_schedule(a, "g", "i")
+    sides = splits.schedule(a, held, "g").groupBy("partition_id").agg(F.count_if(F.col("side") == "test").alias("n_test"), F.count_if(F.col("side") == "train").alias("n_train"))
+    return held.select("position", "partition_id").join(sides, "partition_id").select("position", "partition_id", "n_test", "n_train")
+
+
+CUSTOMERS = "c as (select c_custkey i, n_name g, n_regionkey r, c_mktsegment || c_nationkey // 2 seq from customer join nation on c_nationkey = n_nationkey), h as (select cast(n_regionkey as varchar) partition_id, n_name g, lpad(cast(n_nationkey * 7919 as varchar), 6, '0') code from nation where n_name in (select g from c))"
+
+
+def _regions(spark, d):
+    """Customers by nation, each region's nations held out together, and a code of each nation."""
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("g"), F.col("n_regionkey").cast("string").alias("partition_id"), F.lpad((F.col("n_nationkey") * 7919).cast("string"), 6, "0").alias("code"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("i"), "g", F.concat("c_mktsegment", F.expr("c_nationkey div 2").cast("string")).alias("seq"))
+    return c, n.join(c, "g", "left_semi")
+
+
+DIAGNOSED = """select k.partition_id, n_keys, n_test, n_train, n_values, n_shared, round(n_shared / cast(n_values as double), 6) fraction, distance, source
+  from (select partition_id, count(*) n_keys from h group by 1) k join (select partition_id, count(*) filter (side = 'test') n_test, count(*) filter (side = 'train') n_train from s group by 1) using (partition_id)
+  join (select partition_id, count(*) n_values, count(*) filter (r) n_shared from (select partition_id, seq, bool_or(side = 'test') t, bool_or(side = 'train') r from s group by all) where t group by 1) using (partition_id)
+  join (select a.partition_id, cast(min(hamming(a.code, b.code)) as int) distance, arg_min(b.g, row(hamming(a.code, b.code), b.g)) source from h a join (select distinct partition_id, g from s where side = 'train') t on t.partition_id = a.partition_id join h b on b.g = t.g group by 1) using (partition_id)"""
+SIDES = "a as (select c.*, p.partition_id, case when exists (select 1 from h where h.partition_id = p.partition_id and h.g = c.g) then 'test' else 'train' end side from c, (select distinct partition_id from h) p)"
+
+
+@query("P10_schedule_diagnostics", f"with {CUSTOMERS}, {SIDES}, s as (select * from a) {DIAGNOSED}")
+def _(spark, d):
+    c, n = _regions(spark, d)
+    return splits.schedule_diagnostics(c, n, "g", "seq", n.select("g", "code")).withColumn("fraction", F.round("fraction", 6))
+
+
+@query("P10_joint_diagnostics", f"with {CUSTOMERS}, {SIDES}, s as (select * from a where side = 'test' or not exists (select 1 from a t where t.partition_id = a.partition_id and t.side = 'test' and t.seq = a.seq)) {DIAGNOSED}")
+def _(spark, d):
+    c, n = _regions(spark, d)
+    return splits.schedule_diagnostics(c, n, "g", "seq", n.select("g", "code"), shared=True).withColumn("fraction", F.round("fraction", 6))
+
+
+@query("P08_cluster_schedule")
+def _(spark, d):
+    """Nations clustered by their codes, each cluster's customers held out together."""
+    c, n = _regions(spark, d)
+    held = splits.cluster_schedule(splits.complete_linkage(n, "g", "code"), "g")
+    sides = splits.schedule(c, held, "g").groupBy("partition_id").agg(F.count_if(F.col("side") == "test").alias("n_test"), F.count_if(F.col("side") == "train").alias("n_train"))
+    return held.select("position", "partition_id").distinct().join(sides, "partition_id").select("position", "partition_id", "n_test", "n_train")
+
+
+@query("A10_ragged_store", "select cast(vec_id as varchar) as sequence, cast(1 + vec_id % 4 as int) n, round(list_avg(cast(embedding[1:(1 + vec_id % 4) * 16] as double[])), 4) mean from embeddings where vec_id % 3 = 0")
+def _(spark, d):
+    """Vectors cut into one to four residues of 16 components, written as a ragged store and read back by their sequences."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("vec_id").cast("string").alias("sequence"), F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int")), lambda k: F.slice("embedding", k * 16 + 1, 16)).alias("residues"))
+    path = scratch(spark, "residues")
+    io.write_residues(v.withColumns({"model": F.lit("small"), "layer": F.lit(3)}), path)
+    back = io.read_residues(spark, path, "small", 3, v.filter("vec_id % 3 = 0"))
+    total = F.aggregate(F.flatten("residues"), F.lit(0.0), lambda a, x: a + x) / F.size(F.flatten("residues"))
+    return back.select("sequence", F.size("residues").alias("n"), F.round(total, 4).alias("mean"))

@@ -169,6 +169,42 @@ def read_vectors(spark: SparkSession, path: str, model: str, layer: int) -> Data
     return out
 
 
+RAGGED = "model string, layer int, sequence string, n int, residues array<float>"
+
+
+def write_residues(df: DataFrame, path: str, rows_a_group: int = 4096) -> None:
+    """(model, layer, sequence, residues: one vector a residue) as a ragged store: by model and layer, sorted by sequence.
+
+    A row holds all components of a sequence in one flat array and their number n of residues, so nothing is padded; sorted
+    files of small row groups let a reader of selected sequences skip the rest by the groups' smallest and largest sequence.
+    """
+    require_columns(df, "model", "layer", "sequence", "residues")
+    empty = df.filter("residues is null or size(residues) = 0").select("sequence")
+    require_none(empty, "sequences without residues")
+    require_none(df.filter(F.exists("residues", lambda v: F.size(v) != F.size(F.col("residues")[0]))).select("sequence"), "sequences with residues of different width")
+    flat = df.select("model", "layer", "sequence", F.size("residues").alias("n"), F.flatten("residues").cast("array<float>").alias("residues"))
+    dealt = flat.repartitionByRange("model", "layer", "sequence").sortWithinPartitions("model", "layer", "sequence")
+    dealt.write.partitionBy("model", "layer").option("parquet.block.row.count.limit", rows_a_group).option("parquet.page.row.count.limit", 256).parquet(path)
+
+
+def read_residues(spark: SparkSession, path: str, model: str, layer: int, sequences: list[str] | DataFrame | None = None) -> DataFrame:
+    """(sequence, residues) of one model and layer, of the selected sequences only where they are given.
+
+    A list reaches the scan as a filter that skips row groups; a table is joined. A sequence that isn't there, or no vectors
+    of the model and layer, is an error.
+    """
+    stored = spark.read.schema(RAGGED).parquet(path).filter((F.col("model") == model) & (F.col("layer") == layer))
+    if stored.isEmpty():
+        raise ContractError(f"{path} holds no residues of {model}, layer {layer}")
+    if sequences is not None:
+        asked = sequences.select("sequence").distinct() if isinstance(sequences, DataFrame) else spark.createDataFrame([(x,) for x in sorted(set(sequences))], "sequence string")
+        stored = stored.join(asked, "sequence", "left_semi") if isinstance(sequences, DataFrame) else stored.filter(F.col("sequence").isin(sorted(set(sequences))))
+        require_none(asked.join(stored, "sequence", "left_anti"), "sequences without residues")
+    width = F.expr("cast(size(residues) div n as int)")
+    rows = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.slice("residues", k * width + 1, width))
+    return stored.select("sequence", rows.alias("residues"))
+
+
 def validate_vectors(vectors: DataFrame, expected: DataFrame, key: str = "sequence", vec: str = "vec") -> DataFrame:
     """The same vectors, if their keys are exactly the expected ones and every component is finite."""
     from rankloom.operators.checks import same_keys
