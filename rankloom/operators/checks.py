@@ -62,6 +62,14 @@ def class_presence(df: DataFrame, fold: str, group: str, label: str) -> DataFram
     )
 
 
+def require_class_presence(df: DataFrame, fold: str, group: str, label: str) -> DataFrame:
+    """class_presence(), if every fold and group has both classes in test and in training; else an error that names them."""
+    found = class_presence(df, fold, group, label)
+    least = F.least("test_pos", "test_neg", "train_pos", "train_neg")
+    require_none(found.filter(least < 1).select(fold, group), "folds and groups without both classes")
+    return found
+
+
 def scored_once(rows: DataFrame, scores: DataFrame, key: str, arm: str, score: str) -> None:
     """Every arm scores every row exactly once with a finite number."""
     bad = F.isnan(score) | F.col(score).isNull() | (F.abs(score) == float("inf"))

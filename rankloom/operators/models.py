@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions import rng, vector
+from rankloom.functions import rng, text, vector
 from rankloom.functions.text import RESIDUES
 
 
@@ -40,6 +40,23 @@ def pwm_score(test: DataFrame, matrix: DataFrame, group: str, seq: str, row_id:
     return letters.join(matrix, [group, "pos", "residue"]).groupBy(row_id).agg(F.sum("log_odds").alias("score"))
 
 
+def nearest_matrix_transfer(train: DataFrame, test: DataFrame, codes: DataFrame, group: str, seq: str, label: str, row_id: str, length: int, alphabet: str) -> DataFrame:
+    """(row_id, group, source, score) of every test row by the weight matrix of another group: of those with both classes in
+    training, the one whose code is nearest by Hamming distance, then by name. codes: (group, code)."""
+    from rankloom.operators import retrieval
+    from rankloom.operators.checks import require_none
+
+    y = F.col(label).cast("int")
+    both = train.groupBy(group).agg(F.min(y).alias("lo"), F.max(y).alias("hi")).filter("lo = 0 and hi = 1").select(group)
+    sources = retrieval.bounded(codes.join(both, group, "left_semi").select(F.col(group).alias("source"), F.col("code").alias("_s")))
+    pairs = codes.select(group, F.col("code").alias("_t")).join(F.broadcast(sources)).filter(F.col(group) != F.col("source"))
+    nearest = pairs.groupBy(group).agg(F.min(F.struct(text.hamming(F.col("_t"), F.col("_s")).alias("d"), "source")).alias("b")).select(group, "b.source")
+    require_none(test.select(group).distinct().join(nearest, group, "left_anti"), "groups without a source")
+    keyed = test.join(nearest, group)
+    scored = pwm_score(keyed, pwm(train.join(both, group, "left_semi"), group, seq, label, length, alphabet), group, seq, row_id, "source")
+    return keyed.select(row_id, group, "source").join(scored, row_id)
+
+
 def _scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population deviation, 1 where that is 0."""
     s = x.std(0)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text
@@ -205,6 +205,14 @@ def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return df
 
 
+def neighbour_ranks(names: DataFrame, name: str, k: int) -> DataFrame:
+    """(name, other, distance, rank): the k names nearest to each by (edit distance, name). Names are distinct keys, few enough to meet all."""
+    n = bounded(names.select(F.col(name).alias("name")).filter("name is not null").distinct())
+    pairs = n.join(F.broadcast(n.select(F.col("name").alias("other")))).filter("name <> other").withColumn("distance", text.edit_distance("name", "other"))
+    order = Window.partitionBy("name").orderBy("distance", "other")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("name", "other", "distance", "rank")
+
+
 def radius_masks(distances: DataFrame, seq: str, distance: str, radii: list[int]) -> DataFrame:
     """A boolean column keep_r for each radius: farther than r from every training sequence."""
     return distances.select(seq, distance, *((F.col(distance) > r).alias(f"keep_{r}") for r in radii))

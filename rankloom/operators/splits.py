@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text
 from rankloom.operators import ordering
-from rankloom.operators.checks import require_none
+from rankloom.operators.checks import require_columns, require_none
 from rankloom.sources.tables import checkpointed
 
 
@@ -139,6 +139,59 @@ def schedule(df: DataFrame, held: DataFrame, key: str, shared: str | None = None
     return sided.join(gone, ["partition_id", shared], "left").filter("side = 'test' or _gone is null").drop("_gone")
 
 
+def preflight_faults(parts: DataFrame, held: DataFrame, expected: DataFrame, codes: DataFrame, key: str, label: str, length: int, shared: str | None = None) -> DataFrame:
+    """(rule, partition_id, key) of all that is wrong with a schedule before anything is fitted on it; empty if nothing is.
+
+    parts: rows by partition_id and side; held: (partition_id, key); expected: the keys to be held out; codes: (key, code), a
+    code of `length` for each key. partition_id or key is null where a rule isn't about one. Rules: there are partitions;
+    held-out and expected keys agree; no key is held out twice; test rows are those of the held-out keys; no held-out key is
+    in training; with `shared`, none of its values is on both sides; every key has one code of the right length; codes
+    differ, so that they can be exchanged; training has both classes, and so have the test rows of each held-out key; some
+    training key has both classes, so that there is a source; every training key and class can be cut in fit and validation.
+    """
+    require_columns(parts, "partition_id", "side", key, label, *([shared] if shared else []))
+    require_columns(held, "partition_id", key)
+    y = F.col(label).cast("int")
+    by = checkpointed(parts.groupBy("partition_id", "side", key).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n")))
+    train, test = by.filter("side = 'train'"), by.filter("side = 'test'")
+    mine, wanted = held.select("partition_id", key).distinct(), expected.select(key).distinct()
+    none = F.lit(None).cast("string")
+    named = lambda df, rule, partition=None, name=None: df.select(F.lit(rule).alias("rule"), (F.col(partition).cast("string") if partition else none).alias("partition_id"), (F.col(name).cast("string") if name else none).alias("key"))
+    code = codes.groupBy(key).agg(F.countDistinct("code").alias("kinds"), F.max("code").alias("code"))
+    every = by.select("partition_id", key).distinct().join(code, key, "left")
+    sides = by.groupBy("partition_id").agg(*(F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("train", "test") for c in ("p", "n")), F.count_if((F.col("side") == "train") & (F.col("p") > 0) & (F.col("n") > 0)).alias("sources"))
+    one = F.lit(1).alias("one")
+    faults = [
+        named(parts.sparkSession.range(1).join(by.limit(1), how="left").filter("partition_id is null"), "no partitions"),
+        named(mine.join(wanted, key, "left_anti"), "held-out key is not expected", "partition_id", key),
+        named(wanted.join(mine, key, "left_anti"), "expected key is not held out", None, key),
+        named(mine.groupBy(key).count().filter("count > 1"), "key held out twice", None, key),
+        named(test.join(mine, ["partition_id", key], "left_anti"), "test rows of another key", "partition_id", key),
+        named(mine.join(test, ["partition_id", key], "left_anti"), "held-out key without test rows", "partition_id", key),
+        named(train.join(mine, ["partition_id", key], "left_semi"), "held-out key in training", "partition_id", key),
+        named(every.filter("code is null"), "key without a code", "partition_id", key),
+        named(code.filter("kinds > 1"), "key with several codes", None, key),
+        named(code.filter(F.length("code") != length), "code of another length", None, key),
+        named(codes.agg(F.countDistinct("code").alias("k"), one).filter("k < 2"), "codes that can't be exchanged"),
+        named(sides.filter("coalesce(train_p, 0) = 0 or coalesce(train_n, 0) = 0"), "training of one class", "partition_id"),
+        named(test.join(mine, ["partition_id", key], "left_semi").filter("p = 0 or n = 0"), "test key of one class", "partition_id", key),
+        named(sides.filter("sources = 0"), "no source of both classes", "partition_id"),
+        named(train.filter("p = 1 or n = 1"), "a single training row of a class", "partition_id", key),
+    ]
+    if shared:
+        faults.append(named(overlap(parts, shared).filter("n_shared > 0"), f"{shared} on both sides", "partition_id"))
+    out = faults[0]
+    for f in faults[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def preflight_schedule(parts: DataFrame, held: DataFrame, expected: DataFrame, codes: DataFrame, key: str, label: str, length: int, shared: str | None = None) -> DataFrame:
+    """The schedule's rows, if preflight_faults() finds nothing; else an error that lists what it found."""
+    require_none(preflight_faults(parts, held, expected, codes, key, label, length, shared), "schedule")
+    return parts
+
+
 def key_schedule(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """(position, partition_id, key): one key a partition, by first appearance in `order`, or sorted by key."""
     first = df.groupBy(key).agg((F.min(order) if order else F.min(key)).alias("_first"))

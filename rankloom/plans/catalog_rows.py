@@ -8,8 +8,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import text, vector
-from rankloom.operators import checks, metrics, models, resampling, retrieval, rows, sampling, splits, stats, summary
+from rankloom.functions import rng, text, vector
+from rankloom.operators import checks, metrics, models, ordering, resampling, retrieval, rows, sampling, splits, stats, summary
+from rankloom.plans import experiment
 from rankloom.plans.catalog import AFFIN, GRADED, OWNERS, PART_G, affin, graded, metrics_sql, owners, paired, points, query, r6
 from rankloom.sources import io
 from rankloom.sources.tables import scratch, table
@@ -553,6 +554,30 @@ def _(spark, d):
     return splits.schedule_diagnostics(c, n, "g", "seq", n.select("g", "code"), shared=True).withColumn("fraction", F.round("fraction", 6))
 
 
+PREFLIGHT = f"""with {CUSTOMERS}, k as (select n_name g, n_nationkey k, n_regionkey r from nation), w as (select g from k where k % 8 <> 3), d as (select partition_id, g from h union all select 'again', g from h join k using (g) where k % 11 = 0),
+  x as (select c.i, c.g, c.seq, c2.c_acctbal > 9500 and k.k <> 5 y, p.partition_id, case when exists (select 1 from d where d.partition_id = p.partition_id and d.g = c.g) then 'test' else 'train' end side from c join customer c2 on c2.c_custkey = c.i join k using (g), (select distinct partition_id from d) p),
+  b as (select partition_id, side, g, count(*) filter (y) p, count(*) filter (not y) n from x group by all), q as (select g, case when k % 6 = 1 then left(code, 4) else code end code from h join k using (g) where k % 9 <> 4)
+  select 'held-out key is not expected' as rule, partition_id, g as key from d where g not in (select g from w) union select 'expected key is not held out', null, g from w where g not in (select g from d)
+  union select 'key held out twice', null, g from d group by g having count(*) > 1 union select 'key without a code', partition_id, g from b where g not in (select g from q) union select 'code of another length', null, g from q where length(code) <> 6
+  union select 'training of one class', partition_id, null from b where side = 'train' group by partition_id having sum(p) = 0 or sum(n) = 0 union select 'test key of one class', partition_id, g from b where side = 'test' and (p = 0 or n = 0)
+  union select 'no source of both classes', partition_id, null from b group by partition_id having count(*) filter (side = 'train' and p > 0 and n > 0) = 0 union select 'a single training row of a class', partition_id, g from b where side = 'train' and (p = 1 or n = 1)
+  union select 'seq on both sides', partition_id, null from (select partition_id, seq from x group by all having bool_or(side = 'test') and bool_or(side = 'train'))"""
+
+
+@query("P09_preflight_faults", PREFLIGHT)
+def _(spark, d):
+    """A schedule with planted faults: keys that aren't expected, held out twice, without a code or with a short one, and of one class."""
+    c, n = _regions(spark, d)
+    number = F.col("n_nationkey")
+    nation = table(spark, d, "nation").select(F.col("n_name").alias("g"), "n_nationkey")
+    held = n.select("partition_id", "g").unionByName(n.filter(number % 11 == 0).select(F.lit("again").alias("partition_id"), "g"))
+    codes = n.filter(number % 9 != 4).select("g", F.when(number % 6 == 1, F.left("code", F.lit(4))).otherwise(F.col("code")).alias("code"))
+    rows_ = c.join(table(spark, d, "customer").select(F.col("c_custkey").alias("i"), "c_acctbal"), "i").join(nation, "g").withColumn("y", (F.col("c_acctbal") > 9500) & (number != 5))
+    sided = rows_.crossJoin(held.select("partition_id").distinct()).join(held.withColumn("_h", F.lit(True)), ["partition_id", "g"], "left")  # schedule() would refuse it
+    parts = sided.withColumn("side", F.when(F.col("_h"), "test").otherwise("train"))
+    return splits.preflight_faults(parts, held, nation.filter(number % 8 != 3), codes, "g", "y", 6, "seq")
+
+
 @query("P08_cluster_schedule")
 def _(spark, d):
     """Nations clustered by their codes, each cluster's customers held out together."""
@@ -571,3 +596,79 @@ def _(spark, d):
     back = io.read_residues(spark, path, "small", 3, v.filter("vec_id % 3 = 0"))
     total = F.aggregate(F.flatten("residues"), F.lit(0.0), lambda a, x: a + x) / F.size(F.flatten("residues"))
     return back.select("sequence", F.size("residues").alias("n"), F.round(total, 4).alias("mean"))
+
+
+# ---- single steps of larger operators ----------------------------------------------------------------------------------------
+
+
+@query("W01_tie_block_starts", f"with {GRADED} select g, s, count(*) n, rank_ - 1 first_place from (select g, s, rank() over (partition by g order by s desc) rank_ from graded) group by g, s, rank_")
+def _(spark, d):
+    """Where each block of equal scores begins in the falling order of its group."""
+    b = metrics.tie_blocks(graded(spark, d), ["g"], "y", "s")
+    n = F.col("p") + F.col("n")
+    return b.select("g", "s", n.cast("long").alias("n"), (F.col("tp") + F.col("fp") - n).cast("long").alias("first_place"))
+
+
+@query("D15_score_distinctness", f"with {GRADED}, v as (select g, case when i % 50 = 0 then null when i % 50 = 1 then cast('nan' as double) else s end s from graded), f as (select g, case when isnan(s) then null else s end s from v) select count(*) n_rows, count(distinct s) n_distinct, count(*) filter (s is null) n_nonfinite, round(cast((select max(k) from (select count(*) k from f where s is not null group by s)) as double) / count(*), 6) modal_fraction, (select count(*) from (select g from f group by g having count(distinct s) <= 1)) n_constant_groups from f")
+def _(spark, d):
+    """Scores of which two in fifty are missing or no number."""
+    v = graded(spark, d).withColumn("s", F.when(F.col("i") % 50 == 0, None).when(F.col("i") % 50 == 1, F.lit(float("nan"))).otherwise(F.col("s")))
+    return metrics.diagnostics(v, "g", "s").select("n_rows", "n_distinct", "n_nonfinite", *r6("modal_fraction"), "n_constant_groups")
+
+
+@query("W05_neighbour_ranks", "with t as (select distinct p_type t from part), r as (select a.t as name, b.t other, cast(levenshtein(a.t, b.t) as int) distance, row_number() over (partition by a.t order by levenshtein(a.t, b.t), b.t) rank from t a, t b where a.t <> b.t) select name, other, distance, cast(rank as int) rank from r where rank <= 3")
+def _(spark, d):
+    return retrieval.neighbour_ranks(table(spark, d, "part"), "p_type", 3)
+
+
+@query("S02_top_k_mean", "with t as (select vec_id, label, cast(embedding as double[]) v from embeddings), s as (select q.vec_id, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) sim from t q join t e using (label) where q.vec_id % 5 = 0 and e.vec_id % 5 <> 0) select vec_id, round(list_avg(list(sim order by sim desc)[1:4]), 6) score from s group by vec_id having count(*) >= 4")
+def _(spark, d):
+    v = table(spark, d, "embeddings")
+    entries = v.filter("vec_id % 5 <> 0").select("label", F.col("vec_id").alias("entry"), F.col("embedding").alias("w"))
+    out = retrieval.nearest_vectors(v.filter("vec_id % 5 = 0").select("label", "vec_id", "embedding"), entries, "label", "vec_id", "embedding", "w", top_k=4)
+    return out.filter("database_size >= 4").select("vec_id", *r6("score"))
+
+
+def _unit(stream: str, key: str) -> str:
+    return rng.unit_sql("'3'", f"'{stream}'", key)
+
+
+@query("S03_random_top_k", f"select g, i from (select c_mktsegment g, c_custkey i, row_number() over (partition by c_mktsegment order by {_unit('cap', 'c_custkey')}, c_custkey) n from customer) where n <= 12")
+def _(spark, d):
+    return sampling.cap_per_group(affin(spark, d), "g", "i", 12, seed=3).select("g", "i")
+
+
+@query("S07_shuffled", f"select o_orderkey, row_number() over (order by {_unit('order', 'o_orderkey')}, o_orderkey) - 1 as pos from orders")
+def _(spark, d):
+    """The place of every order in a seeded shuffle of all."""
+    o = table(spark, d, "orders").select("o_orderkey").withColumn("_u", rng.unit(3, "order", F.col("o_orderkey")))
+    return ordering.numbered(o, "_u", "o_orderkey").select("o_orderkey", "pos")
+
+
+@query("N02_draw_counts", f"select c_custkey, cast(2 + cast({_unit('extra', 'c_custkey')} < 2.3e0 - 2 as int) as int) n from customer")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", sampling.draws(2.3, F.col("c_custkey"), 3).cast("int").alias("n"))
+
+
+@query("E32_uplift", f"with {GRADED}, two as (select g, y, s, 'a' arm from graded union all select p_brand, cast(l_returnflag = 'R' as int), l_tax, 'b' from lineitem join part on l_partkey = p_partkey), {metrics_sql('two', 'g, arm')}, v as (select arm, avg(auc01) v from m group by arm) select arm, round(v, 6) v, round(v - (select v from v where arm = 'b'), 6) + 0e0 uplift from v")
+def _(spark, d):
+    """Each arm's macro metric over that of arm b, read back from the stored results."""
+    path = scratch(spark, "arms")
+    metrics.macro(metrics.group_metrics(_two(spark, d), ["g", "arm"], "y", "s"), "g", within=["arm"]).select("arm", F.col("macro_auc01").alias("v")).write.parquet(path)
+    return experiment.uplift(spark.read.parquet(path), "arm", "v", "b").select("arm", *r6("v", "uplift"))
+
+
+def _two(spark, d):
+    rows_ = graded(spark, d)
+    return rows_.select("g", "y", "s", F.lit("a").alias("arm")).unionByName(rows_.select("g", "y", F.col("l_tax").alias("s"), F.lit("b").alias("arm")))
+
+
+@query("M02_nearest_matrix_transfer", f"""with {AFFIN}, p as (select range pos from range(9)), tot as (select g, cast(sum(y) as double) np, cast(sum(1 - y) as double) nn from affin where fold <> 0 group by g having np > 0 and nn > 0), k as (select g, min(seq) code from affin group by g),
+  n as (select k.g, arg_min(o.g, row(hamming(k.code, o.code), o.g)) source from k join k o on k.g <> o.g join tot on tot.g = o.g group by k.g),
+  l as (select i, g, y, fold, pos, substr(seq, cast(pos as int) + 1, 1) r from affin, p), c as (select g, pos, r, sum(y) p, sum(1 - y) n from l where fold <> 0 group by all)
+  select l.i, l.g, n.source, round(sum(ln(((coalesce(c.p, 0) + 1e0) / (np + 10e0)) / ((coalesce(c.n, 0) + 1e0) / (nn + 10e0)))), 6) score from l join n using (g) join tot on tot.g = n.source left join c on c.g = n.source and c.pos = l.pos and c.r = l.r where fold = 0 group by all""")
+def _(spark, d):
+    a = affin(spark, d)
+    codes = a.groupBy("g").agg(F.min("seq").alias("code"))
+    return models.nearest_matrix_transfer(a.filter("fold <> 0"), a.filter("fold = 0"), codes, "g", "seq", "y", "i", 9, "0123456789").select("i", "g", "source", *r6("score"))

@@ -248,13 +248,25 @@ def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     (df.coalesce(1) if single else df).write.csv(path, header=True)
 
 
-def submission(test: DataFrame, scores: DataFrame, columns: list[str], row_id: str, score: str = "score", out: str = "Prediction") -> DataFrame:
-    """Template columns in the order of the test rows, with scores clipped to [0, 1]; a row without a score is an error."""
+def submission(test: DataFrame, scores: DataFrame, columns: list[str], row_id: str, score: str = "score", out: str = "Prediction", order: str | None = None) -> DataFrame:
+    """Template columns in the order of the test rows, with scores clipped to [0, 1]; a row without a score is an error.
+
+    order: the column that holds the template's order, where that isn't row_id.
+    """
     require_none(test.join(scores.filter(F.col(score).isNotNull()), row_id, "left_anti").select(row_id), "rows without a score")
     joined = test.join(scores.select(row_id, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score))).alias(out)), row_id)
-    return joined.orderBy(row_id).select(*columns, out)
+    return joined.orderBy(order or row_id).select(*columns, out)
 
 
-def external_predictions(predictions: DataFrame, supported: DataFrame, group: str, affinity: str) -> DataFrame:
-    """Predictions of supported groups with score = -affinity."""
-    return predictions.join(supported.select(group).distinct(), group, "left_semi").withColumn("score", -F.col(affinity))
+def external_predictions(predictions: DataFrame, supported: DataFrame, group: str, affinity: str, least_groups: int = 0, least_share: float = 0.0) -> DataFrame:
+    """Predictions of supported groups with score = -affinity.
+
+    Coverage comes first: fewer supported groups than least_groups, or a smaller share of rows than least_share, is an error.
+    """
+    names = supported.select(group).distinct().withColumn("_in", F.lit(True))
+    marked = predictions.join(names, group, "left")
+    if least_groups or least_share:
+        found = marked.agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("inside"), F.countDistinct(F.when(F.col("_in"), F.col(group))).alias("groups")).first()
+        if found.groups < least_groups or found.inside < least_share * found.n:
+            raise ContractError(f"{found.groups} groups and {found.inside} of {found.n} rows are supported, too few")
+    return marked.filter("_in").drop("_in").withColumn("score", -F.col(affinity)).select(*predictions.columns, "score")

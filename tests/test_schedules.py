@@ -111,7 +111,56 @@ def test_ragged_store(spark, tmp_path):
         io.write_residues(spark.createDataFrame([("m", 1, "s", [[1.0], [1.0, 2.0]])], df.schema), f"{path}2")
 
 
-NEW = ["R07_projected_nearest", "E18_correlation_difference", "C07_nearest_levenshtein", "C08_nearest_hamming", "F07_feature_width", "N08_strategies", "E15_kernels_agree", "M14_record_check", "P08_schedule_order", "P10_schedule_diagnostics", "P10_joint_diagnostics", "A10_ragged_store"]
+def test_every_rule_of_the_preflight(spark, tables):
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, k, f"w{k}{i % 5}", r.randrange(2)) for i, k, _ in rows(n=240)], "i long, k string, v string, y int")
+    held, codes = tables[1], tables[2]
+    expected = held.select("k")
+    parts = splits.schedule(df, held, "k")
+    ask = lambda parts=parts, held=held, expected=expected, codes=codes, shared="v": {(x.rule, x.partition_id, x.key) for x in splits.preflight_faults(parts, held, expected, codes, "k", "y", 4, shared).collect()}
+    assert ask() == set()
+    assert splits.preflight_schedule(parts, held, expected, codes, "k", "y", 4, "v").count() == parts.count()
+    add = lambda df, *new: df.unionByName(spark.createDataFrame(list(new), df.schema))
+    assert ("no partitions", None, None) in ask(parts.filter("false"))
+    assert ask(expected=expected.filter("k <> 'k0'")) == {("held-out key is not expected", "p", "k0")}
+    assert ask(expected=add(expected, ("k1",))) == {("expected key is not held out", None, "k1")}
+    assert ("key held out twice", None, "k0") in ask(held=add(held, ("q", "k0")))
+    assert {("test rows of another key", "p", "k0"), ("held-out key in training", "p", "k1")} <= ask(held=held.replace("k0", "k1", "k"))
+    assert ("held-out key without test rows", "q", "none") in ask(held=add(held, ("q", "none")))
+    assert ask(codes=codes.filter("k <> 'k2'")) == {("key without a code", p, "k2") for p in "pq"}
+    assert ask(codes=add(codes, ("k2", "zzzz"))) == {("key with several codes", None, "k2")}
+    assert ask(codes=codes.replace("aabb", "aab", "code")) == {("code of another length", None, "k2")}
+    assert ask(codes=codes.withColumn("code", F.lit("aaaa"))) == {("codes that can't be exchanged", None, None)}
+    one = parts.withColumn("y", F.when((F.col("partition_id") == "p") & (F.col("side") == "train"), 1).otherwise(F.col("y")))
+    assert ask(one) == {("training of one class", "p", None), ("no source of both classes", "p", None)}
+    assert ask(parts.filter("k <> 'k3' or side = 'train' or y = 1")) == {("test key of one class", "p", "k3")}
+    apart = parts.filter("side = 'test' or (k in ('k1', 'k2') and y = 0) or (k = 'k4' and y = 1)")
+    assert {x for x in ask(apart)} == {("no source of both classes", "p", None), ("no source of both classes", "q", None)}
+    few = parts.filter("k = 'k2' and y = 1 and side = 'train'").agg(F.min("i")).first()[0]
+    assert ask(parts.filter(f"k <> 'k2' or y = 0 or i = {few}")) == {("a single training row of a class", p, "k2") for p in "pq"}
+    assert ask(parts.withColumn("v", F.lit("same"))) == {("v on both sides", p, None) for p in "pq"}
+    with pytest.raises(checks.ContractError, match="not expected"):
+        splits.preflight_schedule(parts, held, expected.filter("k <> 'k0'"), codes, "k", "y", 4)
+
+
+def test_guards_that_must_raise(spark):
+    df = spark.createDataFrame([(f, g, y) for f in (0, 1) for g in "ab" for y in (0, 1)], "f int, g string, y int")
+    assert checks.require_class_presence(df, "f", "g", "y").count() == 4
+    with pytest.raises(checks.ContractError, match="without both classes"):
+        checks.require_class_presence(df.filter("not (f = 0 and g = 'a' and y = 1)"), "f", "g", "y")
+    supported = spark.createDataFrame([("a",)], "g string")
+    assert io.external_predictions(df, supported, "g", "y", 1, 0.5).columns == ["f", "g", "y", "score"]
+    for least in ((2, 0.0), (0, 0.6)):
+        with pytest.raises(checks.ContractError, match="too few"):
+            io.external_predictions(df, supported, "g", "y", *least)
+    template = spark.createDataFrame([(3, 0), (1, 1), (2, 2)], "id int, place int")
+    scores = spark.createDataFrame([(1, -4.0), (2, 0.5), (3, 9.0)], "id int, score double")
+    assert [tuple(x) for x in io.submission(template, scores, ["id"], "id", order="place").collect()] == [(3, 1.0), (1, 0.0), (2, 0.5)]
+    with pytest.raises(checks.ContractError, match="without a score"):
+        io.submission(template, scores.filter("id > 1"), ["id"], "id")
+
+
+NEW = ["R07_projected_nearest", "E18_correlation_difference", "C07_nearest_levenshtein", "C08_nearest_hamming", "F07_feature_width", "N08_strategies", "E15_kernels_agree", "M14_record_check", "P08_schedule_order", "P10_schedule_diagnostics", "P10_joint_diagnostics", "A10_ragged_store", "P09_preflight_faults", "W01_tie_block_starts", "D15_score_distinctness", "W05_neighbour_ranks", "S02_top_k_mean", "S07_shuffled", "E32_uplift", "M02_nearest_matrix_transfer"]
 
 
 @pytest.mark.parametrize("name", NEW)
