@@ -476,6 +476,14 @@ def _(spark, d):
     return both.select("g", F.round("all", 6).alias("with_lookup"), F.round("rest", 6).alias("without_lookup"), (F.round(F.col("all") - F.col("rest"), 6) + F.lit(0.0)).alias("lookup_share"))
 
 
+@query("E29_lookup_interval")
+def _(spark, d):
+    """The same with an interval: rows of a first line count as known."""
+    rows_ = graded(spark, d).withColumn("ex", F.col("i") % 10 == 1)
+    out = experiment.lookup_decomposition(rows_, "g", "y", "s", "ex", "i")
+    return out.select(*r6("difference", "low", "high"), "n_replicates", *r6("p"), "n_groups", *r6("share_exact"))
+
+
 @query("E34_mean_score_vs_support", f"with {GRADED} select g, round(avg(s), 6) mean_score, round(log10(count(*)), 6) log_support from graded group by g")
 def _(spark, d):
     by = graded(spark, d).groupBy("g").agg(F.avg("s").alias("mean_score"), rows.log_counts(F.count(F.lit(1))).alias("log_support"))

@@ -73,6 +73,14 @@ def compare(rows: DataFrame, group: str, label: str, first: str, second: str, ro
     return point.join(F.broadcast(stats.interval(drawn, "d"))).join(F.broadcast(stats.two_sided_p(drawn, "d"))).select("difference", "low", "high", "n_replicates", "p", "n_groups")
 
 
+def lookup_decomposition(rows: DataFrame, group: str, label: str, score: str, exact: str, row_id: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """(difference, low, high, n_replicates, p, n_groups, share_exact): what rows that training holds exactly add to a score's
+    macro metric, by a paired bootstrap of all rows against the others; share_exact is the part of rows they are."""
+    marked = rows.withColumns({"_all": F.col(score), "_rest": F.col(score), "_new": ~F.coalesce(F.col(exact), F.lit(False))})
+    share = marked.agg(F.avg((~F.col("_new")).cast("double")).alias("share_exact"))
+    return compare(marked, group, label, "_all", "_rest", row_id, replicates, seed=seed, second_mask="_new").join(share)  # one row each
+
+
 def rescaling(rows: DataFrame, group: str, label: str, score: str) -> DataFrame:
     """(arm, macro_auc01) of the raw score and its within-group z-score and rank: equal up to rounding."""
     scaled = stats.rank_normalise(stats.zscore(rows.select(group, label, F.col(score).alias("raw")), group, "raw"), group, "raw", "rank").withColumn("_i", F.lit(0))

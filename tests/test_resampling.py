@@ -127,6 +127,16 @@ def test_evaluate_in_one_call(spark):
     assert one.pooled is None and one.macro is None and one.low is None and one.n_replicates == 0
 
 
+def test_what_known_rows_add(spark):
+    """Known rows are scored by their label, the others at random: all the skill comes from them."""
+    df, (g, y, a, b) = table(spark, 900, 5)
+    df = df.withColumn("known", F.col("i") % 2 == 0).withColumn("s", F.when(F.col("known"), F.col("y") + F.col("b") / 100).otherwise(0.5 + F.col("b") / 100))
+    got = experiment.lookup_decomposition(df, "g", "y", "s", "known", "i", 200).first()
+    assert got.low > 0.05 and got.low < got.difference < got.high and got.p < 0.05 and got.n_groups == 4 and got.share_exact == 0.5
+    none = experiment.lookup_decomposition(df.withColumn("known", F.lit(False)), "g", "y", "s", "known", "i", 20).first()
+    assert none.difference == 0 and none.low == none.high == 0 and none.share_exact == 0
+
+
 def test_correlations_by_moments(spark, monkeypatch):
     """Over several parts and blocks of slots, against the slots drawn one by one."""
     from rankloom.functions import rng
