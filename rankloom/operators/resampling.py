@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.sources.tables import checkpointed
+from rankloom.sources.tables import checkpointed, drop
 
 CHUNK = 50
 METRICS = ("auroc", "ap", "auc01")
@@ -123,7 +123,7 @@ def samples(
     """
     if mode not in ("rows", "groups", "both"):
         raise ValueError(f"unknown mode {mode!r}")
-    table = checkpointed(evaluation_rows(rows, group, label, arms, row_id, masks))
+    table = source = checkpointed(evaluation_rows(rows, group, label, arms, row_id, masks))
     groups = table.select("g").distinct() if every_group else scorable(table, len(arms))
     if groups.isEmpty():
         raise ValueError("no rows to draw" if every_group else "no group that all arms can score")
@@ -196,7 +196,9 @@ def samples(
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, pa.int32()), pa.array(np.full(m, i), pa.int32()), *(pa.nulls(m, pa.float64()) for _ in range(4)), pa.array(np.full(m, chunk), pa.int32()), pa.array(s), *(pa.array([x.tobytes() for x in merged[i][k]], pa.binary()) for k in (0, 1))], _NAMES)
 
-    return checkpointed(dealt.mapInArrow(run, _SCHEMA))
+    out = checkpointed(dealt.mapInArrow(run, _SCHEMA))
+    drop(source)
+    return out
 
 
 _SCHEMA = "r int, arm int, auroc double, ap double, auc01 double, scored double, chunk int, s double, p binary, n binary"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import rng, text
 from rankloom.operators import ordering
 from rankloom.operators.checks import require_columns, require_none
-from rankloom.sources.tables import checkpointed
+from rankloom.sources.tables import checkpointed, drop
 
 
 def component_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -18,7 +18,7 @@ def component_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Every node points to a smaller one of its component. In a round a node, and the node it points to, take the smallest
     second pointer among the node's neighbours, and each skips one pointer ahead, so rounds grow with the logarithm of the
-    graph. Every round is a written table.
+    graph. Every round is a written table, which goes as soon as the next one is there.
     """
     e = edges.select(F.concat(F.lit("l|"), F.col(left).cast("string")).alias("a"), F.concat(F.lit("r|"), F.col(right).cast("string")).alias("b")).dropna().distinct()
     both = checkpointed(e.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("other"))))
@@ -31,8 +31,10 @@ def component_labels(edges: DataFrame, left: str, right: str) -> DataFrame:
         near = both.join(nodes.select(F.col("node").alias("other"), F.col("after").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         seen = nodes.join(near, "node")
         pulled = seen.groupBy(F.col("next").alias("node")).agg(F.min("theirs").alias("pull"))
-        nodes = two_ahead(seen.join(pulled, "node", "left").select("node", F.least("next", "after", "theirs", "pull").alias("next"), F.col("after").alias("was")))
+        before, nodes = nodes, two_ahead(seen.join(pulled, "node", "left").select("node", F.least("next", "after", "theirs", "pull").alias("next"), F.col("after").alias("was")))
+        drop(before)
         if nodes.filter("was <> after or next <> after").isEmpty():
+            drop(both)
             return nodes.select("node", F.col("after").alias("component"))
 
 
