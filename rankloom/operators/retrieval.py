@@ -54,15 +54,13 @@ def nearest_positive(
     pairs = pairs.select(*keys, "entry", sim.alias("sim"))
     usable = F.col("sim") < 1 if leave_out_exact else F.lit(True)
     best = F.min(F.when(usable, F.struct((-F.col("sim")).alias("d"), "entry")))
-    aggs = [best.alias("_best"), F.count(F.lit(1)).alias("_size")]
-    if top_k > 1:
-        top = F.slice(F.sort_array(F.collect_list(F.when(usable, F.col("sim"))), asc=False), 1, top_k)
-        aggs.append(top.alias("_top"))
-    found = pairs.groupBy(*keys).agg(*aggs)
+    found = pairs.groupBy(*keys).agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"))
     score = -F.col("_best.d")
-    if top_k > 1:
-        full = F.size("_top") == F.least(F.lit(top_k), F.col("_size"))
-        score = F.when(full, F.aggregate("_top", F.lit(0.0), lambda a, x: a + x) / F.size("_top")).otherwise(score)
+    if top_k > 1:  # a limit by group, which Spark applies within tasks before it shuffles
+        order = Window.partitionBy(*keys).orderBy(F.desc("sim"))
+        ranked = pairs.filter(usable).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= top_k)
+        found = found.join(ranked.groupBy(*keys).agg(F.avg("sim").alias("_mean"), F.count(F.lit(1)).alias("_used")), keys, "left")
+        score = F.when(F.col("_used") == F.least(F.lit(top_k), F.col("_size")), F.col("_mean")).otherwise(score)
     out = queries.join(found, keys, "left")
     return out.select(
         *queries.columns,

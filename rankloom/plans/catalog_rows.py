@@ -663,11 +663,11 @@ def _(spark, d):
 def _(spark, d):
     """Each arm's macro metric over that of arm b, read back from the stored results."""
     path = scratch(spark, "arms")
-    metrics.macro(metrics.group_metrics(_two(spark, d), ["g", "arm"], "y", "s"), "g", within=["arm"]).select("arm", F.col("macro_auc01").alias("v")).write.parquet(path)
+    metrics.macro(metrics.group_metrics(_arms(spark, d), ["g", "arm"], "y", "s"), "g", within=["arm"]).select("arm", F.col("macro_auc01").alias("v")).write.parquet(path)
     return experiment.uplift(spark.read.parquet(path), "arm", "v", "b").select("arm", *r6("v", "uplift"))
 
 
-def _two(spark, d):
+def _arms(spark, d):
     rows_ = graded(spark, d)
     return rows_.select("g", "y", "s", F.lit("a").alias("arm")).unionByName(rows_.select("g", "y", F.col("l_tax").alias("s"), F.lit("b").alias("arm")))
 
