@@ -46,6 +46,10 @@ def nearest_positive(
     if other_fold:  # an entry counts once, however many folds hold it: it has another fold unless all of its own are the query's
         vectors = [F.first(entry_vector).alias(entry_vector)] if entry_vector else []
         right = entries.groupBy(group, "entry").agg(F.min(other_fold).alias("_low"), F.max(other_fold).alias("_high"), *vectors)
+    if similarity is text.edit_similarity and not entry_vector:
+        found = _nearest_texts(distinct, right, group, seq, other_fold, leave_out_exact, top_k)
+        score = F.when(F.col("_used") == F.least(F.lit(top_k), F.col("_size")), F.col("_mean")).otherwise(-F.col("_best.d"))
+        return _answered(queries, found, keys, score, default)
     right = right.withColumnRenamed(entry_vector, "_vector") if entry_vector else right
     pairs = distinct.join(right, group)
     if other_fold:
@@ -61,14 +65,97 @@ def nearest_positive(
         ranked = pairs.filter(usable).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= top_k)
         found = found.join(ranked.groupBy(*keys).agg(F.avg("sim").alias("_mean"), F.count(F.lit(1)).alias("_used")), keys, "left")
         score = F.when(F.col("_used") == F.least(F.lit(top_k), F.col("_size")), F.col("_mean")).otherwise(score)
-    out = queries.join(found, keys, "left")
-    return out.select(
+    return _answered(queries, found, keys, score, default)
+
+
+def _answered(queries: DataFrame, found: DataFrame, keys: list[str], score: Column, default: float) -> DataFrame:
+    return queries.join(found, keys, "left").select(
         *queries.columns,
         F.coalesce(score, F.lit(default)).alias("score"), F.coalesce(F.col("_best.entry"), F.lit("")).alias("nearest"),
         F.col("_size").isNotNull().alias("has_database"), F.coalesce("_size", F.lit(0)).cast("long").alias("database_size"),
     )
 
 
+CELLS = 1 << 24  # distances that are held at once
+
+
+def edit_distances(q: list[str], e: list[str]) -> np.ndarray:
+    """Edit distance of each q from each e, cell by cell for many pairs of two lengths at once."""
+    out = np.zeros((len(q), len(e)), np.int32)
+    codes = lambda texts, n: np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), n)
+    by_length = lambda texts: {n: np.flatnonzero(np.array([len(t) for t in texts]) == n) for n in sorted({len(t) for t in texts})}
+    columns_of = by_length(e)
+    for m, rows in by_length(q).items():
+        for n, columns in columns_of.items():
+            r = min(len(rows), max(1, CELLS // (n + 1)))
+            c = max(1, CELLS // ((n + 1) * r))
+            for x in (rows[k : k + r] for k in range(0, len(rows), r)):
+                for y in (columns[k : k + c] for k in range(0, len(columns), c)):
+                    out[np.ix_(x, y)] = _distances(codes([q[i] for i in x], m), codes([e[i] for i in y], n))
+    return out
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows of code points, each side of one length."""
+    m, n = a.shape[1], b.shape[1]
+    kind = np.uint8 if max(m, n) < 255 else np.int32
+    row = [np.full((len(a), len(b)), j, kind) for j in range(n + 1)]
+    for i in range(m):
+        corner, row[0] = row[0], np.full_like(row[0], i + 1)
+        for j in range(n):
+            above = row[j + 1]
+            cell = np.minimum(corner + (a[:, i, None] != b[None, :, j]), np.minimum(above, row[j]) + kind(1))
+            corner, row[j + 1] = above, cell
+    return row[n]
+
+
+def _nearest_texts(queries: DataFrame, entries: DataFrame, group: str, seq: str, fold: str | None, leave_out_exact: bool, top_k: int, block: int = 1024) -> DataFrame:
+    """(keys, _best, _size, _mean, _used) by edit similarity: blocks of queries against blocks of entries of a group.
+
+    No pair is a row of Spark's; of each query a block passes on its top_k best and the number of entries that count.
+    """
+    kinds = dict(queries.dtypes)
+    sides = []
+    for df, columns in ((queries, [F.col(seq).alias("t"), *([F.col(fold).alias("f")] if fold else [])]), (entries, [F.col("entry").alias("t"), *([F.col("_low"), F.col("_high")] if fold else [])])):
+        own = df.select(group, *columns).filter(F.col(group).isNotNull() & F.col("t").isNotNull())
+        sized = own.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_n"))
+        dealt = own.join(sized, group).withColumn("_block", F.pmod(F.xxhash64("t"), F.col("_n")))
+        sides.append(dealt.groupBy(group, "_block").agg(F.array_sort(F.collect_list(F.struct(*[c for c in own.columns if c != group]))).alias("rows")))
+    pairs = sides[0].select(F.col(group).alias("g"), F.col("rows").alias("q")).join(sides[1].select(F.col(group).alias("g"), F.col("rows").alias("e")), "g")
+    pairs = pairs.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("q", "e"))  # a hot group's blocks over all tasks
+    names = ["g", "t", *(["f"] if fold else []), "entry", "sim", "size"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, e = (batch.column(c)[i].values for c in ("q", "e"))
+                qt, et = q.field("t").to_pylist(), e.field("t").to_pylist()
+                longest = np.maximum(np.array([len(x) for x in qt])[:, None], np.array([len(x) for x in et])[None, :])
+                s = 1.0 - edit_distances(qt, et) / np.maximum(longest, 1)
+                counts = np.ones(s.shape, bool)
+                if fold:
+                    f, low, high = (np.array(c.to_pylist(), object) for c in (q.field("f"), e.field("_low"), e.field("_high")))
+                    counts = (f[:, None] != low[None, :]) | (f[:, None] != high[None, :])
+                s = np.where(counts & ((s < 1) if leave_out_exact else True), s, -np.inf)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :top_k] if top_k > 1 else s.argmax(1)[:, None]  # entries are in order: ties to the smallest
+                at, name = np.repeat(np.arange(len(qt)), best.shape[1]), best.ravel()
+                value, head = s[at, name], np.tile(np.arange(best.shape[1]) == 0, len(qt))
+                size = np.where(head, counts.sum(1)[at], 0)
+                ok = np.isfinite(value)
+                some = ok | (size > 0)
+                take = lambda c, k: c.take(pa.array(k[some]))
+                columns = [pa.array([batch.column("g")[i].as_py()] * int(some.sum()), batch.column("g").type), take(q.field("t"), at), *([take(q.field("f"), at)] if fold else []), take(e.field("t"), name)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(ok, value, 0.0)[some], mask=~ok[some]), pa.array(size[some], pa.int64())], names)
+
+    found = pairs.mapInArrow(compare, f"g {kinds[group]}, t {kinds[seq]}, {f'f {kinds[fold]}, ' if fold else ''}entry string, sim double, size long")
+    found = found.withColumnsRenamed({"g": group, "t": seq, **({"f": fold} if fold else {})})
+    keys = [group, seq, *([fold] if fold else [])]
+    best = F.min(F.when(F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("d"), "entry"))).alias("_best")
+    top = F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, top_k)  # top_k of each block of entries
+    per = found.groupBy(*keys).agg(best, F.sum("size").alias("_size"), top.alias("_top"))
+    return per.select(*keys, "_best", "_size", F.size("_top").alias("_used"), F.when(F.size("_top") > 0, F.aggregate("_top", F.lit(0.0), lambda a, x: a + x) / F.size("_top")).alias("_mean")).filter("_size > 0")
+
+
 def nearest_vectors(queries: DataFrame, entries: DataFrame, group: str, key: str, query_vector: str, entry_vector: str, top_k: int = 1, block: int = 2048) -> DataFrame:
     """`queries` with score, nearest, has_database and database_size, by cosine and as blocked matrix products.
 

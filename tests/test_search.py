@@ -56,6 +56,36 @@ def test_nearest_of_one_length_at_any_radius(spark):
         assert got == {x: far(x) for x in q}
 
 
+def test_distances_of_blocks(monkeypatch):
+    q, e = texts(11, 60) + ["é🙂" * 3, "x" * 300], texts(12, 50) + ["", "🙂é", "x" * 299 + "y"]
+    want = [[levenshtein(a, b) for b in e] for a in q]
+    assert retrieval.edit_distances(q, e).tolist() == want
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    assert retrieval.edit_distances(q, e).tolist() == want
+
+
+@pytest.mark.parametrize("options", [{}, {"top_k": 3}, {"leave_out_exact": True}, {"leave_out_exact": True, "top_k": 2}, {"other_fold": "f"}, {"other_fold": "f", "top_k": 2}])
+def test_nearest_positive_in_blocks(spark, options, monkeypatch):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 6)))
+    q = sorted({(r.choice("ghi"), word(), r.randrange(3)) for _ in range(60)} | {("none", "ab", 0), ("one", "aa", 1)})
+    e = sorted({(r.choice("gh"), word(), r.randrange(3)) for _ in range(40)} | {("one", "aa", 1)})
+    fold = "other_fold" in options
+    queries = spark.createDataFrame(q, "g string, seq string, f int")
+    entries = spark.createDataFrame(e, "g string, entry string, f int")
+    entries = entries if fold else entries.select("g", "entry").distinct()
+    inner = retrieval._nearest_texts
+    for block in (3, 1024):
+        monkeypatch.setattr(retrieval, "_nearest_texts", lambda *a, b=block: inner(*a, block=b))
+        got = {(x.g, x.seq, x.f): (round(x.score, 9), x.nearest, x.has_database, x.database_size) for x in retrieval.nearest_positive(queries, entries, "g", "seq", **options).collect()}
+        for g, t, f in q:
+            own = {b for a, b, k in e if a == g and (not fold or k != f)}
+            sims = sorted(((-(1 - levenshtein(t, b) / max(len(t), len(b))), b) for b in own if not (options.get("leave_out_exact") and b == t)))
+            k = options.get("top_k", 1)
+            score = 0.0 if not sims else -sum(s for s, _ in sims[:k]) / k if len(sims) >= min(k, len(own)) and len(sims) >= k else -sims[0][0] if k > len(sims) and len(sims) < len(own) else -sum(s for s, _ in sims[:k]) / min(k, len(sims))
+            assert got[g, t, f] == (round(score, 9), sims[0][1] if sims else "", bool(own), len(own)), (g, t, f)
+
+
 def test_eligible_beyond_a_distance(spark):
     groups = ["alpha", "alpho", "alphxyz", "beta", "bexa", "gamma"]
     r = random.Random(6)
