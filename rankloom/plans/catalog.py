@@ -906,3 +906,27 @@ def _(spark, d):
 @query("A11_json_props", "select event_id, cast(json_extract(props, '$.k') as bigint) k from events")
 def _(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers by nation, each region's nations held out together, and a code of each nation."""
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("g"), F.col("n_regionkey").cast("string").alias("partition_id"), F.lpad((F.col("n_nationkey") * 7919).cast("string"), 6, "0").alias("code"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("i"), "g", F.concat("c_mktsegment", F.expr("c_nationkey div 2").cast("string")).alias("seq"))
+    return c, n.join(c, "g", "left_semi")
+
+
+@query("P08_cluster_schedule")
+def _(spark, d):
+    """Nations clustered by their codes, each cluster's customers held out together."""
+    c, n = regions(spark, d)
+    held = splits.cluster_schedule(splits.complete_linkage(n, "g", "code"), "g")
+    sides = splits.schedule(c, held, "g").groupBy("partition_id").agg(F.count_if(F.col("side") == "test").alias("n_test"), F.count_if(F.col("side") == "train").alias("n_train"))
+    return held.select("position", "partition_id").distinct().join(sides, "partition_id").select("position", "partition_id", "n_test", "n_train")
+
+
+@query("E29_lookup_interval")
+def _(spark, d):
+    """What rows of a first line, taken as known, add to the macro metric, with an interval."""
+    rows_ = graded(spark, d).withColumn("ex", F.col("i") % 10 == 1)
+    out = experiment.lookup_decomposition(rows_, "g", "y", "s", "ex", "i")
+    return out.select(*r6("difference", "low", "high"), "n_replicates", *r6("p"), "n_groups", *r6("share_exact"))

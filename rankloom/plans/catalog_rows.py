@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import rng, text, vector
 from rankloom.operators import checks, metrics, models, ordering, resampling, retrieval, rows, sampling, splits, stats, summary
 from rankloom.plans import experiment
-from rankloom.plans.catalog import AFFIN, GRADED, OWNERS, PART_G, affin, graded, metrics_sql, owners, paired, points, query, r6
+from rankloom.plans.catalog import AFFIN, GRADED, OWNERS, PART_G, affin, graded, metrics_sql, owners, paired, points, query, r6, regions
 from rankloom.sources import io
 from rankloom.sources.tables import scratch, table
 
@@ -476,14 +476,6 @@ def _(spark, d):
     return both.select("g", F.round("all", 6).alias("with_lookup"), F.round("rest", 6).alias("without_lookup"), (F.round(F.col("all") - F.col("rest"), 6) + F.lit(0.0)).alias("lookup_share"))
 
 
-@query("E29_lookup_interval")
-def _(spark, d):
-    """The same with an interval: rows of a first line count as known."""
-    rows_ = graded(spark, d).withColumn("ex", F.col("i") % 10 == 1)
-    out = experiment.lookup_decomposition(rows_, "g", "y", "s", "ex", "i")
-    return out.select(*r6("difference", "low", "high"), "n_replicates", *r6("p"), "n_groups", *r6("share_exact"))
-
-
 @query("E34_mean_score_vs_support", f"with {GRADED} select g, round(avg(s), 6) mean_score, round(log10(count(*)), 6) log_support from graded group by g")
 def _(spark, d):
     by = graded(spark, d).groupBy("g").agg(F.avg("s").alias("mean_score"), rows.log_counts(F.count(F.lit(1))).alias("log_support"))
@@ -536,13 +528,6 @@ def _(spark, d):
 CUSTOMERS = "c as (select c_custkey i, n_name g, n_regionkey r, c_mktsegment || c_nationkey // 2 seq from customer join nation on c_nationkey = n_nationkey), h as (select cast(n_regionkey as varchar) partition_id, n_name g, lpad(cast(n_nationkey * 7919 as varchar), 6, '0') code from nation where n_name in (select g from c))"
 
 
-def _regions(spark, d):
-    """Customers by nation, each region's nations held out together, and a code of each nation."""
-    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("g"), F.col("n_regionkey").cast("string").alias("partition_id"), F.lpad((F.col("n_nationkey") * 7919).cast("string"), 6, "0").alias("code"))
-    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("i"), "g", F.concat("c_mktsegment", F.expr("c_nationkey div 2").cast("string")).alias("seq"))
-    return c, n.join(c, "g", "left_semi")
-
-
 DIAGNOSED = """select k.partition_id, n_keys, n_test, n_train, n_values, n_shared, round(n_shared / cast(n_values as double), 6) fraction, distance, source
   from (select partition_id, count(*) n_keys from h group by 1) k join (select partition_id, count(*) filter (side = 'test') n_test, count(*) filter (side = 'train') n_train from s group by 1) using (partition_id)
   join (select partition_id, count(*) n_values, count(*) filter (r) n_shared from (select partition_id, seq, bool_or(side = 'test') t, bool_or(side = 'train') r from s group by all) where t group by 1) using (partition_id)
@@ -552,13 +537,13 @@ SIDES = "a as (select c.*, p.partition_id, case when exists (select 1 from h whe
 
 @query("P10_schedule_diagnostics", f"with {CUSTOMERS}, {SIDES}, s as (select * from a) {DIAGNOSED}")
 def _(spark, d):
-    c, n = _regions(spark, d)
+    c, n = regions(spark, d)
     return splits.schedule_diagnostics(c, n, "g", "seq", n.select("g", "code")).withColumn("fraction", F.round("fraction", 6))
 
 
 @query("P10_joint_diagnostics", f"with {CUSTOMERS}, {SIDES}, s as (select * from a where side = 'test' or not exists (select 1 from a t where t.partition_id = a.partition_id and t.side = 'test' and t.seq = a.seq)) {DIAGNOSED}")
 def _(spark, d):
-    c, n = _regions(spark, d)
+    c, n = regions(spark, d)
     return splits.schedule_diagnostics(c, n, "g", "seq", n.select("g", "code"), shared=True).withColumn("fraction", F.round("fraction", 6))
 
 
@@ -575,7 +560,7 @@ PREFLIGHT = f"""with {CUSTOMERS}, k as (select n_name g, n_nationkey k, n_region
 @query("P09_preflight_faults", PREFLIGHT)
 def _(spark, d):
     """A schedule with planted faults: keys that aren't expected, held out twice, without a code or with a short one, and of one class."""
-    c, n = _regions(spark, d)
+    c, n = regions(spark, d)
     number = F.col("n_nationkey")
     nation = table(spark, d, "nation").select(F.col("n_name").alias("g"), "n_nationkey")
     held = n.select("partition_id", "g").unionByName(n.filter(number % 11 == 0).select(F.lit("again").alias("partition_id"), "g"))
@@ -586,15 +571,6 @@ def _(spark, d):
     return splits.preflight_faults(parts, held, nation.filter(number % 8 != 3), codes, "g", "y", 6, "seq")
 
 
-@query("P08_cluster_schedule")
-def _(spark, d):
-    """Nations clustered by their codes, each cluster's customers held out together."""
-    c, n = _regions(spark, d)
-    held = splits.cluster_schedule(splits.complete_linkage(n, "g", "code"), "g")
-    sides = splits.schedule(c, held, "g").groupBy("partition_id").agg(F.count_if(F.col("side") == "test").alias("n_test"), F.count_if(F.col("side") == "train").alias("n_train"))
-    return held.select("position", "partition_id").distinct().join(sides, "partition_id").select("position", "partition_id", "n_test", "n_train")
-
-
 @query("A10_ragged_store", "select cast(vec_id as varchar) as sequence, cast(1 + vec_id % 4 as int) n, round(list_avg(cast(embedding[1:(1 + vec_id % 4) * 16] as double[])), 4) mean from embeddings where vec_id % 3 = 0")
 def _(spark, d):
     """Vectors cut into one to four residues of 16 components, written as a ragged store and read back by their sequences."""
