@@ -21,6 +21,18 @@ def unit_sql(*keys: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)"
 
 
+def position(n: int, *keys: object) -> Column:
+    """Draw with replacement from 0 to n-1 on 52 random bits, so that it stays even for tables of billions of rows."""
+    parts = [k if isinstance(k, Column) else F.lit(str(k)) for k in keys]
+    head = F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)).cast("binary")), 1, 13), 16, 10)
+    return F.least(F.floor(head.cast("double") / F.lit(float(2**52)) * F.lit(float(n))).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def position_sql(n: str, *keys: str) -> str:
+    """The same number in DuckDB; n and every key are SQL expressions."""
+    return f"least(cast(floor(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13))::BIGINT / {float(2**52)!r}::double * ({n})::double) as bigint), ({n}) - 1)"
+
+
 def gumbel(weight: Column, u: Column) -> Column:
     """Sort key of weighted sampling without replacement: the k largest keys are the sample."""
     return F.log(weight.cast("double")) - F.log(-F.log(u))

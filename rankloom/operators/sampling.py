@@ -1,7 +1,7 @@
 """Negative sampling and capped, weighted or stratified draws, on order-free random numbers.
 
-A weighted draw without replacement looks at every group of the pool for every row, so the pool (one row a group) is checked
-to be small and goes to every task; known positives are taken out by an anti-join on (group, sequence).
+A draw without replacement is a run of draws with replacement that leaves out repeats and known positives: each draw is a
+position in a numbered table, so a row meets its own few draws by an equi-join and never the whole pool.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text
 from rankloom.operators.checks import require_columns, require_none
-from rankloom.operators.retrieval import bounded, within_edits
+from rankloom.operators.ordering import numbered
+from rankloom.operators.retrieval import bounded, neighbour_ranks, within_edits
+from rankloom.sources.tables import checkpointed
 
 PAIR_GUARD = 2_000_000
 
@@ -44,7 +46,7 @@ def sample(pairs: DataFrame, group: str, seq: str, row_id: str, strategy: str =
 
     shuffle: uniform without replacement. matched: weighted by positive rows of the group. hard: the groups nearest to the
     row's own by edit distance, then name. uniform: every pair of distinct sequence and group that is no positive. A pool
-    that is too small gives all it has.
+    that is too small gives all it has. row_id tells the rows apart; a group that is null is never drawn.
     """
     known, pool = context(pairs, group, seq, attribute)
     if strategy == "uniform":
@@ -53,22 +55,56 @@ def sample(pairs: DataFrame, group: str, seq: str, row_id: str, strategy: str =
         raise ValueError(f"unknown strategy {strategy!r}")
     k = draws(ratio, F.col(row_id), seed)
     rows = pairs.select(row_id, F.col(seq).alias("_seq"), F.col(group).alias("_own"), k.alias("_k"))
-    other = bounded(pool.select(F.col(group).alias("drawn"), F.col("weight").alias("_w")))  # one row a group
+    others = pool.select(F.col(group).alias("drawn"), F.col("weight").alias("_w")).filter("drawn is not null")
+    positive = known.select(F.col(group).alias("drawn"), F.col(seq).alias("_seq"))
     if strategy == "hard":
-        close = pool.select(F.col(group).alias("_own")).join(F.broadcast(other.select("drawn"))).filter("_own <> drawn")
-        ranked = close.withColumn("_key", -text.edit_distance("_own", "drawn").cast("double"))
-        candidates = rows.join(ranked, "_own")
+        chosen = _nearest(rows, others, positive, row_id)
     else:
-        u = rng.unit(seed, strategy, F.col(row_id), F.col("drawn"))
-        key = -u if strategy == "shuffle" else rng.gumbel(F.col("_w"), u)
-        candidates = rows.join(F.broadcast(other)).withColumn("_key", key)
-    positive = known.select(F.col(group).alias("drawn"), F.col(seq).alias("_seq"))
-    allowed = candidates.join(positive, ["drawn", "_seq"], "left_anti")
-    order = Window.partitionBy(row_id).orderBy(F.desc("_key"), "drawn")
-    chosen = allowed.withColumn("_rank", F.row_number().over(order)).filter("_rank <= _k").select(row_id, "drawn")
+        source = others if strategy == "shuffle" else pairs.select(row_id, F.col(group).alias("drawn")).filter("drawn is not null")
+        places = numbered(source, "drawn" if strategy == "shuffle" else row_id).select("pos", "drawn")
+        chosen = _successive(rows.drop("_own"), places, others, positive, row_id, int(ratio) + 1, seed, strategy)
     return _assemble(chosen, pairs, pool, group, row_id, attribute, label)
 
 
+def _successive(rows: DataFrame, places: DataFrame, others: DataFrame, positive: DataFrame, row_id: str, most: int, seed: int, strategy: str) -> DataFrame:
+    """(row_id, drawn): `_k` groups a row, at most `most`, drawn one after the other from what is allowed and not drawn yet.
+
+    `places` numbers what a draw picks evenly: the groups, or the positive rows, so that a group's chance is its share of them.
+    A row draws 2 * most + 6 positions and keeps the first `_k` different groups that are no positives of its sequence. The few
+    rows that get too little that way (their positives hold most of the pool, or the pool is hardly larger than `_k`) take
+    the rest by sort keys over the whole pool: the next accepted draw doesn't depend on how long one waits for it, so the
+    chances are those of drawing on.
+    """
+    n, kind = places.count(), dict(places.dtypes)["drawn"]
+    asked = rows.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(2 * most + 5)))).withColumn("pos", rng.position(n, seed, strategy, F.col(row_id), F.col("_t")))
+    hits = asked.join(places, "pos").join(positive, ["drawn", "_seq"], "left_anti")
+    inorder = hits.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_t", "drawn"))).alias("_d"))
+    got = F.coalesce(F.slice(F.array_distinct("_d.drawn"), F.lit(1), F.col("_k")), F.array().cast(f"array<{kind}>"))
+    found = checkpointed(rows.join(inorder, row_id, "left").select(*rows.columns, got.alias("_got")))
+    short = found.filter("size(_got) < _k")
+    u = rng.unit(seed, f"{strategy} rest", F.col(row_id), F.col("drawn"))
+    key = -u if strategy == "shuffle" else rng.gumbel(F.col("_w"), u)
+    left = short.crossJoin(others).filter("not array_contains(_got, drawn)").join(positive, ["drawn", "_seq"], "left_anti").withColumn("_key", key)
+    rank = F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc("_key"), "drawn"))
+    rest = left.withColumn("_rank", rank).filter("_rank <= _k - size(_got)").select(row_id, "drawn")
+    return found.select(row_id, F.explode("_got").alias("drawn")).unionByName(rest)
+
+
+def _nearest(rows: DataFrame, others: DataFrame, positive: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, drawn): the `_k` groups nearest to a row's own that are no positives of its sequence.
+
+    Groups are ranked once for each group. Of a sequence's m positives at most m - 1 stand in its own group's list, so a row
+    meets the first _k + m - 1 of the list and no more.
+    """
+    of = positive.groupBy("_seq").agg(F.count(F.lit(1)).alias("_m"))
+    asked = rows.join(of, "_seq", "left").withColumn("_need", F.col("_k") + F.coalesce("_m", F.lit(1)) - 1)
+    deepest = asked.agg(F.max("_need")).first()[0] or 0
+    ranks = neighbour_ranks(others, "drawn", deepest).select(F.col("name").alias("_own"), F.col("other").alias("drawn"), F.col("rank").alias("_place"))
+    met = asked.join(ranks, "_own").filter("_place <= _need").join(positive, ["drawn", "_seq"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(row_id).orderBy("_place"))
+    return met.withColumn("_rank", rank).filter("_rank <= _k").select(row_id, "drawn")
+
+
 def uniform(pairs: DataFrame, known: DataFrame, pool: DataFrame, group: str, seq: str, row_id: str, attribute: str | None = None, label: str = "label", guard: int | None = PAIR_GUARD) -> DataFrame:
     """Every distinct sequence with every group that is none of its positives; more than `guard` pairs raise first, if there is one."""
     first = pairs.groupBy(seq).agg(F.min(row_id).alias(row_id))

@@ -449,13 +449,26 @@ def _(spark, d):
 OWNERS = "pos as (select n_name g, c_name seq, c_custkey i from customer join nation on c_nationkey = n_nationkey), pool as (select g, count(*) w from pos group by g)"
 
 
-def _drawn_sql(key: str) -> str:
-    return f"""with {OWNERS}, c as (select pos.i, pool.g, row_number() over (partition by pos.i order by {key} desc, pool.g) n from pos, pool where not exists (select 1 from pos k where k.seq = pos.seq and k.g = pool.g))
+FREE = "not exists (select 1 from pos k where k.seq = {0}.seq and k.g = {1}.g)"
+
+
+def _nearest_sql() -> str:
+    return f"""with {OWNERS}, c as (select pos.i, pool.g, row_number() over (partition by pos.i order by levenshtein(pos.g, pool.g), pool.g) n from pos, pool where {FREE.format("pos", "pool")})
       select i source_row_id, g from c where n <= 3"""
 
 
-def _u(stream: str) -> str:
-    return rng.unit_sql("'0'", f"'{stream}'", "pos.i", "pool.g")
+def _drawn_sql(stream: str) -> str:
+    """Three groups a row from 14 draws of a position each; rows that get fewer take the rest by sort keys."""
+    places, key = {"shuffle": ("select g, row_number() over (order by g) - 1 p from pool", "-{0}"), "matched": ("select g, row_number() over (order by i) - 1 p from pos", "ln(cast(pool.w as double)) - ln(-ln({0}))")}[stream]
+    place = rng.position_sql("select count(*) from places", "'0'", f"'{stream}'", "pos.i", "t.t")
+    rest = key.format(rng.unit_sql("'0'", f"'{stream} rest'", "short.i", "pool.g"))
+    return f"""with {OWNERS}, places as ({places}), d as (select i, seq, t.t, {place} p from pos, range(14) t(t)),
+      hit as (select d.i, places.g, min(t) t from d join places using (p) where {FREE.format("d", "places")} group by d.i, places.g),
+      got as (select i, g from (select i, g, row_number() over (partition by i order by t) r from hit) where r <= 3),
+      short as (select pos.i, pos.seq, 3 - count(got.g) need from pos left join got using (i) group by pos.i, pos.seq having count(got.g) < 3),
+      rest as (select short.i, pool.g, need, row_number() over (partition by short.i order by {rest} desc, pool.g) r from short, pool
+        where {FREE.format("short", "pool")} and not exists (select 1 from got where got.i = short.i and got.g = pool.g))
+      select i source_row_id, g from got union all select i, g from rest where r <= need"""
 
 
 @query("W07_cap_per_group", f"with {PAIRED}, n as (select i, g, row_number() over (partition by g order by {rng.unit_sql(chr(39) + '0' + chr(39), chr(39) + 'cap' + chr(39), 'i')}, i) n from paired) select g, i from n where n <= 20")
@@ -485,17 +498,17 @@ def owners(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(nation, "c_nationkey").select("g", F.col("c_name").alias("seq"), F.col("c_custkey").alias("i"), F.lit(1).alias("label"))
 
 
-@query("N03_negatives_shuffle", _drawn_sql(f"(-{_u('shuffle')})"))
+@query("N03_negatives_shuffle", _drawn_sql("shuffle"))
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "shuffle", 3.0).select("source_row_id", "g")
 
 
-@query("N04_negatives_matched", _drawn_sql(f"(ln(cast(pool.w as double)) - ln(-ln({_u('matched')})))"))
+@query("N04_negatives_matched", _drawn_sql("matched"))
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "matched", 3.0).select("source_row_id", "g")
 
 
-@query("N05_negatives_hard", _drawn_sql("(case when pool.g = pos.g then -1e9 else -levenshtein(pos.g, pool.g) end)"))
+@query("N05_negatives_hard", _nearest_sql())
 def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "hard", 3.0).select("source_row_id", "g")
 
@@ -505,7 +518,7 @@ def _(spark, d):
     return sampling.sample(owners(spark, d), "g", "seq", "i", "uniform", guard=None).select("source_row_id", "g")
 
 
-@query("N10_negative_summary", f"with n as ({_drawn_sql(f'(-{_u(chr(115) + chr(104) + chr(117) + chr(102) + chr(102) + chr(108) + chr(101))})')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct c_name) n_sequences, cast(0 as bigint) n_collisions from n join customer on c_custkey = source_row_id")
+@query("N10_negative_summary", f"with n as ({_drawn_sql('shuffle')}) select count(*) n_negatives, count(distinct n.g) n_groups, count(distinct c_name) n_sequences, cast(0 as bigint) n_collisions from n join customer on c_custkey = source_row_id")
 def _(spark, d):
     pos = owners(spark, d)
     return sampling.summary(sampling.sample(pos, "g", "seq", "i", "shuffle", 3.0), pos, "g", "seq")
