@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators import ordering
+
 #: The twenty residue letters, in the order of all encodings.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -80,17 +82,17 @@ def render_interval(point: Column | str, low: Column | str, high: Column | str)
 
 
 def label_encode(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Codes from 0 by sorted value, through a small table of distinct values."""
-    codes = df.select(column).distinct().withColumn(out, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, column)
+    """Codes from 0 by sorted value, through a table of the distinct values numbered by ranges; rows without a value go."""
+    values = ordering.numbered(df.select(column).filter(F.col(column).isNotNull()).distinct(), column, out=out)
+    return df.join(values.withColumn(out, F.col(out).cast("int")), column)
 
 
 def derangement(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value, shifted): the sorted distinct values moved on by one, cyclically; fewer than two raise."""
-    pairs = df.select(key, value).distinct()
-    ring = pairs.select(value).distinct()
-    if ring.limit(2).count() < 2:
+    """(key, value, shifted): the sorted distinct values moved on by one, cyclically; fewer than two raise. Values are numbered by ranges."""
+    pairs = df.select(key, value).filter(F.col(value).isNotNull()).distinct()
+    ring = ordering.numbered(pairs.select(value).distinct(), value, out="_at")
+    n = ring.count()
+    if n < 2:
         raise ValueError("a derangement needs at least two different values")
-    order = Window.orderBy(value)
-    first = F.first(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return pairs.join(ring.withColumn("shifted", F.coalesce(F.lead(value).over(order), first)), value).select(key, value, "shifted")
+    after = ring.select(F.pmod(F.col("_at") - 1, F.lit(n)).alias("_at"), F.col(value).alias("shifted"))
+    return pairs.join(ring.join(after, "_at"), value).select(key, value, "shifted")

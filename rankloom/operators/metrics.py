@@ -7,6 +7,8 @@ and the small table of part totals supplies the offset, so no task holds a whole
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,20 @@ def apply_policy(diagnosed: DataFrame, policy: str = "warn") -> dict:
 
 
 def wide_by_arm(by_group_arm: DataFrame, group: str, arm: str, arms: list[str], metric: str = "auc01") -> DataFrame:
-    """One row a group, one metric column an arm."""
-    out = by_group_arm.groupBy(group).pivot(arm, arms).agg(F.first(metric))
-    return out.select(group, *(F.col(f"`{a}`").alias(f"{a}_{metric}") for a in arms))
+    """One row a group: one metric column an arm, the group's n_pos and n_neg, and what can be compared.
+
+    scorable: the metric of every arm is there, so the group counts in paired comparisons. same_rows: all arms were scored
+    on as many rows of either class; where they weren't, the counts are those of the first arm. best: the arm of the largest
+    metric, the first listed of equals, null without any.
+    """
+    out = by_group_arm.groupBy(group).pivot(arm, arms).agg(F.first(metric).alias("m"), F.first("n_pos").alias("p"), F.first("n_neg").alias("n"))
+    of = lambda c: [F.col(f"`{a}_{c}`") for a in arms]
+    every = lambda conditions: functools.reduce(lambda x, y: x & y, conditions)
+    top = F.greatest(*of("m")) if len(arms) > 1 else of("m")[0]
+    same = every([F.coalesce((p == of("p")[0]) & (n == of("n")[0]), F.lit(False)) for p, n in zip(of("p"), of("n"), strict=True)])
+    return out.select(
+        group, *(m.alias(f"{a}_{metric}") for a, m in zip(arms, of("m"), strict=True)),
+        F.coalesce(*of("p")).cast("long").alias("n_pos"), F.coalesce(*of("n")).cast("long").alias("n_neg"),
+        every([m.isNotNull() for m in of("m")]).alias("scorable"), same.alias("same_rows"),
+        F.coalesce(*(F.when(m == top, F.lit(a)) for a, m in zip(arms, of("m"), strict=True))).alias("best"),
+    )

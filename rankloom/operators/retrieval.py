@@ -278,9 +278,14 @@ def nearest_hamming(queries: DataFrame, entries: DataFrame, seq: str, radii: tup
 
 
 def nearest_training_distance(queries: DataFrame, entries: DataFrame, seq: str) -> DataFrame:
-    """(seq, distance): 1 - largest edit similarity to any entry. The entries must be a bounded reference set."""
-    q, e = queries.select(seq).distinct(), entries.select(F.col(seq).alias("entry")).distinct()
-    return q.join(F.broadcast(bounded(e))).groupBy(seq).agg((1 - F.max(text.edit_similarity(seq, "entry"))).alias("distance"))
+    """(seq, distance): 1 - largest edit similarity to any entry, null where there is no entry or no text.
+
+    Texts of either side meet in blocks, as in nearest_positive(), so either may be of any size.
+    """
+    q = queries.select(seq).distinct()
+    side = lambda df, name: df.select(F.lit(0).alias("_all"), F.col(seq).alias(name))
+    found = _nearest_texts(side(q, seq), side(entries, "entry").distinct(), "_all", seq, None, False, 1)
+    return q.join(found.select(seq, (1 + F.col("_best.d")).alias("distance")), seq, "left")
 
 
 def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -315,6 +320,23 @@ def removal_summary(rows: DataFrame, seq: str, masks: list[str]) -> DataFrame:
     )
 
 
+def surviving_support(rows: DataFrame, group: str, seq: str, label: str, masks: list[str], least: int = 1) -> DataFrame:
+    """What each regime leaves of each group: (regime, group, n_before, n_after, seqs_before, seqs_after, pos_after, neg_after, scorable, below).
+
+    scorable: both classes are left. below: fewer than `least` rows of either class are left. A mask that is null removes its row.
+    Sequences are counted once a group by a first grouping on (regime, group, sequence), so no group's sequences meet in one task.
+    """
+    long = rows.select(group, seq, label, F.explode(F.array(*(F.struct(F.lit(m).alias("regime"), F.coalesce(F.col(m), F.lit(False)).alias("keep")) for m in masks))).alias("r")).select(group, seq, label, "r.*")
+    kept = lambda y: F.count_if(F.col("keep") & (F.col(label) == y))
+    per = long.groupBy("regime", group, seq).agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("k"), kept(1).alias("p"), kept(0).alias("m"))
+    out = per.groupBy("regime", group).agg(
+        F.sum("n").alias("n_before"), F.sum("k").alias("n_after"), F.count(seq).alias("seqs_before"), F.count_if((F.col("k") > 0) & F.col(seq).isNotNull()).alias("seqs_after"),
+        F.sum("p").alias("pos_after"), F.sum("m").alias("neg_after"),
+    )
+    fewest = F.least("pos_after", "neg_after")
+    return out.withColumns({"scorable": fewest > 0, "below": fewest < least})
+
+
 def nearest_source(target: DataFrame, sources: DataFrame, name: str, sequence: str, length: int) -> DataFrame:
     """(target, source, distance): the source nearest by normalised Hamming distance, then by name; a target among the sources is an error."""
     from rankloom.operators.checks import require_none

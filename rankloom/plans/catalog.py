@@ -167,6 +167,14 @@ def _(spark, d):
     return metrics.wide_by_arm(_two_arms(spark, d), "g", "arm", ["a", "b"]).select("g", *r6("a_auc01", "b_auc01"))
 
 
+@query("E33_wide_flags", f"""{TWO}, k as (select g, arm, cast(sum(y) as bigint) n_pos, count(*) - cast(sum(y) as bigint) n_neg from two group by g, arm), x as (select * from k left join (select g, arm, round(auc01, 9) auc01 from m) using (g, arm))
+  select a.g, a.n_pos, a.n_neg, a.auc01 is not null and b.auc01 is not null scorable, a.n_pos = b.n_pos and a.n_neg = b.n_neg same_rows,
+    case when a.auc01 >= b.auc01 or b.auc01 is null and a.auc01 is not null then 'a' when b.auc01 is not null then 'b' end best from x a join x b on a.g = b.g and a.arm = 'a' and b.arm = 'b'""")
+def _(spark, d):
+    rounded = _two_arms(spark, d).withColumn("auc01", F.round("auc01", 9))
+    return metrics.wide_by_arm(rounded, "g", "arm", ["a", "b"]).select("g", "n_pos", "n_neg", "scorable", "same_rows", "best")
+
+
 @query("E12_paired_bootstrap_both")
 def _(spark, d):
     rows = graded(spark, d)
@@ -428,6 +436,15 @@ def _(spark, d):
     return retrieval.removal_summary(q.join(masks, "seq"), "seq", ["keep_1", "keep_2"]).select("regime", "rows_kept", "rows_removed", "seqs_removed", *r6("pct_rows_removed", "pct_seqs_removed"))
 
 
+@query("D16_surviving_support", f"""with {NAMES_SQL}, n as (select seq, least(min(levenshtein(seq, entry)), 4) dist from q, e group by seq), p as (select p_brand g, p_name seq, cast(p_size > 25 as int) y from part where p_partkey % 7 = 0), r as (select * from (values (1), (2)) t(r)),
+  s as (select 'keep_' || r regime, g, count(*) n_before, count(*) filter (dist > r) n_after, count(distinct seq) seqs_before, count(distinct seq) filter (dist > r) seqs_after, count(*) filter (dist > r and y = 1) pos_after, count(*) filter (dist > r and y = 0) neg_after from p join n using (seq), r group by r, g)
+  select *, least(pos_after, neg_after) > 0 scorable, least(pos_after, neg_after) < 3 below from s""")
+def _(spark, d):
+    masks = retrieval.radius_masks(retrieval.nearest_levenshtein(*_names(spark, d), "seq", 3), "seq", "distance", [1, 2])
+    rows = paired(spark, d).filter("i % 7 = 0").join(masks, "seq")
+    return retrieval.surviving_support(rows, "g", "seq", "y", ["keep_1", "keep_2"], 3)
+
+
 @query("R10_nearest_source", """with s as (select n_name source, n_nationkey k from nation where n_nationkey < 20), t as (select n_name target, n_nationkey k from nation where n_nationkey >= 20), h as (select target, source, hamming(lpad(cast(t.k * 7919 as varchar), 6, '0'), lpad(cast(s.k * 7919 as varchar), 6, '0')) / 6e0 d from s, t)
   select target, arg_min(source, row(d, source)) source, round(min(d), 6) distance from h group by target""")
 def _(spark, d):

@@ -45,7 +45,7 @@ def test_entry_and_registry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(catalog.QUERIES) <= set(names)
 
 
-WHOLE = ["N03_negatives_shuffle", "N04_negatives_matched", "N05_negatives_hard", "N06_negatives_uniform", "N10_negative_summary", "C09_distance_eligible", "N11_evaluation_set", "E17_corr_bootstrap"]
+WHOLE = ["N03_negatives_shuffle", "N04_negatives_matched", "N05_negatives_hard", "N06_negatives_uniform", "N10_negative_summary", "C09_distance_eligible", "N11_evaluation_set", "E17_corr_bootstrap", "R09_nearest_training_distance", "F11_derangement", "F12_label_encode", "D16_surviving_support", "E33_wide_by_arm", "E33_wide_flags"]
 
 
 @pytest.mark.parametrize("name", [n for n in WHOLE])

@@ -92,3 +92,16 @@ def test_replicates_pair_arms_and_repeat(spark):
     assert not any(math.isnan(x.c) for x in got)
     with pytest.raises(ValueError, match="unknown mode"):
         bootstrap.replicates(df, "g", "y", ["c"], "i", 2, mode="neither")
+
+
+def test_wide_table_flags(spark):
+    """One arm without a class, an arm that is missing, other rows in an arm, equal metrics, no metric at all."""
+    rows = [("both", "a", 2, 3, 0.6), ("both", "b", 2, 3, 0.7), ("tie", "a", 1, 1, 0.5), ("tie", "b", 1, 1, 0.5), ("only", "b", 4, 4, 0.9), ("rows", "a", 2, 2, 0.8), ("rows", "b", 2, 5, 0.4), ("none", "a", 3, 0, None), ("none", "b", 3, 0, None)]
+    df = spark.createDataFrame(rows, "g string, arm string, n_pos long, n_neg long, auc01 double")
+    got = {r.g: tuple(r)[1:] for r in metrics.wide_by_arm(df, "g", "arm", ["a", "b"]).collect()}
+    assert got == {
+        "both": (0.6, 0.7, 2, 3, True, True, "b"), "tie": (0.5, 0.5, 1, 1, True, True, "a"), "only": (None, 0.9, 4, 4, False, False, "b"),
+        "rows": (0.8, 0.4, 2, 2, True, False, "a"), "none": (None, None, 3, 0, False, True, None),
+    }
+    one_arm = {r.g: (r.scorable, r.best) for r in metrics.wide_by_arm(df, "g", "arm", ["a"]).collect()}
+    assert one_arm["both"] == (True, "a") and one_arm["only"] == (False, None)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions import text
 from rankloom.operators import ordering, retrieval, sampling, splits, summary
 
 
@@ -152,3 +153,33 @@ def test_component_split_takes_whole_components(spark):
     assert sides[max(sizes, key=lambda c: (sizes[c], -c))] == {"train"}
     test = sum(n for c, n in sizes.items() if sides[c] == {"test"})
     assert 120 <= test < 120 + max(sizes.values())
+
+
+def test_surviving_support(spark):
+    rows = [("g", "s1", 1, True, True), ("g", "s1", 0, True, False), ("g", "s2", 1, False, False), ("g", None, 0, True, True), ("h", "s1", 1, None, True), ("h", "s3", 1, True, True)]
+    df = spark.createDataFrame(rows, "g string, seq string, y int, near boolean, far boolean")
+    got = {(r.regime, r.g): tuple(r)[2:] for r in retrieval.surviving_support(df, "g", "seq", "y", ["near", "far"], 2).collect()}
+    assert got == {
+        ("near", "g"): (4, 3, 2, 1, 1, 2, True, True), ("far", "g"): (4, 2, 2, 1, 1, 1, True, True),
+        ("near", "h"): (2, 1, 2, 1, 1, 0, False, True), ("far", "h"): (2, 2, 2, 2, 2, 0, False, True),
+    }
+    assert not any(r.below for r in retrieval.surviving_support(df, "g", "seq", "y", ["near"], 1).filter("g = 'g'").collect())
+    assert retrieval.surviving_support(df.limit(0), "g", "seq", "y", ["near"]).count() == 0
+
+
+def test_training_distance_in_blocks(spark):
+    r = random.Random(8)
+    drawn = lambda n: [("".join(r.choice("abcd") for _ in range(r.randrange(0, 9))),) for _ in range(n)]
+    q, e = drawn(60) + [(None,)], drawn(90) + [(None,)]
+    got = {x.seq: x.distance for x in retrieval.nearest_training_distance(spark.createDataFrame(q, "seq string"), spark.createDataFrame(e, "seq string"), "seq").collect()}
+    assert set(got) == {t for (t,) in q} and got[None] is None
+    for (t,) in q[:-1]:
+        assert got[t] == pytest.approx(min(levenshtein(t, x) / max(len(t), len(x), 1) for (x,) in e[:-1])), t
+    none = retrieval.nearest_training_distance(spark.createDataFrame(q, "seq string"), spark.createDataFrame([], "seq string"), "seq").collect()
+    assert {x.seq for x in none} == set(got) and not any(x.distance is not None for x in none)
+
+
+def test_codes_and_derangement_skip_nulls(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", None, "a", "c", "b"])], "i int, v string")
+    assert {(x.i, x.code) for x in text.label_encode(df, "v").collect()} == {(0, 1), (2, 0), (3, 2), (4, 1)}
+    assert {(x.i, x.shifted) for x in text.derangement(df, "i", "v").collect()} == {(0, "c"), (2, "b"), (3, "a"), (4, "c")}
