@@ -1,7 +1,9 @@
 """Bootstrap over rows, groups or both, of macro and pooled metrics, without an evaluation table on the driver.
 
-Replicates come in chunks: rows travel to (group, chunk), where a replicate draws as many rows as the group has, with
-replacement and in order of row_id, once for each time the group itself was drawn. From one pass over the rows come the sums
+Rows are put in order of (group, row_id) by ranges, and alike rows (label, scores and masks all equal) are one cell: a piece
+of up to PIECE consecutive rows of a group is its cells and a code of one or two bytes a row. Replicates come in chunks, and
+only pieces travel to (group, chunk), where a replicate draws as many places as the group has rows, with replacement and in
+order of row_id, once for each time the group itself was drawn, and counts the cells they fall on. From one pass come the sums
 of the three metrics by replicate and arm, for macro values, and, where asked for, the drawn counts by score, whose merger
 over groups gives pooled metrics of the same draws. Pooled rows are streams in order of score, one for each arm and chunk,
 so no task holds all scores.
@@ -23,13 +25,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.sources.tables import checkpointed, drop
 
-CHUNK = 50
+CHUNK, PIECE = 50, 1 << 16  # replicates of a task, rows of a piece
+MEASURED = 1 << 16  # blocks of scores measured at once
 METRICS = ("auroc", "ap", "auc01")
 
 
@@ -58,13 +63,76 @@ def evaluation_rows(rows: DataFrame, group: str, label: str, arms: list[str], ro
     return own.filter(" or ".join(f"m{i}" for i in range(len(arms))))
 
 
-def scorable(table: DataFrame, arms: int) -> DataFrame:
+def cells(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each row, equal for rows that are equal in all columns, and the first row of each code."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own = pd.factorize(c, use_na_sentinel=False)[0]
+        code = pd.factorize(code * (int(own.max()) + 1) + own)[0]
+    first = np.empty(int(code.max()) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return code, first
+
+
+def narrow(code: np.ndarray, size: int) -> np.ndarray:
+    return code.astype("<u1" if size <= 1 << 8 else "<u2" if size <= 1 << 16 else "<u4")
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Consecutive rows that are equal in `by`, as one table, or cut in tables of `most` rows."""
+    kept: pa.Table | None = None
+
+    def cut(part: pa.Table, last: bool) -> Iterator[pa.Table]:
+        size = most or max(part.num_rows, 1)
+        for at in range(0, part.num_rows if last else part.num_rows - size + 1, size):
+            yield part.slice(at, size)
+
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        kept = new if kept is None else pa.concat_tables([kept, new])
+        if not kept.num_rows:
+            continue
+        keys = [kept.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in by]
+        edge = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield from cut(kept.slice(a, b - a), True)
+        kept = kept.slice(edge[-1])
+        if most and kept.num_rows >= most:
+            yield from cut(kept, False)
+            kept = kept.slice(kept.num_rows - kept.num_rows % most)
+    if kept is not None and kept.num_rows:
+        yield from cut(kept, True)
+
+
+def pieces(table: DataFrame, arms: int) -> DataFrame:
+    """Written table of (g, part, seq, code, y, s0 ..., m0 ..., has): consecutive rows of a group in order of (i, all columns).
+
+    code: the cell of each row among the piece's; y, s and m: label, scores and masks of its cells; has: which classes each
+    arm keeps, 2 * arm + label.
+    """
+    columns = ["y", *(f"s{i}" for i in range(arms)), *(f"m{i}" for i in range(arms))]
+    sizes = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table.repartitionByRange(sizes, "g", "i").sortWithinPartitions("g", "i", *columns).select("g", *columns)
+    kinds = dict.fromkeys(columns, "<f8") | {"y": "<i4"} | {f"m{i}": "?" for i in range(arms)}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        for seq, part in enumerate(runs(batches, ["g"], PIECE)):
+            own = {c: part.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(kinds[c]) for c in columns}
+            code, first = cells(list(own.values()))
+            held = {c: v[first] for c, v in own.items()}
+            has = [2 * i + v for i in range(arms) for v in (0, 1) if (held[f"m{i}"] & (held["y"] == v)).any()]
+            body = [narrow(code, len(first)), *held.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.column("g")[0].as_py()]), pa.array([place], pa.int32()), pa.array([seq], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body), pa.array([has], pa.list_(pa.int32()))],
+                ["g", "part", "seq", "code", *columns, "has"])
+
+    return checkpointed(dealt.mapInArrow(pack, "g string, part int, seq int, code binary, " + ", ".join(f"{c} binary" for c in columns) + ", has array<int>"))
+
+
+def scorable(packed: DataFrame, arms: int) -> DataFrame:
     """(g) of the groups that have both classes under every arm's mask."""
-    has = [F.max(F.when(F.col(f"m{i}"), F.col("y") == v)) for i in range(arms) for v in (0, 1)]
-    ok = has[0]
-    for h in has[1:]:
-        ok = ok & h
-    return table.groupBy("g").agg(ok.alias("ok")).filter("ok").select("g")
+    return packed.groupBy("g").agg(F.size(F.array_distinct(F.flatten(F.collect_list("has")))).alias("n")).filter(f"n = {2 * arms}").select("g")
 
 
 def group_times(groups: DataFrame, n: int, mode: str, seed: int) -> DataFrame:
@@ -89,10 +157,10 @@ def group_times(groups: DataFrame, n: int, mode: str, seed: int) -> DataFrame:
 
 
 class _Group:
-    """One group's rows, and the metrics of draws from them."""
+    """One group's rows as codes of cells, and the metrics of draws from them."""
 
-    def __init__(self, y: np.ndarray, scores: list[np.ndarray], masks: list[np.ndarray]):
-        self.y, self.masks = y, masks
+    def __init__(self, code: np.ndarray, y: np.ndarray, scores: list[np.ndarray], masks: list[np.ndarray]):
+        self.code, self.y, self.masks = code, y, masks
         self.same = all((m == masks[0]).all() for m in masks)
         self.arms = []
         for s in scores:
@@ -100,10 +168,13 @@ class _Group:
             first = np.flatnonzero(np.r_[True, s[order[1:]] != s[order[:-1]]])
             self.arms.append((order, first, s[order[first]]))
 
-    def draw(self, gen: np.random.Generator, own: np.ndarray) -> np.ndarray:
-        """How often each row is drawn, by as many draws as `own` keeps rows."""
-        at = np.flatnonzero(own)
-        return np.bincount(at[gen.integers(0, len(at), len(at))], minlength=len(own)) if len(at) else np.zeros(len(own), np.int64)
+    def draw(self, gen: np.random.Generator, code: np.ndarray) -> np.ndarray:
+        """How often each cell is drawn, by as many draws as there are codes; the generator goes on from block to block."""
+        n, out = len(code), np.zeros(len(self.y), np.int64)
+        block, kind = max(PIECE, len(out)), np.uint32 if n < 1 << 32 else np.uint64  # the same places in either
+        for at in range(0, n, block):
+            out += np.bincount(code.take(gen.integers(0, n, min(block, n - at), dtype=kind), mode="clip"), minlength=len(out))
+        return out
 
     def counts(self, arm: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Drawn positives and negatives by block of falling score."""
@@ -123,12 +194,14 @@ def samples(
     """
     if mode not in ("rows", "groups", "both"):
         raise ValueError(f"unknown mode {mode!r}")
-    table = source = checkpointed(evaluation_rows(rows, group, label, arms, row_id, masks))
-    groups = table.select("g").distinct() if every_group else scorable(table, len(arms))
+    source = checkpointed(evaluation_rows(rows, group, label, arms, row_id, masks))
+    width = len(arms)
+    packed = pieces(source, width)
+    drop(source)
+    groups = packed.select("g").distinct() if every_group else scorable(packed, width)
     if groups.isEmpty():
         raise ValueError("no rows to draw" if every_group else "no group that all arms can score")
-    table = table if every_group else table.join(groups, "g", "left_semi")
-    width = len(arms)
+    table = packed.drop("has") if every_group else packed.drop("has").join(groups, "g", "left_semi")
     times = group_times(groups, n, mode, seed)
     columns = [c for c in table.columns if c != "g"]
     chunks = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK))).alias("chunk")
@@ -136,21 +209,23 @@ def samples(
     drawn = times.select("g", "chunk", F.lit(0).alias("kind"), "r", "t", *(none(c) for c in columns))
     held = table.select("g", chunks, F.lit(1).alias("kind"), F.lit(0).alias("r"), F.lit(0).alias("t"), *columns)
     sizes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = drawn.unionByName(held).repartition(sizes, "g", "chunk").sortWithinPartitions("g", "chunk", "kind", "r", *columns)
+    dealt = drawn.unionByName(held).repartition(sizes, "g", "chunk").sortWithinPartitions("g", "chunk", "kind", "r", "part", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            new = pa.Table.from_batches([batch])
-            kept = new if kept is None else pa.concat_tables([kept, new])
-            g, c = kept.column("g"), kept.column("chunk").to_numpy()
-            code = g.combine_chunks().dictionary_encode().indices.to_numpy()
-            edge = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (c[1:] != c[:-1])])
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                yield from one(kept.slice(a, b - a))
-            kept = kept.slice(edge[-1])
-        if kept is not None and kept.num_rows:
-            yield from one(kept)
+        for part in runs(batches, ["g", "chunk"]):
+            yield from one(part)
+
+    def unpacked(body: pa.Table) -> _Group:
+        take = lambda c, kind: [np.frombuffer(x, kind) for x in body.column(c).to_pylist()]
+        ys = take("y", "<i4")
+        own = [np.concatenate(x) for x in (ys, *(take(f"s{i}", "<f8") for i in range(width)), *(take(f"m{i}", "?") for i in range(width)))]
+        code, first = cells(own)
+        codes, at = [], 0
+        for raw, y in zip(body.column("code").to_pylist(), ys, strict=True):
+            codes.append(narrow(code[at : at + len(y)], len(first))[np.frombuffer(raw, narrow(np.zeros(0), len(y)).dtype)])
+            at += len(y)
+        own = [x[first] for x in own]
+        return _Group(np.concatenate(codes), own[0].astype(np.int64), own[1 : width + 1], own[width + 1 :])
 
     def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
         kind = part.column("kind").to_numpy()
@@ -158,34 +233,41 @@ def samples(
         if not edge or edge == len(kind):
             return
         name, chunk = part.column("g")[0].as_py(), part.column("chunk")[0].as_py()
-        body = part.slice(edge)
-        take = lambda c: body.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        own = _Group(take("y").astype(np.int64), [take(f"s{i}").astype(float) for i in range(width)], [take(f"m{i}").astype(bool) for i in range(width)])
+        own = unpacked(part.slice(edge))
         r, t = part.column("r").to_numpy()[:edge], part.column("t").to_numpy()[:edge]
-        every = np.any(own.masks, axis=0)
-        found = []
+        kept = [own.code[m[own.code]] for m in own.masks] if own_rows and not own.same else []
+        sums = np.zeros((len(r), width, 4))
         merged = [np.zeros((2, len(arm[2]), CHUNK), np.int32) for arm in own.arms] if pooled else []
-        for number, times_ in zip(r.tolist(), t.tolist(), strict=True):
-            gen = np.random.Generator(np.random.Philox(key=np.array([zlib.crc32(name.encode()) << 32 | (seed & 0xFFFFFFFF), number], np.uint64)))
-            drawn_ = [[np.zeros((2, len(arm[2])), np.int64) for _ in range(times_)] for arm in own.arms]
-            for k in range(times_):
-                if mode == "groups":
-                    w = [np.ones(len(own.y), np.int64)] * width
-                elif own_rows and not own.same:
-                    w = [own.draw(gen, m) for m in own.masks]
-                else:
-                    w = [own.draw(gen, every)] * width
-                for i in range(width):
-                    drawn_[i][k][:] = own.counts(i, w[i])
-            sums = np.zeros((width, 4))
+        waiting: list[tuple[int, list]] = []  # draws counted but not measured: place of the replicate, counts by arm
+
+        def measure() -> None:
+            at = np.array([k for k, _ in waiting])
             for i in range(width):
-                both = np.stack(drawn_[i], 1)
+                both = np.stack([c[i] for _, c in waiting], 1)
                 m = block_metrics(*both)
                 ok = np.isfinite(m[:, 0])
-                sums[i] = (*m[ok].sum(0), ok.sum())
+                np.add.at(sums[:, i], at[ok], np.column_stack([m[ok], np.ones(int(ok.sum()))]))
                 if pooled:
-                    merged[i][:, :, number % CHUNK] += both.sum(1).astype(np.int32)
-            found += [(number, i, *sums[i].tolist()) for i in range(width)]
+                    for k in np.unique(at):
+                        merged[i][:, :, r[k] % CHUNK] += both[:, at == k].sum(1).astype(np.int32)
+            waiting.clear()
+
+        most = max(1, MEASURED // max(len(arm[2]) for arm in own.arms))
+        for place, (number, times_) in enumerate(zip(r.tolist(), t.tolist(), strict=True)):
+            gen = np.random.Generator(np.random.Philox(key=np.array([zlib.crc32(name.encode()) << 32 | (seed & 0xFFFFFFFF), number], np.uint64)))
+            for _ in range(times_):
+                if mode == "groups":
+                    w = [np.bincount(own.code, minlength=len(own.y))] * width
+                elif kept:
+                    w = [own.draw(gen, k) for k in kept]
+                else:
+                    w = [own.draw(gen, own.code)] * width
+                waiting.append((place, [np.stack(own.counts(i, w[i])) for i in range(width)]))
+                if len(waiting) >= most:
+                    measure()
+        if waiting:
+            measure()
+        found = [(number, i, *sums[place, i].tolist()) for place, number in enumerate(r.tolist()) for i in range(width)]
         cols = list(zip(*found, strict=True))
         m = len(found)
         yield pa.RecordBatch.from_arrays(
@@ -197,7 +279,7 @@ def samples(
                 [pa.nulls(m, pa.int32()), pa.array(np.full(m, i), pa.int32()), *(pa.nulls(m, pa.float64()) for _ in range(4)), pa.array(np.full(m, chunk), pa.int32()), pa.array(s), *(pa.array([x.tobytes() for x in merged[i][k]], pa.binary()) for k in (0, 1))], _NAMES)
 
     out = checkpointed(dealt.mapInArrow(run, _SCHEMA))
-    drop(source)
+    drop(packed)
     return out
 
 

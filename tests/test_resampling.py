@@ -93,6 +93,24 @@ def test_same_draws_whatever_the_partitions(spark):
     assert all(x.a == x.c for x in copies.collect())
 
 
+def test_rows_travel_as_codes_of_cells(spark, monkeypatch):
+    """What goes to the chunks is pieces with one byte a row, however they are cut; the draws are those of the rows."""
+    df, (g, y, a, b) = table(spark, 900, 3)
+    rows = resampling.evaluation_rows(df.withColumns({"a": F.floor("a"), "b": F.floor("b")}), "g", "y", ["a", "b"], "i")
+    whole = {(x.replicate, x.arm): (x.auroc, x.ap, x.auc01) for x in resampling.macro_samples(resampling.samples(df, "g", "y", ["a", "b"], "i", 60, "both", 2), ["a", "b"]).collect()}
+    packed = resampling.pieces(rows, 2)
+    assert packed.count() <= 3 * 4 and packed.agg(F.sum(F.length("code"))).first()[0] == 900
+    monkeypatch.setattr(resampling, "PIECE", 16)
+    for k in np.unique(g):
+        own = resampling.pieces(rows, 2).filter(F.col("g") == str(k)).orderBy("part", "seq").collect()
+        assert len(own) >= (g == k).sum() / 16
+        for c, kind, want in (("y", "<i4", y), ("s0", "<f8", np.floor(a)), ("s1", "<f8", np.floor(b))):
+            got = np.concatenate([np.frombuffer(x[c], kind)[np.frombuffer(x["code"], "u1")] for x in own])
+            assert (got == want[g == k]).all()
+    cut = {(x.replicate, x.arm): (x.auroc, x.ap, x.auc01) for x in resampling.macro_samples(resampling.samples(df, "g", "y", ["a", "b"], "i", 60, "both", 2), ["a", "b"]).collect()}
+    assert cut == whole
+
+
 def test_arms_of_other_rows_draw_their_own(spark):
     df, _ = table(spark, 700, 4)
     df = df.withColumns({"c": F.col("a"), "few": F.col("i") % 3 > 0, "every": F.col("i") >= 0})
