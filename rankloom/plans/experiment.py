@@ -30,6 +30,7 @@ def evaluate(rows: DataFrame, group: str, label: str, arms: dict[str, str], row_
     are those of auroc and ap. A pooled metric of one class is null. An empty slice raises; a degenerate score is ignored,
     warned of or raised by `policy`.
     """
+    rows = checkpointed(rows.select(group, label, row_id, *dict.fromkeys(c for c in arms.values() if c not in (group, label, row_id))))  # read often
     if rows.isEmpty():
         raise ValueError("nothing to evaluate")
     names = list(arms)
@@ -59,7 +60,7 @@ def compare(rows: DataFrame, group: str, label: str, first: str, second: str, ro
     where both keep the same rows they share the rows drawn, elsewhere each draws from its own.
     """
     masks = {a: m for a, m in (("_a", first_mask), ("_b", second_mask)) if m}
-    own = rows.select(group, label, row_id, F.col(first).alias("_a"), F.col(second).alias("_b"), *sorted(set(masks.values())))
+    own = checkpointed(rows.select(group, label, row_id, F.col(first).alias("_a"), F.col(second).alias("_b"), *sorted(set(masks.values()))))
     long = _long(own, group, label, {"_a": "_a", "_b": "_b"}, row_id, sorted(set(masks.values())))
     kept = F.lit(True)
     for a, m in masks.items():
@@ -90,6 +91,7 @@ def rescaling(rows: DataFrame, group: str, label: str, score: str) -> DataFrame:
 
 def regime_sweep(rows: DataFrame, group: str, label: str, arms: list[str], row_id: str, regimes: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
     """One row a regime (a boolean column): kept rows, share removed, macro of each of two arms, their difference with interval."""
+    rows = checkpointed(rows.select(group, label, row_id, *arms, *regimes))
     each = F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), F.col(r).alias("keep")) for r in regimes)))
     long = rows.withColumn("_r", each).select("*", "_r.*")
     counts = long.groupBy("regime").agg(F.count_if("keep").alias("rows_kept"), (100.0 * F.count_if(~F.col("keep")) / F.count(F.lit(1))).alias("pct_removed"))
