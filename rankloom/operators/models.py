@@ -6,11 +6,11 @@ grid of fits spreads over the cluster. A group's rows must fit one task; the fit
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,32 +105,67 @@ def svc_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = True,
     return lambda q: np.column_stack([(q - m) / s, np.ones(len(q))]) @ w
 
 
-def mlp_fit(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, hidden: int, seed: int, output: str = "sigmoid_mse", rate: float = 1e-3, decay: float = 0.0, dropout: float = 0.0, batch: int = 128, epochs: int = 200, patience: int = 20) -> Callable[[np.ndarray], np.ndarray]:
+AT_ONCE = 1 << 14  # rows made dense at once
+
+
+class Features:
+    """Rows of values, or with a width rows of indices, each a row of 0 with 1 at them; only the rows asked for are made dense."""
+
+    def __init__(self, rows: np.ndarray, width: int | None = None):
+        self.rows, self.width = rows, width
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def dense(self, pick: np.ndarray | slice = slice(None)) -> np.ndarray:
+        own = self.rows[pick]
+        if self.width is None:
+            return own.astype(float)
+        out = np.zeros((len(own), self.width))
+        out[np.arange(len(own))[:, None], own] = 1.0
+        return out
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        return (self.dense(slice(at, at + AT_ONCE)) for at in range(0, len(self), AT_ONCE))
+
+    def scale(self) -> tuple[np.ndarray, np.ndarray]:
+        """As _scale() of all rows."""
+        if self.width is None:
+            return _scale(self.rows)
+        m = sum(x.sum(0) for x in self.blocks()) / len(self)
+        s = np.sqrt(sum(((x - m) ** 2).sum(0) for x in self.blocks()) / len(self))
+        return m, np.where(s == 0, 1.0, s)
+
+
+def _features(x: np.ndarray | Features) -> Features:
+    return x if isinstance(x, Features) else Features(x)
+
+
+def mlp_fit(x: np.ndarray | Features, y: np.ndarray, vx: np.ndarray | Features, vy: np.ndarray, hidden: int, seed: int, output: str = "sigmoid_mse", rate: float = 1e-3, decay: float = 0.0, dropout: float = 0.0, batch: int = 128, epochs: int = 200, patience: int = 20) -> Callable[[np.ndarray], np.ndarray]:
     """One ReLU layer by Adam with early stopping on the validation loss, best weights restored.
 
     output: `sigmoid_mse` fits values in [0, 1] by squared error; `logit_bce` fits classes and returns logits. decay is
     decoupled from the gradient. The scaler sees the fitted rows only.
     """
     gen = np.random.default_rng(seed)
-    m, s = _scale(x)
-    x, vx = (x - m) / s, (vx - m) / s
+    x, vx = _features(x), _features(vx)
+    m, s = x.scale()
     bound = lambda n, k: gen.uniform(-1, 1, (n, k)) / np.sqrt(n)
-    w = [bound(x.shape[1], hidden), bound(1, hidden)[0] / np.sqrt(x.shape[1]), bound(hidden, 1)[:, 0], np.zeros(1)]
+    w = [bound(len(m), hidden), bound(1, hidden)[0] / np.sqrt(len(m)), bound(hidden, 1)[:, 0], np.zeros(1)]
     mean, square, count = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
 
-    def forward(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.maximum(q @ w[0] + w[1], 0)
-        return h, h @ w[2] + w[3][0]
+    def forward(q: Features) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(np.maximum((x - m) / s @ w[0] + w[1], 0) @ w[2] + w[3][0] for x in q.blocks())])
 
-    def loss(q: np.ndarray, t: np.ndarray) -> float:
-        z = forward(q)[1]
+    def loss(q: Features, t: np.ndarray) -> float:
+        z = forward(q)
         return float(np.mean((1 / (1 + np.exp(-z)) - t) ** 2) if output == "sigmoid_mse" else np.mean(np.logaddexp(0, z) - t * z))
 
     best, kept, waited = np.inf, [p.copy() for p in w], 0
     for _ in range(epochs):
         order = gen.permutation(len(x))
         for a in range(0, len(x), batch):
-            q, t = x[order[a : a + batch]], y[order[a : a + batch]]
+            q, t = (x.dense(order[a : a + batch]) - m) / s, y[order[a : a + batch]]
             h = np.maximum(q @ w[0] + w[1], 0)
             mask = (gen.random(h.shape) >= dropout) / (1 - dropout) if dropout else 1.0
             z = (h * mask) @ w[2] + w[3][0]
@@ -150,36 +185,43 @@ def mlp_fit(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, hidden
             if waited >= patience:
                 break
     w[:] = kept
-    return lambda q: (lambda z: 1 / (1 + np.exp(-z)) if output == "sigmoid_mse" else z)(forward((q - m) / s)[1])
+    return lambda q: (lambda z: 1 / (1 + np.exp(-z)) if output == "sigmoid_mse" else z)(forward(_features(q)))
 
 
 def _dense(column: pd.Series, width: int | None) -> np.ndarray:
-    """Feature rows; with a width, rows of indices become rows of 0 and 1."""
+    """Feature rows of a column of lists; with a width, rows of indices become rows of 0 and 1."""
     if not len(column):
         return np.zeros((0, width or 1))
-    if width is None:
-        return np.stack(column.tolist()).astype(float)
-    out = np.zeros((len(column), width))
-    at = np.stack(column.tolist()).astype(int)
-    out[np.arange(len(out))[:, None], at] = 1.0
-    return out
-
-
-def _fit_one(pdf: pd.DataFrame, features: str, label: str, row_id: str, side: str, default: float, model: str, width: int | None = None, threshold: float = 0.5, **settings) -> tuple[np.ndarray, np.ndarray]:
-    """(row ids, scores) of the test rows of one fit."""
-    pdf = pdf.sort_values(row_id, kind="stable")
-    part = {n: pdf[pdf[side].isin(v)] for n, v in {"fit": ["train", "fit"], "val": ["validation"], "test": ["test"]}.items()}
-    y = part["fit"][label].to_numpy(float)
+    return Features(np.stack(column.tolist()), width).dense()
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows of numbers."""
+    own = column.combine_chunks()
+    if own.null_count:
+        raise ValueError("rows without features")
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+
+
+def _fit_one(table: pa.Table, features: str, label: str, row_id: str, side: str, default: float, model: str, width: int | None = None, threshold: float = 0.5, **settings) -> tuple[pa.Array, np.ndarray]:
+    """(row ids, scores) of the test rows of one fit. Of a row numbers are held only, and it is made dense in a batch at a time."""
+    order = np.argsort(table.column(row_id).to_numpy(), kind="stable")
+    sides = table.column(side).combine_chunks().dictionary_encode()
+    names, code = sides.dictionary.to_pylist(), sides.indices.to_numpy(zero_copy_only=False)[order]
+    part = {n: order[np.isin(code, [i for i, x in enumerate(names) if x in v])] for n, v in {"fit": ["train", "fit"], "val": ["validation"], "test": ["test"]}.items()}
+    value = table.column(label).to_numpy().astype(float)
+    y = value[part["fit"]]
     score = np.full(len(part["test"]), default)
     if len(part["test"]) and len(np.unique(y > threshold)) == 2:
-        x, t = _dense(part["fit"][features], width), _dense(part["test"][features], width)
+        rows = _matrix(table.column(features))
+        x, t = Features(rows[part["fit"]], width), Features(rows[part["test"]], width)
         if model == "mlp":
             v = part["val"] if len(part["val"]) else part["fit"]
-            f = mlp_fit(x, y, _dense(v[features], width), v[label].to_numpy(float), **settings)
+            f = mlp_fit(x, y, Features(rows[v], width), value[v], **settings)
+            score = f(t)
         else:
-            f = {"logistic": logistic_fit, "svc": svc_fit}[model](x, y, **settings)
-        score = f(t)
-    return part["test"][row_id].to_numpy(), score
+            score = {"logistic": logistic_fit, "svc": svc_fit}[model](x.dense(), y, **settings)(t.dense())
+    return table.column(row_id).combine_chunks().take(pa.array(part["test"])), score
 
 
 def fit_and_score(rows: DataFrame, group: list[str], features: str, label: str, row_id: str, side: str = "side", model: str = "logistic", default: float = 0.0, **settings) -> DataFrame:
@@ -194,23 +236,23 @@ def fit_grid(rows: DataFrame, settings: list[dict], group: list[str], features:
     """(group, setting, row_id, score): every setting fitted in every group, all fits as groups of one stage.
 
     A setting names its model and the arguments of its fit; `width` makes features rows of indices that are set to 1, so that
-    wide one-hot rows travel as a few numbers. With `arm`, a column among `group`, settings carry its value and are fitted
+    wide one-hot rows travel and are held as a few numbers. With `arm`, a column among `group`, settings carry its value and are fitted
     on its rows only. Rows travel once for each setting; a group's rows must fit one task.
     """
     spark = rows.sparkSession
-    listed = spark.createDataFrame([(i, s.get("arm"), json.dumps({k: v for k, v in s.items() if k != "arm"}, sort_keys=True)) for i, s in enumerate(settings)], "setting int, _arm string, _settings string")
+    listed = spark.createDataFrame([(i, s.get("arm")) for i, s in enumerate(settings)], "setting int, _arm string")
     own = rows.select(*group, row_id, features, F.col(label).cast("double").alias(label), side)
-    grid = own.join(F.broadcast(listed), F.col(arm) == F.col("_arm")) if arm else own.join(F.broadcast(listed))
+    grid = (own.join(F.broadcast(listed), F.col(arm) == F.col("_arm")) if arm else own.join(F.broadcast(listed))).drop("_arm")
+    options = [{k: v for k, v in s.items() if k != "arm"} for s in settings]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, score = _fit_one(pdf, features, label, row_id, side, default, **json.loads(pdf["_settings"].iloc[0]))
-        out = pd.DataFrame({c: [k] * len(score) for c, k in zip([*group, "setting"], key, strict=True)})
-        out[row_id], out["score"] = ids, score
-        return out
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, score = _fit_one(table, features, label, row_id, side, default, **options[key[-1].as_py()])
+        keys = [pa.array([k.as_py()] * len(score), table.schema.field(c).type) for c, k in zip([*group, "setting"], key, strict=True)]
+        return pa.Table.from_arrays([*keys, ids, pa.array(score, pa.float64())], [*group, "setting", row_id, "score"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + f", setting int, `{row_id}` {kinds[row_id]}, score double"
-    return grid.groupBy(*group, "setting").applyInPandas(run, schema)
+    return grid.groupBy(*group, "setting").applyInArrow(run, schema)
 
 
 WIDTHS, SEEDS = (55, 66), (0, 1, 2, 3, 4)

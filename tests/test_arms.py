@@ -44,6 +44,22 @@ def test_a_grid_equals_single_fits(spark, rows):
     assert all(mean[g, i] == pytest.approx(np.mean([got[g, k, i] for k in range(4)])) for g, i in mean)
 
 
+def test_a_fit_holds_indices_and_not_dense_rows():
+    """60,000 one-hot rows of 400 columns: 192 MB if dense, which a fit must not hold."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    rows, y = r.integers(0, 400, (60_000, 1)).astype(np.int32), r.random(60_000)
+    m, s = models.Features(rows, 400).scale()
+    share = np.bincount(rows[:, 0], minlength=400) / 60_000
+    assert np.allclose(m, share) and np.allclose(s, np.sqrt(share * (1 - share)))
+    tracemalloc.start()
+    models.mlp_fit(models.Features(rows, 400), y, models.Features(rows[:100], 400), y[:100], 4, 0, epochs=1, batch=2048)(models.Features(rows, 400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 180e6
+
+
 def test_arms_fit_their_own_rows(spark, rows):
     long = rows.withColumn("side", F.when(F.col("fold") == 0, "test").otherwise("train")).withColumn("p", F.lit(1))
     each = F.explode(F.array(F.struct(F.lit("seq").alias("arm"), models.hot("seq", 4, "abcd").alias("x")), F.struct(F.lit("none").alias("arm"), F.array(F.lit(0)).alias("x")))).alias("a")
