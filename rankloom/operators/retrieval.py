@@ -109,7 +109,50 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[n]
 
 
+MANY_PAIRS = 1 << 28  # pairs of texts from which on those one edit apart are looked up first
+LONGEST = 32  # characters of texts that are looked up
+
+
 def _nearest_texts(queries: DataFrame, entries: DataFrame, group: str, seq: str, fold: str | None, leave_out_exact: bool, top_k: int, block: int = 1024) -> DataFrame:
+    """(keys, _best, _size, _mean, _used) by edit similarity. Of many pairs, what _one_edit() settles isn't compared in blocks."""
+    if top_k == 1 and not leave_out_exact:
+        sizes = queries.groupBy(group).agg(F.count(F.lit(1)).alias("_q")).join(entries.groupBy(group).agg(F.count(F.lit(1)).alias("_e")), group)
+        if (sizes.agg(F.sum(F.col("_q").cast("double") * F.col("_e"))).first()[0] or 0) > MANY_PAIRS:
+            near = checkpointed(_one_edit(queries, entries, group, seq, fold))
+            rest = queries.join(near, [group, seq, *([fold] if fold else [])], "left_anti")
+            return near.unionByName(_compared(rest, entries, group, seq, fold, leave_out_exact, top_k, block))
+    return _compared(queries, entries, group, seq, fold, leave_out_exact, top_k, block)
+
+
+def _one_edit(queries: DataFrame, entries: DataFrame, group: str, seq: str, fold: str | None) -> DataFrame:
+    """(keys, _best, _size, _mean, _used) of queries whose nearest entry is equal or one edit away for certain.
+
+    Texts one edit apart have in common one of themselves and what is left of them without one character. With d >= 2 edits
+    the longer text has at most d characters more than a query of n, so its similarity is at most 1 - 2 / (n + 2); what is
+    better than that can't be beaten or tied. A variant has at most as many texts as there are ways to put in a character.
+    """
+    parts = lambda c: F.array_distinct(F.expr(f"transform(sequence(0, length(`{c}`)), i -> case when i = 0 then `{c}` else concat(substring(`{c}`, 1, i - 1), substring(`{c}`, i + 1)) end)"))
+    some = lambda df, c: df.filter(F.length(c) <= LONGEST).withColumn("_part", F.explode(parts(c)))
+    counts = ~(F.col(fold).eqNullSafe(F.col("_low")) & F.col(fold).eqNullSafe(F.col("_high"))) if fold else F.lit(True)
+    asked = queries.filter(F.col(fold).isNotNull()) if fold else queries
+    keys = [group, seq, *([fold] if fold else [])]
+    pairs = some(asked.select(*keys), seq).join(some(entries, "entry"), [group, "_part"]).filter(counts)
+    longest = F.greatest(F.length(seq), F.length("entry"), F.lit(1))
+    pairs = pairs.withColumn("_edits", F.levenshtein(F.col(seq), F.col("entry"), 1)).filter("_edits >= 0")
+    sim = F.lit(1.0) - F.col("_edits").cast("double") / longest
+    best = pairs.groupBy(*keys).agg(F.min(F.struct((-sim).alias("d"), "entry")).alias("_best"))
+    sure = best.filter(-F.col("_best.d") > 1.0 - F.lit(2.0) / (F.length(seq) + 2) + 1e-9)
+    counted = entries.filter(F.col(group).isNotNull() & F.col("entry").isNotNull())
+    sized = sure.join(counted.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    size = F.col("_n")
+    if fold:  # without the entries that the query's fold alone holds
+        alone = counted.filter("_low = _high").groupBy(group, F.col("_low").alias(fold)).agg(F.count(F.lit(1)).alias("_own"))
+        sized = sized.join(alone, [group, fold], "left")
+        size = size - F.coalesce("_own", F.lit(0))
+    return sized.select(*keys, "_best", size.alias("_size"), F.lit(1).alias("_used"), (-F.col("_best.d")).alias("_mean"))
+
+
+def _compared(queries: DataFrame, entries: DataFrame, group: str, seq: str, fold: str | None, leave_out_exact: bool, top_k: int, block: int) -> DataFrame:
     """(keys, _best, _size, _mean, _used) by edit similarity: blocks of queries against blocks of entries of a group.
 
     No pair is a row of Spark's; of each query a block passes on its top_k best and the number of entries that count.

@@ -87,6 +87,23 @@ def test_nearest_positive_in_blocks(spark, options, monkeypatch):
             assert got[g, t, f] == (round(score, 9), sims[0][1] if sims else "", bool(own), len(own)), (g, t, f)
 
 
+@pytest.mark.parametrize("fold", [None, "f"])
+def test_nearest_positive_looks_up_texts_one_edit_apart(spark, fold, monkeypatch):
+    """Both ways give the same, and less than half of the queries are left to the comparison in blocks."""
+    r = random.Random(17)
+    q = [(r.choice("gh"), f"{r.randrange(500):05d}"[r.randrange(2) :], r.randrange(3)) for _ in range(300)] + [("g", "", 0), ("g", "x", 1), ("h", "é🙂" * 40, 1), ("none", "1", 0)]
+    e = [(r.choice("gh"), f"{r.randrange(500):05d}", r.choice([0, 1, 2, None])) for _ in range(300)] + [("g", "", 1), ("g", "y", 2), ("h", "é🙂" * 40, 0), ("h", None, 0)]
+    queries = spark.createDataFrame(sorted(set(q)), "g string, seq string, f int")
+    entries = spark.createDataFrame(e, "g string, entry string, f int").distinct()
+    entries = entries if fold else entries.select("g", "entry").distinct()
+    found = lambda: sorted(tuple(x) for x in retrieval.nearest_positive(queries, entries, "g", "seq", other_fold=fold).collect())
+    want, left, inner = found(), [], retrieval._compared
+    monkeypatch.setattr(retrieval, "MANY_PAIRS", 0)
+    monkeypatch.setattr(retrieval, "_compared", lambda rest, *a: (left.append(rest.count()), inner(rest, *a))[1])
+    assert found() == want
+    assert left[0] < queries.count() / 2
+
+
 def test_eligible_beyond_a_distance(spark):
     groups = ["alpha", "alpho", "alphxyz", "beta", "bexa", "gamma"]
     r = random.Random(6)
