@@ -6,6 +6,7 @@ grid of fits spreads over the cluster. A group's rows must fit one task; the fit
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,7 +106,7 @@ def svc_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, balanced: bool = True,
     return lambda q: np.column_stack([(q - m) / s, np.ones(len(q))]) @ w
 
 
-AT_ONCE = 1 << 14  # rows made dense at once
+AT_ONCE = 1 << 11  # rows made dense at once
 
 
 class Features:
@@ -125,17 +126,57 @@ class Features:
         out[np.arange(len(own))[:, None], own] = 1.0
         return out
 
-    def blocks(self) -> Iterator[np.ndarray]:
-        return (self.dense(slice(at, at + AT_ONCE)) for at in range(0, len(self), AT_ONCE))
+    @functools.cached_property
+    def counts(self) -> np.ndarray:
+        """Rows with a 1, by column; an index that a row has twice counts once."""
+        total = np.zeros(self.width, np.int64)
+        for a in range(0, len(self), AT_ONCE):
+            own = np.sort(self.rows[a : a + AT_ONCE], axis=1)
+            new = np.ones(own.shape, bool)
+            new[:, 1:] = own[:, 1:] != own[:, :-1]
+            total += np.bincount(own[new], minlength=self.width)
+        return total
 
     def scale(self) -> tuple[np.ndarray, np.ndarray]:
         """As _scale() of all rows."""
         if self.width is None:
             return _scale(self.rows)
-        m = sum(x.sum(0) for x in self.blocks()) / len(self)
-        s = np.sqrt(sum(((x - m) ** 2).sum(0) for x in self.blocks()) / len(self))
+        m = self.counts / len(self)
+        s = np.sqrt(m * (1 - m) ** 2 + (1 - m) * m**2)
         return m, np.where(s == 0, 1.0, s)
 
+    def varying(self, mean: np.ndarray) -> np.ndarray:
+        """The columns in which some row of indices differs from the mean; of rows of values all."""
+        if self.width is None:
+            return np.arange(len(mean))
+        return np.flatnonzero(~(((self.counts == 0) & (mean == 0)) | ((self.counts == len(self)) & (mean == 1))))
+
+
+class Scaled:
+    """Some columns of Features, standardised, and a last one of 1; a row of indices holds the places of its ones among those columns only."""
+
+    def __init__(self, x: Features, mean: np.ndarray, scale: np.ndarray, columns: np.ndarray):
+        self.width, self.rows = len(columns), x.rows
+        self.mean, self.scale, self.indexed = mean[columns], scale[columns], x.width is not None
+        if self.indexed:
+            at = np.full(x.width, self.width, np.int16 if self.width < 1 << 15 else np.int32)  # the rest goes to the last column
+            at[columns] = np.arange(self.width)
+            places = [p for p in (at[c] for c in x.rows.T) if (p < self.width).any()]
+            self.rows = np.column_stack(places) if places else np.zeros((len(x), 0), at.dtype)
+            self.low, self.high = (np.r_[(v - self.mean) / self.scale, 1.0] for v in (0.0, 1.0))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def dense(self, pick: np.ndarray | slice) -> np.ndarray:
+        own = self.rows[pick]
+        if not self.indexed:
+            return np.column_stack([(own.astype(float) - self.mean) / self.scale, np.ones(len(own))])
+        out = np.empty((len(own), self.width + 1))
+        out[:] = self.low
+        out.ravel()[own + np.arange(0, out.size, self.width + 1)[:, None]] = self.high[own]
+        return out
+
 
 def _features(x: np.ndarray | Features) -> Features:
     return x if isinstance(x, Features) else Features(x)
@@ -145,47 +186,91 @@ def mlp_fit(x: np.ndarray | Features, y: np.ndarray, vx: np.ndarray | Features,
     """One ReLU layer by Adam with early stopping on the validation loss, best weights restored.
 
     output: `sigmoid_mse` fits values in [0, 1] by squared error; `logit_bce` fits classes and returns logits. decay is
-    decoupled from the gradient. The scaler sees the fitted rows only.
+    decoupled from the gradient. The scaler sees the fitted rows only. A one-hot column that is constant in them is 0 in every
+    batch, so without decay its weights never move: it takes no part in the steps, and in scores where it differs only.
     """
     gen = np.random.default_rng(seed)
     x, vx = _features(x), _features(vx)
     m, s = x.scale()
     bound = lambda n, k: gen.uniform(-1, 1, (n, k)) / np.sqrt(n)
-    w = [bound(len(m), hidden), bound(1, hidden)[0] / np.sqrt(len(m)), bound(hidden, 1)[:, 0], np.zeros(1)]
-    mean, square, count = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
+    first, *rest = bound(len(m), hidden), bound(1, hidden)[0] / np.sqrt(len(m)), bound(hidden, 1)[:, 0], np.zeros(1)
+    moving = np.arange(len(m)) if decay else x.varying(m)
+    rows = Scaled(x, m, s, moving)
+
+    def views(flat: np.ndarray) -> list[np.ndarray]:
+        """Weights of the hidden layer, its bias in the last row, those of the output and its bias."""
+        return [flat[: -hidden - 1].reshape(-1, hidden), flat[-hidden - 1 : -1], flat[-1:]]
+
+    flat = np.concatenate([first[moving].ravel(), *rest])
+    mean, square, slope, spare = (np.zeros_like(flat) for _ in range(4))
+    w, g, count = views(flat), views(slope), 0
+
+    def scorer(q: Features) -> Callable[[], np.ndarray]:
+        columns = np.union1d(moving, q.varying(m)) if q.width else moving
+        own = Scaled(q, m, s, columns)
+
+        def forward() -> np.ndarray:
+            first[moving] = w[0][:-1]
+            top, out = np.vstack([first[columns], w[0][-1]]), np.empty(len(own))
+            for a in range(0, len(own), AT_ONCE):
+                h = own.dense(slice(a, a + AT_ONCE)) @ top
+                out[a : a + AT_ONCE] = np.maximum(h, 0, out=h) @ w[1] + w[2][0]
+            return out
+
+        return forward
 
-    def forward(q: Features) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(np.maximum((x - m) / s @ w[0] + w[1], 0) @ w[2] + w[3][0] for x in q.blocks())])
+    check = scorer(vx)
 
-    def loss(q: Features, t: np.ndarray) -> float:
-        z = forward(q)
-        return float(np.mean((1 / (1 + np.exp(-z)) - t) ** 2) if output == "sigmoid_mse" else np.mean(np.logaddexp(0, z) - t * z))
+    def loss() -> float:
+        z = check()
+        return float(np.mean((1 / (1 + np.exp(-z)) - vy) ** 2) if output == "sigmoid_mse" else np.mean(np.logaddexp(0, z) - vy * z))
 
-    best, kept, waited = np.inf, [p.copy() for p in w], 0
+    best, kept, waited = np.inf, flat.copy(), 0
+    block = max(AT_ONCE // 2 // batch, 1) * batch
     for _ in range(epochs):
         order = gen.permutation(len(x))
         for a in range(0, len(x), batch):
-            q, t = (x.dense(order[a : a + batch]) - m) / s, y[order[a : a + batch]]
-            h = np.maximum(q @ w[0] + w[1], 0)
-            mask = (gen.random(h.shape) >= dropout) / (1 - dropout) if dropout else 1.0
-            z = (h * mask) @ w[2] + w[3][0]
-            p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+            if a % block == 0:
+                many, truth = rows.dense(order[a : a + block]), y[order[a : a + block]]
+            q, t = many[a % block : a % block + batch], truth[a % block : a % block + batch]
+            h = q @ w[0]
+            live = (h > 0).astype(float)
+            if dropout:
+                live *= (gen.random(h.shape) >= dropout) / (1 - dropout)
+            h *= live
+            z = h @ w[1] + w[2][0]
+            p = 1 / (1 + np.exp(-np.minimum(np.maximum(z, -35), 35)))
             dz = (2 * (p - t) * p * (1 - p) if output == "sigmoid_mse" else p - t) / len(q)
-            dh = np.outer(dz, w[2]) * mask * (h > 0)
+            np.dot(dz, h, out=g[1])
+            g[2][0] = dz.sum()
+            live *= dz[:, None]
+            np.dot(q.T, live, out=g[0])
+            g[0][:] *= w[1]
             count += 1
-            for i, g in enumerate((q.T @ dh, dh.sum(0), (h * mask).T @ dz, np.array([dz.sum()]))):
-                mean[i] = 0.9 * mean[i] + 0.1 * g
-                square[i] = 0.999 * square[i] + 0.001 * g * g
-                w[i] -= rate * (mean[i] / (1 - 0.9**count) / (np.sqrt(square[i] / (1 - 0.999**count)) + 1e-8) + decay * w[i])
-        now = loss(vx, vy)
+            # Adam on all weights at once, in place
+            mean *= 0.9
+            mean += np.multiply(slope, 0.1, out=spare)
+            square *= 0.999
+            np.multiply(slope, 0.001, out=spare)
+            square += np.multiply(spare, slope, out=spare)
+            np.sqrt(square, out=spare)
+            spare *= 1 / np.sqrt(1 - 0.999**count)
+            spare += 1e-8
+            np.divide(mean, spare, out=spare)
+            spare *= rate / (1 - 0.9**count)
+            if decay:
+                flat *= 1 - rate * decay
+            flat -= spare
+        now = loss()
         if now < best - 1e-12:
-            best, kept, waited = now, [p.copy() for p in w], 0
+            best, waited = now, 0
+            kept[:] = flat
         else:
             waited += 1
             if waited >= patience:
                 break
-    w[:] = kept
-    return lambda q: (lambda z: 1 / (1 + np.exp(-z)) if output == "sigmoid_mse" else z)(forward(_features(q)))
+    flat[:] = kept
+    return lambda q: (lambda z: 1 / (1 + np.exp(-z)) if output == "sigmoid_mse" else z)(scorer(_features(q))())
 
 
 def _dense(column: pd.Series, width: int | None) -> np.ndarray:
