@@ -76,10 +76,10 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 100
         grad = z.T @ (p - y) + ridge * w
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-10), grad)
         size, now = 1.0, loss(w)
-        while loss(w - size * step) > now and size > 1e-8:
+        while loss(w - size * step) > now * (1 + 1e-12) + 1e-12 and size > 1e-8:  # rounding is no rise
             size /= 2
         w = w - size * step
-        if np.abs(grad).max() < 1e-9:
+        if np.abs(grad).max() < 1e-9 * max(1.0, len(x) / 1e4) or size <= 1e-8:
             break
     return lambda t: 1 / (1 + np.exp(-np.clip(np.column_stack([(t - m) / s, np.ones(len(t))]) @ w, -35, 35)))
 

@@ -129,3 +129,14 @@ def test_constant_columns_take_no_part_in_the_steps():
     sparse = models.mlp_fit(few[0], y[:2000], few[1], y[2000:3000], 5, 0, epochs=20)(few[2])
     dense = models.mlp_fit(few[0].dense(), y[:2000], few[1].dense(), y[2000:3000], 5, 0, epochs=20)(few[2].dense())
     assert np.allclose(sparse, dense, atol=1e-9) and got.std() > 0.01
+
+
+def test_a_logistic_fit_ends_where_rounding_hides_the_loss(monkeypatch):
+    """Counts of letters that add up to a constant, classes at random: the loss is flat to its last digit before the gradient is small."""
+    steps, solve = [], np.linalg.solve
+    monkeypatch.setattr(models.np.linalg, "solve", lambda *a: steps.append(1) or solve(*a))
+    r = np.random.default_rng(0)
+    d = r.integers(0, 10, (10_000, 5))
+    x = np.column_stack([np.full(10_000, 9.0), *((d == k).sum(1) + 4 * (k == 0) for k in range(10))])
+    p = models.logistic_fit(x, (r.random(10_000) < 0.5).astype(float))(x)
+    assert len(steps) < 20 and 0.3 < p.min() < p.max() < 0.7
