@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rng, text, vector
 from rankloom.functions.text import RESIDUES
+from rankloom.sources.tables import checkpointed
 
 
 def pwm(train: DataFrame, group: str, seq: str, label: str, length: int = 9, alphabet: str = RESIDUES) -> DataFrame:
@@ -317,21 +318,19 @@ def fit_and_score(rows: DataFrame, group: list[str], features: str, label: str,
     return fit_grid(rows, [{"model": model, **settings}], group, features, label, row_id, side, default).drop("setting")
 
 
-def fit_grid(rows: DataFrame, settings: list[dict], group: list[str], features: str, label: str, row_id: str, side: str = "side", default: float = 0.0, arm: str | None = None) -> DataFrame:
+def fit_grid(rows: DataFrame, settings: list[dict], group: list[str], features: str, label: str, row_id: str, side: str = "side", default: float = 0.0) -> DataFrame:
     """(group, setting, row_id, score): every setting fitted in every group, all fits as groups of one stage.
 
     A setting names its model and the arguments of its fit; `width` makes features rows of indices that are set to 1, so that
-    wide one-hot rows travel and are held as a few numbers. With `arm`, a column among `group`, settings carry its value and are fitted
-    on its rows only. Rows travel once for each setting; a group's rows must fit one task.
+    wide one-hot rows travel and are held as a few numbers. Rows travel once for each setting; a group's rows must fit one task.
     """
     spark = rows.sparkSession
-    listed = spark.createDataFrame([(i, s.get("arm")) for i, s in enumerate(settings)], "setting int, _arm string")
+    listed = spark.createDataFrame([(i,) for i in range(len(settings))], "setting int")
     own = rows.select(*group, row_id, features, F.col(label).cast("double").alias(label), side)
-    grid = (own.join(F.broadcast(listed), F.col(arm) == F.col("_arm")) if arm else own.join(F.broadcast(listed))).drop("_arm")
-    options = [{k: v for k, v in s.items() if k != "arm"} for s in settings]
+    grid = own.join(F.broadcast(listed))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, score = _fit_one(table, features, label, row_id, side, default, **options[key[-1].as_py()])
+        ids, score = _fit_one(table, features, label, row_id, side, default, **settings[key[-1].as_py()])
         keys = [pa.array([k.as_py()] * len(score), table.schema.field(c).type) for c, k in zip([*group, "setting"], key, strict=True)]
         return pa.Table.from_arrays([*keys, ids, pa.array(score, pa.float64())], [*group, "setting", row_id, "score"])
 
@@ -353,10 +352,58 @@ def ensemble(rows: DataFrame, features: str, label: str, row_id: str, partition:
     return fit_grid(rows, networks(hidden, seeds, **settings), [partition], features, label, row_id, side).groupBy(partition, row_id).agg(F.avg("score").alias("score"))
 
 
+AT_A_TIME = 256  # rows of a packed block
+
+
+def packed(rows: DataFrame, keys: list[str], features: str, label: str, row_id: str, kind: str) -> DataFrame:
+    """(keys, _ids, _v, _x): blocks of rows of the same keys, with the indices of all their rows as one value of numpy's `kind`."""
+    own = rows.select(*keys, row_id, F.col(label).cast("double").alias("_v"), features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = np.zeros(b.num_rows, np.int64)
+            for k in keys:
+                c = b.column(k).dictionary_encode("encode")
+                code = np.unique(code * (len(c.dictionary) + 1) + c.indices.to_numpy(), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                for at in (part[a : a + AT_A_TIME] for a in range(0, len(part), AT_A_TIME)):
+                    take = b.take(pa.array(at))
+                    x = np.ascontiguousarray(_matrix(pa.chunked_array([take.column(features)])), kind)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), take.column(c)) for c in (row_id, "_v")]
+                    yield pa.RecordBatch.from_arrays([*(take.column(k).slice(0, 1) for k in keys), *lists, pa.array([x.tobytes()], pa.binary())], [*keys, "_ids", "_v", "_x"])
+
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", _ids array<{kinds[row_id]}>, _v array<double>, _x binary")
+
+
 def arm_ensembles(rows: DataFrame, arm: str, partition: str, features: str, label: str, row_id: str, widths: dict[str, int], hidden: list[int] | tuple[int, ...] = WIDTHS, seeds: list[int] | tuple[int, ...] = SEEDS, side: str = "side", **settings) -> DataFrame:
-    """(partition, row_id, arm, score) of one ensemble an arm; rows are by arm, with features as indices below the arm's width."""
+    """(partition, row_id, arm, score) of one ensemble an arm; rows are by arm, with features as indices below the arm's width.
+
+    Rows are written once, in blocks; blocks and not rows travel to the fits, and the fits are dealt to more partitions than
+    there are fits, so that few share one.
+    """
     every = [{"arm": a, "width": w, **s} for a, w in widths.items() for s in networks(hidden, seeds, **settings)]
-    found = fit_grid(rows, every, [arm, partition], features, label, row_id, side, arm=arm)
+    kind = "int16" if max(widths.values()) < 1 << 15 else "int32"
+    blocks = checkpointed(packed(rows, [arm, partition, side], features, label, row_id, kind))
+    listed = rows.sparkSession.createDataFrame([(i, s["arm"]) for i, s in enumerate(every)], f"setting int, `{arm}` string")
+    options = [{k: v for k, v in s.items() if k != "arm"} for s in every]
+    fits = blocks.select(arm, partition).distinct().join(F.broadcast(listed), arm).count()
+    grid = blocks.join(F.broadcast(listed), arm).repartition(max(1, min(4 * fits, 1 << 13)), arm, partition, "setting")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lists = {c: table.column(c).combine_chunks() for c in ("_ids", "_v", side)}
+        names = lists[side].dictionary_encode()
+        sides = pa.DictionaryArray.from_arrays(np.repeat(names.indices.to_numpy(), lists["_ids"].value_lengths().to_numpy()), names.dictionary)
+        ids, x = lists["_ids"].flatten(), np.frombuffer(b"".join(table.column("_x").to_pylist()), kind)
+        x = pa.FixedSizeListArray.from_arrays(pa.array(x), len(x) // len(ids))
+        own = pa.table([ids, x, lists["_v"].flatten(), sides], [row_id, features, label, side])
+        ids, score = _fit_one(own, features, label, row_id, side, 0.0, **options[key[-1].as_py()])
+        keys = [pa.array([k.as_py()] * len(score), table.schema.field(c).type) for c, k in zip([arm, partition], key, strict=False)]
+        return pa.Table.from_arrays([*keys, ids, pa.array(score, pa.float64())], [arm, partition, row_id, "score"])
+
+    kinds = dict(rows.dtypes)
+    found = grid.groupBy(arm, partition, "setting").applyInArrow(run, f"`{arm}` {kinds[arm]}, `{partition}` {kinds[partition]}, `{row_id}` {kinds[row_id]}, score double")
     return found.groupBy(partition, row_id, arm).agg(F.avg("score").alias("score"))
 
 

@@ -140,3 +140,18 @@ def test_a_logistic_fit_ends_where_rounding_hides_the_loss(monkeypatch):
     x = np.column_stack([np.full(10_000, 9.0), *((d == k).sum(1) + 4 * (k == 0) for k in range(10))])
     p = models.logistic_fit(x, (r.random(10_000) < 0.5).astype(float))(x)
     assert len(steps) < 20 and 0.3 < p.min() < p.max() < 0.7
+
+
+def test_packed_blocks_hold_every_row_once(spark, rows):
+    """Rows travel to the fits as blocks of one arm and side with their indices as one value, whatever their order."""
+    own = rows.withColumn("x", models.hot("seq", 4, "abcd")).withColumn("side", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, None).otherwise("train"))
+    got = models.packed(own.repartition(2, "i"), ["g", "side"], "x", "v", "i", "int16").collect()
+    want = {x.i: (x.g, x.side, x.v, x.x) for x in own.collect()}
+    seen = {}
+    for b in got:
+        x = np.frombuffer(b["_x"], "int16").reshape(len(b["_ids"]), 4)
+        assert len(b["_ids"]) == len(b["_v"]) <= models.AT_A_TIME
+        seen |= {i: (b.g, b.side, v, r.tolist()) for i, v, r in zip(b["_ids"], b["_v"], x, strict=True)}
+    assert seen == want and sum(len(b["_ids"]) for b in got) == 360 and len(got) <= 2 * 9 + 2
+    with pytest.raises(Exception, match="rows without features"):
+        models.packed(own.withColumn("x", F.when(F.col("i") > 3, F.col("x"))), ["g"], "x", "v", "i", "int16").collect()
