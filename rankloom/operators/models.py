@@ -441,8 +441,10 @@ def hashed_embedding(df: DataFrame, seq: str, width: int = 32, k: int = 3, out:
     d = df.select(seq).distinct()
     kmers = F.expr(f"transform(sequence(1, greatest(length(`{seq}`) - {k - 1}, 1)), i -> substring(`{seq}`, i, {k}))")
     slots = F.transform("_k", lambda x: F.pmod(F.xxhash64(x), F.lit(width)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.size(F.filter("_s", lambda x: x == j)).cast("double"))
-    return d.withColumn("_k", kmers).withColumn("_s", slots).withColumn("_n", counts).withColumn(out, vector.normalise("_n")).drop("_k", "_s", "_n")
+    counts = F.array(*((F.size("_s") - F.size(F.array_remove("_s", F.lit(j).cast("long")))).cast("double") for j in range(width)))
+    d = d.withColumn("_k", kmers).withColumn("_s", slots).withColumn("_n", counts).withColumn("_l", vector.norm("_n"))
+    unit = F.transform("_n", lambda x: F.when(F.col("_l") == 0, F.lit(float("nan"))).otherwise(x / F.col("_l")))  # normalise() with the norm taken once
+    return d.withColumn(out, unit).drop("_k", "_s", "_n", "_l")
 
 
 def residue_embedding(df: DataFrame, seq: str, table: dict[str, list[float]], out: str = "residues") -> DataFrame:

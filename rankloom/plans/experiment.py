@@ -189,7 +189,7 @@ def fold_arms(rows: DataFrame, fold: str, group: str, seq: str, label: str, row_
     near = retrieval.nearest_positive(queries, entries, group, seq, other_fold=fold).select(row_id, F.lit("edit_retrieval").alias("arm"), "score")
     vectors = embedding if embedding is not None else models.hashed_embedding(rows, seq).select(seq, "vec")
     # a fold's queries meet the entries of each other fold as a group of its own
-    sides = parts.join(vectors, seq).withColumn("_key", F.concat_ws("|", "partition_id", group))
+    sides = parts.join(vectors.hint("merge"), seq).withColumn("_key", F.concat_ws("|", "partition_id", group))
     asked = sides.filter("side = 'test'").select("_key", seq, F.col("vec").alias("_q")).dropDuplicates(["_key", seq])
     held = sides.filter((F.col("side") == "train") & (F.col(label).cast("int") == 1)).select("_key", F.col(seq).alias("entry"), F.col("vec").alias("_e")).dropDuplicates(["_key", "entry"])
     close = retrieval.nearest_vectors(asked, held, "_key", seq, "_q", "_e").select("_key", seq, "score")

@@ -155,3 +155,17 @@ def test_packed_blocks_hold_every_row_once(spark, rows):
     assert seen == want and sum(len(b["_ids"]) for b in got) == 360 and len(got) <= 2 * 9 + 2
     with pytest.raises(Exception, match="rows without features"):
         models.packed(own.withColumn("x", F.when(F.col("i") > 3, F.col("x"))), ["g"], "x", "v", "i", "int16").collect()
+
+
+def test_hashed_embedding_takes_its_counts_and_norm_once(spark):
+    """As by the plain formula, bit for bit, without a filter for each place and a norm for each value of a vector."""
+    from rankloom.functions import vector
+
+    df = spark.createDataFrame([("",), ("a",), ("abcabc",), ("000000123",)], "seq string")
+    own = models.hashed_embedding(df, "seq")
+    slots = F.expr("transform(sequence(1, greatest(length(seq) - 2, 1)), i -> pmod(xxhash64(substring(seq, i, 3)), 32))")
+    plain = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.size(F.filter(slots, lambda x: x == j)).cast("double"))
+    want = {x.seq: x.v for x in df.withColumn("n", plain).select("seq", vector.normalise("n").alias("v")).collect()}
+    assert {x.seq: x.vec for x in own.collect()} == want
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and plan.lower().count("sqrt(") <= 2, plan
